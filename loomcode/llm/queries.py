@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomcode.llm.classifier import classify
 from loomcode.llm.debruijn import remove_passages
+from loomcode.llm.fingerprints import edited_fingerprints
 from loomcode.llm.minhash import near_duplicates
 from loomcode.llm.mixing import mix_sources
+from loomcode.llm.packing import pack
+from loomcode.llm.rules import apply_rules
 from loomcode.llm.sharding import assign_shards
 from loomcode.llm.suffix_dedup import remove_repeats
+from loomcode.llm.warc import archived_path, read_archives, write_archives
 
 #: Sources that are wanted more or less than the others.
 WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}
@@ -35,6 +40,27 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=4, percent=80)
 
 
+def tokenizer_path() -> str:
+    """The vocabulary's place on this machine; it is installed on all."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), tokenizer_path())
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = archived_path(spark)
+    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return read_archives(spark, path)
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), 400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -43,4 +69,30 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_passages(documents(spark, sf_dir), 50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_minhash, op7_suffix_dedup, op8_substring_dedup)}
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding,
+        op2_mixing,
+        op3_minhash,
+        op4_packing,
+        op5_warc,
+        op6_fingerprints,
+        op7_suffix_dedup,
+        op8_substring_dedup,
+        op9_rules,
+        op10_classifier,
+    )
+}
