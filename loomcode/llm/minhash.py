@@ -30,7 +30,7 @@ from loomcode.llm.common import buffers, chunks, mixed, word_symbols, written
 
 COORDINATES = 32
 MATCHES = 14
-BLOCK = 256
+BLOCK = 1024
 _U = np.uint64
 _A = np.random.default_rng(7).integers(0, 2**63, COORDINATES, dtype=np.uint64) * _U(2) + _U(1)
 
