@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcode.llm.common import buffers, chunks, written
+from loomcode.llm.common import _LOWER, buffers, chunks, written
 
 WINDOW = 2048
 END = 1
@@ -32,45 +32,78 @@ QUERY_TERMS = 48
 K1, B = 1.2, 0.75
 
 
+# Kinds of bytes: 0 space or newline, 1 ASCII letter or digit, 2 ASCII sign but the apostrophe, 3 anything else.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[0x20, 0x0A]] = 0
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+_KIND[[x for x in range(33, 127) if not chr(x).isalnum() and x != 39]] = 2
+
+
 class Encoder:
-    """Token ids of whole batches. A run of characters without a space or newline is encoded once and remembered,
-    which gives the ids of the whole text: the tokenizer drops white space and never joins across it."""
+    """Token ids of whole batches. The text is cut into runs, and each distinct run is encoded once and remembered.
+
+    Runs end at a space or newline, and between an ASCII letter or digit and an ASCII sign other than the apostrophe. The tokenizer drops
+    white space, lower-cases, and never joins letters or digits with such a sign, so that the runs' ids are the text's. Where the text may
+    hold a special token ("<|"), only white space cuts and letters stay as they are.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        size = self.tokenizer.get_vocab_size()
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint16)
         self.ends = np.zeros(1, np.int64)
 
+    def add(self, runs: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        self.known.update(zip(runs, range(len(self.known), len(self.known) + len(runs)), strict=True))
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens)])
+
     def learn(self, runs: list[str]) -> np.ndarray:
         new = [x for x in runs if x not in self.known]
-        if len(self.known) + len(new) > 2_000_000:  # bounds the memory of a worker
-            self.known, self.ids, self.ends, new = {}, np.zeros(0, np.uint16), np.zeros(1, np.int64), runs
-        if new:
-            encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            got = [x.ids for x in encode(new, add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint16)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in got])])
+        if len(self.known) + len(new) > 1_500_000:  # bounds the memory of a worker
+            self.forget()
+            new = runs
+        # A run of letters is one word of the tokenizer, closed by a token of its own kind; many go in one text.
+        plain = [x for x in new if x.isalpha() and "\u0130" not in x]
+        if plain:
+            got = self.fast([" ".join(plain[i : i + 256]) for i in range(0, len(plain), 256)], add_special_tokens=False)
+            ids = np.array([i for x in got for i in x.ids], np.uint16)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(plain):
+                self.add(plain, ids, np.diff(ends, prepend=0))
+        other = [x for x in new if x not in self.known]
+        if other:
+            got = [x.ids for x in self.fast(other, add_special_tokens=False)]
+            self.add(other, np.array([i for x in got for i in x], np.uint16), np.array([len(x) for x in got]))
         return np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of documents, each with END."""
         n_docs = len(offsets) - 1
-        gap = (data == 0x20) | (data == 0x0A)
-        inside = ~gap
-        first, last = inside.copy(), inside.copy()
-        first[1:] &= gap[:-1]
-        last[:-1] &= gap[1:]
+        kind = _KIND[data]
+        inside = kind != 0
+        first = inside.copy()
+        if b"<|" in data.tobytes():
+            first[1:] &= ~inside[:-1]
+        else:
+            data = _LOWER[data]
+            step = kind[1:] * np.uint8(4) + kind[:-1]
+            first[1:] &= ~inside[:-1] | (step == 6) | (step == 9)  # 1 after 2, 2 after 1
         edge = offsets[(offsets > 0) & (offsets < len(data))]
         first[edge] = inside[edge]
-        last[edge - 1] = inside[edge - 1]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        # Runs in a text without its gaps.
+        kept = np.concatenate([[0], np.cumsum(inside)])
+        starts = np.flatnonzero(first)
+        at = np.append(kept[starts], kept[-1]).astype(np.int32)
         before = np.searchsorted(starts, offsets)
-        lens = ends - starts
-        at = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
         runs = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at.tobytes()), pa.py_buffer(data[inside].tobytes())).dictionary_encode()
         which = self.learn(runs.dictionary.to_pylist())[runs.indices.to_numpy()] if len(starts) else np.zeros(0, np.int64)
         size = self.ends[which + 1] - self.ends[which]
