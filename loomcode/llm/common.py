@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 WORD = r"[^\x20\x09-\x0D]+"
 #: Java's form of the characters between words.
 GAP = r"[\x20\x09-\x0D]+"
@@ -64,6 +64,7 @@ def joined_small(big: DataFrame, small: DataFrame, key: str, limit: int, salts:
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null is empty."""
+    pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back, unlike the pooling ones
     column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -144,8 +144,8 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def forest(a: list, b: list) -> list[tuple[int, int]]:
-    """A spanning forest of the links."""
+def forest(pairs, linked) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that linked() confirms; pairs that are connected already are not looked at."""
     top: dict = {}
 
     def find(x):
@@ -154,9 +154,9 @@ def forest(a: list, b: list) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for x, y in zip(a, b, strict=True):
+    for x, y in pairs:
         p, q = find(x), find(y)
-        if p != q:
+        if p != q and linked(x, y):
             top[p] = q
             out.append((x, y))
     return out
@@ -167,17 +167,26 @@ def block_links(t: pa.Table, percent: int) -> pa.Table:
     side, nid, comp = (t.column(x).to_numpy() for x in ("side", "nid", "comp"))
     sig = np.asarray(t.column("sig").combine_chunks().flatten()).reshape(len(nid), COORDINATES)
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("members")]
+    size = np.array([len(x) for x in sets])
     left = np.flatnonzero(side != 1)
     right = np.flatnonzero(side == 1) if (side == 1).any() else left
-    same = np.zeros((len(left), len(right)), np.uint8)
-    for c in range(COORDINATES):
-        same += sig[left, c][:, None] == sig[right, c][None, :]
-    x, y = np.nonzero((same >= MATCHES) & (comp[left][:, None] != comp[right][None, :]))
-    x, y = left[x], right[y]
-    once = (nid[x] < nid[y]) if left is right else np.ones(len(x), bool)
-    found = [(int(nid[i]), int(nid[j])) for i, j in zip(x[once], y[once], strict=True) if alike(sets[i], sets[j], percent)]
-    found = forest([p for p, _ in found], [q for _, q in found])
-    return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
+    one = right is left
+
+    def pairs():
+        for s in range(0, len(left), 64):
+            rows = left[s : s + 64]
+            same = np.zeros((len(rows), len(right)), np.uint8)
+            for c in range(COORDINATES):
+                same += sig[rows, c][:, None] == sig[right, c][None, :]
+            a, b = size[rows][:, None], size[right][None, :]
+            ok = (same >= MATCHES) & (comp[rows][:, None] != comp[right][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+            x, y = np.nonzero(ok)
+            x, y = rows[x], right[y]
+            keep = nid[x] < nid[y] if one else np.ones(len(x), bool)
+            yield from zip(x[keep].tolist(), y[keep].tolist(), strict=True)
+
+    found = forest(pairs(), lambda i, j: alike(sets[i], sets[j], percent))
+    return pa.table({"a": pa.array(nid[[p for p, _ in found]] if found else [], pa.int64()), "b": pa.array(nid[[q for _, q in found]] if found else [], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -68,7 +68,7 @@ class Encoder:
 
     def learn(self, runs: list[str]) -> np.ndarray:
         new = [x for x in runs if x not in self.known]
-        if len(self.known) + len(new) > 1_500_000:  # bounds the memory of a worker
+        if len(self.known) + len(new) > 300_000:  # bounds the memory of a worker
             self.forget()
             new = runs
         # A run of letters is one word of the tokenizer, closed by a token of its own kind; many go in one text.
