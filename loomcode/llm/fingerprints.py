@@ -153,6 +153,18 @@ def near_texts(docs: DataFrame, bands: int = 32, width: int = 8, least: float =
     return asking.join(found, "q").join(members, "class_id").where("query_id <> doc_id").select("query_id", "doc_id", "likeness")
 
 
+def count_below(x, cuts: list[int]):
+    """How many of the rising cuts are below x, looked up in two steps of about the root of their number."""
+    if not cuts:
+        return F.lit(0)
+    k = max(int(len(cuts) ** 0.5), 1)
+    groups = [cuts[i : i + k] for i in range(0, len(cuts), k)]
+    among = lambda values: F.size(F.filter(values, lambda c: c < x))
+    whole = among(F.lit([g[-1] for g in groups]).cast("array<long>"))
+    nested = F.array(*(F.lit(g).cast("array<long>") for g in groups))
+    return F.when(whole < len(groups), whole * k + among(F.get(nested, whole))).otherwise(len(cuts))
+
+
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -167,16 +179,15 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = max(4 * parts(spark), 1)
     cuts = sorted({int(x) for x in rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)})
     # Ranges are numbered in falling order of doc_id; documents without an id come last.
-    bucket = F.lit(len(cuts)) - F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(bucket).cast("int")
+    below = count_below(F.col("doc_id"), cuts)
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - below).cast("int")
     order = F.struct(F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1)).alias("o"), F.xxhash64("text").alias("h"))
     ranged = rows.select("doc_id", "text", bucket.alias("range"), order.alias("ord"))
-    heads = {r["range"]: r["ord"] for r in ranged.groupBy("range").agg(F.min("ord").alias("ord")).collect()}  # a row for each range
-    present = sorted(heads)
-    goes = {r: present[i - 1] for i, r in enumerate(present)}  # the first range's head goes to the last range
-    guest = F.lit(None).cast("int")
-    for r in present:
-        guest = F.when((F.col("range") == r), F.when((F.col("ord.o") == heads[r]["o"]) & (F.col("ord.h") == heads[r]["h"]), F.lit(goes[r]))).otherwise(guest)
+    heads = sorted((r["range"], r["ord"]["o"], r["ord"]["h"]) for r in ranged.groupBy("range").agg(F.min("ord").alias("ord")).collect())  # a row for each range
+    # The first range's head goes to the last range.
+    goes = spark.createDataFrame([(r, o, h, heads[i - 1][0]) for i, (r, o, h) in enumerate(heads)], "range int, head_o long, head_h long, goes int")
+    ranged = ranged.join(F.broadcast(goes), "range")
+    guest = F.when((F.col("ord.o") == F.col("head_o")) & (F.col("ord.h") == F.col("head_h")), F.col("goes"))
     both = ranged.select(
         "doc_id", "text", "ord", F.explode(F.filter(F.array(F.struct(F.col("range").alias("to"), F.lit(False).alias("guest")), F.struct(guest.alias("to"), F.lit(True).alias("guest"))), lambda x: x["to"].isNotNull())).alias("x")
     ).select("doc_id", "text", "ord", "x.to", "x.guest")
