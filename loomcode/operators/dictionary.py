@@ -7,12 +7,14 @@ joined by its lemmas instead, through an inverted list.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomcode.functions import text as T
 
 SMALL_INDEX = 5000
+_ENTRY = pa.struct([("expr_id", pa.int64()), ("code_id", pa.int64()), ("expression", pa.string()), ("phrase", pa.bool_()), ("lemmas", pa.list_(pa.string()))])
 
 
 def build_index(codes: DataFrame, expressions: DataFrame) -> DataFrame:
@@ -36,9 +38,14 @@ def unit_sentences(units: DataFrame) -> DataFrame:
 def match_sentences(units: DataFrame, index: DataFrame) -> DataFrame:
     """doc_id, position, sent, sentence, code_id, expr_id, expression: a row for each hit of an expression in a sentence."""
     rows = unit_sentences(units)
-    if index.limit(SMALL_INDEX + 1).count() > SMALL_INDEX:
+    held = index.limit(SMALL_INDEX + 1).collect()  # at most SMALL_INDEX + 1 rows
+    if len(held) > SMALL_INDEX:
         return _match_inverted(rows, index)
-    entries = index.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("expr_id", "code_id", "expression", "phrase", "lemmas"))).alias("entries"))
+    by_lang: dict[str, list] = {}
+    for r in sorted(held, key=lambda r: r["expr_id"]):
+        by_lang.setdefault(r["lang"], []).append({k.name: r[k.name] for k in _ENTRY})
+    local = pa.table({"lang": pa.array(list(by_lang), pa.string()), "entries": pa.array(list(by_lang.values()), pa.list_(_ENTRY))})
+    entries = index.sparkSession.createDataFrame(local)
     line = F.concat(F.lit("\u0001"), F.array_join("seq", "\u0001"), F.lit("\u0001"))
     rows = rows.withColumn("line", line).join(F.broadcast(entries), "lang")  # at most SMALL_INDEX expressions
     hit = lambda e: F.when(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from loomcode.functions import text as T
 from loomcode.operators import codebook, dictionary, runs, segment
@@ -15,21 +18,39 @@ EXPRESSIONS = [
     (8, 4, "en", "attion"), (9, 4, "en", '"in the"'), (10, 4, "fr", '"de la"'), (11, 4, "de", '"der der"'), (12, 6, "en", "thst"), (13, 1, "es", "que"),
 ]
 
+#: Bytes by the optimizer's estimate below which a table is dealt to all cores.
+SMALL_TABLE = 256 << 20
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a local relation, which needs no Python worker."""
+    fields = StructType.fromDDL(schema)
+    columns = list(zip(*rows, strict=True))
+    arrow = pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, fields, strict=True)], names=fields.names)
+    return spark.createDataFrame(arrow, fields)
+
+
 def codes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, x, None, None, d, None) for i, x, d in CODES], codebook.CODES)
+    return local(spark, [(i, x, None, None, d, None) for i, x, d in CODES], codebook.CODES)
 
 
 def expressions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EXPRESSIONS, codebook.EXPRESSIONS)
+    return local(spark, EXPRESSIONS, codebook.EXPRESSIONS)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small table dealt to all cores: one row group is one task, however small. A large table has a task for each of its
+    row groups and moves nothing."""
+    small = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_TABLE
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if small else rows
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", "lang", F.col("source").alias("grp"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang", F.col("source").alias("grp")))
 
 
 def units(spark: SparkSession, sf: str) -> DataFrame:
