@@ -24,7 +24,7 @@ GAP = r"[\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines of the cluster see; one of our own only where none is named."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("loomcode.shared.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("loomcode.shared.dir", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="loomcode-")
         spark.conf.set("loomcode.shared.dir", found)

@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     signed = written(signatures(rows, width), "signatures")
     # A class of equal sets is named by its least doc_id, or by a negative hash.
     own = F.coalesce(F.min("doc_id"), -F.abs(F.xxhash64("ka", "kb")) - 1)
-    classes = signed.where("n_shingles > 0").groupBy("ka", "kb").agg(own.alias("nid"))
+    classes = signed.where("n_shingles > 0").groupBy("ka", "kb").agg(own.alias("nid"), F.min("doc_id").alias("named"))
     one = written(
         signed.where("n_shingles > 0").join(classes, ["ka", "kb"]).groupBy("nid").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes"
     )
@@ -224,10 +224,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     have = rows.where("doc_id is not null").join(members, F.col("doc_id") == F.col("nid"), "left_semi").select(F.col("doc_id").alias("nid"), "text")
     nameless = signed.where("doc_id is null and n_shingles > 0").select((-F.abs(F.xxhash64("ka", "kb")) - 1).alias("nid")).join(members, "nid", "left_semi").limit(1).count()
     if nameless:
-        keyed = signatures(rows.where("doc_id is null"), width)  # rows without an id are few or a fault of the input
         texts = rows.where("doc_id is null").select("text").distinct()
         marked = signatures(texts.select(F.xxhash64("text").alias("doc_id"), "text"), width).select(F.col("doc_id").alias("th"), (-F.abs(F.xxhash64("ka", "kb")) - 1).alias("nid"))
-        del keyed
         have = have.unionByName(texts.withColumn("th", F.xxhash64("text")).join(marked, "th").join(members, "nid", "left_semi").dropDuplicates(["nid"]).select("nid", "text"))
     sets = written(shingle_sets(have, width), "sets")
     side = lambda x: sets.select(F.col("nid").alias(x), F.col("members").alias(f"set_{x}"))
@@ -261,8 +259,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         labels = components(written(links.union(more), "links"))
 
     # From sets back to documents.
-    of_class = classes.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("ka", "kb", "nid", comp)
-    least = of_class.groupBy("comp").agg(F.min(F.when(F.col("nid") >= 0, F.col("nid"))).alias("least"))
+    of_class = classes.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("ka", "kb", "named", comp)
+    least = of_class.groupBy("comp").agg(F.min("named").alias("least"))
     of_class = of_class.join(least, "comp").select("ka", "kb", "least")
     rows_out = signed.select("doc_id", "n_shingles", "ka", "kb").join(of_class, ["ka", "kb"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))

@@ -93,6 +93,11 @@ def test_near_without_ids(docs):
     assert len(got) == len(rows()) and {r["component_id"] for r in got if r["doc_id"] is None} == {4, None}
 
 
+def test_near_negative_ids(spark):
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame([(-5, "a b c d e f"), (3, "a b c d e f"), (-7, "x y")], "doc_id long, text string"), 4).collect()}
+    assert got == {-5: (-5, True), 3: (-5, False), -7: (-7, True)}
+
+
 def test_near_chains_and_hot_lists(spark, monkeypatch):
     """A passage that dominates many short documents, groups of copies in it, and chains; blocks are made small."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
