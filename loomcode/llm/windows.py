@@ -119,7 +119,8 @@ def repeated_windows(docs: DataFrame, symbols_of: Callable, W: int, K: int, by_l
     too; with by_least, if it starts in a document with a smaller doc_id.
     """
     paths = written(find_paths(docs, symbols_of, W, K), "paths")
-    several = paths.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # As a table, so that both sides of the join are plain exchanges and Spark can split a hot gram's partition.
+    several = written(paths.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     shared = written(paths.join(several, "gram", "left_semi"), "paths")
     dropped(paths)
 
