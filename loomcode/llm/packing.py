@@ -1,32 +1,40 @@
 """Packing documents into token sequences by lexical retrieval.
 
 Each document's ids (its own, then END) are cut into full windows, which are sequences of their own, and
-a tail. Tails are the units of retrieval: they are dealt to shards of about SHARD_UNITS units, each with its own
-inverted index of token ids, whose BM25 weights use document frequencies and a mean length over all units. In a shard,
-the longest unused tail is the seed of a sequence; unused neighbours fill its window by falling score
-while they fit, and then the best neighbour is cut to fill the rest, so that a window has no padding. What is
-left for a shard's last sequence is cut to powers of two.
+a tail. Tails are the units of retrieval, and each seed is scored by BM25 against every unused unit of the corpus. The longest unused
+tail is the seed of a sequence; its neighbours fill the window by falling score, ties in the order of units, and the first one
+that does not fit is cut to fill the rest, so that a window has no padding. What is left at the end, less than a window, is cut to
+powers of two.
+
+The index is read in shards of SHARD_UNITS units, which only bound memory: SEEDS seeds at a time are scored against all of them, and the
+NEAR best of each are merged. The driver follows the seeds in order, with a few numbers for each unit. A seed whose list is used up
+before its window is full asks again for a longer list of the units that are unused by then, so that the result is that of one sequential
+search whatever the sizes of shards, blocks and lists. The work grows with seeds times units.
 
 Edges: a null or empty text has END alone; a document longer than memory's share of a batch is still one
-row; rows that repeat a doc_id are packed each; an empty table gives an empty result. Which documents meet
-in a shard follows the partitioning of the input; every other statement holds for any partitioning.
+row; rows that repeat a doc_id are packed each; an empty table gives an empty result. The order of units, which breaks ties, follows
+the partitioning of the input.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcode.llm.common import _LOWER, buffers, chunks, written
+from loomcode.llm.common import _LOWER, buffers, chunks, shared_dir, written
 
 WINDOW = 2048
 END = 1
-SHARD_UNITS = 1024
+#: Units whose postings are in memory at once.
+SHARD_UNITS = 4096
+#: Seeds that ask the index in one job, and neighbours that each gets at first.
+SEEDS, NEAR = 8192, 64
 #: Of a seed's terms, the heaviest so many ask the index.
 QUERY_TERMS = 48
 K1, B = 1.2, 0.75
@@ -124,7 +132,8 @@ def crc(ids: np.ndarray) -> int:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
-    """docs: doc_id, text. doc_id, doc_tokens, full_crcs (of the full windows), tail (ids as 16-bit bytes)."""
+    """docs: doc_id, text. doc_id, doc_tokens, full_crcs (of the full windows), tail (ids as 16-bit bytes), and for the index
+    terms (distinct ids) and counts (of each, 32 bits)."""
 
     def run(batches):
         encoder = Encoder(tokenizer)
@@ -132,138 +141,250 @@ def tokenized(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
             data, offsets = buffers(b.column("text"))
             for i, j in chunks(offsets):
                 ids, at = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                crcs, tails = [], []
-                for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                size = np.diff(at)
+                crcs, tails, terms, counts = [], [], [], []
+                unit = np.repeat(np.arange(j - i, dtype=np.int64), size)
+                indexed = np.arange(len(ids)) >= np.repeat(at[:-1] + size // window * window, size)
+                pairs, tf = np.unique(((unit << 16) | ids)[indexed], return_counts=True)
+                own = np.searchsorted(pairs >> 16, np.arange(j - i + 1)).tolist()
+                term, tf = (pairs & 0xFFFF).astype(np.uint16), tf.astype(np.uint32)
+                for k, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                     full = (e - s) // window
                     crcs.append([crc(ids[s + k * window : s + (k + 1) * window]) for k in range(full)])
                     tails.append(ids[s + full * window : e].tobytes())
+                    terms.append(term[own[k] : own[k + 1]].tobytes())
+                    counts.append(tf[own[k] : own[k + 1]].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(i, j - i), pa.array(np.diff(at)), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())],
-                    names=["doc_id", "doc_tokens", "full_crcs", "tail"],
+                    [b.column("doc_id").slice(i, j - i), pa.array(size), pa.array(crcs, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (tails, terms, counts))],
+                    names=["doc_id", "doc_tokens", "full_crcs", "tail", "terms", "counts"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, doc_tokens long, full_crcs array<long>, tail binary")
+    return docs.mapInArrow(run, "doc_id long, doc_tokens long, full_crcs array<long>, tail binary, terms binary, counts binary")
 
 
 def frequencies(units: DataFrame) -> DataFrame:
-    """id, df: in how many tails a token id stands; as many rows as the vocabulary has, at most."""
+    """id, df, n: in how many units a token id stands and how often; as many rows as the vocabulary has, at most."""
 
     def run(batches):
-        counts = np.zeros(1 << 16, np.int64)
+        df, n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         for b in batches:
-            data, offsets = buffers(b.column("tail"))
-            ids = data.view(np.uint16)
-            unit = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets) // 2)
-            counts += np.bincount(np.unique((unit << 16) | ids) & 0xFFFF, minlength=1 << 16)
-        which = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(counts[which])], names=["id", "df"])
-
-    return units.select("tail").mapInArrow(run, "id int, df long").groupBy("id").agg(F.sum("df").alias("df"))
-
-
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-
+            ids, tf = buffers(b.column("terms"))[0].view(np.uint16), buffers(b.column("counts"))[0].view(np.uint32)
+            df += np.bincount(ids, minlength=1 << 16)
+            n += np.bincount(ids, tf, 1 << 16).astype(np.int64)
+        which = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(df[which]), pa.array(n[which])], names=["id", "df", "n"])
+
+    return units.select("terms", "counts").mapInArrow(run, "id int, df long, n long").groupBy("id").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+
+
+class Shard:
+    """The postings of some units. Terms of many units are rows of a matrix, the others lists."""
+
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray, mean: float):
+        self.n = n = len(terms)
+        unit = np.repeat(np.arange(n), [len(x) for x in terms])
+        term, tf = np.concatenate(terms), np.concatenate(counts).astype(float)
+        size = np.bincount(unit, tf, n)
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[unit] / mean))
+        by_term = np.argsort(term, kind="stable")
+        self.unit, self.weight = unit[by_term], weight[by_term]
+        df = np.bincount(term, minlength=1 << 16)
+        self.at = np.concatenate([[0], np.cumsum(df)])
+        common = np.flatnonzero(df > max(n // 16, 1))
+        self.row = np.full(1 << 16, -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), n))
+        row = self.row[term[by_term]]
+        self.dense[row[row >= 0], self.unit[row >= 0]] = self.weight[row >= 0]
+
+    def scores(self, terms: list[np.ndarray]) -> np.ndarray:
+        """A row for each of the seeds, whose terms are given."""
+        seed, term = np.repeat(np.arange(len(terms)), [len(x) for x in terms]), np.concatenate(terms)
+        row = self.row[term]
+        asked = np.zeros((len(terms), len(self.dense)))
+        asked[seed[row >= 0], row[row >= 0]] = 1
+        seed, term = seed[row < 0], term[row < 0]
+        begin, n = self.at[term], self.at[term.astype(np.int64) + 1] - self.at[term]
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        rare = np.bincount(np.repeat(seed, n) * self.n + self.unit[at], self.weight[at], len(terms) * self.n)
+        return asked @ self.dense + rare.reshape(len(terms), self.n)
+
+
+def leading(score: np.ndarray, uid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best scores and their units; equal scores, but for rounding, by unit."""
+    if len(score) > k:
+        near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-8)
+        score, uid = score[near], uid[near]
+    score = np.round(score, 9)
+    order = np.lexsort((uid, -score))[:k]
+    return score[order], uid[order]
+
+
+def neighbours(units: DataFrame, seeds: dict[int, np.ndarray], free: np.ndarray, idf: np.ndarray, mean: float, k: int, shard_units: int = SHARD_UNITS) -> dict[int, np.ndarray]:
+    """For each seed (uid: its terms) the uids of its k best other units of `free` (rising uids) in the whole index, best first."""
+    shared = units.sparkSession.sparkContext.broadcast((seeds, free, idf))
 
-def pack_shard(shard: int, doc_ids, doc_tokens, tails: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> list[tuple]:
-    """Pieces of the tails of one shard; sequence ids from 0."""
-    n = len(tails)
-    size = np.array([len(x) for x in tails], np.int64)
-    ids = np.concatenate(tails) if n else np.zeros(0, np.uint16)
-    pairs, tf = np.unique((np.repeat(np.arange(n, dtype=np.int64), size) << 16) | ids, return_counts=True)
-    unit, term = pairs >> 16, pairs & 0xFFFF
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[unit] / mean))
-    unit_at = np.searchsorted(unit, np.arange(n + 1))
-    by_term = np.argsort(term, kind="stable")
-    post_unit, post_weight = unit[by_term], weight[by_term]
-    post_at = np.searchsorted(term[by_term], np.arange((1 << 16) + 1))
-
-    left, begin = size.copy(), np.zeros(n, np.int64)  # what is not packed yet of each tail
-    base = np.asarray(doc_tokens) - size
-    free = left > 0
-    out: list[tuple] = []
+    def run(batches):
+        seeds, free, idf = shared.value
+        names = list(seeds)
+        held = {s: (np.zeros(0), np.zeros(0, np.int64)) for s in names}
+
+        def ask(uids: np.ndarray, terms: list, counts: list) -> None:
+            shard = Shard(terms, counts, idf, mean)
+            for i in range(0, len(names), 128):
+                block = names[i : i + 128]
+                for s, score in zip(block, shard.scores([seeds[x] for x in block]), strict=True):
+                    score[uids == s] = -1
+                    score, uid = leading(score, uids, k + 1)
+                    score, uid = score[score >= 0], uid[score >= 0]
+                    held[s] = leading(np.concatenate([held[s][0], score]), np.concatenate([held[s][1], uid]), k)
+
+        wait: list[tuple] = []
+        for b in batches:
+            uids = b.column("uid").to_numpy()
+            at = np.searchsorted(free, uids)
+            b = b.filter(pa.array(free[np.minimum(at, len(free) - 1)] == uids))
+            for u, t, c in zip(*(b.column(x).to_pylist() for x in ("uid", "terms", "counts")), strict=True):
+                wait.append((u, np.frombuffer(t, np.uint16), np.frombuffer(c, np.uint32)))
+                if len(wait) == shard_units:
+                    ask(np.array([x[0] for x in wait]), [x[1] for x in wait], [x[2] for x in wait])
+                    wait = []
+        if wait:
+            ask(np.array([x[0] for x in wait]), [x[1] for x in wait], [x[2] for x in wait])
+        for s, (score, uid) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(uid), s)), pa.array(uid), pa.array(score)], names=["seed", "uid", "score"])
+
+    found = units.select("uid", "terms", "counts").mapInArrow(run, "seed long, uid long, score double")
+    best = found.groupBy("seed").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "uid"))), 1, k)["uid"].alias("uids")).collect()
+    shared.destroy()
+    return {r["seed"]: np.array(r["uids"], np.int64) for r in best}
+
+
+def query_terms(unit, idf: np.ndarray, mean: float) -> np.ndarray:
+    """The terms with which a unit asks the index: the heaviest QUERY_TERMS of its own."""
+    terms, tf = np.frombuffer(unit["terms"], np.uint16), np.frombuffer(unit["counts"], np.uint32).astype(float)
+    weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tf.sum() / mean))
+    return terms[np.argsort(-weight, kind="stable")[:QUERY_TERMS]]
+
+
+def sequences(uids: np.ndarray, size: np.ndarray, window: int, search: Callable, put: Callable, block: int = SEEDS, near: int = NEAR) -> None:
+    """Fills windows in one sequential order. search(seeds, free, k): a list of at most k units for each seed, best first, all as rows of
+    `uids`; put(unit, start, length, sequence, offset) takes the pieces, starts from the tail's beginning."""
+    left, begin = size.copy(), np.zeros(len(size), np.int64)  # what is not packed yet of each tail
+    total = int(left.sum())
+    order = np.argsort(-size, kind="stable")
+    lists: dict[int, tuple[np.ndarray, int]] = {}
     seq = 0
 
-    def put(u: int, length: int, offset: int, seq: int) -> None:
-        s = int(begin[u])
-        out.append((doc_ids[u], int(base[u] + s), length, crc(tails[u][s : s + length]), int(doc_tokens[u]), seq, offset))
+    def place(u: int, length: int, offset: int) -> int:
+        put(u, int(begin[u]), length, seq, offset)
         begin[u] += length
         left[u] -= length
-        free[u] = left[u] > 0
+        return offset + length
 
-    for seed in np.argsort(-size, kind="stable"):
-        if not free[seed]:
-            continue
-        if left[free].sum() < window:
+    for at, seed in enumerate(order.tolist()):
+        if total < window:
             break
-        terms = term[unit_at[seed] : unit_at[seed + 1]]
-        terms = terms[np.argsort(-weight[unit_at[seed] : unit_at[seed + 1]], kind="stable")[:QUERY_TERMS]]
-        spans = [(post_at[t], post_at[t + 1]) for t in terms]
-        score = np.bincount(np.concatenate([post_unit[s:e] for s, e in spans]), np.concatenate([post_weight[s:e] for s, e in spans]), n)
+        if not left[seed]:
+            continue
+        if seed not in lists:
+            ahead = order[at:]
+            asking = ahead[left[ahead] > 0][:block]
+            lists = {s: (x, near) for s, x in search(asking, np.flatnonzero(left > 0), near).items()}
         room = window - int(left[seed])
-        put(seed, int(left[seed]), 0, seq)
-        order = np.argsort(-np.where(free, score, -1), kind="stable")[: int(free.sum())]
-        lens = left[order]
-        i = 0
-        while room and i < len(order):
-            fits = np.flatnonzero(lens[i:] <= room)
-            if not len(fits):
+        near_left = left[lists[seed][0]]
+        while near_left.sum() < room:
+            # The list is used up; so are those of seeds like this one.
+            short = [s for s, (x, _) in lists.items() if left[s] and left[x].sum() < window - left[s]]
+            k = 4 * lists[seed][1]
+            lists |= {s: (x, k) for s, x in search(np.array(short), np.flatnonzero(left > 0), k).items()}
+            near_left = left[lists[seed][0]]
+        offset = place(seed, int(left[seed]), 0)
+        for u in lists.pop(seed)[0].tolist():
+            if offset == window:
                 break
-            i += int(fits[0])
-            put(int(order[i]), int(lens[i]), window - room, seq)
-            room -= int(lens[i])
-            i += 1
-        if room:
-            rest = order[free[order]]
-            put(int(rest[0]), room, window - room, seq)
+            if left[u]:
+                offset = place(u, min(int(left[u]), window - offset), offset)
+        total -= window
         seq += 1
-
     # Less than a window is left: sequences of falling powers of two.
-    rest = [int(u) for u in np.flatnonzero(free)]
-    total = int(left[rest].sum()) if rest else 0
+    rest = np.flatnonzero(left).tolist()
     while total:
         room = 1 << (total.bit_length() - 1)
         total -= room
         offset = 0
-        while room:
-            u = rest[0]
-            k = min(room, int(left[u]))
-            put(u, k, offset, seq)
-            offset, room = offset + k, room - k
-            if not left[u]:
+        while offset < room:
+            offset = place(rest[0], min(room - offset, int(left[rest[0]])), offset)
+            if not left[rest[0]]:
                 rest.pop(0)
         seq += 1
-    return out
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_units: int = SHARD_UNITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Sequence ids of full windows begin here.
+FULL = 1 << 60
+
+
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_units: int = SHARD_UNITS, id_col: str = "doc_id", text_col: str = "text", block: int = SEEDS, near: int = NEAR) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     units = written(tokenized(rows, tokenizer, window).withColumn("uid", F.monotonically_increasing_id()), "tokens")
-    n, n_ids = units.agg(F.count("*"), F.sum(F.octet_length("tail") / 2)).first()
-    n_shards = max(1, -(-n // shard_units))
+    sizes = units.select("uid", (F.octet_length("tail") / 2).cast("long").alias("size")).toArrow().sort_by("uid")  # two numbers for each unit
+    uids, size = sizes["uid"].to_numpy(), sizes["size"].to_numpy()
+    n = len(uids)
     # The vocabulary bounds what comes to the driver.
-    df = {r["id"]: r["df"] for r in frequencies(units).collect()}
+    counted = frequencies(units).collect()
     idf = np.zeros(1 << 16)
-    idf[list(df)] = [np.log(1 + (n - x + 0.5) / (x + 0.5)) for x in df.values()]
-    shared = spark.sparkContext.broadcast(idf)
-    mean = float((n_ids or 0) / n) if n else 1.0
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None).tolist()
-        tails = [np.frombuffer(x, np.uint16) for x in pdf["tail"]]
-        tokens = pdf["doc_tokens"].tolist()
-        top = int(key[0]) << 32
-        out = pack_shard(int(key[0]), ids, tokens, tails, shared.value, max(mean, 1.0), window)
-        seq = max((x[5] for x in out), default=-1) + 1
-        for d, t, crcs in zip(ids, tokens, pdf["full_crcs"], strict=True):
-            for k, c in enumerate(crcs):
-                out.append((d, k * window, window, int(c), int(t), seq, 0))
-                seq += 1
-        frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        frame["sequence_id"] += top
-        return frame
-
-    shard = F.pmod(F.xxhash64("uid"), F.lit(n_shards)).cast("long")
-    return units.withColumn("shard", shard).groupBy("shard").applyInPandas(run, PIECES)
+    idf[[r["id"] for r in counted]] = [np.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5)) for r in counted]
+    mean = max(sum(r["n"] for r in counted) / n, 1.0) if n else 1.0
+
+    def search(seeds: np.ndarray, free: np.ndarray, k: int) -> dict[int, np.ndarray]:
+        wanted = np.sort(uids[seeds])
+
+        def own(batches):
+            for b in batches:
+                yield b.filter(pa.array(np.isin(b.column("uid").to_numpy(), wanted)))
+
+        terms = {r["uid"]: query_terms(r, idf, mean) for r in units.select("uid", "terms", "counts").mapInArrow(own, "uid long, terms binary, counts binary").collect()}
+        found = neighbours(units, terms, uids[free], idf, mean, k, shard_units)
+        return {int(np.searchsorted(uids, s)): np.searchsorted(uids, x) for s, x in found.items()}
+
+    path = f"{shared_dir(spark)}/pieces-{uuid.uuid4().hex}"
+    schema = "uid long, begin long, length long, sequence_id long, offset long"
+    held: list[tuple] = []
+
+    def flush() -> None:
+        table = pa.table([pa.array(x, pa.int64()) for x in zip(*held, strict=True)] or [pa.array([], pa.int64())] * 5, ["uid", "begin", "length", "sequence_id", "offset"])
+        spark.createDataFrame(table, schema).write.mode("append").parquet(path)
+        held.clear()
+
+    def put(u: int, start: int, length: int, seq: int, offset: int) -> None:
+        held.append((int(uids[u]), start, length, seq, offset))
+        if len(held) == 500_000:
+            flush()
+
+    sequences(uids, size, window, search, put, block, near)
+    flush()
+
+    def cut(batches):
+        for b in batches:
+            tails = [np.frombuffer(x, np.uint16) for x in b.column("tail").to_pylist()]
+            begin, length = b.column("begin").to_pylist(), b.column("length").to_pylist()
+            crcs = [crc(t[s : s + k]) for t, s, k in zip(tails, begin, length, strict=True)]
+            base = b.column("doc_tokens").to_numpy() - np.array([len(t) for t in tails], np.int64)
+            start = base + b.column("begin").to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(start), b.column("length"), pa.array(crcs, pa.int64()), *(b.column(x) for x in ("doc_tokens", "sequence_id", "offset"))], names=[x.split()[0] for x in PIECES.split(", ")])
+
+    pieces = spark.read.schema(schema).parquet(path)
+    cuts = units.select("uid", "doc_id", "doc_tokens", "tail").join(pieces, "uid").select("doc_id", "doc_tokens", "tail", "begin", "length", "sequence_id", "offset").mapInArrow(cut, PIECES)
+    full = units.select("doc_id", "doc_tokens", F.posexplode("full_crcs").alias("k", "ids_crc32")).select(
+        "doc_id",
+        (F.col("k").cast("long") * window).alias("start"),
+        F.lit(window).cast("long").alias("length"),
+        "ids_crc32",
+        "doc_tokens",
+        (F.monotonically_increasing_id() + FULL).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"),
+    )
+    return cuts.unionByName(full)

@@ -162,6 +162,58 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, tokenizer_path()).count() == 0
 
 
+def packed_in_order(texts, window):
+    """[[(row, start, length)]]: the sequences of the tails, by BM25 of all pairs with all terms, one seed after the other."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    ids = [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+    base = [len(x) // window * window for x in ids]
+    left, begin = [len(x) - b for x, b in zip(ids, base, strict=True)], base[:]
+    bags = [Counter(x) for x in ids]
+    n, mean = len(texts), sum(sum(b.values()) for b in bags) / len(texts)
+    df = Counter(x for b in bags for x in b)
+
+    def score(i, j):
+        size = sum(bags[j].values())
+        return sum(np.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * bags[j][x] * 2.2 / (bags[j][x] + 1.2 * (0.25 + 0.75 * size / mean)) for x in bags[i] if x in bags[j])
+
+    out = []
+    for i in sorted(range(n), key=lambda i: (-left[i], i)):
+        if not left[i] or sum(left) < window:
+            continue
+        out.append([])
+        room = window
+        for j in [i, *sorted((j for j in range(n) if j != i), key=lambda j: (-round(score(i, j), 9), j))]:
+            k = min(room, left[j])
+            if k:
+                out[-1].append((j, begin[j], k))
+                begin[j], left[j], room = begin[j] + k, left[j] - k, room - k
+    return out
+
+
+def packed(spark, texts, **sizes):
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), tokenizer_path(), window=256, **sizes).collect()
+    seqs = {}
+    for r in sorted((r for r in got if r["sequence_id"] < packing.FULL), key=lambda r: (r["sequence_id"], r["offset"])):
+        seqs.setdefault(r["sequence_id"], []).append((r["doc_id"], r["start"], r["length"]))
+    return [x for _, x in sorted(seqs.items()) if sum(k for *_, k in x) == 256]
+
+
+def common_words(rng, n, topic):
+    return " ".join(rng.choice(topic) for _ in range(n))
+
+
+def test_packing_asks_the_whole_index(spark):
+    """Pairs of like texts far apart; small shards, blocks and lists give what one search over all units gives. Units have few distinct ids."""
+    rng = random.Random(8)
+    topics = [[words(rng, 1) for _ in range(8)] for _ in range(12)]
+    texts = [common_words(rng, rng.randint(10, 60), topics[i % 12]) for i in range(60)]
+    want = packed_in_order(texts, 256)
+    assert packed(spark, texts, shard_units=5) == want
+    assert packed(spark, texts, shard_units=9, block=3, near=2) == want
+
+
 def test_encoder():
     import pyarrow as pa
     from tokenizers import Tokenizer
