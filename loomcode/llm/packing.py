@@ -1,7 +1,8 @@
 """Packing documents into token sequences by lexical retrieval.
 
 Each document's ids (its own, then END) are cut into full windows, which are sequences of their own, and
-a tail. Tails are the units of retrieval, and each seed is scored by BM25 against every unused unit of the corpus. The longest unused
+a tail. Tails are the units of retrieval, and each seed is scored by BM25, with all its terms, against every unused unit
+of the corpus. The longest unused
 tail is the seed of a sequence; its neighbours fill the window by falling score, ties in the order of units, and the first one
 that does not fit is cut to fill the rest, so that a window has no padding. What is left at the end, less than a window, is cut to
 powers of two.
@@ -35,8 +36,6 @@ END = 1
 SHARD_UNITS = 4096
 #: Seeds that ask the index in one job, and neighbours that each gets at first.
 SEEDS, NEAR = 8192, 64
-#: Of a seed's terms, the heaviest so many ask the index.
-QUERY_TERMS = 48
 K1, B = 1.2, 0.75
 
 
@@ -260,13 +259,6 @@ def neighbours(units: DataFrame, seeds: dict[int, np.ndarray], free: np.ndarray,
     return {r["seed"]: np.array(r["uids"], np.int64) for r in best}
 
 
-def query_terms(unit, idf: np.ndarray, mean: float) -> np.ndarray:
-    """The terms with which a unit asks the index: the heaviest QUERY_TERMS of its own."""
-    terms, tf = np.frombuffer(unit["terms"], np.uint16), np.frombuffer(unit["counts"], np.uint32).astype(float)
-    weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tf.sum() / mean))
-    return terms[np.argsort(-weight, kind="stable")[:QUERY_TERMS]]
-
-
 def sequences(uids: np.ndarray, size: np.ndarray, window: int, search: Callable, put: Callable, block: int = SEEDS, near: int = NEAR) -> None:
     """Fills windows in one sequential order. search(seeds, free, k): a list of at most k units for each seed, best first, all as rows of
     `uids`; put(unit, start, length, sequence, offset) takes the pieces, starts from the tail's beginning."""
@@ -346,7 +338,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_units: int
             for b in batches:
                 yield b.filter(pa.array(np.isin(b.column("uid").to_numpy(), wanted)))
 
-        terms = {r["uid"]: query_terms(r, idf, mean) for r in units.select("uid", "terms", "counts").mapInArrow(own, "uid long, terms binary, counts binary").collect()}
+        terms = {r["uid"]: np.frombuffer(r["terms"], np.uint16) for r in units.select("uid", "terms", "counts").mapInArrow(own, "uid long, terms binary, counts binary").collect()}
         found = neighbours(units, terms, uids[free], idf, mean, k, shard_units)
         return {int(np.searchsorted(uids, s)): np.searchsorted(uids, x) for s, x in found.items()}
 

@@ -214,6 +214,14 @@ def test_packing_asks_the_whole_index(spark):
     assert packed(spark, texts, shard_units=9, block=3, near=2) == want
 
 
+def test_packing_scores_all_terms(spark):
+    """Units have far more than 48 distinct ids."""
+    rng = random.Random(9)
+    topics = [[words(rng, 1) for _ in range(90)] for _ in range(4)]
+    texts = [common_words(rng, rng.randint(40, 70), topics[i % 4]) for i in range(40)]
+    assert packed(spark, texts, shard_units=16) == packed_in_order(texts, 256)
+
+
 def test_encoder():
     import pyarrow as pa
     from tokenizers import Tokenizer
