@@ -1,7 +1,7 @@
 """Packing documents into token sequences by lexical retrieval.
 
 Each document's ids (its own, then END) are cut into full windows, which are sequences of their own, and
-a tail. Tails are the units of retrieval, and each seed is scored by BM25, with all its terms, against every unused unit
+a tail. Tails are the units of retrieval, sought and found by the terms of their whole documents, and each seed is scored by BM25, with all its terms, against every unused unit
 of the corpus. The longest unused
 tail is the seed of a sequence; its neighbours fill the window by falling score, ties in the order of units, and the first one
 that does not fit is cut to fill the rest, so that a window has no padding. What is left at the end, less than a window, is cut to
@@ -132,7 +132,7 @@ def crc(ids: np.ndarray) -> int:
 
 def tokenized(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
     """docs: doc_id, text. doc_id, doc_tokens, full_crcs (of the full windows), tail (ids as 16-bit bytes), and for the index
-    terms (distinct ids) and counts (of each, 32 bits)."""
+    the whole document's terms (distinct ids) and counts (of each, 32 bits)."""
 
     def run(batches):
         encoder = Encoder(tokenizer)
@@ -143,8 +143,7 @@ def tokenized(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
                 size = np.diff(at)
                 crcs, tails, terms, counts = [], [], [], []
                 unit = np.repeat(np.arange(j - i, dtype=np.int64), size)
-                indexed = np.arange(len(ids)) >= np.repeat(at[:-1] + size // window * window, size)
-                pairs, tf = np.unique(((unit << 16) | ids)[indexed], return_counts=True)
+                pairs, tf = np.unique((unit << 16) | ids, return_counts=True)
                 own = np.searchsorted(pairs >> 16, np.arange(j - i + 1)).tolist()
                 term, tf = (pairs & 0xFFFF).astype(np.uint16), tf.astype(np.uint32)
                 for k, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):

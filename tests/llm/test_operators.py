@@ -222,6 +222,14 @@ def test_packing_scores_all_terms(spark):
     assert packed(spark, texts, shard_units=16) == packed_in_order(texts, 256)
 
 
+def test_packing_index_has_whole_documents(spark):
+    """Tails of long documents, whose first windows tell their topic and whose tails do not."""
+    rng = random.Random(10)
+    topics, end = [[words(rng, 1) for _ in range(30)] for _ in range(4)], [words(rng, 1) for _ in range(30)]
+    texts = [common_words(rng, rng.randint(90, 130), topics[i % 4]) + " " + common_words(rng, 20, end) for i in range(40)]
+    assert packed(spark, texts) == packed_in_order(texts, 256)
+
+
 def test_encoder():
     import pyarrow as pa
     from tokenizers import Tokenizer
