@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcode.llm.common import parts
+from loomcode.llm.common import parts, written
 
 SLOTS = 256
 PERIOD = 4096
@@ -131,26 +131,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, text string, fingerprint string")
 
 
-def near_texts(docs: DataFrame, bands: int = 32, width: int = 8, least: float = 0.7, every: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """query_id, doc_id, likeness: for every document whose id is divisible by `every`, all others whose fingerprints agree in
-    the share `least` of the slots.
+def near_texts(docs: DataFrame, least: float = 0.7, every: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """query_id, doc_id, likeness, edit_likeness: for every document whose id is divisible by `every`, all others whose fingerprints agree
+    in the share `least` of the slots (likeness), and whose edit distance is at most the share 1 - `least` of the longer text
+    (edit_likeness is 1 less its share).
 
-    Candidates agree in one of `bands` samples of `width` slots; equal fingerprints are one row until the end, and a band that is common
-    is split by the join. At a likeness of 0.9 a candidate is missed with a probability of about 1e-8.
+    The slots are dealt to one band more than slots may differ, so that an accepted pair agrees in a whole band: no pair is missed. Candidates
+    are verified on their fingerprints, then on their texts. Equal texts are one row until the end, and a band that is common is split by the join.
     """
-    prints = fingerprints(docs, id_col, text_col).select("doc_id", "fingerprint")
-    own = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
-    picks = np.random.default_rng(5).permuted(np.tile(np.arange(SLOTS), (bands, 1)), axis=1)[:, :width] + 1
-    keys = F.array(*(F.xxhash64(F.lit(i), *(F.substring("fingerprint", int(p), 1) for p in row)) for i, row in enumerate(picks)))
-    banded = own.select("class_id", "fingerprint", F.explode(keys).alias("band"))
-    queries = prints.where(F.col("doc_id") % every == 0).select("fingerprint").distinct().join(own, "fingerprint")
-    asked = queries.select(F.col("class_id").alias("q"), F.col("fingerprint").alias("fq"), F.explode(keys).alias("band"))
-    pairs = asked.join(banded, "band").select("q", "fq", "class_id", "fingerprint").distinct()
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(SLOTS)), F.lit(0), lambda acc, i: acc + (F.substring("fq", i, F.lit(1)) == F.substring("fingerprint", i, F.lit(1))).cast("int"))
-    found = pairs.withColumn("likeness", same / SLOTS).where(F.col("likeness") >= least).select("q", "class_id", "likeness")
-    members = prints.join(own, "fingerprint").select("doc_id", "class_id")
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0, and 1 at most")
+    prints = written(fingerprints(docs, id_col, text_col).withColumn("class_id", F.unhex(F.sha2("text", 256))), "prints")
+    own = prints.groupBy("class_id").agg(F.first("text").alias("text"), F.first("fingerprint").alias("fingerprint"))
+    differ = min(int(SLOTS * (1 - least) + 1e-9), SLOTS - 1)
+    bands = np.array_split(np.random.default_rng(5).permutation(SLOTS) + 1, differ + 1)
+    keys = F.array(*(F.xxhash64(F.lit(i), *(F.substring("fingerprint", int(p), 1) for p in row)) for i, row in enumerate(bands)))
+    banded = own.select("class_id", F.explode(keys).alias("band"))
+    members = prints.select("doc_id", "class_id")
     asking = members.where(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), F.col("class_id").alias("q"))
-    return asking.join(found, "q").join(members, "class_id").where("query_id <> doc_id").select("query_id", "doc_id", "likeness")
+    asked = own.join(asking.select(F.col("q").alias("class_id")).distinct(), "class_id").select(F.col("class_id").alias("q"), F.explode(keys).alias("band"))
+    pairs = asked.join(banded, "band").select("q", "class_id").distinct()
+    same = F.aggregate(F.sequence(F.lit(1), F.lit(SLOTS)), F.lit(0), lambda acc, i: acc + (F.substring("fq", i, F.lit(1)) == F.substring("fingerprint", i, F.lit(1))).cast("int"))
+    left, right = own.select(F.col("class_id").alias("q"), F.col("fingerprint").alias("fq")), own.select("class_id", "fingerprint")
+    like = pairs.join(left, "q").join(right, "class_id").withColumn("likeness", same / SLOTS).where(F.col("likeness") >= least).select("q", "class_id", "likeness")
+    texts = like.join(own.select(F.col("class_id").alias("q"), F.col("text").alias("tq")), "q").join(own.select("class_id", "text"), "class_id")
+    longer = F.greatest(F.length("tq"), F.length("text"))
+    edits = F.when(F.col("q") == F.col("class_id"), 0).otherwise(F.levenshtein("tq", "text"))
+    found = texts.withColumn("edit_likeness", F.when(longer > 0, 1 - edits / longer).otherwise(1.0)).where(F.col("edit_likeness") >= least).select("q", "class_id", "likeness", "edit_likeness")
+    return asking.join(found, "q").join(members, "class_id").where("query_id <> doc_id").select("query_id", "doc_id", "likeness", "edit_likeness")
 
 
 def count_below(x, cuts: list[int]):

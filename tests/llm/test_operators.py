@@ -285,6 +285,39 @@ def test_fingerprints(spark, docs, nothing):
     assert {(4, 5), (5, 4)} <= near and (4, 10) not in near
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_near_texts_misses_no_pair(spark):
+    """All pairs by brute force, many of them just above the least likeness."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(4):
+        base = words(rng, 60)
+        for k in range(22):
+            at = len(base) * (60 + k) // 90
+            texts.append(base[:at] + words(rng, 60)[: len(base) - at])
+    texts += [texts[0], ""]
+    prints = fingerprints.walk(texts)
+    want, close = {}, 0
+    for i, j in ((i, j) for i in range(len(texts)) for j in range(i)):
+        like = float((prints[i] == prints[j]).mean())
+        if like >= 0.7:
+            edit = 1 - edit_distance(texts[i], texts[j]) / max(len(texts[i]), len(texts[j]))
+            close += like < 0.75
+            if edit >= 0.7:
+                want[i, j] = want[j, i] = (round(like, 9), round(edit, 9))
+    assert close > 100
+    got = fingerprints.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), every=1).collect()
+    assert len(got) == len(want) and {(r["query_id"], r["doc_id"]): (round(r["likeness"], 9), round(r["edit_likeness"], 9)) for r in got} == want
+
+
 def test_walk_is_the_plain_walk():
     rng = random.Random(2)
     texts = [words(rng, n) for n in (0, 1, 7, 30, 200)]
