@@ -121,9 +121,10 @@ def percent(part, whole) -> Column:
     return F.when(whole > 0, F.lit(100.0) * part / whole).otherwise(F.lit(0.0))
 
 
-def detect_language(text) -> Column:
-    """The language with most stop words among the first 5000 characters, or null without any; ties go to the first by name."""
-    bag = tokens(F.substring(text, 1, 5000))
+def detect_language(text, first: int | None = None) -> Column:
+    """The language with most stop words, or null without any; ties go to the first by name. With `first`, among so many characters
+    only; the reference looks at 5000."""
+    bag = tokens(text if first is None else F.substring(text, 1, first))
     votes = F.array(*(F.struct(F.size(F.filter(bag, _inside(STOP_WORDS[k]))).alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("lang")) for i, k in enumerate(sorted(STOP_WORDS))))
     best = F.array_max(votes)
     return F.when(best["n"] > 0, best["lang"])

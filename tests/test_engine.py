@@ -218,3 +218,12 @@ def test_stream(spark, tmp_path):
     q = coded_stream(spark, str(tmp_path / "in"), codes, exprs, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_language_votes_on_the_whole_text(spark):
+    late = "xx " * 2000 + "der die das und"
+    turned = "the " * 1250 + "und " * 1300
+    df = spark.createDataFrame([(0, late), (1, turned), (2, "xx"), (3, None)], "id int, text string")
+    got = df.select("id", T.detect_language(F.col("text")).alias("all"), T.detect_language(F.col("text"), 5000).alias("first")).orderBy("id").collect()
+    assert [r["all"] for r in got] == ["de", "de", None, None]
+    assert [r["first"] for r in got] == [None, "en", None, None]
