@@ -33,7 +33,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, a similarity of 0.8 or more."""
-    return chosen(docs, near_duplicates(docs, width=5, percent=80))
+    # Numbers in the order of doc_id stand for rows, as ids may be null or repeated.
+    numbered = written(docs.select(COLUMNS).orderBy(F.col("doc_id").asc_nulls_last()).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    gone = near_duplicates(numbered, width=5, percent=80, id_col="row").where("not kept").select(F.col("doc_id").alias("row"))
+    return numbered.join(gone, "row", "left_anti").select(COLUMNS)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -407,3 +407,15 @@ def test_pipeline(spark):
     mixed = corpus_pipeline.mix(spark, docs, sf)
     assert mixed.columns == corpus_pipeline.COLUMNS
     assert corpus_pipeline.pack_windows(spark, mixed, sf).agg(F.sum("length")).first()[0] > 0
+
+
+def test_pipeline_keeps_one_row_of_near_duplicates(spark):
+    """Null and repeated ids."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    one, two, three, four = (words(rng, 40) for _ in range(4))
+    data = [(1, one), (1, one), (None, one), (None, two), (None, two), (5, three), (5, four), (2, four), (7, None), (7, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s1", 0) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_distinct(spark, docs, "").collect())
+    assert got == Counter([(1, one), (None, two), (5, three), (2, four), (7, None), (7, "")])
