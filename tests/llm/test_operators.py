@@ -193,25 +193,68 @@ def packed_in_order(texts, window):
 
 
 def packed(spark, texts, **sizes):
+    """The sequences of whole windows, in the order of their seeds' lengths."""
     got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), tokenizer_path(), window=256, **sizes).collect()
-    seqs = {}
+    seqs, tokens = {}, {r["doc_id"]: r["doc_tokens"] % 256 for r in got}
     for r in sorted((r for r in got if r["sequence_id"] < packing.FULL), key=lambda r: (r["sequence_id"], r["offset"])):
         seqs.setdefault(r["sequence_id"], []).append((r["doc_id"], r["start"], r["length"]))
-    return [x for _, x in sorted(seqs.items()) if sum(k for *_, k in x) == 256]
+    return sorted((x for x in seqs.values() if sum(k for *_, k in x) == 256), key=lambda x: (-tokens[x[0][0]], x[0][0]))
+
+
+def by_seed(seqs):
+    """Sequences without their order: a seed that an earlier window has cut stands by its rest."""
+    return Counter(tuple(x) for x in seqs)
 
 
 def common_words(rng, n, topic):
     return " ".join(rng.choice(topic) for _ in range(n))
 
 
-def test_packing_asks_the_whole_index(spark):
-    """Pairs of like texts far apart; small shards, blocks and lists give what one search over all units gives. Units have few distinct ids."""
+def test_packing_in_one_shard(spark):
+    """One shard gives what one sequential search over all units gives."""
     rng = random.Random(8)
     topics = [[words(rng, 1) for _ in range(8)] for _ in range(12)]
     texts = [common_words(rng, rng.randint(10, 60), topics[i % 12]) for i in range(60)]
-    want = packed_in_order(texts, 256)
-    assert packed(spark, texts, shard_units=5) == want
-    assert packed(spark, texts, shard_units=9, block=3, near=2) == want
+    assert by_seed(packed(spark, texts)) == by_seed(packed_in_order(texts, 256))
+
+
+def test_packing_by_content(spark):
+    """Many shards, dealt by content, agree with one search over all units: neighbours are of the seed's topic."""
+    rng = random.Random(8)
+    topics = [[words(rng, 1) + "qzxj"[i % 4] for _ in range(40)] for i in range(12)]
+    texts = [common_words(rng, rng.randint(15, 40), topics[i % 12]) for i in range(480)]
+    share = lambda seqs: sum(d % 12 == s[0][0] % 12 for s in seqs for d, *_ in s[1:]) / sum(len(s) - 1 for s in seqs)
+    all_units, shards = packed(spark, texts, shard_units=1000), packed(spark, texts, shard_units=40)
+    assert share(all_units) > 0.9 and share(shards) > 0.9 * share(all_units)
+    assert sum(map(len, shards)) <= 1.1 * sum(map(len, all_units))
+
+
+def test_packing_of_short_texts_and_copies(spark):
+    """Shards that can't fill a window, and a group of copies that is larger than a shard."""
+    for texts in ([""] * 3000, ["a b c " * 20] * 300 + ["d e f"] * 20):
+        got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer_path(), window=256, shard_units=16).collect()
+        size = Counter()
+        for r in got:
+            size[r["sequence_id"]] += r["length"]
+        assert sum(size.values()) == sum({r["doc_id"]: r["doc_tokens"] for r in got}.values())
+        assert sum(n < 256 for n in size.values()) <= 8 and all(n == 256 or n & (n - 1) == 0 for n in size.values())
+
+
+def test_packing_of_a_very_long_text(spark, monkeypatch):
+    """A document above several parts, one without gaps, and the memory of runs full."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "PART", 1 << 10)
+    monkeypatch.setattr(packing, "MEMO", 200)
+    rng = random.Random(3)
+    import pyarrow as pa
+
+    from loomcode.llm.common import buffers
+
+    texts = [words(rng, 3000) + "\n#a-b|" + words(rng, 900), "x" * 5000, "", words(rng, 10), None]
+    t, e = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    got = [list(ids[a:b]) for _, ids, at in e.documents(*buffers(pa.array(texts))) for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert got == [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
 
 
 def test_packing_scores_all_terms(spark):
@@ -219,7 +262,7 @@ def test_packing_scores_all_terms(spark):
     rng = random.Random(9)
     topics = [[words(rng, 1) for _ in range(90)] for _ in range(4)]
     texts = [common_words(rng, rng.randint(40, 70), topics[i % 4]) for i in range(40)]
-    assert packed(spark, texts, shard_units=16) == packed_in_order(texts, 256)
+    assert by_seed(packed(spark, texts)) == by_seed(packed_in_order(texts, 256))
 
 
 def test_packing_index_has_whole_documents(spark):
@@ -227,7 +270,7 @@ def test_packing_index_has_whole_documents(spark):
     rng = random.Random(10)
     topics, end = [[words(rng, 1) for _ in range(30)] for _ in range(4)], [words(rng, 1) for _ in range(30)]
     texts = [common_words(rng, rng.randint(90, 130), topics[i % 4]) + " " + common_words(rng, 20, end) for i in range(40)]
-    assert packed(spark, texts) == packed_in_order(texts, 256)
+    assert by_seed(packed(spark, texts)) == by_seed(packed_in_order(texts, 256))
 
 
 def test_encoder():
