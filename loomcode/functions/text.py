@@ -116,9 +116,29 @@ def estimated_tokens(x) -> Column:
     return F.expr(f"length({x}) div 4")
 
 
-def percent(part, whole) -> Column:
-    """100 * part / whole, or 0 without a whole; not rounded."""
-    return F.when(whole > 0, F.lit(100.0) * part / whole).otherwise(F.lit(0.0))
+def rounded(x, places: int) -> Column:
+    """x to so many places, half to even, judged on the binary value: 0.05 has a value above 5/100, and so becomes 0.1.
+
+    2 * 10**places * x is taken as a product and its exact error (x is split so that both parts multiply exactly), so that a
+    half is told from a value just above or below it.
+    """
+    scale = 10.0**places
+    x = x.cast("double")
+    big = x * 134217729.0
+    high = big - (big - x)
+    twice = x * (2 * scale)
+    rest = (high * (2 * scale) - twice) + (x - high) * (2 * scale)
+    below = F.floor(twice / 2)
+    half = (twice == F.floor(twice)) & (F.abs(twice % 2) == 1)
+    up = (rest > 0) | ((rest == 0) & (below % 2 != 0))
+    whole = F.when(half, below + F.when(up, 1).otherwise(0)).otherwise(F.floor((twice + 1) / 2))
+    return whole / F.lit(scale)
+
+
+def percent(part, whole, places: int | None = None) -> Column:
+    """100 * part / whole, or 0 without a whole; rounded to so many places."""
+    share = F.when(whole > 0, F.lit(100.0) * part / whole).otherwise(F.lit(0.0))
+    return share if places is None else rounded(share, places)
 
 
 def detect_language(text, first: int | None = None) -> Column:
@@ -147,3 +167,16 @@ def display_name(filename, column, group) -> Column:
     """A workbook column's name, with its group if there is one."""
     shown = F.concat(filename, F.lit(" ["), column, F.lit("]"), F.when(F.coalesce(group, F.lit("")) != "", F.concat(F.lit(" ("), group, F.lit(")"))).otherwise(""))
     return F.coalesce(shown, filename)
+
+
+def iso_time(ts) -> Column:
+    """A time in UTC as exchange files write it."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def clock(ts) -> Column:
+    return F.date_format(ts, "HH:mm:ss")
+
+
+def shown_time(ts) -> Column:
+    return F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm"), F.lit(" UTC"))

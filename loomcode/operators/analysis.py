@@ -2,7 +2,7 @@
 
 facts: segments (doc_id, position, text, status, start_offset, end_offset), codings (doc_id, position, code_id, score, matched_expressions),
 documents (doc_id, grp, lang, name), codes (code_id, label). Ties are broken by the first coding or unit in the order of
-(doc_id, position). Percentages come unrounded beside their numerator and denominator.
+(doc_id, position). Percentages have one decimal place, as rounded() rounds, and stand beside their numerator and denominator.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ class Analysis:
         n = self.codable.agg(F.count("*").alias("n_codable"))
         per = self.codings.groupBy("code_id", "label").agg(F.count("*").alias("codings"), F.countDistinct("doc_id", "position").alias("units"), F.min(F.struct("doc_id", "position")).alias("first"))
         out = per.crossJoin(F.broadcast(n))  # one row
-        return out.withColumn("pct_units", T.percent(F.col("units"), F.col("n_codable"))).orderBy(F.desc("codings"), "first").drop("first")
+        return out.withColumn("pct_units", T.percent(F.col("units"), F.col("n_codable"), 1)).orderBy(F.desc("codings"), "first").drop("first")
 
     def units_per_group(self) -> DataFrame:
         return self.codable.join(self.documents, "doc_id").groupBy("grp").agg(F.count("*").alias("n_units"))
@@ -47,10 +47,11 @@ class Analysis:
         hits = self.unit_codes.join(self.documents, "doc_id").groupBy("label", "grp").agg(F.count("*").alias("units"))
         grid = labels.crossJoin(F.broadcast(present.crossJoin(F.broadcast(n)).select("grp")))  # codes by groups
         out = grid.join(hits, ["label", "grp"], "left").join(self.units_per_group(), "grp", "left").fillna(0, ["units", "n_units"])
-        out = out.withColumn("pct", T.percent(F.col("units"), F.col("n_units")))
-        rounded = F.bround("pct", 1)
-        mean = F.avg(rounded).over(Window.partitionBy("label"))
-        return out.withColumn("mean", mean).withColumn("deviation", rounded - F.col("mean"))
+        out = out.withColumn("pct", T.percent(F.col("units"), F.col("n_units"), 1))
+        # The mean is of the rounded shares.
+        listed = F.array_sort(F.collect_list(F.struct("grp", "pct")).over(Window.partitionBy("label")))
+        mean = F.aggregate(listed, F.lit(0.0), lambda acc, x: acc + x["pct"]) / F.size(listed)
+        return out.withColumn("mean", T.rounded(mean, 1)).withColumn("deviation", T.rounded(F.col("pct") - F.col("mean"), 1))
 
     def cooccurrence(self) -> DataFrame:
         """label_a, label_b, units: both orders; the diagonal has a code's units. Only pairs that occur."""
@@ -60,9 +61,26 @@ class Analysis:
         pairs = a.join(listed, ["doc_id", "position"]).select("label_a", F.explode("labels").alias("label_b"))
         return pairs.groupBy("label_a", "label_b").agg(F.count("*").alias("units"))
 
+    def cooccurrence_matrix(self) -> DataFrame:
+        """label_a, label_b, units: every code that occurs with every other, and 0 where they never meet."""
+        labels = self.unit_codes.select("label").distinct()
+        grid = labels.select(F.col("label").alias("label_a")).crossJoin(F.broadcast(labels.select(F.col("label").alias("label_b"))))  # codes by codes
+        return grid.join(self.cooccurrence(), ["label_a", "label_b"], "left").fillna(0, ["units"])
+
+    def square(self, labels: list[str]) -> DataFrame:
+        """The matrix as a table: label_a, and a column for each label."""
+        return self.cooccurrence_matrix().where(F.col("label_a").isin(labels)).groupBy("label_a").pivot("label_b", labels).agg(F.first("units")).orderBy("label_a")
+
+    def documents_grid(self) -> DataFrame:
+        """doc_id, label, units: every document with a codable unit by every code that occurs, and 0 where there is none."""
+        labels = self.unit_codes.select("label").distinct()
+        hits = self.unit_codes.groupBy("doc_id", "label").agg(F.count("*").alias("units"))
+        grid = self.codable.select("doc_id").distinct().crossJoin(F.broadcast(labels))  # documents by codes
+        return grid.join(hits, ["doc_id", "label"], "left").fillna(0, ["units"])
+
     def coverage(self) -> DataFrame:
         per = self.codable.groupBy("doc_id").agg(F.count("*").alias("segments"), F.count_if(F.col("status") == "coded").alias("coded"))
-        return per.join(self.documents, "doc_id").withColumn("coverage_pct", T.percent(F.col("coded"), F.col("segments")))
+        return per.join(self.documents, "doc_id").withColumn("coverage_pct", T.percent(F.col("coded"), F.col("segments"), 1))
 
     def documents_by_codes(self, labels: list[str]) -> DataFrame:
         return self.unit_codes.groupBy("doc_id").pivot("label", labels).agg(F.count("position")).fillna(0, labels)
@@ -83,9 +101,14 @@ class Analysis:
         per = rows.groupBy(*keys, "lemma").agg(F.count("*").alias("freq"))
         total = F.sum("freq").over(Window.partitionBy(*keys))
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("freq"), "lemma"))
-        out = per.withColumn("total", total).withColumn("norm", F.col("freq") / F.col("total")).withColumn("flagged", F.col("total") < LOW_VOLUME)
+        out = per.withColumn("total", total).withColumn("norm", T.rounded(F.col("freq") / F.col("total"), 4)).withColumn("flagged", F.col("total") < LOW_VOLUME)
         return out.withColumn("rank", rank)
 
+    @staticmethod
+    def top(cells: DataFrame, most: int = TOP_LEMMAS) -> DataFrame:
+        """The leading lemmas of each cell."""
+        return cells.where(F.col("rank") <= most)
+
     def lemmas(self) -> DataFrame:
         return self._cells(self.lemma_tokens(), ["lang"])
 
@@ -132,7 +155,21 @@ class Analysis:
 SCHEMA_VERSION = 2
 
 
+def read_cube(spark, run_id: int, root: str) -> dict[str, DataFrame] | None:
+    """The blocks that write_cube has written under the present version of the schema; null if there are none, and the cube is to be made anew."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    home = f"{root}/run_id={run_id}/schema={SCHEMA_VERSION}"
+    path = jvm.Path(home)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(jvm.Path(f"{home}/_complete")):
+        return None
+    names = [x.getPath().getName() for x in files.listStatus(path) if x.isDirectory()]
+    return {k: spark.read.parquet(f"{home}/{k}") for k in names if k != "_complete"}
+
+
 def write_cube(analysis: Analysis, run_id: int, root: str) -> None:
     """A table for each block, under the run and the version of the schema."""
     for name, df in analysis.blocks().items():
         df.write.mode("overwrite").parquet(f"{root}/run_id={run_id}/schema={SCHEMA_VERSION}/{name}")
+    home = f"{root}/run_id={run_id}/schema={SCHEMA_VERSION}"
+    analysis.segments.sparkSession.range(1).coalesce(1).write.mode("overwrite").parquet(f"{home}/_complete")

@@ -29,6 +29,17 @@ def new_codes(codes: DataFrame, proposals: DataFrame, next_id: int) -> DataFrame
     return fresh.select(ids.cast("long").alias("code_id"), "label", "description", "example", F.lit(False).alias("is_deleted"))
 
 
+def with_code(codes: DataFrame, label: str, next_id: int, description: str | None = None, example: str | None = None) -> DataFrame:
+    """Adds a code; rejects a blank label, and one that an active code has."""
+    if not label.strip():
+        raise ValueError("a code needs a label")
+    one = codes.sparkSession.createDataFrame([(0, label.strip(), description, example)], "ord int, label string, description string, example string")
+    fresh = new_codes(codes, one, next_id)
+    if fresh.isEmpty():
+        raise ValueError(f"a code has the label {label}")
+    return codes.unionByName(fresh, allowMissingColumns=True)
+
+
 def resolve(codes: DataFrame, entries: DataFrame, next_id: int) -> tuple[DataFrame, DataFrame]:
     """entries: doc_id, position, entry, label, description, example, in which codes are named by label.
 
@@ -110,8 +121,13 @@ def active_or_referenced(codes: DataFrame, codings: DataFrame) -> DataFrame:
     return active(codes).unionByName(used).dropDuplicates(["code_id"])
 
 
+def lemma_warning(n):
+    """inert without a lemma, weak with one."""
+    return F.when(n == 0, "inert").when(n == 1, "weak")
+
+
 def lemma_preview(spark: SparkSession, expressions: list[str], lang: str) -> DataFrame:
     """expression, phrase, lemmas, warning: inert without a lemma, weak with one."""
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(expressions)], "ord int, expression string").withColumn("lang", F.lit(lang))
     rows = rows.withColumn("phrase", T.is_phrase("expression")).withColumn("lemmas", T.expression_lemmas(F.col("expression"), F.col("lang")))
-    return rows.withColumn("warning", F.when(F.size("lemmas") == 0, "inert").when(F.size("lemmas") == 1, "weak")).orderBy("ord")
+    return rows.withColumn("warning", lemma_warning(F.size("lemmas"))).orderBy("ord")

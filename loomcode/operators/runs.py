@@ -52,10 +52,16 @@ def format_codebook(codes: DataFrame) -> str:
     return "\n".join(f"- {r['label']}: {r['description']}" if r["description"] else f"- {r['label']}" for r in rows)
 
 
-def model_answers(units: DataFrame, coder: Callable[[str, str], str], retries: int = 5) -> DataFrame:
+class RateLimited(Exception):
+    """What a coder raises when it is asked too often."""
+
+
+def model_answers(units: DataFrame, coder: Callable[[str, str], str], retries: int = 5, pause: float = 1.0, wait_for: tuple = (RateLimited, TimeoutError, ConnectionError)) -> DataFrame:
     """units: doc_id, position, text, context. doc_id, position, answer (null after all retries), tokens_in, tokens_out.
 
-    coder takes (text, context lines); it runs on the executors, a call for each unit.
+    coder takes (text, context lines) and returns the answer, or the answer and the tokens it has read (those of a cached prompt too) and
+    written; it runs on the executors, a call for each unit. After the k-th error of the kinds to wait for, it is asked again in
+    2**k pauses (seconds).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,11 +75,16 @@ def model_answers(units: DataFrame, coder: Callable[[str, str], str], retries: i
                     try:
                         answer = coder(text, context)
                         break
-                    except (TimeoutError, ConnectionError):
-                        time.sleep(min(2**k, 16) * 0.01)
-                    except Exception:
+                    except tuple(wait_for):
+                        if k < retries - 1:
+                            time.sleep(2**k * pause)
+                    except Exception:  # any other error is an empty answer
                         break
-                out.append((d, p, answer, (len(text) + len(context or "")) // 4, len(answer or "") // 4))
+                if isinstance(answer, tuple):
+                    answer, read, wrote = answer
+                else:
+                    read, wrote = (len(text) + len(context or "")) // 4, len(answer or "") // 4
+                out.append((d, p, answer, read, wrote))
             yield pd.DataFrame(out, columns=["doc_id", "position", "answer", "tokens_in", "tokens_out"])
 
     rows = units.select("doc_id", "position", "text", F.coalesce(format_context(F.col("context")), F.lit("")).alias("lines"))
@@ -91,6 +102,31 @@ def model_entries(answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return named, failed, none
 
 
+#: What names a unit in facts whose positions are not kept: offsets are null for whole documents.
+UNIT_KEY = ["doc_id", "start_offset", "end_offset", "segment_text"]
+
+
+def with_codings(segments_: DataFrame, codings: DataFrame, value) -> DataFrame:
+    """segments with codings: an ordered list of struct(code_id, value) of the same unit key, nulls being equal; empty without any."""
+    per = codings.groupBy(*UNIT_KEY).agg(F.array_sort(F.collect_list(F.struct("code_id", value.alias("value")))).alias("codings"))
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}")) for k in UNIT_KEY]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    out = segments_.alias("s").join(per.alias("c"), on, "left")
+    return out.select("s.*", F.coalesce("c.codings", F.array().cast(per.schema["codings"].dataType)).alias("codings"))
+
+
+def study_context(*chain: Column) -> Column:
+    """The first of a run's, a workspace's and the general study context that is not blank."""
+    return F.coalesce(*(F.nullif(F.trim(x), F.lit("")) for x in chain), F.lit(""))
+
+
+def system_block(codebook: str, context: str) -> str:
+    """What is the same for all units of a run, and is cached by a model service: the study's context and the codebook."""
+    return f"Study: {context}\n\nCodebook:\n{codebook}"
+
+
 def costs(tokens: DataFrame, prices: DataFrame) -> DataFrame:
     """tokens: run_id, model, tokens_in, tokens_out; prices: model, price_in, price_out a million. Adds cost, with the default price for others."""
     rows = tokens.join(F.broadcast(prices), "model", "left")  # a price list
@@ -110,9 +146,13 @@ def estimate_tokens(units: DataFrame, n_docs: int, sample: int = 8, prompt: int
     return s.select((F.col("u") * scale).alias("n_units"), ((F.coalesce("t", F.lit(0)) + F.col("u") * prompt) * scale).alias("tokens_in"), (F.col("u") * output * scale).alias("tokens_out"))
 
 
-def validated(engine: str, context: int, workers: int, unit: str, allowed: list[str]) -> None:
+def validated(engine: str, context: int, workers: int, unit: str, allowed: list[str], roles: list[str] = [], model: str | None = None, models: list[str] = []) -> None:  # noqa: B006
     if engine not in ("dictionary", "llm"):
         raise ValueError("engine")
+    if set(roles) - {"interviewer", "participant", "other"}:
+        raise ValueError("roles")
+    if engine == "llm" and models and model not in models:
+        raise ValueError("model")
     if not 0 <= context <= 20:
         raise ValueError("context window")
     if not 1 <= workers <= 10:
@@ -127,6 +167,33 @@ def write_facts(run_id: int, segments_: DataFrame, codings: DataFrame, root: str
         df.withColumn("run_id", F.lit(run_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{root}/{name}")
 
 
+def read_facts(spark, root: str, run_id: int, doc_ids: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(segments, codings) of a run, of some documents if they are given; only the run's partition is read."""
+    out = []
+    for name in ("segments", "codings"):
+        df = spark.read.parquet(f"{root}/{name}").where(F.col("run_id") == run_id)
+        out.append(df.where(F.col("doc_id").isin(doc_ids)) if doc_ids is not None else df)
+    return tuple(out)
+
+
+def executed(run_id: int, units: DataFrame, failed: DataFrame, run_documents: DataFrame, code: Callable[[DataFrame], DataFrame], root: str) -> DataFrame:
+    """Codes a run's pending documents and returns the run's documents with status and error.
+
+    Each document stands or falls alone: one that is in `failed` (doc_id, reason) writes no facts and keeps its reason; the others' facts
+    replace those they had, and they are completed. Running it again, with the result as run_documents, codes what is not completed.
+    """
+    todo = pending(run_documents.where(F.col("run_id") == run_id)).select("doc_id")
+    bad = failed.join(todo, "doc_id", "left_semi").select("doc_id", "reason").dropDuplicates(["doc_id"])
+    rows = units.join(todo, "doc_id", "left_semi").join(bad, "doc_id", "left_anti")
+    codings = code(rows)
+    for name, df in (("segments", segments(rows, codings)), ("codings", codings)):
+        # A document is a partition, so that writing it again replaces what a broken attempt has left.
+        df.withColumn("run_id", F.lit(run_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "doc_id").parquet(f"{root}/{name}")
+    out = run_documents.join(bad.withColumn("run_id", F.lit(run_id)), ["run_id", "doc_id"], "left").join(todo.withColumn("todo", F.lit(True)).withColumn("run_id", F.lit(run_id)), ["run_id", "doc_id"], "left")
+    status = F.when(F.col("todo").isNull(), F.col("status")).when(F.col("reason").isNotNull(), "failed").otherwise("completed")
+    return out.select("run_id", "doc_id", status.alias("status"), F.when(F.col("todo").isNotNull(), F.col("reason")).alias("error"))
+
+
 def pending(run_documents: DataFrame) -> DataFrame:
     """What a retry does: the documents of a run that are not completed."""
     return run_documents.where("status <> 'completed'")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcode.functions import text as T
@@ -21,9 +22,9 @@ def plain_units(docs: DataFrame, mode: str, keep: tuple[str, ...] = ("lang",)) -
     return docs.select("doc_id", *kept, F.posexplode(split(F.col("text"))).alias("position", "text"))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line: the lines that are not blank."""
-    return docs.select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("line_no", "line"))
+def lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, line_no, line, and the columns to keep: the lines that are not blank."""
+    return docs.select("doc_id", *keep, F.posexplode(T.paragraphs(F.col("text"))).alias("line_no", "line"))
 
 
 def parsed_lines(rows: DataFrame, pattern, speakers: DataFrame | None = None) -> DataFrame:
@@ -70,7 +71,11 @@ def merged_headers(rows: DataFrame) -> DataFrame:
 
 def utterances(docs: DataFrame, pattern, speakers: DataFrame | None = None) -> DataFrame:
     """doc_id, position, speaker, ts, text, front: a row for each turn line or continuation."""
-    rows = merged_headers(carried(parsed_lines(lines(docs), pattern, speakers)))
+    return numbered(merged_headers(carried(parsed_lines(lines(docs), pattern, speakers))))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Lines as turns: doc_id, position, speaker, ts, text, front."""
     position = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1
     return rows.select("doc_id", position.alias("position"), "speaker", "ts", F.col("body").alias("text"), "front")
 
@@ -100,57 +105,71 @@ def with_context(units: DataFrame, n: int) -> DataFrame:
     return units.withColumn("context", F.collect_list(F.struct(speaker.alias("speaker"), F.col("text").alias("text"))).over(w))
 
 
-def offsets(full: Column, texts: Column) -> Column:
-    """Spans of the texts in full, in order, from a cursor that moves on; array<struct<start, end>>.
+class _Cursor:
+    """Spans of texts in a document, in order. A text is looked up from where the last one ended, or else from the start."""
+
+    def __init__(self, full: str):
+        self.full, self.at = full, 0
+
+    def span(self, text: str) -> tuple[int, int] | None:
+        start = self.full.find(text, self.at)
+        if start < 0:
+            start = self.full.find(text)
+        if start < 0:
+            return None
+        self.at = start + len(text)
+        return start, self.at
 
-    A text that is not found after the cursor is looked up from the start; one that is nowhere gets the whole text.
-    """
-    size = F.length(full)
 
-    def step(acc, t):
-        after = F.call_function("locate", t, full, acc["cursor"] + 1)
-        at = F.when(after > 0, after).otherwise(F.call_function("locate", t, full, F.lit(1)))
-        found = F.struct((at - 1).alias("start"), (at - 1 + F.length(t)).alias("end"))
-        span = F.when(at > 0, found).otherwise(F.struct(F.lit(0).alias("start"), size.alias("end")))
-        return F.struct(F.when(at > 0, at - 1 + F.length(t)).otherwise(acc["cursor"]).cast("int").alias("cursor"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+def _spans(docs: DataFrame, listed: DataFrame, find) -> DataFrame:
+    """find(full text, a document's units): a span for each. doc_id, ord, start_offset, end_offset; a document's units are one row meanwhile."""
 
-    start = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    return F.aggregate(texts, start, step, lambda acc: acc["spans"])
+    def run(batches):
+        for b in batches:
+            ids, order, starts, ends = [], [], [], []
+            for k in range(b.num_rows):
+                units = b.column("u")[k].as_py()
+                for u, (s, e) in zip(units, find(b.column("full")[k].as_py(), units), strict=True):
+                    ids.append(b.column("doc_id")[k].as_py())
+                    order.append(u["ord"])
+                    starts.append(s)
+                    ends.append(e)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(order, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "ord", "start_offset", "end_offset"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("full")).join(listed, "doc_id")
+    return rows.mapInArrow(run, "doc_id long, ord long, start_offset int, end_offset int")
+
+
+def _in_turn(full: str, units: list[dict]):
+    cursor = _Cursor(full)
+    for u in units:
+        yield cursor.span(u["text"]) or (0, len(full))
 
 
 def anchored(docs: DataFrame, units: DataFrame) -> DataFrame:
-    """Adds start_offset and end_offset to the units of docs (doc_id, text). A document's units are one row meanwhile."""
-    listed = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("u"))
-    rows = docs.select("doc_id", F.col("text").alias("full")).join(listed, "doc_id")
-    rows = rows.select("doc_id", "u", offsets(F.col("full"), F.transform("u", lambda x: x["text"])).alias("spans"))
-    rows = rows.select("doc_id", F.explode(F.arrays_zip("u", "spans")).alias("x"))
-    spans = rows.select("doc_id", F.col("x.u.position").alias("position"), F.col("x.spans.start").alias("start_offset"), F.col("x.spans.end").alias("end_offset"))
-    return units.join(spans, ["doc_id", "position"])
+    """Adds start_offset and end_offset to the units (doc_id, position, text) of docs (doc_id, text); a text that is nowhere gets the
+    whole document."""
+    own = F.struct(F.col("position").cast("long").alias("ord"), "text")
+    listed = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(own)).alias("u"))
+    spans = _spans(docs, listed, _in_turn).withColumnRenamed("ord", "position")
+    return units.join(spans.withColumn("position", F.col("position").cast(units.schema["position"].dataType)), ["doc_id", "position"])
+
+
+def _again(full: str, units: list[dict]):
+    cursor, last = _Cursor(full), (None, None)
+    for u in units:
+        if last[1] is None or last[0] != u["text"]:
+            stored = (u["start_offset"], u["end_offset"]) if u["start_offset"] is not None else (0, len(full))
+            last = (u["text"], cursor.span(u["text"]) or stored)
+        yield last[1]
 
 
 def reanchored(docs: DataFrame, codings: DataFrame) -> DataFrame:
     """codings: doc_id, ord, text, start_offset, end_offset. Spans found anew, where a text that follows itself keeps its span, and a text
     that is nowhere keeps its stored offsets, or gets the whole document."""
-    listed = codings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "start_offset", "end_offset"))).alias("u"))
-    rows = docs.select("doc_id", F.col("text").alias("full")).join(listed, "doc_id")
-    full = F.col("full")
-
-    def step(acc, c):
-        t = c["text"]
-        after = F.call_function("locate", t, full, acc["cursor"] + 1)
-        at = F.when(after > 0, after).otherwise(F.call_function("locate", t, full, F.lit(1)))
-        stored = F.struct(c["start_offset"].cast("int").alias("start"), c["end_offset"].cast("int").alias("end"))
-        whole = F.struct(F.lit(0).alias("start"), F.length(full).alias("end"))
-        found = F.struct((at - 1).alias("start"), (at - 1 + F.length(t)).alias("end"))
-        same = acc["last"].isNotNull() & (acc["last"] == t)
-        span = F.when(same, F.element_at(acc["spans"], -1)).when(at > 0, found).when(c["start_offset"].isNotNull(), stored).otherwise(whole)
-        cursor = F.when(~same & (at > 0), at - 1 + F.length(t)).otherwise(acc["cursor"])
-        return F.struct(cursor.cast("int").alias("cursor"), t.alias("last"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    start = F.struct(F.lit(0).alias("cursor"), F.lit(None).cast("string").alias("last"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    rows = rows.select("doc_id", "u", F.aggregate("u", start, step, lambda acc: acc["spans"]).alias("spans"))
-    rows = rows.select("doc_id", F.explode(F.arrays_zip("u", "spans")).alias("x"))
-    return rows.select("doc_id", F.col("x.u.ord").alias("ord"), F.col("x.u.text").alias("text"), F.col("x.spans.start").alias("start_offset"), F.col("x.spans.end").alias("end_offset"))
+    listed = codings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("ord").cast("long").alias("ord"), "text", "start_offset", "end_offset"))).alias("u"))
+    spans = _spans(docs, listed, _again).withColumn("ord", F.col("ord").cast(codings.schema["ord"].dataType))
+    return codings.select("doc_id", "ord", "text").join(spans, ["doc_id", "ord"])
 
 
 def full_text_of_cells(cells: DataFrame) -> DataFrame:

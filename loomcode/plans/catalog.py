@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,8 +11,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from loomcode.functions import text as T
-from loomcode.operators import codebook, dictionary, runs, segment
+from loomcode.operators import codebook, conventions, dictionary, runs, segment
 from loomcode.operators.analysis import Analysis
+from loomcode.store import shared_dir
 
 CODES = [(1, "alpha", False), (2, "beta", False), (3, "gamma", False), (4, "delta", False), (5, "unused", False), (6, "gone", True)]
 EXPRESSIONS = [
@@ -57,14 +60,34 @@ def units(spark: SparkSession, sf: str) -> DataFrame:
     return segment.plain_units(docs(spark, sf), "paragraph")
 
 
+RUN = 1
+_FACTS: dict[tuple[str, str], str] = {}
+
+
+def facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(segments, codings) of the dictionary run over documents. A run is executed once in a session, and its facts are written; what is
+    computed from a run reads them, and no text of a document again."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FACTS:
+        root = f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}"
+        u = units(spark, sf)
+        found = runs.dictionary_codings(u, codes(spark), expressions(spark)).withColumn("run_id", F.lit(RUN).cast("long"))
+        found.write.partitionBy("run_id").parquet(f"{root}/codings")
+        held = spark.read.parquet(f"{root}/codings")
+        runs.segments(u, held).withColumn("run_id", F.lit(RUN).cast("long")).write.partitionBy("run_id").parquet(f"{root}/segments")
+        _FACTS[key] = root
+    segments, found = runs.read_facts(spark, _FACTS[key], RUN)
+    return segments.drop("run_id"), found.drop("run_id")
+
+
 def codings(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.dictionary_codings(units(spark, sf), codes(spark), expressions(spark))
+    return facts(spark, sf)[1]
 
 
 def analysis(spark: SparkSession, sf: str, stoplists=None) -> Analysis:
-    u, c = units(spark, sf), codings(spark, sf)
-    d = table(spark, sf, "documents").select("doc_id", "lang", F.col("source").alias("grp"))
-    return Analysis(runs.segments(u, c), c, d, codes(spark), stoplists)
+    segments, found = facts(spark, sf)
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.col("source").alias("grp"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("name"))
+    return Analysis(segments, found, d, codes(spark), stoplists)
 
 
 def _sql_list(values) -> str:
@@ -78,6 +101,18 @@ _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_''-]+')"
 _SENTS = r"list_filter(list_transform(string_split(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: regexp_replace(y, '^\s+|\s+$', '', 'g')), lambda y: y <> '')"
 _PARAS = r"list_filter(list_transform(string_split(text, chr(10)), lambda y: regexp_replace(y, '^\s+|\s+$', '', 'g')), lambda y: y <> '')"
 
+
+
+def _rounded(x: str, places: int) -> str:
+    """x to so many places, half to even on the binary value: the product's exact error tells a half from its neighbours."""
+    scale = 10**places
+    c = f"{2 * scale}::double"
+    split = f"lambda v: {{'v': v, 'h': v * 134217729::double - (v * 134217729::double - v), 't': v * {c}}}"
+    rest = f"lambda s: {{'t': s.t, 'r': (s.h * {c} - s.t) + (s.v - s.h) * {c}, 'b': floor(s.t / 2)}}"
+    whole = "lambda s: case when s.t = floor(s.t) and abs(s.t % 2) = 1 then s.b + case when s.r > 0 or (s.r = 0 and s.b % 2 <> 0) then 1 else 0 end else floor((s.t + 1) / 2) end"
+    return f"(list_transform(list_transform(list_transform([{x}], {split}), {rest}), {whole})[1] / {scale}::double)"
+
+
 _BASE = f"""
 with codes(code_id, label, is_deleted) as (values {", ".join(f"({i}, '{x}', {str(d).lower()})" for i, x, d in CODES)}),
 exprs(expr_id, code_id, lang, expression) as (values {", ".join(f"({a}, {b}, '{c}', '{d}')" for a, b, c, d in EXPRESSIONS)}),
@@ -172,16 +207,16 @@ def dict_scores(spark, sf):
     return codings(spark, sf).select("doc_id", "position", "code_id", "score", F.array_join("matched_expressions", "|").alias("expressions"))
 
 
-@query(_ALL + """ select code_id::bigint as code_id, label, count(*) as codings, count(*) as units, (select count(*) from segs) as n_codable,
-    100::double * count(*) / (select count(*) from segs) as pct_units from codings group by 1, 2""")
+@query(_ALL + f""" select code_id, label, codings, units, n_codable, {_rounded("100::double * units / n_codable", 1)} as pct_units from (
+    select code_id::bigint as code_id, label, count(*) as codings, count(*) as units, (select count(*) from segs) as n_codable from codings group by 1, 2)""")
 def codes_block(spark, sf):
     return analysis(spark, sf).codes()
 
 
-@query(_ALL + """ select doc_id, any_value(grp) as grp, any_value(lang) as lang, count(*) as segments, count(*) filter (where status = 'coded') as coded,
-    100::double * count(*) filter (where status = 'coded') / count(*) as coverage_pct from segs group by doc_id""")
+@query(_ALL + f""" select *, {_rounded("100::double * coded / segments", 1)} as coverage_pct from (
+    select doc_id, any_value(grp) as grp, any_value(lang) as lang, count(*) as segments, count(*) filter (where status = 'coded') as coded from segs group by doc_id)""")
 def coverage_by_doc(spark, sf):
-    return analysis(spark, sf).coverage()
+    return analysis(spark, sf).coverage().drop("name")
 
 
 @query(_ALL + " select grp, count(*) as n_units from segs group by grp")
@@ -189,12 +224,15 @@ def coverage_by_group(spark, sf):
     return analysis(spark, sf).units_per_group()
 
 
-@query(_ALL + """, g as (select grp, count(*) as n_units from segs group by grp),
-    h as (select label, s.grp, count(*) as units from codings c join segs s using (doc_id, position) group by 1, 2)
-select label, grp, coalesce(units, 0) as units, n_units, case when n_units > 0 then 100::double * coalesce(units, 0) / n_units else 0 end as pct
-from (select distinct label from codings) cross join g left join h using (label, grp)""")
+@query(_ALL + f""", g as (select grp, count(*) as n_units from segs group by grp),
+    h as (select label, s.grp, count(*) as units from codings c join segs s using (doc_id, position) group by 1, 2),
+    p as (select label, grp, coalesce(units, 0) as units, n_units, {_rounded("100::double * coalesce(units, 0) / n_units", 1)} as pct
+        from (select distinct label from codings) cross join g left join h using (label, grp)),
+    m as (select label, list_reduce(list_prepend(0::double, list(pct order by grp)), lambda a, b: a + b) / count(*)::double as m from p group by label),
+    r as (select label, {_rounded("m", 1)} as mean from m)
+select label, grp, units, n_units, pct, mean, {_rounded("pct - mean", 1)} as deviation from p join r using (label)""")
 def group_percentages(spark, sf):
-    return analysis(spark, sf).groups().select("label", "grp", "units", "n_units", "pct")
+    return analysis(spark, sf).groups().select("label", "grp", "units", "n_units", "pct", "mean", "deviation")
 
 
 @query(_ALL + """, c2 as (select distinct doc_id, position, label from codings)
@@ -217,8 +255,9 @@ def docs_by_codes_pivot(spark, sf):
 
 
 @query(_ALL + _LEM + """, f as (select lang, lemma, count(*) as freq from lem group by 1, 2)
-select *, sum(freq) over (partition by lang)::bigint as total, freq / (sum(freq) over (partition by lang))::double as norm, sum(freq) over (partition by lang) < 50 as flagged,
-    (row_number() over (partition by lang order by freq desc, lemma))::int as rank from f""")
+select * exclude (norm_), norm_ as norm from (select * exclude (norm_), """ + _rounded("norm_", 4) + """ as norm_ from (
+    select *, sum(freq) over (partition by lang)::bigint as total, freq / (sum(freq) over (partition by lang))::double as norm_, sum(freq) over (partition by lang) < 50 as flagged,
+    (row_number() over (partition by lang order by freq desc, lemma))::int as rank from f))""")
 def lemmas(spark, sf):
     return analysis(spark, sf).lemmas()
 
@@ -319,13 +358,14 @@ def carry_forward_speaker(spark, sf):
 @query("""with x as (select user_id, ts, lag(ts) over (partition by user_id order by event_id) as before from events)
 select user_id, count(*) as n, count(*) filter (where ts >= before) as n_ordered, count(*) >= 3 and count(*) filter (where ts >= before) >= 0.9 * (count(*) - 1) as monotonic from x group by user_id""")
 def monotonic_ts(spark, sf):
-    e = table(spark, sf, "events")
-    rows = e.withColumn("before", F.lag("ts").over(Window.partitionBy("user_id").orderBy("event_id")))
-    out = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("ts") >= F.col("before")).alias("n_ordered"))
-    return out.withColumn("monotonic", (F.col("n") >= 3) & (F.col("n_ordered") >= 0.9 * (F.col("n") - 1)))
+    e = table(spark, sf, "events").select(F.col("user_id"), F.col("event_id").alias("line_no"), F.col("ts").alias("sec"))
+    out = conventions.stamps(e, ["user_id"]).select("user_id", F.col("n_ts").alias("n"), "n_ordered")
+    return out.withColumn("monotonic", conventions.monotonic(F.col("n"), F.col("n_ordered")))
 
 
-@query()
+@query(f"""with lines as (select doc_id, i, string_split(text, chr(10))[i] as line from documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as t(i)),
+placed as (select doc_id, i, {_STRIP.format("line")} as body, sum(length(line) + 1) over (partition by doc_id order by i) - length(line) - 1 + length(line) - length(regexp_replace(line, '^\\s+', '')) as b from lines)
+select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as position, b::int as start_offset, (b + length(body))::int as end_offset from placed where body <> ''""")
 def offset_anchor(spark, sf):
     d, u = docs(spark, sf), units(spark, sf)
     return segment.anchored(d, u).select("doc_id", "position", "start_offset", "end_offset")
@@ -385,7 +425,13 @@ def codebook_pivot(spark, sf):
     return codebook.wide(codes(spark), expressions(spark)).drop("description", "example")
 
 
-@query()
+_VOTES = ", ".join(f"('{k}', {_sql_list(v)})" for k, v in sorted(T.STOP_WORDS.items()))
+
+
+@query(f"""with votes(v, words) as (values {_VOTES}), t as (select doc_id, lang, {_TOK.format("text")} as seq from documents),
+n as (select doc_id, lang, v, len(list_filter(seq, lambda x: list_contains(words, x))) as n from t cross join votes),
+best as (select doc_id, lang, v, n, row_number() over (partition by doc_id order by n desc, v) as r from n)
+select doc_id, lang, case when n > 0 then v end as detected from best where r = 1""")
 def language_votes(spark, sf):
     return docs(spark, sf).select("doc_id", "lang", T.detect_language(F.col("text")).alias("detected"))
 

@@ -9,12 +9,14 @@ import zipfile
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _QDA = "urn:QDA-XML:codebook:1.0"
 _PROJECT = "urn:QDA-XML:project:1.0"
 BUNDLE = "loomcode-corpus/1"
+#: Rows of a sheet under its header.
+MOST_ROWS = (1 << 20) - 1
 
 
 def _name(i: int) -> str:
@@ -27,8 +29,11 @@ def _name(i: int) -> str:
 
 
 def workbook(sheets: dict[str, DataFrame]) -> bytes:
-    """An .xlsx of the sheets that have rows; for results of a report's size."""
-    kept = {k: (df.columns, df.collect()) for k, df in sheets.items()}
+    """An .xlsx of the sheets that have rows; for results of a report's size. More rows than a sheet can hold are refused."""
+    kept = {k: (df.columns, df.limit(MOST_ROWS + 1).collect()) for k, df in sheets.items()}
+    for k, (_, rows) in kept.items():
+        if len(rows) > MOST_ROWS:
+            raise ValueError(f"{k} has more rows than a sheet can hold")
     kept = {k: v for k, v in kept.items() if v[1]} or dict(list(kept.items())[:1])
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
@@ -83,16 +88,15 @@ def project_file(codes: DataFrame, documents: DataFrame, codings: DataFrame) ->
     book = ElementTree.SubElement(ElementTree.SubElement(root, f"{{{_PROJECT}}}CodeBook"), f"{{{_PROJECT}}}Codes")
     _codes(book, codes.orderBy("label").collect(), _PROJECT)
     sources = ElementTree.SubElement(root, f"{{{_PROJECT}}}Sources")
-    spans: dict = {}
-    for r in codings.orderBy("doc_id", "start_offset", "code_id").toLocalIterator():
-        spans.setdefault(r["doc_id"], []).append(r)
+    per = codings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_offset", "code_id", "end_offset"))).alias("spans"))
+    rows = documents.where("coalesce(trim(text), '') <> ''").join(per, "doc_id", "left").orderBy("doc_id")
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for d in documents.where("coalesce(trim(text), '') <> ''").orderBy("doc_id").toLocalIterator():
+        for d in rows.toLocalIterator():
             guid = _guid("doc", d["doc_id"])
             z.writestr(f"sources/{guid}.txt", d["text"])
             s = ElementTree.SubElement(sources, f"{{{_PROJECT}}}TextSource", guid=guid, name=d["name"], plainTextPath=f"internal://{guid}.txt")
-            for k, r in enumerate(spans.get(d["doc_id"], ())):
+            for k, r in enumerate(d["spans"] or ()):
                 at = ElementTree.SubElement(s, f"{{{_PROJECT}}}PlainTextSelection", guid=_guid("sel", (d["doc_id"], k)), startPosition=str(r["start_offset"]), endPosition=str(r["end_offset"]))
                 coding = ElementTree.SubElement(at, f"{{{_PROJECT}}}Coding", guid=_guid("coding", (d["doc_id"], k)))
                 ElementTree.SubElement(coding, f"{{{_PROJECT}}}CodeRef", targetGUID=_guid("code", r["code_id"]))
@@ -101,20 +105,21 @@ def project_file(codes: DataFrame, documents: DataFrame, codings: DataFrame) ->
     return buffer.getvalue()
 
 
-def bundle(documents: DataFrame, input_type: str, conventions: dict[str, str]) -> bytes:
-    """documents: filename, file_path, content, language, grp. A zip of a manifest and each distinct file once."""
-    rows = documents.orderBy("filename").collect()
+def bundle(documents: DataFrame, input_type: str, conventions: dict[str, str], to=None) -> bytes | None:
+    """documents: filename, file_path, content, language, grp. A zip of a manifest and each distinct file once, written to the open file
+    `to`, or returned. Files pass through the driver one after the other; it holds a line of the manifest for each document."""
+    first = documents.groupBy("file_path").agg(F.min("filename").alias("filename"))
+    files = documents.join(first, ["file_path", "filename"]).dropDuplicates(["file_path"]).orderBy("filename", "file_path").select("file_path", "filename", "content")
+    buffer = io.BytesIO() if to is None else to
     keys: dict[str, str] = {}
-    entries = []
-    buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for r in rows:
-            if r["file_path"] not in keys:
-                keys[r["file_path"]] = f"files/{len(keys)}_{r['filename']}"
-                z.writestr(keys[r["file_path"]], bytes(r["content"]))
-            entries.append({"filename": r["filename"], "key": keys[r["file_path"]], "language": r["language"], "group": r["grp"]})
+        for r in files.toLocalIterator():
+            keys[r["file_path"]] = f"files/{len(keys)}_{r['filename']}"
+            z.writestr(keys[r["file_path"]], bytes(r["content"]))
+        rows = documents.select("filename", "file_path", "language", "grp").orderBy("filename", "file_path").toLocalIterator()
+        entries = [{"filename": r["filename"], "key": keys[r["file_path"]], "language": r["language"], "group": r["grp"]} for r in rows]
         z.writestr("manifest.json", json.dumps({"format": BUNDLE, "input_type": input_type, "conventions": conventions, "documents": entries}))
-    return buffer.getvalue()
+    return buffer.getvalue() if to is None else None
 
 
 def unbundled(data: bytes, input_type: str, conventions: dict[str, str]) -> tuple[list[dict], dict[str, str]]:
@@ -127,12 +132,25 @@ def unbundled(data: bytes, input_type: str, conventions: dict[str, str]) -> tupl
     return docs, m.get("conventions", {}) | conventions
 
 
+def read_bundles(spark, path: str, input_type: str) -> DataFrame:
+    """filename, file_path, language, grp, content: the documents of the bundles under path, read on the executors; one of another kind fails."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            for name, data in zip(b["path"], b["content"], strict=True):
+                docs, _ = unbundled(data, input_type, {})
+                yield pd.DataFrame([(d["filename"], f"{name}!{d['key']}", d["language"], d["group"], d["content"]) for d in docs], columns=["filename", "file_path", "language", "grp", "content"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "filename string, file_path string, language string, grp string, content binary")
+
+
 def chart_data(block: DataFrame, label: str, value: str, most: int | None = None) -> DataFrame:
     """label, value, ord: bars in falling order, the first `most` of them."""
     rows = block.select(F.col(label).alias("label"), F.col(value).cast("double").alias("value")).orderBy(F.desc("value"), "label")
     rows = rows.limit(most) if most else rows
-    from pyspark.sql import Window
-
     return rows.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("value"), "label")))
 
 
