@@ -1,10 +1,11 @@
 """A quality classifier with hierarchical empirical Bayes over sites.
 
 Each document has evidence of its own: a logistic regression on measures of its text, fitted on at most `sample` labelled
-documents (those with the least hash of doc_id). A host (source) and a path in it (source and language) have posteriors: the
-mean of their documents' probabilities, shrunk to the host's and the global mean by a strength that
-the spread between sites gives (method of moments), so that a site with few documents tells little. A document's posterior
-moves its own log-odds by the path's log-odds over the global ones.
+documents (those with the least hash of doc_id). A host (source) and a path in it (source and language) have posteriors from what is known of their
+documents: the label where there is one, and the probability from the text elsewhere. The mean over a host's documents is shrunk to the global
+mean, and that over a path's to its host's posterior, by strengths that the spread between sites gives (method of moments), so
+that a site with few documents tells little. A document is left out of its own site's sums, its label too, so that it is judged by others. Its
+posterior moves its own log-odds by its path's log-odds over the global ones.
 
 Site totals are grouped sums, added up before they are shuffled.
 
@@ -132,6 +133,18 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return np.append(w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum())
 
 
+def sampled(known: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """(measures, labels) of the `sample` labelled documents with the least hash of doc_id. Those above twice the share that is wanted are left
+    out where they stand."""
+    labelled = known.where("quality is not null")
+    n = labelled.count()
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    few = labelled.where(order < int(min(1.0, 2 * sample / max(n, 1)) * 1_000_000) + 1)
+    rows = few.orderBy(order, "doc_id", "path").limit(sample).select("measures", "quality").toArrow()
+    x = np.array(rows["measures"].combine_chunks().flatten() if rows.num_rows else [], float).reshape(rows.num_rows, len(MEASURES))
+    return x, rows["quality"].to_numpy()
+
+
 def logit(p: Column) -> Column:
     p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
     return F.log(p / (1 - p))
@@ -156,27 +169,30 @@ def classify(
     host = F.coalesce(F.concat(F.lit("s:"), F.col(host_col)), F.lit("null"))
     path = F.concat_ws("/", host, F.coalesce(F.concat(F.lit("s:"), F.col(path_col)), F.lit("null")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), host.alias("host"), path.alias("path"))
-    known = written(measured(rows), "measures")
-    quality = labels.where("quality is not null").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("quality"))
-    few = known.join(quality, F.col("doc_id") == F.col("labelled")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("measures", "quality").collect()
-    x = np.array([r["measures"] for r in few], float).reshape(len(few), len(MEASURES))
-    w = fitted(x, np.array([r["quality"] for r in few], float))
+    quality = labels.where("quality is not null").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").cast("double").alias("quality"))
+    known = written(measured(rows).join(quality, F.col("doc_id") == F.col("labelled"), "left").drop("labelled"), "measures")
+    x, given = sampled(known, sample)
+    w = fitted(x, given)
+    both = len(given) > 0 and given.min() != given.max()
     k = len(MEASURES)
     z = F.lit(float(w[-1]))
     for i in range(k):
         m = F.get("measures", F.lit(i)).cast("double")
         z = z + m * float(w[i]) + F.sqrt(F.greatest(m, F.lit(0.0))) * float(w[k + i])
-    scored = known.select("doc_id", "host", "path", (1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))).alias("p"))
-    paths = written(scored.groupBy("path").agg(F.first("host").alias("host"), F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "sites")
+    p = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
+    scored = known.select("doc_id", "host", "path", p.alias("p"), (F.coalesce("quality", p) if both else p).alias("y"))
+    paths = written(scored.groupBy("path").agg(F.first("host").alias("host"), F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")), "sites")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    total = hosts.agg(F.sum("n"), F.sum("s")).first()
-    mean = (total[1] / total[0]) if total[0] else 0.5
+    n, s = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0.0))).first()
+    mean = s / n if n else 0.5
     k_host = strength(hosts, repr(mean))
-    hosts = hosts.select("host", ((F.col("s") + k_host * mean) / (F.col("n") + k_host)).alias("host_posterior"))
-    inner = paths.join(hosts, "host")
-    k_path = strength(inner, "host_posterior")
-    sites = inner.select("path", "host_posterior", ((F.col("s") + k_path * F.col("host_posterior")) / (F.col("n") + k_path)).alias("path_posterior"))
-    judged = joined_small(scored.drop("host"), sites, "path", MAX_SITES)
+    shrunk = hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s"), ((F.col("s") + k_host * mean) / (F.col("n") + k_host)).alias("around"))
+    sites = paths.join(shrunk, "host")
+    k_path = strength(sites, "around")
+    judged = joined_small(scored.drop("host"), sites.select("path", "n", "s", "host_n", "host_s"), "path", MAX_SITES)
+    without = lambda total, count, prior, strong: (total - F.col("y") + strong * prior) / (count - 1 + strong)
+    judged = judged.withColumn("host_posterior", without(F.col("host_s"), F.col("host_n"), F.lit(mean), k_host))
+    judged = judged.withColumn("path_posterior", without(F.col("s"), F.col("n"), F.col("host_posterior"), k_path))
     odds = logit(F.col("p")) + logit(F.col("path_posterior")) - logit(F.lit(mean))
     judged = judged.withColumn("posterior", 1 / (1 + F.exp(-odds)))
     return judged.select("doc_id", F.col("p").alias("p_document"), "host_posterior", "path_posterior", "posterior", (F.col("posterior") >= threshold).alias("kept"))

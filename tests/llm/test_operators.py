@@ -394,6 +394,44 @@ def test_rules(spark, docs, nothing):
     assert rules.apply_rules(nothing, labels.where("false")).count() == 0
 
 
+def test_rules_certify_levels(spark):
+    """Cutoffs as a plain form chooses them, on a holdout large enough; planted bad documents go, and the stratum with few labels rejects nothing."""
+    from math import comb
+
+    rng = random.Random(6)
+    plain = lambda: words(rng, 12) + " " + " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(6))
+    texts = [("en", plain() + (" #" * (i % 200 == 0) * 4)) for i in range(900)] + [("de", plain()) for _ in range(100)]
+    junk = lambda: " ".join(f"##{rng.randint(0, 10**6)}$%|" for _ in range(12))
+    texts += [("en", plain() + " " + junk()) for _ in range(20)] + [("de", plain() + " " + junk()) for _ in range(5)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i in range(len(texts))], "doc_id long, quality int")
+    got = rules.apply_rules(docs, labels).collect()
+    m = {r["doc_id"]: r for r in rules.measured(docs).collect()}
+
+    def over(r, level):
+        n, lines = max(r["n_words"], 1), max(r["n_lines"], 1)
+        numbers = {"symbols": r["n_symbols"] / n, "dup_lines": r["n_dup_lines"] / lines, "word_length": r["word_chars"] / n, "repeats": r["n_repeat_words"] / n}
+        return any(numbers[k] > cuts[level] for k, (_, cuts) in rules.RULES.items())
+
+    chosen = {}
+    for lang in ("en", "de"):
+        hold = [m[i] for i in range(1000) if texts[i][0] == lang and not m[i]["base_failed"]]
+        chosen[lang] = None
+        for level in range(rules.LEVELS):
+            x, n = sum(over(r, level) for r in hold), len(hold)
+            if sum(comb(n, k) * 0.01**k * 0.99 ** (n - k) for k in range(x + 1)) > 0.05 / 2:
+                break
+            chosen[lang] = level
+    assert chosen["en"] is not None and chosen["de"] is None
+    for r in got:
+        lang = texts[r["doc_id"]][0]
+        want = not m[r["doc_id"]]["base_failed"] and not (chosen[lang] is not None and over(m[r["doc_id"]], chosen[lang]))
+        assert r["level"] == chosen[lang] and r["kept"] == want
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    assert not any(kept[i] for i in range(1000, 1020)) and all(kept[i] for i in range(1020, 1025))
+    assert sum(not kept[i] for i in range(900)) <= 9
+
+
 def test_binomial(spark):
     from math import comb
 
@@ -418,6 +456,68 @@ def test_classifier(spark, docs, nothing):
     assert right > 0.95 and lost <= 2
 
 
+def plain_posteriors(rows, labels, p):
+    """rows: (doc_id, host, path); p: the documents' own probabilities, by row."""
+    y = [labels.get(d, q) for (d, _, _), q in zip(rows, p, strict=True)]
+
+    def sums(key):
+        out = {}
+        for r, v in zip(rows, y, strict=True):
+            n, s, q = out.get(r[key], (0, 0.0, 0.0))
+            out[r[key]] = (n + 1, s + v, q + v * v)
+        return out
+
+    def strong(sites, around):
+        many = {k: v for k, v in sites.items() if v[0] > 1}
+        n = sum(v[0] for v in many.values())
+        if not many or n <= len(many):
+            return 100.0
+        inside = sum(q - s * s / c for c, s, q in many.values()) / (n - len(many))
+        between = sum(c * (s / c - around[k]) ** 2 for k, (c, s, _) in many.items())
+        return min(max(inside / max(max(between / n - inside * len(many) / n, 0.0), 1e-9), 1.0), 1e6)
+
+    mean = sum(y) / len(y)
+    hosts, paths = sums(1), sums(2)
+    home = {r[2]: r[1] for r in rows}
+    k_host = strong(hosts, dict.fromkeys(hosts, mean))
+    k_path = strong(paths, {x: (hosts[h][1] + k_host * mean) / (hosts[h][0] + k_host) for x, h in home.items()})
+    out = []
+    for (_, h, x), v, q in zip(rows, y, p, strict=True):
+        host = (hosts[h][1] - v + k_host * mean) / (hosts[h][0] - 1 + k_host)
+        path = (paths[x][1] - v + k_path * host) / (paths[x][0] - 1 + k_path)
+        odds = [np.log(min(max(t, 1e-6), 1 - 1e-6) / (1 - min(max(t, 1e-6), 1 - 1e-6))) for t in (q, path, mean)]
+        out.append((host, path, 1 / (1 + np.exp(-(odds[0] + odds[1] - odds[2])))))
+    return out
+
+
+def test_sites_judge_documents(spark):
+    """A text that tells little is judged by its site's labels: kept on a good site, rejected on a bad one; all posteriors as in a plain form."""
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(400):
+        good = i % 2 == 0
+        site = "good" if good else "bad" if i % 4 == 1 else None
+        # One text in five tells nothing.
+        text = words(rng, 40) if i % 5 == 0 else words(rng, 40) + (" fine." if good else " #$%&" * 12)
+        rows.append((i, text, ["en", None][i % 3 == 0], site))
+        if i < 300:
+            labels.append((i, int(good)))
+    rows += [(400, "", "en", "lone"), (401, None, None, None), (401, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = classifier.classify(docs, known).collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: r for r in got}
+    places = [(d, s, (s, lang)) for d, _, lang, s in rows]
+    want = plain_posteriors(places, {d: float(q) for d, q in labels}, [by[d]["p_document"] for d, *_ in rows])
+    for (d, *_), (host, path, after) in zip(rows, want, strict=True):
+        assert abs(by[d]["host_posterior"] - host) < 1e-6 and abs(by[d]["path_posterior"] - path) < 1e-6 and abs(by[d]["posterior"] - after) < 1e-6
+    flipped = [d for d in range(300, 400) if by[d]["kept"] != (by[d]["p_document"] >= 0.5)]
+    assert flipped and all(by[d]["kept"] == (d % 2 == 0) for d in range(300, 400))
+    none = classifier.classify(docs, known.where("false")).collect()
+    assert all(r["kept"] for r in none)
+
+
 def test_site_shrinkage(spark):
     """A host with many bad documents weighs on its documents, one with a single bad document hardly does."""
     sites = spark.createDataFrame([("a", 1000, 500.0, 400.0), ("b", 1000, 900.0, 850.0), ("c", 1, 0.1, 0.01)], "host string, n long, s double, q double")
