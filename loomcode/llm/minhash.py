@@ -14,8 +14,8 @@ spanning forest of the links found, at most a row for each set. So every link be
 while rows grow with the sets and not with the pairs.
 
 Edges: a null text or one without words has an empty set, linked with nothing; fewer words than a
-shingle make one shingle; equal sets are linked; rows that share a doc_id are one document; rows
-without a doc_id take part, each text as a document, with a null component_id unless a document with an id
+shingle make one shingle; equal sets are linked; rows that repeat a doc_id take part each with their own text, so that they can stand in two components;
+a component is named by its least doc_id; rows without a doc_id take part, with a null component_id unless a document with an id
 is reachable. An empty table gives an empty result.
 """
 
@@ -58,7 +58,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """docs: doc_id, text. doc_id, n_shingles, ka, kb (a 128-bit key of the set), sig (coordinate keys)."""
+    """docs: doc_id, th (a hash of the text), text. doc_id, th, n_shingles, ka, kb (a 128-bit key of the set), sig (coordinate keys)."""
 
     def run(batches):
         top = (np.arange(COORDINATES, dtype=np.uint64) << _U(58))[None, :]
@@ -80,11 +80,11 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 lens[full] = COORDINATES
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(sig.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(ka.view(np.int64)), pa.array(kb.view(np.int64)), lists],
-                    names=["doc_id", "n_shingles", "ka", "kb", "sig"],
+                    [b.column("doc_id").slice(i, j - i), b.column("th").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(ka.view(np.int64)), pa.array(kb.view(np.int64)), lists],
+                    names=["doc_id", "th", "n_shingles", "ka", "kb", "sig"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, ka long, kb long, sig array<long>")
+    return docs.mapInArrow(run, "doc_id long, th long, n_shingles long, ka long, kb long, sig array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -191,14 +191,15 @@ def block_links(t: pa.Table, percent: int) -> pa.Table:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs. Linked: 100 * common >= percent * union."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     signed = written(signatures(rows, width), "signatures")
-    # A class of equal sets is named by its least doc_id, or by a negative hash.
-    own = F.coalesce(F.min("doc_id"), -F.abs(F.xxhash64("ka", "kb")) - 1)
-    classes = signed.where("n_shingles > 0").groupBy("ka", "kb").agg(own.alias("nid"), F.min("doc_id").alias("named"))
-    one = written(
-        signed.where("n_shingles > 0").join(classes, ["ka", "kb"]).groupBy("nid").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes"
+    # A class of equal sets has a number, the least of its doc_ids, and a row whose text stands for it.
+    of_set = signed.where("n_shingles > 0").groupBy("ka", "kb").agg(
+        F.min("doc_id").alias("named"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
     )
+    one = written(of_set.withColumn("nid", F.monotonically_increasing_id()), "classes")
+    classes = one.select("ka", "kb", "nid", "named")
     posted = one.select("nid", "n", F.explode("sig").alias("key"))
     frequent = posted.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     shared = posted.join(frequent, "key").groupBy("nid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
@@ -221,12 +222,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     # The sets of what may be linked, from one text of each class.
     members = lists.join(heads.select("key"), "key", "left_semi").select("nid").distinct()
-    have = rows.where("doc_id is not null").join(members, F.col("doc_id") == F.col("nid"), "left_semi").select(F.col("doc_id").alias("nid"), "text")
-    nameless = signed.where("doc_id is null and n_shingles > 0").select((-F.abs(F.xxhash64("ka", "kb")) - 1).alias("nid")).join(members, "nid", "left_semi").limit(1).count()
-    if nameless:
-        texts = rows.where("doc_id is null").select("text").distinct()
-        marked = signatures(texts.select(F.xxhash64("text").alias("doc_id"), "text"), width).select(F.col("doc_id").alias("th"), (-F.abs(F.xxhash64("ka", "kb")) - 1).alias("nid"))
-        have = have.unionByName(texts.withColumn("th", F.xxhash64("text")).join(marked, "th").join(members, "nid", "left_semi").dropDuplicates(["nid"]).select("nid", "text"))
+    stands = one.join(members, "nid", "left_semi").select("nid", F.col("at.doc_id").alias("own"), F.col("at.th").alias("own_th"))
+    have = rows.join(stands, (F.col("th") == F.col("own_th")) & F.col("doc_id").eqNullSafe(F.col("own"))).dropDuplicates(["nid"]).select("nid", "text")
     sets = written(shingle_sets(have, width), "sets")
     side = lambda x: sets.select(F.col("nid").alias(x), F.col("members").alias(f"set_{x}"))
     links = written(confirmed(stars.join(side("b"), "b").join(side("a"), "a"), percent), "links")

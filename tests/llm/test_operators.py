@@ -98,6 +98,14 @@ def test_near_negative_ids(spark):
     assert got == {-5: (-5, True), 3: (-5, False), -7: (-7, True)}
 
 
+def test_near_repeated_ids(spark):
+    """Rows of one id with different texts: each is linked by its own text."""
+    a, b = words(random.Random(20), 60), words(random.Random(21), 60)
+    docs = spark.createDataFrame([(7, a), (7, b), (8, a + " zz"), (9, b + " zz"), (9, b + " zz")], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, 4).collect())
+    assert got == Counter([(7, 7, True), (7, 7, True), (8, 7, False), (9, 7, False), (9, 7, False)])
+
+
 def test_near_chains_and_hot_lists(spark, monkeypatch):
     """A passage that dominates many short documents, groups of copies in it, and chains; blocks are made small."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
