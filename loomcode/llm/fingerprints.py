@@ -5,7 +5,8 @@ A pointer walks over a document's characters. At step j it stands on a character
 document's length, and after an edit two walks soon meet again, so that texts at a small edit distance get strings at
 a small Hamming distance. The fingerprint samples SLOTS places of that string, SLOT_BITS bits of the character there. The places
 are spread over the whole string, however long, and nearly the same for nearly equal lengths: slot b samples
-the place below twice the length at which a random sequence of its own is least.
+the place below twice the length at which a random sequence of its own is least. The bits repeat after PERIOD steps, and characters share 63
+codes, so that strings that differ by such a pair of characters alone look equal; candidates are therefore verified on their texts.
 
 Edges: a null text is empty, and its fingerprint is all padding; equal texts have equal fingerprints; rows that repeat a
 doc_id follow each other in the order of their texts; an empty table gives an empty result.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcode.llm.common import parts, written
+from loomcode.llm.common import joined_small, parts, written
 
 SLOTS = 256
 PERIOD = 4096
@@ -131,6 +132,62 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, text string, fingerprint string")
 
 
+def band_keys(least: float):
+    """A key for each band of the column fingerprint. The slots are dealt to one band more than slots may differ, so that two fingerprints that agree
+    in the share `least` of them have a whole band in common."""
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0, and 1 at most")
+    differ = min(int(SLOTS * (1 - least) + 1e-9), SLOTS - 1)
+    bands = np.array_split(np.random.default_rng(5).permutation(SLOTS) + 1, differ + 1)
+    return F.array(*(F.xxhash64(F.lit(i), *(F.substring("fingerprint", int(p), 1) for p in row)) for i, row in enumerate(bands)))
+
+
+def equal_slots(a: str, b: str):
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SLOTS)), F.lit(0), lambda acc, i: acc + (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))).cast("int"))
+
+
+def nearest(docs: DataFrame, prints: DataFrame, least: float = 0.9, every: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_near, nearest_id, nearest_likeness, nearest_edit: for every document whose id is divisible by `every`, how many others have fingerprints
+    that agree in the share `least` of the slots, the one that agrees most (the least id of those that do), and, verified on the texts, 1 less
+    the share of their edit distance in the longer text. The distance is counted up to 1 - `least` of it; a text beyond has null.
+
+    prints: doc_id, fingerprint, text_sha256. Candidates come by bands, which miss no pair; equal texts are one row until the end. A document with an
+    equal text has that as its nearest.
+    """
+    own = prints.groupBy("text_sha256").agg(F.first("fingerprint").alias("fingerprint"), F.count("*").alias("n"), F.min("doc_id").alias("least_id"))
+    own = written(own.withColumn("c", F.monotonically_increasing_id()), "classes")
+    asking = prints.where(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), "text_sha256")
+    asked = written(own.join(asking.select("text_sha256").distinct(), "text_sha256").select(F.col("c").alias("q"), F.col("fingerprint").alias("fq"), "n"), "asked")
+    keys = band_keys(least)
+    banded = own.select("c", F.explode(keys).alias("band"))
+    wanted = asked.select("q", F.col("fq").alias("fingerprint")).select("q", F.explode(keys).alias("band"))
+    pairs = wanted.join(banded, "band").where("q <> c").select("q", "c").distinct()
+    slim = own.select("c", "fingerprint", "n", "least_id")
+    like = pairs.join(asked.drop("n"), "q").join(slim, "c").withColumn("like", equal_slots("fq", "fingerprint") / SLOTS).where(F.col("like") >= least)
+    best = like.groupBy("q").agg(F.sum("n").alias("n_other"), F.max(F.struct("like", (-F.col("least_id")).alias("m"), "c")).alias("b"))
+    best = written(best.select("q", "n_other", F.col("b.like").alias("like"), F.col("b.c").alias("c"), (-F.col("b.m")).alias("other_id")), "best")
+    # The texts of those pairs alone; a query's class and its nearest one are joined to documents by hash.
+    need = best.select(F.explode(F.array("q", "c")).alias("c")).distinct().join(own.select("c", "text_sha256"), "c")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(text.alias("text"), F.sha2(text, 256).alias("text_sha256"))
+    texts = written(joined_small(texts, need, "text_sha256", 100_000).where("c is not null").dropDuplicates(["c"]).select("c", "text"), "texts")
+    both = best.join(texts.select(F.col("c").alias("q"), F.col("text").alias("tq")), "q").join(texts, "c")
+    longer = F.greatest(F.length("tq"), F.length("text"))
+    most = F.floor(longer * (1 - least) + 1e-9).cast("int")
+    edits = F.call_function("levenshtein", F.col("tq"), F.col("text"), most)
+    judged = both.select("q", "n_other", "like", "other_id", F.when(longer == 0, 1.0).when(edits >= 0, 1 - edits / longer).alias("edit"))
+    # A class of several equal texts is its own nearest one.
+    twins = prints.join(asking.select("text_sha256").distinct(), "text_sha256").groupBy("text_sha256").agg(F.slice(F.array_sort(F.collect_set("doc_id")), 1, 2).alias("ids"))
+    out = asking.join(twins, "text_sha256").join(own.select("text_sha256", F.col("c").alias("q"), F.col("n").alias("n_own")), "text_sha256").join(judged, "q", "left")
+    return out.select(
+        F.col("query_id").alias("doc_id"),
+        (F.col("n_own") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_near"),
+        F.coalesce(F.try_element_at(F.filter("ids", lambda x: x != F.col("query_id")), F.lit(1)), F.col("other_id")).alias("nearest_id"),
+        F.when(F.col("n_own") > 1, 1.0).otherwise(F.col("like")).alias("nearest_likeness"),
+        F.when(F.col("n_own") > 1, 1.0).otherwise(F.col("edit")).alias("nearest_edit"),
+    ).dropDuplicates(["doc_id"])
+
+
 def near_texts(docs: DataFrame, least: float = 0.7, every: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """query_id, doc_id, likeness, edit_likeness: for every document whose id is divisible by `every`, all others whose fingerprints agree
     in the share `least` of the slots (likeness), and whose edit distance is at most the share 1 - `least` of the longer text
@@ -139,19 +196,15 @@ def near_texts(docs: DataFrame, least: float = 0.7, every: int = 50, id_col: str
     The slots are dealt to one band more than slots may differ, so that an accepted pair agrees in a whole band: no pair is missed. Candidates
     are verified on their fingerprints, then on their texts. Equal texts are one row until the end, and a band that is common is split by the join.
     """
-    if not 0 < least <= 1:
-        raise ValueError("least must be above 0, and 1 at most")
     prints = written(fingerprints(docs, id_col, text_col).withColumn("class_id", F.unhex(F.sha2("text", 256))), "prints")
     own = prints.groupBy("class_id").agg(F.first("text").alias("text"), F.first("fingerprint").alias("fingerprint"))
-    differ = min(int(SLOTS * (1 - least) + 1e-9), SLOTS - 1)
-    bands = np.array_split(np.random.default_rng(5).permutation(SLOTS) + 1, differ + 1)
-    keys = F.array(*(F.xxhash64(F.lit(i), *(F.substring("fingerprint", int(p), 1) for p in row)) for i, row in enumerate(bands)))
+    keys = band_keys(least)
     banded = own.select("class_id", F.explode(keys).alias("band"))
     members = prints.select("doc_id", "class_id")
     asking = members.where(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), F.col("class_id").alias("q"))
     asked = own.join(asking.select(F.col("q").alias("class_id")).distinct(), "class_id").select(F.col("class_id").alias("q"), F.explode(keys).alias("band"))
     pairs = asked.join(banded, "band").select("q", "class_id").distinct()
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(SLOTS)), F.lit(0), lambda acc, i: acc + (F.substring("fq", i, F.lit(1)) == F.substring("fingerprint", i, F.lit(1))).cast("int"))
+    same = equal_slots("fq", "fingerprint")
     left, right = own.select(F.col("class_id").alias("q"), F.col("fingerprint").alias("fq")), own.select("class_id", "fingerprint")
     like = pairs.join(left, "q").join(right, "class_id").withColumn("likeness", same / SLOTS).where(F.col("likeness") >= least).select("q", "class_id", "likeness")
     texts = like.join(own.select(F.col("class_id").alias("q"), F.col("text").alias("tq")), "q").join(own.select("class_id", "text"), "class_id")
@@ -173,7 +226,7 @@ def count_below(x, cuts: list[int]):
     return F.when(whole < len(groups), whole * k + among(F.get(nested, whole))).otherwise(len(cuts))
 
 
-EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text_sha256 string"
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,8 +272,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 pa.array(text_form(other), pa.string()),
                 pa.array(likeness(own[:-1], other)),
                 pa.array(likeness(own[:-1], own[1:])),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts[:-1]], pa.string()),
             ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            names=[x.split()[0] for x in EDITED.split(", ")],
         )
 
     def run(batches):

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcode.llm.classifier import classify
+from loomcode.llm.common import joined_small, written
 from loomcode.llm.debruijn import remove_passages
-from loomcode.llm.fingerprints import edited_fingerprints
+from loomcode.llm.fingerprints import edited_fingerprints, nearest
 from loomcode.llm.minhash import near_duplicates
 from loomcode.llm.mixing import mix_sources
 from loomcode.llm.packing import pack
@@ -58,7 +59,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    prints = written(edited_fingerprints(docs), "prints")
+    near = nearest(docs, prints.select("doc_id", "fingerprint", "text_sha256"), least=0.9, every=50)
+    return joined_small(prints.drop("text_sha256"), near, "doc_id", 200_000)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -369,6 +369,55 @@ def test_near_texts_misses_no_pair(spark):
     assert len(got) == len(want) and {(r["query_id"], r["doc_id"]): (round(r["likeness"], 9), round(r["edit_likeness"], 9)) for r in got} == want
 
 
+def test_nearest_of_every_query(spark):
+    """All pairs by brute force: how many, which one, and its edit distance."""
+    rng = random.Random(14)
+    texts = []
+    for _ in range(3):
+        base = words(rng, 80)
+        for k in range(14):
+            at = len(base) * (84 + k) // 100
+            texts.append(base[:at] + words(rng, 60)[: len(base) - at])
+    texts += [texts[0], texts[0], texts[3], "", "", None]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[5])], "doc_id long, text string")
+    prints = fingerprints.edited_fingerprints(docs).select("doc_id", "fingerprint", "text_sha256")
+    got = {r["doc_id"]: r for r in fingerprints.nearest(docs, prints, least=0.9, every=3).collect()}
+    assert set(got) == {i for i in range(len(texts)) if i % 3 == 0}
+    plain = [t or "" for t in [*texts, texts[5]]]
+    codes, names = fingerprints.walk(plain), [*range(len(texts)), None]
+    verified = 0
+    for q, r in got.items():
+        like = {j: float((codes[q] == codes[j]).mean()) if plain[q] != plain[j] else 2.0 for j in range(len(plain)) if j != q}
+        near = {j: x for j, x in like.items() if x >= 0.9}
+        assert r["n_near"] == len(near)
+        if not near:
+            assert r["nearest_id"] is None and r["nearest_edit"] is None
+            continue
+        top = max(near.values())
+        best = min((names[j] for j, x in near.items() if x == top and names[j] is not None), default=None)
+        assert r["nearest_id"] == best and abs(r["nearest_likeness"] - min(top, 1.0)) < 1e-9
+        longer = max(len(plain[q]), len(plain[best]))
+        edits = edit_distance(plain[q], plain[best])
+        want = (1 - edits / longer if longer else 1.0) if edits <= int(longer * 0.1 + 1e-9) else None
+        assert (r["nearest_edit"] is None) == (want is None) and (want is None or abs(r["nearest_edit"] - want) < 1e-9)
+        verified += want is not None
+    assert verified > 5
+    empty = docs.where("false")
+    assert fingerprints.nearest(empty, fingerprints.edited_fingerprints(empty)).count() == 0
+
+
+def test_interval_expansion():
+    """The transform's intervals on small alphabets, and against the operator's other way on the same texts."""
+    from loomcode.llm import transform
+
+    rng = random.Random(1)
+    for k in range(200):
+        length = rng.choice([1, 2, 3, 5, 8, 30])
+        texts = [bytes(rng.choice(b"ab" if k % 2 else b"abc") for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(0, 5))]
+        n = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+        assert [x.tolist() for x in transform.repeated(texts, length)] == [[i for i in range(len(t) - length + 1) if n[t[i : i + length]] > 1] for t in texts]
+
+
 def test_walk_is_the_plain_walk():
     rng = random.Random(2)
     texts = [words(rng, n) for n in (0, 1, 7, 30, 200)]
