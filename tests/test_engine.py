@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomcode.functions import text as T
-from loomcode.operators import codebook, conventions, dictionary, runs, segment
+from loomcode.operators import codebook, conventions, dictionary, runs, segment, units, workspace
 from loomcode.operators.analysis import Analysis
-from loomcode.sources import files, sinks
+from loomcode.sources import files, reports, sinks
 
 F4 = """Interview 7
 Place: somewhere
@@ -58,9 +58,90 @@ def test_other_conventions(spark):
 
 
 def test_header_merge(spark):
-    text = "A [0:00:01]:\nA [0:00:02]: hi\nB [0:00:03]: there\nmore"
-    rows = segment.utterances(doc(spark, text), conventions.Pattern(conventions.PRESETS["default"])).orderBy("position").collect()
-    assert [(r["speaker"], r["ts"], r["text"]) for r in rows] == [("A", "0:00:01", "hi"), ("B", "0:00:03", "there"), ("B", None, "more")]
+    text = "[00:00:01.000] - A\n[00:00:02.000] - A\nhi\n[00:00:03.000] - B\nthere\nmore\n[00:00:09.000] - A"
+    rows = segment.utterances(doc(spark, text), conventions.Pattern(conventions.PRESETS["happyscribe"])).orderBy("position").collect()
+    assert [(r["speaker"], r["ts"], r["text"]) for r in rows] == [("A", None, "hi"), ("B", "00:00:03", "there"), ("B", None, "more")]
+
+
+def parsed_by_hand(name, line):
+    """(speaker, time, text) of a line by the rules of a layout, without a pattern; null if it is no turn."""
+
+    def clock(x, hours):
+        p = x.split(":")
+        return len(p) == 3 and all(y.isdigit() for y in p) and len(p[0]) in hours and len(p[1]) == len(p[2]) == 2
+
+    def label(x, refused, spaces):
+        return 1 <= len(x) <= 24 and not any(c in refused or (c.isspace() and not spaces) for c in x)
+
+    def spoken(rest):
+        return bool(rest) and rest[0].isspace() and bool(rest.strip())
+
+    if name in ("f4", "plain"):
+        signs = ":." if name == "f4" else ":"
+        i = next((i for i, c in enumerate(line) if c in signs + "[]" or c.isspace()), len(line))
+        who, rest = line[:i], line[i:].lstrip()
+        if not label(who, ":[]" if name == "plain" else ":.[]", False) or rest[:1] not in tuple(signs) or not spoken(rest[1:]):
+            return None
+        text, ts = rest[1:].strip(), None
+        if name == "f4" and text.endswith("#") and "#" in text[:-1]:
+            body, mark = text[:-1].rsplit("#", 1)
+            if "-" in mark and clock(mark.rsplit("-", 1)[0], (1, 2)) and mark.rsplit("-", 1)[1].isdigit() and body.strip():
+                text, ts = body.strip(), mark.rsplit("-", 1)[0]
+        return who, ts, text
+    if name == "default":
+        i, j = line.find("["), line.find("]")
+        who, rest = line[:i].strip(), line[j + 1 :].lstrip()
+        ok = 0 < i < j and label(line[:i].rstrip(), ":[]", True) and clock(line[i + 1 : j], (1, 2)) and rest.startswith(":") and rest[1:].strip()
+        return (who, line[i + 1 : j], rest[1:].strip()) if ok else None
+    j = line.find("]")
+    if not line.startswith("[") or j < 0:
+        return None
+    if name == "ts_lead":
+        rest = line[j + 1 :]
+        if not clock(line[1:j], (1, 2)) or not rest[:1].isspace() or ":" not in rest:
+            return None
+        who, said = rest.lstrip().split(":", 1)
+        return (who.rstrip(), line[1:j], said.strip()) if label(who.rstrip(), ":", False) and spoken(said) else None
+    time, _, ms = line[1:j].partition(".")
+    rest = line[j + 1 :].lstrip()
+    return (rest[1:].strip(), time, "") if clock(time, (2,)) and len(ms) == 3 and ms.isdigit() and rest.startswith("-") and rest[1:].strip() else None
+
+
+def test_presets_on_generated_lines(spark):
+    import random
+
+    rng = random.Random(3)
+    who, gaps = ["I", "S 01", "Änne", "E.", "http", "10", "a" * 25, "[x", "B\u00a0C"], ["", " ", "  "]
+    times, said = ["[0:01:02]", "[00:01:02]", "[00:01:02.123]", "[1:2:3]", "", "(0:00)"], ["hi", "//a.b/c", "", "we met: at 5", "yes #0:00:01-12#", "#0:00:01-1#", "no #0:01-1#", "é 👍"]
+    rows = []
+    for _ in range(9000):
+        g = lambda: rng.choice(gaps)
+        w, t, x, sep = rng.choice(who), rng.choice(times), rng.choice(said), rng.choice([":", ":", ".", "-", ""])
+        line = rng.choice([f"{w}{g()}{t}{g()}{sep}{g()}{x}", f"{t}{g()}{w}{g()}{sep}{g()}{x}", f"{t}{g()}-{g()}{w}", f"{w}{g()}{sep}{g()}{x}{g()}"]).strip()
+        if line:
+            rows.append(line)
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, line string")
+    for name, regex in conventions.PRESETS.items():
+        speaker, ts, text, ok = conventions.Pattern(regex).columns(F.col("line"))
+        got = {r["i"]: r for r in lines.select("i", speaker.alias("who"), ts.alias("ts"), T.strip(text).alias("text"), ok.alias("ok")).collect()}
+        want = [parsed_by_hand(name, x) for x in rows]
+        assert sum(w is not None for w in want) > 40, name
+        for i, w in enumerate(want):
+            r = got[i]
+            assert r["ok"] == (w is not None), (name, rows[i])
+            if w:
+                assert (r["who"].strip(), r["ts"], r["text"]) == w, (name, rows[i])
+
+
+def test_rounding_is_on_the_binary_value(spark):
+    import random
+
+    rng = random.Random(5)
+    values = [100 * n / d for d in (1, 3, 7, 8, 16, 40, 80, 160, 400, 2000, 8000) for n in range(0, d + 1, max(d // 200, 1))] + [-0.25, -12.35, 0.0, 2.5, 1e6 + 0.05]
+    values += [rng.uniform(0, 100) for _ in range(500)] + [k / 20 for k in range(400)] + [k / 20000 for k in range(1, 4000, 7)]
+    got = spark.createDataFrame([(float(v),) for v in values], "x double").select("x", T.rounded(F.col("x"), 1).alias("a"), T.rounded(F.col("x"), 3).alias("b"), T.rounded(F.col("x"), 4).alias("c")).collect()
+    for r in got:
+        assert (r["a"], r["b"], r["c"]) == (round(r["x"], 1), round(r["x"], 3), round(r["x"], 4))
 
 
 def plain_offsets(full, texts):
@@ -111,7 +192,7 @@ def test_analysis(spark):
     cells, codes, exprs = survey(spark)
     found = runs.dictionary_codings(cells, codes, exprs)
     segs = runs.segments(cells, found)
-    docs = cells.select("doc_id", "lang", F.when(F.col("doc_id") < 4, "a").alias("grp"))
+    docs = cells.select("doc_id", "lang", F.when(F.col("doc_id") < 4, "a").alias("grp"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"))
     a = Analysis(segs, found, docs, codes, {"en": [" Staff ", "clinic", ""]})
     assert a.meta().first().asDict() == {"n_segments": 5, "n_coded": 3, "n_excluded": 0}
     assert [r["pct_units"] for r in a.codes().collect()] == [20.0, 20.0, 20.0]
@@ -126,6 +207,150 @@ def test_analysis(spark):
     assert all(df.count() == 0 for k, df in empty.blocks().items() if k != "meta")
     book = sinks.workbook({k: v for k, v in a.blocks().items() if k in ("codes", "lemmas")})
     assert ("codes", 1, 0, "code_id") in files.workbook_cells(book)
+    sheets = reports.analysis_sheets(a)
+    assert {"codes", "groups", "cooccurrence", "documents", "lemmas_en", "lemmas_by_code_en", "lemmas_by_code_group_en", "expressions_en", "expr_by_code_group_en", "top_extracts"} == set(sheets)
+    assert sheets["documents"].columns == ["document", "group", "segments", "coded", "coverage_pct", *[r["label"] for r in a.codes().collect()]]
+    square = {r["label_a"]: r for r in sheets["cooccurrence"].collect()}
+    assert square["staff"]["staff"] == 1 and square["staff"]["money"] == 0
+    cells_ = files.workbook_cells(sinks.workbook(sheets))
+    assert any(c[0] == "groups" and c[3] == "(no group)" for c in cells_)
+    assert [r["ord"] for r in reports.chart_rows(a, "expressions", "money").collect()] == [1, 2]
+    assert reports.chart_scale(reports.chart_rows(a, "codes")).first()["most"] == 1.0 and "codes" in sinks.available_charts(a.blocks())
+    with pytest.raises(ValueError):
+        reports.chart_rows(a, "pie")
+
+
+def test_cube(spark, tmp_path, monkeypatch):
+    from loomcode.operators import analysis
+
+    cells, codes, exprs = survey(spark)
+    found = runs.dictionary_codings(cells, codes, exprs)
+    a = Analysis(runs.segments(cells, found), found, cells.select("doc_id", "lang", F.lit("g").alias("grp")), codes)
+    root = str(tmp_path)
+    assert analysis.read_cube(spark, 4, root) is None
+    analysis.write_cube(a, 4, root)
+    back = analysis.read_cube(spark, 4, root)
+    assert set(back) == set(a.blocks()) and back["codes"].count() == 3
+    monkeypatch.setattr(analysis, "SCHEMA_VERSION", 99)
+    assert analysis.read_cube(spark, 4, root) is None
+
+
+UNITS = "doc_id long, text string, source_type string, lang string, convention string, roles map<string,string>"
+
+
+def test_units(spark):
+    talk = "Header\nI: How are you? Well?\nE: Fine. Very fine.\nand more. Yes.\nX: stray"
+    docs = spark.createDataFrame(
+        [
+            (1, talk, "docx", "en", "plain", {"I": "interviewer", "e.": "participant"}), (2, "One. Two.\n\n Three. ", "docx", None, None, None), (3, None, "excel", "en", None, None),
+            (4, "", "docx", "en", None, None), (5, "A [00:00:01]: x y", "docx", "en", "gone", {}),
+        ], UNITS,
+    )
+    cells = spark.createDataFrame([(3, 5, "Late. Very late."), (3, 2, " one "), (3, 4, "  ")], "doc_id long, row_no int, text string")
+    ws = units.Workspace(excluded_roles=("interviewer",))
+
+    def got(unit, context=0, **more):
+        found, failed = units.units_for(docs, unit, units.Workspace(**({"excluded_roles": ("interviewer",)} | more)), cells, context)
+        by = {}
+        for r in found.orderBy("doc_id", "position").collect():
+            by.setdefault(r["doc_id"], []).append(r)
+        assert all([r["position"] for r in x] == list(range(len(x))) for x in by.values())
+        return by, {r["doc_id"]: r["reason"] for r in failed.collect()}
+
+    by, failed = got("sentence")
+    assert [(r["text"], r["speaker"], r["excluded"]) for r in by[1]] == [("Header", None, True), ("How are you? Well?", "I", True), ("Fine.", "E", False), ("Very fine.", "E", False), ("and more.", "E", False), ("Yes.", "E", False), ("X: stray", "E", False)]
+    assert [r["text"] for r in by[3]] == ["one", "Late.", "Very late."] and [r["row_no"] for r in by[3]] == [2, 5, 5]
+    assert by[3][0]["context"] is None and by[3][1]["context"][0]["text"] == "Late. Very late."
+    assert failed == {2: "no language", 4: "no units"}
+    by, failed = got("sentence", language="de")
+    assert [r["text"] for r in by[2]] == ["One.", "Two.", "Three."] and failed == {4: "no units"}
+    by, _ = got("paragraph", 2)
+    assert [r["text"] for r in by[1]][2:4] == ["Fine. Very fine.", "and more. Yes."] and by[2][1]["speaker"] is None
+    assert [len(r["context"]) for r in by[1]] == [0, 1, 2, 2, 2] and by[3][0]["context"] is None
+    by, _ = got("per_row")
+    assert [len(by[d]) for d in (1, 2)] == [1, 1] and by[2][0]["text"] == "One. Two.\n\n Three."
+    by, _ = got("utterance_regex")
+    assert by[5][0]["speaker"] == "A" and by[5][0]["ts"] == "00:00:01" and all(r["excluded"] for r in by[2])
+    assert got("per_utterance", mode="utterance_regex")[0].keys() == by.keys()
+    with pytest.raises(ValueError):
+        units.units_for(docs, "word", ws)
+
+
+def test_runs_stand_or_fall_by_document(spark, tmp_path):
+    cells, codes, exprs = survey(spark)
+    state = spark.createDataFrame([(9, d, "pending") for d in range(2, 7)] + [(8, 2, "completed")], "run_id long, doc_id long, status string")
+    bad = spark.createDataFrame([(3, "no language")], "doc_id long, reason string")
+    code = lambda u: runs.dictionary_codings(u, codes, exprs)
+    after = runs.executed(9, cells, bad, state, code, str(tmp_path))
+    rows = {(r["run_id"], r["doc_id"]): (r["status"], r["error"]) for r in after.collect()}
+    assert rows[9, 3] == ("failed", "no language") and rows[9, 2] == ("completed", None) and rows[8, 2] == ("completed", None)
+    assert runs.read_facts(spark, str(tmp_path), 9)[0].count() == 4
+    again = runs.executed(9, cells, bad.where("false"), after.select("run_id", "doc_id", "status"), code, str(tmp_path))
+    assert all(r["status"] == "completed" for r in again.collect())
+    segments, found = runs.read_facts(spark, str(tmp_path), 9)
+    assert segments.count() == 5 and found.count() == 3 and runs.read_facts(spark, str(tmp_path), 9, [3])[1].count() == 1
+
+
+def test_coder_waits_and_gives_up(spark):
+    u = segment.with_context(spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "c")], "doc_id long, position int, text string"), 0)
+
+    def coder(text, context, seen={}):  # noqa: B006
+        seen[text] = seen.get(text, 0) + 1
+        if text == "a" and seen[text] < 3 or text == "b":
+            raise TimeoutError
+        if text == "c":
+            raise KeyError
+        return "[]", 100, 7
+
+    got = {r["position"]: r for r in runs.model_answers(u.coalesce(1), coder, retries=4, pause=0.01).collect()}
+    assert got[0]["answer"] == "[]" and (got[0]["tokens_in"], got[0]["tokens_out"]) == (100, 7)
+    assert got[1]["answer"] is None and got[2]["answer"] is None
+
+
+def test_workspaces(spark):
+    docs = spark.createDataFrame([(1, 5, "f", "en", "a", "plain", {"X": "other"}, "A: hi\nB: yes\nA: no\nB: so", "docx"), (2, 5, "f", None, None, None, None, "the and", "docx"), (3, 6, "g", "de", " ", None, None, "x", "excel")],
+        "doc_id long, workspace_id long, file_path string, lang string, grp string, convention string, roles map<string,string>, text string, source_type string")
+    new, n = workspace.grouped(docs, 5, [1, 3], "  ")
+    assert n == 1 and new.where("doc_id = 1").first()["grp"] is None and new.where("doc_id = 3").first()["grp"] == " "
+    one = workspace.described(docs, 1, convention="f4", lang="fr").where("doc_id = 1").first()
+    assert one["roles"] == {"A": "participant", "B": "participant"} and one["lang"] == "fr" and one["convention"] == "f4"
+    same = workspace.described(docs, 1, convention="plain").where("doc_id = 1").first()
+    assert same["roles"] == {"X": "other"}
+    gone = workspace.described(docs, 1, convention="", grp="").where("doc_id = 1").first()
+    assert gone["roles"] is None and gone["convention"] is None and gone["grp"] is None
+    for bad in ({"convention": "none"}, {"lang": "xx"}, {"colour": "red"}):
+        with pytest.raises(ValueError):
+            workspace.described(docs, 1, **bad)
+    with pytest.raises(ValueError):
+        workspace.with_roles(docs, 1, {"A": "boss"})
+    again = {r["doc_id"]: r for r in workspace.redetected(docs).collect()}
+    assert again[2]["lang"] == "en" and again[1]["convention"] in ("plain", "f4") and again[2]["convention"] is None
+    members = spark.createDataFrame([(5, 1)], "workspace_id long, user_id long")
+    assert workspace.with_member(workspace.with_member(members, 5, 2), 5, 1).count() == 2 and workspace.without_member(members, 5, 1).count() == 0
+    runs_ = spark.createDataFrame([(1, 5), (2, 6)], "run_id long, workspace_id long")
+    tables = {"documents": docs, "members": members, "runs": runs_, "codings": spark.createDataFrame([(1, 1), (2, 3)], "run_id long, doc_id long")}
+    left = workspace.without_workspace(tables, 5)
+    assert left["documents"].count() == 1 and left["codings"].count() == 1 and left["members"].count() == 0 and left["runs"].count() == 1
+    left, files_ = workspace.without_documents(tables, docs.where("doc_id = 1"))
+    assert files_.count() == 0 and left["documents"].count() == 2
+    left, files_ = workspace.without_documents(tables, docs.where("workspace_id = 5"))
+    assert [r[0] for r in files_.collect()] == ["f"]
+    assert [r["doc_id"] for r in workspace.sorted_by(docs, "grp").collect()] == [2, 3, 1]
+    with pytest.raises(ValueError):
+        workspace.checked_columns(["a"], ["b"])
+    cells = spark.createDataFrame([("c", f"v{i}") for i in range(31)], "column string, text string")
+    with pytest.raises(ValueError):
+        workspace.group_values(cells, "c")
+    assert workspace.group_values(cells.limit(3), "c") == ["v0", "v1", "v2"]
+
+
+def test_library_of_conventions():
+    mine = conventions.with_convention({}, " mine ", r"^(?P<speaker>\w+)>(?P<text>.*)$")
+    assert [k for k, _ in conventions.candidates(mine)][-1] == "mine"
+    for name, regex in (("plain", r"(?P<speaker>a)(?P<text>b)"), ("x", "(a)(b)"), (" ", r"(?P<speaker>a)(?P<text>b)")):
+        with pytest.raises(ValueError):
+            conventions.with_convention({}, name, regex)
+    assert conventions.suggested(["A> x", ""], lambda sample, _: r"`^(?P<speaker>\w+)> (?P<text>.*)$`") and conventions.suggested(["A"], lambda *_: "(") is None
 
 
 def test_model_coder(spark):
@@ -173,7 +398,7 @@ def test_files(spark, tmp_path):
     assert [(r["lang"], r["expression"]) for r in e.collect()] == [("en", "a"), ("en", "b")]
 
 
-def test_exchange(spark):
+def test_exchange(spark, tmp_path):
     _, codes, _ = survey(spark)
     assert sinks.codebook_xml(codes).count(b"<Code ") + sinks.codebook_xml(codes).count(b":Code ") >= 4
     docs = spark.createDataFrame([(1, "d", "abc def"), (2, "e", " ")], "doc_id long, name string, text string")
@@ -182,6 +407,9 @@ def test_exchange(spark):
         assert len([n for n in z.namelist() if n.startswith("sources/")]) == 1 and b'endPosition="3"' in z.read("project.qde")
     rows = spark.createDataFrame([("a.txt", "/p/a", bytearray(b"x"), "en", None), ("b.txt", "/p/a", bytearray(b"x"), "en", "g")], "filename string, file_path string, content binary, language string, grp string")
     data = sinks.bundle(rows, "docx", {"m": "1"})
+    (tmp_path / "b.zip").write_bytes(data)
+    read = sinks.read_bundles(spark, str(tmp_path / "b.zip"), "docx").collect()
+    assert {r["filename"] for r in read} == {"a.txt", "b.txt"} and len({r["file_path"] for r in read}) == 1
     back, merged = sinks.unbundled(data, "docx", {"m": "0"})
     assert len(back) == 2 and merged == {"m": "0"} and back[0]["key"] == back[1]["key"]
     with pytest.raises(ValueError):
@@ -203,6 +431,9 @@ def test_codebook_changes(spark):
     assert codebook.new_codes(codes, spark.createDataFrame([(1, "STAFF", None, None), (2, "x-y", None, None), (3, "X Y", None, None)], "ord int, label string, description string, example string"), 9).collect()[0]["code_id"] == 9
     with pytest.raises(ValueError):
         codebook.renamed(codes, 1, "Money")
+    with pytest.raises(ValueError):
+        codebook.with_code(codes, "STAFF", 9)
+    assert codebook.with_code(codes, " New ", 9).where("code_id = 9").first()["label"] == "New"
     after = codebook.with_expressions(exprs, 2, spark.createDataFrame([(1, "en", "A"), (2, "en", "a"), (3, "en", " ")], "ord int, lang string, expression string"), 50)
     assert [r["expression"] for r in after.where("code_id = 2").collect()] == ["A"]
     assert codebook.active(codebook.soft_deleted(codes, 1)).count() == 3
