@@ -7,47 +7,20 @@ memory follows its longest document and not its partition.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomcode.store import dropped, shared_dir, written  # noqa: F401
+
 CHUNK = 1 << 19
 WORD = r"[^\x20\x09-\x0D]+"
 #: Java's form of the characters between words.
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines of the cluster see; one of our own only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("loomcode.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomcode-")
-        spark.conf.set("loomcode.shared.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage is cut, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    again = spark.read.schema(df.schema).parquet(path)
-    again.loomcode_path = path
-    return again
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes what written() has made, when no later plan reads it."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.loomcode_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def parts(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
