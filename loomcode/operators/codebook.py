@@ -69,10 +69,11 @@ def soft_deleted(codes: DataFrame, code_id: int) -> DataFrame:
     return codes.withColumn("is_deleted", F.when(F.col("code_id") == code_id, True).otherwise(F.coalesce("is_deleted", F.lit(False))))
 
 
-def with_expressions(expressions: DataFrame, code_id: int, wanted: DataFrame, next_id: int) -> DataFrame:
-    """wanted: ord, lang, expression. Replaces a code's expressions; equal ones but for case are kept once, the first."""
+def with_expressions(expressions: DataFrame, code_id: int, wanted: DataFrame, next_id: int, fold_case: bool = True) -> DataFrame:
+    """wanted: ord, lang, expression. Replaces a code's expressions; equal ones are kept once, the first, and case tells them apart only
+    without fold_case, as when a code is made or read from a table."""
     once = wanted.withColumn("expression", T.strip("expression")).where("expression <> ''")
-    once = once.withColumn("n", F.row_number().over(Window.partitionBy("lang", F.lower("expression")).orderBy("ord"))).where("n = 1")
+    once = once.withColumn("n", F.row_number().over(Window.partitionBy("lang", F.lower("expression") if fold_case else F.col("expression")).orderBy("ord"))).where("n = 1")
     ids = F.row_number().over(Window.orderBy("ord")) - 1 + next_id
     added = once.select(ids.cast("long").alias("expr_id"), F.lit(code_id).cast("long").alias("code_id"), "lang", "expression")
     return expressions.where(F.col("code_id") != code_id).unionByName(added)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomcode.functions import text as T
 
-SMALL_INDEX = 5000
+SMALL_INDEX = 500
 _ENTRY = pa.struct([("expr_id", pa.int64()), ("code_id", pa.int64()), ("expression", pa.string()), ("phrase", pa.bool_()), ("lemmas", pa.list_(pa.string()))])
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -208,3 +210,31 @@ def progress(run_documents: DataFrame, elapsed: float) -> DataFrame:
     """run_id, n_docs, n_done, eta in seconds."""
     s = run_documents.groupBy("run_id").agg(F.count("*").alias("n_docs"), F.count_if(F.col("status") == "completed").alias("n_done"))
     return s.withColumn("eta", F.when(F.col("n_done") > 0, F.lit(float(elapsed)) / F.col("n_done") * (F.col("n_docs") - F.col("n_done"))))
+
+
+class SingleFlight:
+    """Jobs by key, one at a time for each: a second call waits for the first one's result."""
+
+    def __init__(self):
+        self._lock, self._jobs = threading.Lock(), {}
+
+    def run(self, key, job: Callable):
+        with self._lock:
+            running = self._jobs.get(key)
+            mine = running is None
+            if mine:
+                running = self._jobs[key] = Future()
+        if mine:
+            try:
+                running.set_result(job())
+            except BaseException as e:
+                running.set_exception(e)
+            finally:
+                with self._lock:
+                    del self._jobs[key]
+        return running.result()
+
+    def active(self) -> list:
+        """The keys whose jobs are running."""
+        with self._lock:
+            return list(self._jobs)

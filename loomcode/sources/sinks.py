@@ -105,6 +105,21 @@ def project_file(codes: DataFrame, documents: DataFrame, codings: DataFrame) ->
     return buffer.getvalue()
 
 
+def project_of_run(codes: DataFrame, documents: DataFrame, codings: DataFrame, run_documents: DataFrame) -> bytes:
+    """The QDPX of a run: active codes and those that codings name, completed documents, and codings at places found anew.
+
+    documents: doc_id, name, text; codings: coding_id, run_id, doc_id, code_id, segment_text, start_offset, end_offset.
+    """
+    from loomcode.operators import codebook, segment, workspace
+
+    done = workspace.of_completed(codings, run_documents)
+    ranked = done.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("start_offset"), "coding_id")))
+    places = segment.reanchored(documents, ranked.select("doc_id", "ord", F.col("segment_text").alias("text"), "start_offset", "end_offset"))
+    placed = ranked.select("doc_id", "ord", "code_id").join(places.drop("text"), ["doc_id", "ord"])
+    complete = documents.join(run_documents.where("status = 'completed'").select("doc_id"), "doc_id", "left_semi")
+    return project_file(codebook.active_or_referenced(codes, done), complete, placed)
+
+
 def bundle(documents: DataFrame, input_type: str, conventions: dict[str, str], to=None) -> bytes | None:
     """documents: filename, file_path, content, language, grp. A zip of a manifest and each distinct file once, written to the open file
     `to`, or returned. Files pass through the driver one after the other; it holds a line of the manifest for each document."""

@@ -416,6 +416,40 @@ def test_exchange(spark, tmp_path):
         sinks.unbundled(data, "excel", {})
 
 
+def test_project_of_run(spark):
+    _, codes, _ = survey(spark)
+    docs = spark.createDataFrame([(1, "d", "ab ab cd"), (2, "e", "x")], "doc_id long, name string, text string")
+    coded = spark.createDataFrame([(1, 9, 1, 1, "ab", 5, 7), (2, 9, 1, 2, "cd", 0, 1), (3, 9, 2, 1, "x", 0, 1)], "coding_id long, run_id long, doc_id long, code_id long, segment_text string, start_offset int, end_offset int")
+    state = spark.createDataFrame([(9, 1, "completed"), (9, 2, "failed")], "run_id long, doc_id long, status string")
+    with zipfile.ZipFile(io.BytesIO(sinks.project_of_run(codes, docs, coded, state))) as z:
+        made = z.read("project.qde")
+        assert len(z.namelist()) == 2 and made.count(b"<PlainTextSelection") + made.count(b":PlainTextSelection ") >= 2
+        assert b'startPosition="6"' in made and b'endPosition="8"' in made
+
+
+def test_single_flight():
+    import threading
+    import time
+
+    flight, made = runs.SingleFlight(), []
+
+    def job():
+        made.append(1)
+        time.sleep(0.2)
+        return len(made)
+
+    got = []
+    threads = [threading.Thread(target=lambda: got.append(flight.run("a", job))) for _ in range(5)]
+    for t in threads:
+        t.start()
+    assert flight.active() == ["a"]
+    for t in threads:
+        t.join()
+    assert got == [1] * 5 and flight.active() == [] and flight.run("a", job) == 2
+    with pytest.raises(KeyError):
+        flight.run("b", lambda: {}["x"])
+
+
 def test_text(spark):
     row = spark.createDataFrame([(" A_b-c  D ", "  e. ", "1:02:03", "x" * 9)], "a string, b string, c string, d string").select(
         T.normalize_label(F.col("a")), T.normalize_speaker(F.col("b")), T.seconds(F.col("c")), T.estimated_tokens("d"), T.duration(F.lit(3700)), T.stem_name(F.lit("x.DOCX")), T.display_name(F.lit("f.xlsx"), F.lit("q"), F.lit("A"))
