@@ -20,23 +20,30 @@ from loomcode.llm.queries import WEIGHTS, tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def chosen(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is judged to be kept; a document without an id stays."""
-    gone = judged.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with row, a number of its own for each row, as ids may be null or repeated; a table, so that the numbers stay."""
+    return written(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), name)
+
+
+def kept_rows(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows whose number is judged to be kept."""
+    gone = judged.where("not kept").select(F.col("doc_id").alias("row"))
+    return rows.join(gone, "row", "left_anti").select(COLUMNS)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    return chosen(docs, classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    """Documents that the quality classifier rejects go; each row is judged by its own text."""
+    rows = numbered(docs, "judged")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    of_rows = rows.select("row", "doc_id").join(labels, "doc_id").select(F.col("row").alias("doc_id"), "quality")
+    return kept_rows(rows, classify(rows, of_rows, id_col="row"))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, a similarity of 0.8 or more."""
-    # Numbers in the order of doc_id stand for rows, as ids may be null or repeated.
-    numbered = written(docs.select(COLUMNS).orderBy(F.col("doc_id").asc_nulls_last()).withColumn("row", F.monotonically_increasing_id()), "numbered")
-    gone = near_duplicates(numbered, width=5, percent=80, id_col="row").where("not kept").select(F.col("doc_id").alias("row"))
-    return numbered.join(gone, "row", "left_anti").select(COLUMNS)
+    # Numbers in the order of doc_id, so that the least one stays.
+    rows = numbered(docs.select(COLUMNS).orderBy(F.col("doc_id").asc_nulls_last()), "numbered")
+    return kept_rows(rows, near_duplicates(rows, width=5, percent=80, id_col="row"))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
