@@ -1,9 +1,11 @@
-"""Removal of long word passages that an earlier document has.
+"""Removal of long word passages that an earlier document has, by compaction of the corpus's de Bruijn graph.
 
-The edges of the graph are the corpus's k-word strings (k = `length`). Edges that follow each
-other and belong to one minimizer make a path; equal paths, which do not branch inside, are compacted to
-one by a grouped aggregation and joined back, and only paths that share a minimizer but differ
-have their edges compared. Places in the source documents decide what goes. See windows.py.
+An edge is a string of k = `length` words; it leads from the node of its first k - 1 words to that of its last. Edges of a document that follow each
+other and share a minimizer come as one path, so that equal stretches of edges are added up without a row for each edge (windows.py).
+Of paths that share a minimizer but differ, edges are compared and the repeated ones marked, with the least document of each.
+Repeated paths that meet in a node without branches, where all places of the one go on to the other, are linked by a join, and chains of
+links are compacted by doubling: a chain's first path stands for a whole passage. Chains and what is left are looked up at their
+places in the source documents, and a place counts where its words' hash, of another kind than the edges', is that of the path.
 
 A word goes if it lies in a window of `length` words whose word sequence starts in a document with a
 smaller doc_id too; windows are judged on the input.
@@ -32,7 +34,7 @@ def remove_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     kept is null where nothing goes.
     """
     rows = with_hash(docs, id_col, text_col)
-    spans = repeated_windows(rows, of_words, length, min(GRAM, length), by_least=True)
+    spans = repeated_windows(rows, of_words, length, min(GRAM, length), by_least=True, linked=True)
 
     def cut(batches):
         for b in batches:

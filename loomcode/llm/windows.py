@@ -21,12 +21,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcode.llm.common import CHUNK, Hashes, buffers, byte_symbols, chunks, dropped, mixed, word_symbols, written
 
-PATHS = "doc_id long, th long, lo int, n_win int, off int, gram long, path long"
+PATHS = "doc_id long, th long, lo int, n_win int, off int, gram long, path long, prev long, next long"
 #: Distinct paths of one gram that a single task looks at.
 HOT = 4096
 _POS = np.uint64((1 << 24) - 1)
@@ -34,15 +35,23 @@ _U = np.uint64
 
 
 def of_bytes(data: np.ndarray, offsets: np.ndarray):
-    return byte_symbols(data), offsets
+    """(symbols, where documents begin in them, what a path's name is made of)."""
+    return byte_symbols(data), offsets, data
 
 
 def of_words(data: np.ndarray, offsets: np.ndarray):
     _, _, before, symbols = word_symbols(data, offsets)
-    return symbols, before
+    return symbols, before, symbols
 
 
-def super_windows(symbols: np.ndarray, offsets: np.ndarray, W: int, K: int):
+def names_of(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of raw, of another kind than the symbols' hashes, so that strings that are alike to those are told apart."""
+    view, size = memoryview(np.ascontiguousarray(raw)).cast("B"), raw.itemsize
+    one = xxhash.xxh3_64_intdigest
+    return np.array([one(view[a:z]) for a, z in zip((lo * size).tolist(), (hi * size).tolist(), strict=True)], np.uint64)
+
+
+def super_windows(symbols: np.ndarray, offsets: np.ndarray, W: int, K: int, raw: np.ndarray):
     """(document, first window's place, windows, minimizer's offset in the first window, gram, path) as arrays."""
     n, M = len(symbols), W - K + 1
     if n < W:
@@ -76,24 +85,30 @@ def super_windows(symbols: np.ndarray, offsets: np.ndarray, W: int, K: int):
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     doc, lo, n_win, place = (np.concatenate(x) for x in pieces)
     off = place - lo
-    path = mixed(h.of(lo, lo + n_win + W - 1) + off.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + n_win.astype(np.uint64))
+    path = mixed(names_of(raw, lo, lo + n_win + W - 1) + off.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + n_win.astype(np.uint64))
     return doc, lo, n_win, off, grams[place], path
 
 
-def find_paths(docs: DataFrame, symbols_of: Callable, W: int, K: int) -> DataFrame:
-    """docs: doc_id, th, text."""
+def find_paths(docs: DataFrame, symbols_of: Callable, W: int, K: int, linked: bool) -> DataFrame:
+    """docs: doc_id, th, text. prev and next are 0 unless linked."""
 
     def run(batches):
         for b in batches:
             ids, th = b.column("doc_id"), b.column("th")
             data, offsets = buffers(b.column("text"))
             for i, j in chunks(offsets):
-                symbols, starts = symbols_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                doc, lo, n_win, off, gram, path = super_windows(symbols, starts, W, K)
+                symbols, starts, raw = symbols_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                doc, lo, n_win, off, gram, path = super_windows(symbols, starts, W, K, raw)
                 take = pa.array(doc + i)
+                # The path after a path, and before it, in its document; 0 where there is none.
+                follows = np.append((doc[1:] == doc[:-1]) & (lo[:-1] + n_win[:-1] == lo[1:]), False) if len(lo) else np.zeros(0, bool)
+                after, before = np.zeros(len(path), np.uint64), np.zeros(len(path), np.uint64)
+                if linked:
+                    after[follows] = path[np.flatnonzero(follows) + 1]
+                    before[np.flatnonzero(follows) + 1] = path[follows]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), th.take(take), pa.array((lo - starts[doc]).astype(np.int32)), pa.array(n_win.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(path.view(np.int64))],
-                    names=["doc_id", "th", "lo", "n_win", "off", "gram", "path"],
+                    [ids.take(take), th.take(take), pa.array((lo - starts[doc]).astype(np.int32)), pa.array(n_win.astype(np.int32)), pa.array(off.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (gram, path, before, after))],
+                    names=[x.split()[0] for x in PATHS.split(", ")],
                 )
 
     return docs.mapInArrow(run, PATHS)
@@ -112,13 +127,45 @@ RUNS = "array<struct<s:int,e:int,m:long>>"
 _RUNS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("m", pa.int64())]))
 
 
-def repeated_windows(docs: DataFrame, symbols_of: Callable, W: int, K: int, by_least: bool) -> DataFrame:
+def compacted(found: DataFrame, one: DataFrame) -> DataFrame:
+    """found (gram, path, runs) with chains of paths as one.
+
+    A path that is repeated as a whole, and is always followed by one other such path which always follows it, is an edge to that: no other way
+    enters or leaves the node between them, so that the places of the second are those of the first. Paths are linked by a join, chains
+    are measured by doubling (a path knows how far it reaches with the path it points to), and a chain's first path stands for it.
+    A chain cannot be a circle, since a document's last path is followed by none.
+    """
+    m = F.col("runs")[0]
+    wide = found.join(one.where("n > 1").select("gram", "path", "n_win", "m", "n0", "n1", "p0", "p1"), ["gram", "path"])
+    key = F.struct("gram", "path").alias("key")
+    whole = written(wide.where((F.size("runs") == 1) & (m["s"] == 0) & (m["e"] == F.col("n_win")) & m["m"].eqNullSafe(F.col("m"))).select(key, "path", "n_win", "m", "n0", "n1", "p0", "p1"), "whole")
+    leaves = whole.where("n0 = n1 and n0 <> 0").select("key", F.col("path").alias("from"), F.col("n0").alias("goes"))
+    enters = whole.where("p0 = p1 and p0 <> 0").select(F.col("key").alias("to"), F.col("path").alias("goes"), F.col("p0").alias("from"))
+    links = written(leaves.join(enters, ["from", "goes"]).select("key", "to"), "links")
+    if links.isEmpty():
+        return found
+    members = links.select("key").union(links.select("to")).distinct()
+    sized = whole.join(members, "key", "left_semi").select("key", F.col("n_win").cast("long").alias("reach"))
+    reach = written(sized.join(links, "key", "left").select("key", "to", "reach"), "reach")
+    while not reach.where("to is not null").isEmpty():
+        ahead = reach.select(F.col("key").alias("to"), F.col("to").alias("far"), F.col("reach").alias("more"))
+        longer = reach.join(ahead, "to", "left").select("key", F.col("far").alias("to"), (F.col("reach") + F.coalesce("more", F.lit(0))).alias("reach"))
+        last, reach = reach, written(longer, "reach")
+        dropped(last)
+    heads = reach.join(links.select(F.col("to").alias("key")), "key", "left_anti").join(whole.select("key", "m"), "key")
+    chain = F.array(F.struct(F.lit(0).alias("s"), F.col("reach").alias("e"), F.col("m").alias("m"))).cast(RUNS)
+    rest = found.withColumn("key", F.struct("gram", "path")).join(members, "key", "left_anti").drop("key")
+    return rest.unionByName(heads.select("key.gram", "key.path", chain.alias("runs")))
+
+
+def repeated_windows(docs: DataFrame, symbols_of: Callable, W: int, K: int, by_least: bool, linked: bool = False) -> DataFrame:
     """doc_id, th, spans: for each document with any, an array of struct(s, e), windows [s, e) of it that are repeated.
 
     docs: doc_id, th (a hash of the text), text. A window is repeated if it starts at another place
-    too; with by_least, if it starts in a document with a smaller doc_id.
+    too; with by_least, if it starts in a document with a smaller doc_id. With linked, chains of repeated paths are compacted
+    before they are looked up in documents.
     """
-    paths = written(find_paths(docs, symbols_of, W, K), "paths")
+    paths = written(find_paths(docs, symbols_of, W, K, linked), "paths")
     # As a table, so that both sides of the join are plain exchanges and Spark can split a hot gram's partition.
     several = written(paths.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     shared = written(paths.join(several, "gram", "left_semi"), "paths")
@@ -127,8 +174,9 @@ def repeated_windows(docs: DataFrame, symbols_of: Callable, W: int, K: int, by_l
     # A null doc_id stands after all others.
     ident = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
     one = shared.groupBy("gram", "path").agg(
-        F.count("*").alias("n"), F.min(ident).alias("m"), F.min(F.struct("doc_id", "th", "lo")).alias("at"), F.first("n_win").alias("n_win"), F.first("off").alias("off")
-    )
+        F.count("*").alias("n"), F.min(ident).alias("m"), F.min(F.struct("doc_id", "th", "lo")).alias("at"), F.first("n_win").alias("n_win"), F.first("off").alias("off"),
+        F.min("next").alias("n0"), F.max("next").alias("n1"), F.min("prev").alias("p0"), F.max("prev").alias("p1"),
+    )
     n_paths = one.groupBy("gram").agg(F.count("*").alias("n_paths"))
     one = written(one.join(n_paths, "gram"), "classes")
     whole = F.array(F.struct(F.lit(0).alias("s"), F.col("n_win").alias("e"), F.col("m").alias("m")))
@@ -146,7 +194,7 @@ def repeated_windows(docs: DataFrame, symbols_of: Callable, W: int, K: int, by_l
             data, offsets = buffers(b.column("text"))
             want = b.column("want")
             for i, j in chunks(offsets):
-                symbols, starts = symbols_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                symbols, starts, _ = symbols_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 part = want.slice(i, j - i)
                 at = part.flatten()
                 n_each = np.diff(part.offsets.to_numpy())
@@ -224,7 +272,9 @@ def repeated_windows(docs: DataFrame, symbols_of: Callable, W: int, K: int, by_l
         F.collect_list(F.struct(F.col("i").alias("s"), (F.col("i") + 1).alias("e"), F.col("m_all").alias("m"))).alias("runs")
     )
     found = single.unionByName(few.where("size(runs) > 0")).unionByName(marked.select("gram", "path", F.col("runs").cast(RUNS).alias("runs")))
-    hits = shared.join(found, ["gram", "path"])
+    if linked:
+        found = compacted(written(found, "found"), one)
+    hits = shared.drop("prev", "next").join(found, ["gram", "path"])
     if by_least:
         hits = hits.withColumn("runs", F.filter("runs", lambda r: r["m"] < F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)))).where("size(runs) > 0")
     spans = F.transform("runs", lambda r: F.struct((F.col("lo") + r["s"]).alias("s"), (F.col("lo") + r["e"]).alias("e")))

@@ -144,6 +144,38 @@ def test_word_repeats_of_hot_grams(docs, monkeypatch):
     assert Counter(tuple(r)[:4] + (r["kept_sha256"],) for r in got.collect()) == Counter(brute.byte_repeats(pairs(), 40))
 
 
+def test_passages_in_chains(spark):
+    """Passages much longer than a path, in many documents, whole and in parts, nested, repeated in one document, and periodic texts."""
+    rng = random.Random(31)
+    a, b = words(rng, 150).split(), words(rng, 90).split()
+    texts = []
+    for i in range(40):
+        cut = a[rng.randint(0, 40) : 150 - rng.randint(0, 60)] if i % 3 else a
+        middle = cut if i % 4 else cut[:50] + b + cut[50:]
+        texts.append(" ".join([*words(rng, rng.randint(0, 30)).split(), *middle, *words(rng, rng.randint(0, 30)).split()]))
+    texts += [" ".join(a + a), " ".join(b), " ".join(a), "x y " * 60, "x y " * 80, "y " + "x y " * 30]
+    data = [*enumerate(texts), (3, texts[3]), (None, " ".join(a)), (None, texts[7])]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = remove_passages(docs, 12).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert Counter(map(tuple, got)) == Counter(brute.word_repeats(data, 12))
+
+
+def test_texts_of_several_chunks(spark):
+    """Documents above a chunk (512 KB), and several chunks in a batch."""
+    rng = random.Random(32)
+    some = [words(rng, 1) for _ in range(4000)]
+    said = lambda n: " ".join(rng.choices(some, k=n))
+    long = said(150_000)
+    texts = [long, said(50) + " " + long[300_000:560_000] + " " + said(90_000), said(3000), long[:700], said(2000) + " " + long[-900:]]
+    assert len(texts[0]) > 1 << 19 < len(texts[1])
+    data = list(enumerate(texts))
+    docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    got = remove_passages(docs, 20).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert Counter(map(tuple, got)) == Counter(brute.word_repeats(data, 20))
+    got = suffix_dedup.remove_repeats(docs, 100)
+    assert Counter(tuple(r)[:4] + (r["kept_sha256"],) for r in got.collect()) == Counter(brute.byte_repeats(data, 100))
+
+
 def test_packing(docs, nothing):
     from tokenizers import Tokenizer
 
@@ -619,3 +651,36 @@ def test_pipeline_keeps_one_row_of_near_duplicates(spark):
     docs = spark.createDataFrame([(d, t, "en", "s1", 0) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long")
     got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_distinct(spark, docs, "").collect())
     assert got == Counter([(1, one), (None, two), (5, three), (2, four), (7, None), (7, "")])
+
+
+def test_pipeline_on_odd_rows(spark, docs, nothing, tmp_path):
+    """Nulls, repeated rows, clashing columns and an empty table through all stages, each written and read again."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1), (None, 1), (7, None)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for k, table in enumerate((docs, nothing)):
+        now = table
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = str(tmp_path / f"{k}-{i}")
+            stage(spark, now, str(tmp_path)).write.parquet(out)
+            now = spark.read.parquet(out)
+            if i < 4:
+                assert now.columns == corpus_pipeline.COLUMNS, name
+            if i == 1 and k == 0:
+                texts = [r["text"] for r in now.collect()]
+                assert len([t for t in texts if t == rows()[4][1]]) == 1 and sum(not t for t in texts) >= 2
+        assert (now.count() > 0) == (k == 0)
+
+
+def test_rejected_rows_leave_others_of_their_id(spark, tmp_path):
+    """Rows that share a doc_id or have none are judged by their own text."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    good, bad = lambda: words(rng, 40) + " fine.", lambda: words(rng, 30) + " #$%&" * 12
+    data = [(i, good() if i % 2 else bad(), "en", "s", 0) for i in range(200)]
+    odd = [(500, good(), "en", "s", 0), (500, bad(), "en", "s", 0), (None, bad(), "en", "s", 0), (None, good(), "en", "s", 0)]
+    spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(data + odd, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_good(spark, docs, str(tmp_path)).collect()}
+    assert {(d, t) for d, t, *_ in odd if (d, t) in kept} == {(odd[0][0], odd[0][1]), (odd[3][0], odd[3][1])}
