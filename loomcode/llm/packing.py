@@ -286,6 +286,23 @@ def fitted(vectors: np.ndarray, topics: int, rounds: int = 12) -> np.ndarray:
     return centres.astype(np.float32)
 
 
+def sampled(units: DataFrame, n: int, idf: np.ndarray) -> np.ndarray:
+    """The vectors of the SAMPLE units of n with the least hashes. Those above twice the share that is wanted are left out where they stand."""
+    shared = units.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches):
+        towards = directions()
+        for b in batches:
+            for part in slices(b):
+                vectors, _ = placed(*bags(part), shared.value, towards)
+                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array([x.tobytes() for x in vectors], pa.binary())], names=["uid", "vector"])
+
+    order = F.pmod(F.xxhash64("uid"), F.lit(1_000_000))
+    few = units.where(order < int(min(1.0, 2 * SAMPLE / n) * 1_000_000) + 1).select("uid", "terms", "counts")
+    rows = few.mapInArrow(run, "uid long, vector binary").orderBy(order, "uid").limit(SAMPLE).toArrow()
+    return np.frombuffer(b"".join(rows["vector"].to_pylist()), np.float32).reshape(-1, DIMS)
+
+
 def dealt(units: DataFrame, idf: np.ndarray, centres: np.ndarray) -> DataFrame:
     """units with topic and mh."""
     shared = units.sparkSession.sparkContext.broadcast((idf, centres))
@@ -497,8 +514,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_units: int
         if last:
             sharded = units.withColumn("shard", F.lit(0))
         else:
-            sample = units.select("uid", "terms", "counts").orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).toArrow().combine_chunks().to_batches()
-            centres = fitted(placed(*bags(sample[0]), idf, directions())[0], min(TOPICS, n // per_shard))
+            centres = fitted(sampled(units, n, idf), min(TOPICS, n // per_shard))
             sharded = into_shards(units, idf, centres, per_shard)
         packed = written(pack_shards(sharded, idf, mean, window, last), "packed")
         pieces = pieces.unionByName(packed.where("sequence_id is not null").select(pieces.columns))
