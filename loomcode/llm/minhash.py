@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcode.llm.common import buffers, chunks, mixed, word_symbols, written
+from loomcode.llm.common import buffers, chunks, dropped, mixed, word_symbols, written
 
 COORDINATES = 32
 MATCHES = 14
@@ -138,6 +138,7 @@ def components(links: DataFrame) -> DataFrame:
         after = written(small.select("x.u", "x.v").where("u <> v").distinct(), "links")
         stats = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         same = stats(after) == stats(edges)
+        dropped(edges)
         edges = after
         if same:
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
