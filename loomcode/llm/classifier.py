@@ -96,7 +96,7 @@ def measures_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text, host, path. Adds measures, array<float>, in place of text."""
+    """docs: doc_id, text, host, path, text_hash. Adds measures, array<float>, in place of text."""
 
     def run(batches):
         for b in batches:
@@ -105,9 +105,9 @@ def measured(docs: DataFrame) -> DataFrame:
                 m = measures_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(m.astype(np.float32).ravel()), len(MEASURES)).cast(pa.list_(pa.float32()))
                 part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("host"), part.column("path"), lists], names=["doc_id", "host", "path", "measures"])
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("doc_id", "host", "path", "text_hash")), lists], names=["doc_id", "host", "path", "text_hash", "measures"])
 
-    return docs.select("doc_id", "host", "path", "text").mapInArrow(run, "doc_id long, host string, path string, measures array<float>")
+    return docs.select("doc_id", "host", "path", "text_hash", "text").mapInArrow(run, "doc_id long, host string, path string, text_hash long, measures array<float>")
 
 
 def expanded(x: np.ndarray) -> np.ndarray:
@@ -162,13 +162,23 @@ def strength(sites: DataFrame, mean: str) -> float:
     return float(min(max(inside / max(spread, 1e-9), 1.0), 1e6))
 
 
+def site_of(host_col: str = "source", path_col: str = "lang") -> tuple[Column, Column]:
+    """(host, path in it); a null is a site of its own."""
+    host = F.coalesce(F.concat(F.lit("s:"), F.col(host_col)), F.lit("null"))
+    return host, F.concat_ws("/", host, F.coalesce(F.concat(F.lit("s:"), F.col(path_col)), F.lit("null")))
+
+
+def hash_of(text_col: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def classify(
-    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang"
+    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", row_key: bool = False
 ) -> DataFrame:
-    """doc_id, p_document, host_posterior, path_posterior, posterior, kept: a row for each document."""
-    host = F.coalesce(F.concat(F.lit("s:"), F.col(host_col)), F.lit("null"))
-    path = F.concat_ws("/", host, F.coalesce(F.concat(F.lit("s:"), F.col(path_col)), F.lit("null")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), host.alias("host"), path.alias("path"))
+    """doc_id, p_document, host_posterior, path_posterior, posterior, kept: a row for each document; with row_key, text_hash and path too, which tell rows
+    that share a doc_id apart."""
+    host, path = site_of(host_col, path_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), host.alias("host"), path.alias("path"), hash_of(text_col).alias("text_hash"))
     quality = labels.where("quality is not null").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").cast("double").alias("quality"))
     known = written(measured(rows).join(quality, F.col("doc_id") == F.col("labelled"), "left").drop("labelled"), "measures")
     x, given = sampled(known, sample)
@@ -180,7 +190,7 @@ def classify(
         m = F.get("measures", F.lit(i)).cast("double")
         z = z + m * float(w[i]) + F.sqrt(F.greatest(m, F.lit(0.0))) * float(w[k + i])
     p = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
-    scored = known.select("doc_id", "host", "path", p.alias("p"), (F.coalesce("quality", p) if both else p).alias("y"))
+    scored = known.select("doc_id", "host", "path", "text_hash", p.alias("p"), (F.coalesce("quality", p) if both else p).alias("y"))
     paths = written(scored.groupBy("path").agg(F.first("host").alias("host"), F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")), "sites")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     n, s = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0.0))).first()
@@ -195,4 +205,5 @@ def classify(
     judged = judged.withColumn("path_posterior", without(F.col("s"), F.col("n"), F.col("host_posterior"), k_path))
     odds = logit(F.col("p")) + logit(F.col("path_posterior")) - logit(F.lit(mean))
     judged = judged.withColumn("posterior", 1 / (1 + F.exp(-odds)))
-    return judged.select("doc_id", F.col("p").alias("p_document"), "host_posterior", "path_posterior", "posterior", (F.col("posterior") >= threshold).alias("kept"))
+    own = ["text_hash", "path"] if row_key else []
+    return judged.select("doc_id", F.col("p").alias("p_document"), "host_posterior", "path_posterior", "posterior", (F.col("posterior") >= threshold).alias("kept"), *own)
