@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcode.llm.classifier import classify
+from loomcode.llm.classifier import classify, hash_of, site_of
 from loomcode.llm.common import written
 from loomcode.llm.debruijn import remove_passages
 from loomcode.llm.minhash import near_duplicates
@@ -20,30 +20,20 @@ from loomcode.llm.queries import WEIGHTS, tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs with row, a number of its own for each row, as ids may be null or repeated; a table, so that the numbers stay."""
-    return written(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), name)
-
-
-def kept_rows(rows: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows whose number is judged to be kept."""
-    gone = judged.where("not kept").select(F.col("doc_id").alias("row"))
-    return rows.join(gone, "row", "left_anti").select(COLUMNS)
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; each row is judged by its own text."""
-    rows = numbered(docs, "judged")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    of_rows = rows.select("row", "doc_id").join(labels, "doc_id").select(F.col("row").alias("doc_id"), "quality")
-    return kept_rows(rows, classify(rows, of_rows, id_col="row"))
+    """Documents that the quality classifier rejects go; rows that share a doc_id, or have none, are told apart by their text and site."""
+    judged = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_key=True)
+    gone = judged.where("not kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), F.col("path").alias("site")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (hash_of() == F.col("h")) & (site_of()[1] == F.col("site"))
+    return docs.select(COLUMNS).join(gone, same, "left_anti")
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, a similarity of 0.8 or more."""
-    # Numbers in the order of doc_id, so that the least one stays.
-    rows = numbered(docs.select(COLUMNS).orderBy(F.col("doc_id").asc_nulls_last()), "numbered")
-    return kept_rows(rows, near_duplicates(rows, width=5, percent=80, id_col="row"))
+    # Numbers in the order of doc_id stand for rows, as ids may be null or repeated; the least one stays.
+    rows = written(docs.select(COLUMNS).orderBy(F.col("doc_id").asc_nulls_last()).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    gone = near_duplicates(rows, width=5, percent=80, id_col="row").where("not kept").select(F.col("doc_id").alias("row"))
+    return rows.join(gone, "row", "left_anti").select(COLUMNS)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
