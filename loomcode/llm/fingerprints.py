@@ -132,18 +132,92 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, text string, fingerprint string")
 
 
-def band_keys(least: float):
-    """A key for each band of the column fingerprint. The slots are dealt to one band more than slots may differ, so that two fingerprints that agree
-    in the share `least` of them have a whole band in common."""
+def equal_slots(a: str, b: str):
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SLOTS)), F.lit(0), lambda acc, i: acc + (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))).cast("int"))
+
+
+def band_slots(least: float) -> list[np.ndarray]:
+    """The slots of each band: they are dealt to one band more than slots may differ, so that two fingerprints that agree in the share `least` of them
+    have a whole band in common."""
     if not 0 < least <= 1:
         raise ValueError("least must be above 0, and 1 at most")
     differ = min(int(SLOTS * (1 - least) + 1e-9), SLOTS - 1)
-    bands = np.array_split(np.random.default_rng(5).permutation(SLOTS) + 1, differ + 1)
-    return F.array(*(F.xxhash64(F.lit(i), *(F.substring("fingerprint", int(p), 1) for p in row)) for i, row in enumerate(bands)))
+    return np.array_split(np.random.default_rng(5).permutation(SLOTS), differ + 1)
 
 
-def equal_slots(a: str, b: str):
-    return F.aggregate(F.sequence(F.lit(1), F.lit(SLOTS)), F.lit(0), lambda acc, i: acc + (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))).cast("int"))
+def band_keys(least: float):
+    """A key for each band of the column fingerprint."""
+    return F.array(*(F.xxhash64(F.lit(i), *(F.substring("fingerprint", int(p) + 1, 1) for p in row)) for i, row in enumerate(band_slots(least))))
+
+
+#: Fingerprints of a side that meet in a task.
+BLOCK = 2048
+
+
+def compared(asked: DataFrame, own: DataFrame, least: float) -> DataFrame:
+    """asked: q, fq; own: c, fingerprint, n, least_id. q, n_other, like, other_id, c: what a block of own has for a query, as the number of documents whose
+    fingerprints agree in the share `least`, and the one that agrees most.
+
+    Both sides meet in their bands. A band that many share is cut into blocks on both sides, and blocks are compared in pairs, so that rows grow
+    with the fingerprints and blocks and not with the pairs of fingerprints. A pair counts in the first band that it has in common.
+    """
+    band = F.posexplode(band_keys(least)).alias("no", "band")
+    left = asked.select("q", F.col("fq").alias("fingerprint")).select("q", band)
+    right = own.select("c", "fingerprint").select("c", band)
+    sized = lambda df, name: df.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias(name))
+    parts_q = written(sized(left, "parts_q"), "bands")
+    met = written(right.join(parts_q, "band"), "met")
+    parts_c = sized(met, "parts_c")
+    right = met.join(parts_c, "band").withColumn("bc", F.pmod(F.xxhash64("c"), F.col("parts_c"))).withColumn("bq", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_q") - 1)))
+    left = left.join(parts_q, "band").join(parts_c, "band").withColumn("bq", F.pmod(F.xxhash64("q"), F.col("parts_q"))).withColumn("bc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_c") - 1)))
+    none = F.lit(None).cast("long")
+    place = ["band", "bq", "bc", "no"]
+    one = left.select(*place, F.lit(0).alias("side"), "q").join(asked, "q").select(*place, "side", F.col("q").alias("id"), F.col("fq").alias("fingerprint"), none.alias("n"), none.alias("least_id"))
+    two = right.select(*place, F.lit(1).alias("side"), "c").join(own, "c").select(*place, "side", F.col("c").alias("id"), "fingerprint", "n", "least_id")
+    rows = one.unionByName(two).repartition(4 * parts(own.sparkSession), "band", "bq", "bc").sortWithinPartitions("band", "bq", "bc", "side")
+    slots = band_slots(least)
+
+    def meet(t: pa.Table):
+        """Groups of one place, in order."""
+        key = [t.column(x).to_numpy() for x in place]
+        codes = np.frombuffer("".join(t.column("fingerprint").to_pylist()).encode(), np.uint8).reshape(-1, SLOTS)
+        side, ids = t.column("side").to_numpy(), t.column("id").to_numpy()
+        n, least_id = t.column("n").fill_null(0).to_numpy(), t.column("least_id").fill_null(2**63 - 1).to_numpy()
+        new = np.flatnonzero(np.concatenate([[True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])]))
+        out = []
+        for a, z in zip(new.tolist(), np.append(new[1:], len(ids)).tolist(), strict=True):
+            cut = a + int((side[a:z] == 0).sum())
+            no = int(key[3][a])
+            for i in range(a, cut):
+                like = (codes[cut:z] == codes[i]).mean(axis=1)
+                near = np.flatnonzero((like >= least) & (ids[cut:z] != ids[i]))
+                first = np.array([next(k for k, x in enumerate(slots) if (codes[cut + j][x] == codes[i][x]).all()) == no for j in near.tolist()], bool)
+                near = near[first] if len(near) else near
+                if len(near):
+                    top = near[np.lexsort((least_id[cut + near], -like[near]))[0]] + cut
+                    out.append((int(ids[i]), int(n[cut + near].sum()), float(like[top - cut]), int(least_id[top]), int(ids[top])))
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["q", "n_other", "like", "other_id", "c"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if not len(t):
+                continue
+            last = [t.column(x)[-1].as_py() for x in place[:3]]
+            same = np.ones(len(t), bool)
+            for x, v in zip(place[:3], last, strict=True):
+                same &= t.column(x).to_numpy() == v
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            held = t.slice(cut)
+            if cut:
+                yield meet(t.slice(0, cut).combine_chunks())
+        if held is not None and len(held):
+            yield meet(held.combine_chunks())
+
+    return rows.mapInArrow(run, "q long, n_other long, like double, other_id long, c long")
 
 
 def nearest(docs: DataFrame, prints: DataFrame, least: float = 0.9, every: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,20 +232,19 @@ def nearest(docs: DataFrame, prints: DataFrame, least: float = 0.9, every: int =
     own = written(own.withColumn("c", F.monotonically_increasing_id()), "classes")
     asking = prints.where(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), "text_sha256")
     asked = written(own.join(asking.select("text_sha256").distinct(), "text_sha256").select(F.col("c").alias("q"), F.col("fingerprint").alias("fq"), "n"), "asked")
-    keys = band_keys(least)
-    banded = own.select("c", F.explode(keys).alias("band"))
-    wanted = asked.select("q", F.col("fq").alias("fingerprint")).select("q", F.explode(keys).alias("band"))
-    pairs = wanted.join(banded, "band").where("q <> c").select("q", "c").distinct()
-    slim = own.select("c", "fingerprint", "n", "least_id")
-    like = pairs.join(asked.drop("n"), "q").join(slim, "c").withColumn("like", equal_slots("fq", "fingerprint") / SLOTS).where(F.col("like") >= least)
-    best = like.groupBy("q").agg(F.sum("n").alias("n_other"), F.max(F.struct("like", (-F.col("least_id")).alias("m"), "c")).alias("b"))
-    best = written(best.select("q", "n_other", F.col("b.like").alias("like"), F.col("b.c").alias("c"), (-F.col("b.m")).alias("other_id")), "best")
+    best = compared(asked.select("q", "fq"), own.select("c", "fingerprint", "n", "least_id"), least).groupBy("q").agg(
+        F.sum("n_other").alias("n_other"), F.max(F.struct("like", (-F.col("other_id")).alias("m"), "c")).alias("b")
+    )
+    other = F.nullif(-F.col("b.m"), F.lit(2**63 - 1))  # a class without an id
+    best = written(best.select("q", "n_other", F.col("b.like").alias("like"), F.col("b.c").alias("c"), other.alias("other_id")), "best")
     # The texts of those pairs alone; a query's class and its nearest one are joined to documents by hash.
     need = best.select(F.explode(F.array("q", "c")).alias("c")).distinct().join(own.select("c", "text_sha256"), "c")
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(text.alias("text"), F.sha2(text, 256).alias("text_sha256"))
     texts = written(joined_small(texts, need, "text_sha256", 100_000).where("c is not null").dropDuplicates(["c"]).select("c", "text"), "texts")
     both = best.join(texts.select(F.col("c").alias("q"), F.col("text").alias("tq")), "q").join(texts, "c")
+    # Few rows with much work each: many partitions, which stay as many.
+    both = both.repartition(8 * parts(docs.sparkSession), "q", "c")
     longer = F.greatest(F.length("tq"), F.length("text"))
     most = F.floor(longer * (1 - least) + 1e-9).cast("int")
     edits = F.call_function("levenshtein", F.col("tq"), F.col("text"), most)
