@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomcode.llm.licenses import PHRASES, TEMPLATES, alpha_of, words_in
 from loomcode.llm.queries import WEIGHTS
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -59,4 +60,87 @@ select w.doc_id, any_value(len(w.ws))::bigint as n_words, count(*) filter (where
 from w left join each e on e.doc_id = w.doc_id group by w.doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_mixing": OP2, "op3_minhash": OP3, "op8_substring_dedup": OP8}
+OP11 = f"""
+with base as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, {_WORDS} as ws from documents),
+firsts as (select text, min(doc_id) as first from base group by text),
+lab as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+fails as (
+    select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, count(*) as n,
+        [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text),
+            regexp_matches(text, '[#$%&*|]'), coalesce(b.doc_id > first, false)] as f
+    from base b join firsts using (text) left join lab on lab.doc_id = b.doc_id group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+    select a.x || b.x || c.x || d.x || e.x as o from letters a, letters b, letters c, letters d, letters e
+    where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+each as (
+    select part, good, toxic, n, f, o as filter_order, step, f[ascii(o[step]) - 64] as bad,
+        len(list_filter(range(1, step), lambda k: f[ascii(o[k]) - 64])) > 0 as earlier, len(list_filter(f, lambda x: x)) = 1 as alone
+    from fails, orders, unnest(range(1, 6)) as t(step)),
+steps as (
+    select part, filter_order, step, sum(case when not bad and not earlier then n else 0 end)::bigint as kept, sum(case when bad and not earlier then n else 0 end)::bigint as removed,
+        sum(case when bad and earlier then n else 0 end)::bigint as redundant, sum(case when bad and alone then n else 0 end)::bigint as unique_fails,
+        sum(case when bad and not earlier and good then n else 0 end)::bigint as good_lost, sum(case when bad and not earlier and toxic then n else 0 end)::bigint as toxic_lost
+    from each group by part, filter_order, step)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) over (partition by part, filter_order[step]))::bigint as shapley from steps
+"""
+
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+    lambda c, x: list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"""
+
+OP12 = f"""
+with turns as (
+    select conv_id, list(sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) order by turn nulls first) as ts,
+        list(octet_length(encode(coalesce(text, ''))) order by turn nulls first) as bs
+    from conversations where conv_id is not null group by conv_id),
+heads as (select *, ({_CRC} % 9)::int as h from turns),
+rebuilt as (
+    select c.conv_id, list_concat(coalesce(b.ts, [])[1 : c.h], c.ts[c.h + 1 :]) as ts, list_concat(coalesce(b.bs, [])[1 : c.h], c.bs[c.h + 1 :]) as bs
+    from heads c left join turns b on b.conv_id = c.conv_id - c.conv_id % 5),
+paths as (select conv_id, d, array_to_string(ts[1 : d], ',') as node, array_to_string(ts[1 : d - 1], ',') as parent, d = len(ts) as last, coalesce(bs[d], 0) as bytes
+    from rebuilt, unnest(range(0, len(ts) + 1)) as t(d)),
+nodes as (select d, node, min(conv_id) as conv_id, any_value(parent) as parent, any_value(bytes) as bytes, count(*) as n_convs,
+    coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where last), '') as ends from paths group by d, node),
+kids as (select d - 1 as d, parent as node, count(*) as n_children from nodes where d > 0 group by all),
+full_nodes as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join kids using (d, node)),
+sums as (
+    select p.d, p.node, count(*) filter (where n.n_children = 0) as n_leaves, sum((n.n_convs - 1) * n.bytes) as saved
+    from full_nodes n join paths p on p.conv_id = n.conv_id and p.d <= n.d group by p.d, p.node)
+select n.conv_id, n.d::bigint as depth, u.conv_id as parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved::bigint as saved_tokens, sha256(n.ends) as ends_sha256
+from full_nodes n join sums s using (d, node) left join nodes u on u.d = n.d - 1 and u.node = n.parent
+"""
+
+
+def _texts(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_LICENSE_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_HALF = max(len(words_in(t.text)) for t in TEMPLATES)
+_PLACES = ", ".join(
+    f"list_filter(range(0, len(ws)), lambda i: {' and '.join(f"coalesce(ws[i + {k + 1}] = '{w}', false)" for k, w in enumerate(words_in(p)))}) as p{j}" for j, p in enumerate(PHRASES)
+)
+_BASE = ", ".join(f"case when len(p{j}) > 0 then '{label}' end" for j, label in enumerate(PHRASES.values()))
+_ROWS = ", ".join(f"('{t.name}', '{t.label}', {_texts(sorted(set(words_in(t.text))))}, {_texts(sorted(set(words_in(t.required))))}, {alpha_of(len(set(words_in(t.text))), 0.8)})" for t in TEMPLATES)
+
+OP13 = f"""
+with w as (select row_number() over () as id, doc_id, {_LICENSE_WORDS} as ws from documents),
+places as (select id, doc_id, len(ws) as n_words, {_PLACES} from w),
+base as (select id, doc_id, n_words, list_concat({', '.join(f'p{j}' for j in range(len(PHRASES)))}) as p, list_filter([{_BASE}], lambda x: x is not null) as b from places),
+templates(name, label, words, required, alpha) as (values {_ROWS}),
+blocks as (
+    select id, k, list_distinct(ws[k * {_HALF} + 1 : (k + 2) * {_HALF}]) as ws
+    from w, unnest(range(0, greatest(len(ws) - {_HALF}, 0) // {_HALF} + 1)) as t(k)),
+found as (
+    select id, k, name, label, words, len(list_intersect(ws, words)) / len(words) as containment from blocks, templates
+    where list_has_any(ws, required) and len(list_intersect(ws, words)) >= alpha and list_has_all(ws, required)),
+own as (select * from found f where not exists (select 1 from found g where g.id = f.id and g.k = f.k and len(g.words) > len(f.words) and list_has_all(g.words, f.words))),
+docs as (select id, list(label) as l, max(containment) as score, count(distinct k) as n_blocks from own group by id)
+select doc_id, n_words, len(p)::bigint as n_base, list_min(p) as first_word, list_max(p) as last_word, coalesce(array_to_string(list_sort(list_distinct(b)), ','), '') as base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(b, coalesce(l, [])))), ','), '') as labels, coalesce(score, 0.0)::double as score, coalesce(n_blocks, 0)::bigint as n_blocks
+from base left join docs using (id)
+"""
+
+ORACLES: dict[str, str] = {"op2_mixing": OP2, "op3_minhash": OP3, "op8_substring_dedup": OP8, "op11_filter_audit": OP11, "op12_prefix_trie": OP12, "op13_licenses": OP13}

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomcode.llm.audit import audit_filters
 from loomcode.llm.classifier import classify
 from loomcode.llm.common import joined_small, written
 from loomcode.llm.debruijn import remove_passages
 from loomcode.llm.fingerprints import edited_fingerprints, nearest
+from loomcode.llm.licenses import scan_licenses
 from loomcode.llm.minhash import near_duplicates
 from loomcode.llm.mixing import mix_sources
 from loomcode.llm.packing import pack
 from loomcode.llm.rules import apply_rules
 from loomcode.llm.sharding import assign_shards
 from loomcode.llm.suffix_dedup import remove_repeats
+from loomcode.llm.trie import prefix_trie
 from loomcode.llm.warc import archived_path, read_archives, write_archives
 
 #: Sources that are wanted more or less than the others.
@@ -85,6 +88,18 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("digest")
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -98,5 +113,8 @@ QUERIES = {
         op8_substring_dedup,
         op9_rules,
         op10_classifier,
+        op11_filter_audit,
+        op12_prefix_trie,
+        op13_licenses,
     )
 }
