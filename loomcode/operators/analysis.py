@@ -7,10 +7,14 @@ documents (doc_id, grp, lang, name), codes (code_id, label). Ties are broken by
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcode.functions import text as T
+from loomcode.operators.numbering import numbered
+from loomcode.store import written
 
 LOW_VOLUME = 50
 TOP_LEMMAS = 30
@@ -23,7 +27,9 @@ class Analysis:
         self.documents = documents.withColumn("grp", F.coalesce("grp", F.lit("")))
         self.segments = segments
         self.codable = segments.where("status <> 'excluded'")
-        self.codings = codings.join(codes.select("code_id", "label"), "code_id", "left").withColumn("label", label)
+        self.labels = codes.select("code_id", "label")
+        self.label = label
+        self.codings = codings.join(self.labels, "code_id", "left").withColumn("label", label)
         self.unit_codes = self.codings.select("doc_id", "position", "code_id", "label").distinct()
         self.stoplists = stoplists or {}
 
@@ -36,16 +42,34 @@ class Analysis:
         out = per.crossJoin(F.broadcast(n))  # one row
         return out.withColumn("pct_units", T.percent(F.col("units"), F.col("n_codable"), 1)).orderBy(F.desc("codings"), "first").drop("first")
 
+    @cached_property
+    def coded(self) -> DataFrame:
+        """segments with code_ids: the distinct codes of a unit, in order."""
+        if "code_ids" in self.segments.columns:
+            return self.segments.withColumn("code_ids", F.sort_array("code_ids"))
+        per = self.unit_codes.groupBy("doc_id", "position").agg(F.sort_array(F.collect_set("code_id")).alias("code_ids"))
+        return self.segments.join(per, ["doc_id", "position"], "left").withColumn("code_ids", F.coalesce("code_ids", F.array().cast("array<long>")))
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """rows with the label of their code_id."""
+        return rows.join(self.labels, "code_id", "left").withColumn("label", F.when(F.col("code_id").isNotNull(), self.label))
+
+    @cached_property
+    def group_counts(self) -> DataFrame:
+        """grp, codable, code_ids, n: how many units of a group have a set of codes; all that is said of groups is summed from this table."""
+        rows = self.coded.select("doc_id", (F.col("status") != "excluded").alias("codable"), "code_ids").join(self.documents.select("doc_id", "grp"), "doc_id")
+        return written(rows.groupBy("grp", "codable", "code_ids").agg(F.count("*").alias("n")), "groups")
+
     def units_per_group(self) -> DataFrame:
-        return self.codable.join(self.documents, "doc_id").groupBy("grp").agg(F.count("*").alias("n_units"))
+        return self.group_counts.where("codable").groupBy("grp").agg(F.sum("n").alias("n_units"))
 
     def groups(self) -> DataFrame:
         """label, grp, units, n_units, pct, mean, deviation: every code by every group. Empty with fewer than two groups."""
-        labels = self.unit_codes.select("label").distinct()
-        present = self.segments.join(self.documents, "doc_id").select("grp").distinct()
+        present = self.group_counts.select("grp").distinct()
         n = present.agg(F.count("*").alias("n_groups")).where("n_groups >= 2")
-        hits = self.unit_codes.join(self.documents, "doc_id").groupBy("label", "grp").agg(F.count("*").alias("units"))
-        grid = labels.crossJoin(F.broadcast(present.crossJoin(F.broadcast(n)).select("grp")))  # codes by groups
+        hits = self.labelled(self.group_counts.select("grp", "n", F.explode("code_ids").alias("code_id"))).groupBy("label", "grp").agg(F.sum("n").alias("units"))
+        labels = hits.select("label").distinct()
+        grid = labels.crossJoin(present.crossJoin(n).select("grp"))  # codes by groups: as many rows as the result has
         out = grid.join(hits, ["label", "grp"], "left").join(self.units_per_group(), "grp", "left").fillna(0, ["units", "n_units"])
         out = out.withColumn("pct", T.percent(F.col("units"), F.col("n_units"), 1))
         # The mean is of the rounded shares.
@@ -86,10 +110,10 @@ class Analysis:
         return self.unit_codes.groupBy("doc_id").pivot("label", labels).agg(F.count("position")).fillna(0, labels)
 
     def lemma_tokens(self) -> DataFrame:
-        """doc_id, position, lang, grp, lemma: of coded units, without stop words, digits and the stop lists."""
+        """doc_id, position, lang, grp, code_ids, lemma: of coded units, without stop words, digits and the stop lists."""
         docs = self.documents.where(F.col("lang").isin(T.LANGUAGES)).select("doc_id", "lang", "grp")
-        rows = self.segments.where("status = 'coded'").select("doc_id", "position", "text").join(docs, "doc_id")
-        rows = rows.select("doc_id", "position", "lang", "grp", F.explode(T.content(T.tokens(F.col("text")), F.col("lang"))).alias("lemma"))
+        rows = self.coded.where("status = 'coded'").select("doc_id", "position", "text", "code_ids").join(docs, "doc_id")
+        rows = rows.select("doc_id", "position", "lang", "grp", "code_ids", F.explode(T.content(T.tokens(F.col("text")), F.col("lang"))).alias("lemma"))
         rows = rows.where(~F.rlike("lemma", F.lit(r"^[\p{N}'_-]+$")))
         for lang, words in self.stoplists.items():
             own = sorted({w.strip().lower() for w in words} - {""})
@@ -97,12 +121,26 @@ class Analysis:
                 rows = rows.where(~((F.col("lang") == lang) & F.col("lemma").isin(own)))
         return rows
 
-    def _cells(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        per = rows.groupBy(*keys, "lemma").agg(F.count("*").alias("freq"))
-        total = F.sum("freq").over(Window.partitionBy(*keys))
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("freq"), "lemma"))
-        out = per.withColumn("total", total).withColumn("norm", T.rounded(F.col("freq") / F.col("total"), 4)).withColumn("flagged", F.col("total") < LOW_VOLUME)
-        return out.withColumn("rank", rank)
+    @cached_property
+    def lemma_cells(self) -> DataFrame:
+        """level, lang, label, grp, lemma, freq, total, rank: of a language (level 0), a code (1), a code in a group (2).
+
+        Texts are cut once. Lemmas are counted by sets of codes first, so that what a unit's codes repeat are counts and not tokens; the two levels of codes
+        are grouping sets of these counts. Ranks and totals are by range partitions, so that no language is in one task.
+        """
+        per = self.lemma_tokens().groupBy("lang", "grp", "code_ids", "lemma").agg(F.count("*").alias("n"))
+        # The language's own cell is a set of codes that all units have: none.
+        every = F.concat(F.array(F.lit(None).cast("long")), F.col("code_ids").cast("array<long>"))
+        rows = self.labelled(per.select("lang", "grp", "lemma", "n", F.explode(every).alias("code_id")))
+        sets = rows.groupingSets([[F.col(c) for c in ("lang", "label", "lemma")], [F.col(c) for c in ("lang", "label", "grp", "lemma")]], "lang", "label", "grp", "lemma")
+        cells = sets.agg(F.sum("n").alias("freq"), F.grouping("grp").alias("over_groups"))
+        level = F.when(F.col("label").isNull(), 0).when(F.col("over_groups") == 1, 1).otherwise(2)
+        cells = cells.where("label is not null or over_groups = 1").select(level.alias("level"), "lang", "label", "grp", "lemma", "freq")
+        return numbered(cells, "rank", [F.desc("freq"), F.col("lemma")], ("level", "lang", "label", "grp"), {"total": "freq"})
+
+    def _cells(self, level: int, keys: list[str]) -> DataFrame:
+        out = self.lemma_cells.where(F.col("level") == level).withColumn("norm", T.rounded(F.col("freq") / F.col("total"), 4))
+        return out.select(*keys, "lemma", "freq", "total", "norm", (F.col("total") < LOW_VOLUME).alias("flagged"), (F.col("rank") + 1).cast("int").alias("rank"))
 
     @staticmethod
     def top(cells: DataFrame, most: int = TOP_LEMMAS) -> DataFrame:
@@ -110,26 +148,29 @@ class Analysis:
         return cells.where(F.col("rank") <= most)
 
     def lemmas(self) -> DataFrame:
-        return self._cells(self.lemma_tokens(), ["lang"])
-
-    def _coded_tokens(self) -> DataFrame:
-        return self.lemma_tokens().join(self.unit_codes.select("doc_id", "position", "label"), ["doc_id", "position"])
+        return self._cells(0, ["lang"])
 
     def lemmas_by_code(self) -> DataFrame:
-        return self._cells(self._coded_tokens(), ["lang", "label"])
+        return self._cells(1, ["lang", "label"])
 
     def lemmas_by_code_group(self) -> DataFrame:
-        return self._cells(self._coded_tokens(), ["lang", "label", "grp"])
+        return self._cells(2, ["lang", "label", "grp"])
 
-    def _firings(self) -> DataFrame:
+    @cached_property
+    def firings(self) -> DataFrame:
+        """lang, label, grp, expression, firings, over_groups: of codes, and of codes in groups, as grouping sets of one pass."""
         docs = self.documents.where(F.col("lang").isin(T.LANGUAGES)).select("doc_id", "lang", "grp")
-        return self.codings.join(docs, "doc_id").select("lang", "grp", "label", F.explode("matched_expressions").alias("expression"))
+        rows = self.codings.select("doc_id", "label", "matched_expressions").join(docs, "doc_id").select("lang", "grp", "label", F.explode("matched_expressions").alias("expression"))
+        per = rows.groupBy("lang", "label", "grp", "expression").agg(F.count("*").alias("n"))
+        columns = ["lang", "label", "expression", "grp"]
+        sets = per.groupingSets([[F.col(c) for c in columns], [F.col(c) for c in columns[:3]]], *columns)
+        return written(sets.agg(F.sum("n").alias("firings"), F.grouping("grp").alias("over_groups")), "firings")
 
     def expressions(self) -> DataFrame:
-        return self._firings().groupBy("lang", "label", "expression").agg(F.count("*").alias("firings"))
+        return self.firings.where("over_groups = 1").select("lang", "label", "expression", "firings")
 
     def expressions_by_code_group(self) -> DataFrame:
-        return self._firings().groupBy("lang", "label", "grp", "expression").agg(F.count("*").alias("firings"))
+        return self.firings.where("over_groups = 0").select("lang", "label", "grp", "expression", "firings")
 
     def top_extracts(self, by_group: bool = False, k: int = TOP_EXTRACTS) -> DataFrame:
         keys = ["label", "grp"] if by_group else ["label"]

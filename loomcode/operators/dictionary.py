@@ -1,19 +1,23 @@
 """The dictionary engine: expressions matched in the sentences of units.
 
-The index is grouped to one array for each language and joined by language, so that matching is a projection without a
-shuffle of texts. That array is held by each task; an index of more than SMALL_INDEX expressions is
-joined by its lemmas instead, through an inverted list.
+A small index is grouped to one array for each language and joined by language, so that matching is a projection without a shuffle of texts, and
+a unit's codings stand in its row. That array is held by each task. An index of more than SMALL_INDEX expressions is joined by the
+rarest lemma of each expression, of the lemmas that sentences have: only sentences with that lemma meet it, and are looked at whole.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomcode.functions import text as T
+from loomcode.store import written
 
 SMALL_INDEX = 500
+#: An index of so many expressions is broadcast by its key lemmas; a larger one is shuffled.
+BROADCAST_INDEX = 100_000
+_JOINT = "\u0001"
 _ENTRY = pa.struct([("expr_id", pa.int64()), ("code_id", pa.int64()), ("expression", pa.string()), ("phrase", pa.bool_()), ("lemmas", pa.list_(pa.string()))])
 
 
@@ -35,35 +39,94 @@ def unit_sentences(units: DataFrame) -> DataFrame:
     return rows.withColumn("bag", T.content(F.col("seq"), F.col("lang")))
 
 
-def match_sentences(units: DataFrame, index: DataFrame) -> DataFrame:
-    """doc_id, position, sent, sentence, code_id, expr_id, expression: a row for each hit of an expression in a sentence."""
-    rows = unit_sentences(units)
-    held = index.limit(SMALL_INDEX + 1).collect()  # at most SMALL_INDEX + 1 rows
+def _by_language(index: DataFrame) -> DataFrame | None:
+    """lang, entries: an index of at most SMALL_INDEX expressions as an array for each language; None for a larger one."""
+    held = index.limit(SMALL_INDEX + 1).collect()
     if len(held) > SMALL_INDEX:
-        return _match_inverted(rows, index)
+        return None
     by_lang: dict[str, list] = {}
     for r in sorted(held, key=lambda r: r["expr_id"]):
         by_lang.setdefault(r["lang"], []).append({k.name: r[k.name] for k in _ENTRY})
     local = pa.table({"lang": pa.array(list(by_lang), pa.string()), "entries": pa.array(list(by_lang.values()), pa.list_(_ENTRY))})
-    entries = index.sparkSession.createDataFrame(local)
-    line = F.concat(F.lit("\u0001"), F.array_join("seq", "\u0001"), F.lit("\u0001"))
-    rows = rows.withColumn("line", line).join(F.broadcast(entries), "lang")  # at most SMALL_INDEX expressions
-    hit = lambda e: F.when(
-        e["phrase"], F.contains(F.col("line"), F.concat(F.lit("\u0001"), F.array_join(e["lemmas"], "\u0001"), F.lit("\u0001")))
-    ).otherwise(F.forall(e["lemmas"], lambda x: F.array_contains(F.col("bag"), x)))
-    rows = rows.select("doc_id", "position", "sent", "sentence", F.explode(F.filter("entries", hit)).alias("e"))
+    return index.sparkSession.createDataFrame(local)
+
+
+def _line(seq: Column) -> Column:
+    """Tokens as one string, each between two joints."""
+    return F.concat(F.lit(_JOINT), F.array_join(seq, _JOINT), F.lit(_JOINT))
+
+
+def _holds(e: Column, line: Column, bag: Column) -> Column:
+    """Whether a sentence has a phrase's lemmas consecutively, or all of a bag's."""
+    return F.when(e["phrase"], F.contains(line, _line(e["lemmas"]))).otherwise(F.forall(e["lemmas"], lambda x: F.array_contains(bag, x)))
+
+
+def match_sentences(units: DataFrame, index: DataFrame) -> DataFrame:
+    """doc_id, position, sent, sentence, code_id, expr_id, expression: a row for each hit of an expression in a sentence."""
+    rows = unit_sentences(units)
+    entries = _by_language(index)
+    if entries is None:
+        return _match_inverted(rows, index)
+    rows = rows.withColumn("line", _line(F.col("seq"))).join(F.broadcast(entries), "lang")  # at most SMALL_INDEX expressions
+    rows = rows.select("doc_id", "position", "sent", "sentence", F.explode(F.filter("entries", lambda e: _holds(e, F.col("line"), F.col("bag")))).alias("e"))
     return rows.select("doc_id", "position", "sent", "sentence", "e.code_id", "e.expr_id", "e.expression")
 
 
-def _match_inverted(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """By equal lemmas: a bag matches if as many distinct lemmas meet as it has, a phrase is then looked up in order."""
-    wanted = index.withColumn("n", F.size(F.array_distinct("lemmas"))).withColumn("lemma", F.explode(F.array_distinct("lemmas")))
-    have = rows.select("doc_id", "position", "sent", "lang", F.explode(F.array_distinct("seq")).alias("lemma"), F.col("bag"))
-    met = have.join(wanted, ["lang", "lemma"]).where(F.col("phrase") | F.array_contains("bag", F.col("lemma")))
-    full = met.groupBy("doc_id", "position", "sent", "expr_id", "code_id", "expression", "phrase", "n").agg(F.count("*").alias("met"), F.first("lemmas").alias("lemmas")).where("met = n")
-    back = full.join(rows.select("doc_id", "position", "sent", "sentence", "seq"), ["doc_id", "position", "sent"])
-    joined = lambda c: F.concat(F.lit("\u0001"), F.array_join(c, "\u0001"), F.lit("\u0001"))
-    return back.where(~F.col("phrase") | F.contains(joined("seq"), joined("lemmas"))).select("doc_id", "position", "sent", "sentence", "code_id", "expr_id", "expression")
+def key_lemmas(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """index with key: the lemma of an expression that the fewest sentences have. An expression with a lemma that no sentence has goes.
+
+    rows: sentences as unit_sentences() gives. Stop words count too, as a phrase may have no others.
+    """
+    wanted = index.select("expr_id", "lang", F.explode(F.array_distinct("lemmas")).alias("lemma"))
+    seen = rows.select("lang", F.explode(F.array_distinct("seq")).alias("lemma")).groupBy("lang", "lemma").agg(F.count("*").alias("n"))
+    found = wanted.join(seen, ["lang", "lemma"], "left").groupBy("expr_id").agg(F.min(F.struct("n", "lemma")).alias("k"), F.count_if(F.col("n").isNull()).alias("missing"))
+    return index.join(found.where("missing = 0").select("expr_id", F.col("k.lemma").alias("key")), "expr_id")
+
+
+def _match_inverted(rows: DataFrame, index: DataFrame, broadcast: int = BROADCAST_INDEX) -> DataFrame:
+    """Sentences meet an expression at its key lemma, and are verified there. A sentence's other lemmas are not posted."""
+    keyed = written(key_lemmas(rows, index).select("lang", F.col("key").alias("lemma"), "expr_id", "code_id", "expression", "phrase", "lemmas"), "keyed")
+    small = keyed.limit(broadcast + 1).count() <= broadcast
+    keys = keyed.groupBy("lang", "lemma").agg(F.count("*").alias("n")).drop("n")
+    posted = rows.select("doc_id", "position", "sent", "sentence", "lang", "bag", _line(F.col("seq")).alias("line"), F.explode(F.array_distinct("seq")).alias("lemma"))
+    if small:
+        met = posted.join(F.broadcast(keyed), ["lang", "lemma"])
+    else:
+        # A key has at most its expressions; a key that many sentences have is split by Spark's skew join.
+        met = posted.join(keys, ["lang", "lemma"], "left_semi").join(keyed, ["lang", "lemma"])
+    entry = F.struct("phrase", "lemmas")
+    return met.where(_holds(entry, F.col("line"), F.col("bag"))).select("doc_id", "position", "sent", "sentence", "code_id", "expr_id", "expression")
+
+
+def coded_units(units: DataFrame, index: DataFrame) -> DataFrame | None:
+    """units with codings: an array of struct(code_id, score, matched_expressions, sentences, rationale), by code_id; empty without a hit, and in
+    excluded units. Nothing is shuffled. None for an index of more than SMALL_INDEX expressions."""
+    entries = _by_language(index)
+    if entries is None:
+        return None
+    open_ = ~F.coalesce(F.col("excluded"), F.lit(False)) if "excluded" in units.columns else F.lit(True)
+    rows = units.join(F.broadcast(entries), "lang", "left")
+    cut = F.transform(T.sentences(F.col("text")), lambda s, i: F.struct(i.alias("sent"), s.alias("sentence"), T.tokens(s).alias("seq")))
+    rows = rows.withColumn("__s", F.when(open_ & F.col("entries").isNotNull(), cut))
+    look = lambda x: F.struct(x["sent"].alias("sent"), x["sentence"].alias("sentence"), _line(x["seq"]).alias("line"), T.content(x["seq"], F.col("lang")).alias("bag"))
+    rows = rows.withColumn("__s", F.transform(F.filter("__s", lambda x: F.size(x["seq"]) > 0), look))
+    hit = lambda x: F.transform(
+        F.filter("entries", lambda e: _holds(e, x["line"], x["bag"])),
+        lambda e: F.struct(x["sent"].alias("sent"), e["expr_id"].alias("expr_id"), e["code_id"].alias("code_id"), e["expression"].alias("expression"), x["sentence"].alias("sentence")),
+    )
+    rows = rows.withColumn("__h", F.sort_array(F.flatten(F.transform("__s", hit))))
+
+    def coding(c: Column) -> Column:
+        own = F.filter("__h", lambda h: h["code_id"] == c)
+        return F.struct(
+            c.alias("code_id"), F.size(own).cast("long").alias("score"), F.array_distinct(F.transform(own, lambda h: h["expression"])).alias("matched_expressions"),
+            F.array_distinct(F.transform(own, lambda h: h["sentence"])).alias("sentences"),
+        )
+
+    found = F.transform(F.sort_array(F.array_distinct(F.transform("__h", lambda h: h["code_id"]))), coding)
+    rows = rows.withColumn("__c", F.coalesce(found, F.array().cast("array<struct<code_id:bigint,score:bigint,matched_expressions:array<string>,sentences:array<string>>>")))
+    rows = rows.withColumn("codings", F.transform("__c", lambda c: c.withField("rationale", rationale(c["matched_expressions"], c["sentences"]))))
+    return rows.select(*units.columns, "codings")
 
 
 def first_seen(pairs) -> F.Column:
@@ -72,6 +135,11 @@ def first_seen(pairs) -> F.Column:
     return F.array_distinct(ordered)
 
 
+def rationale(expressions: Column, sentences: Column) -> Column:
+    """The fired expressions and the first sentence; a fixed form, as stored rationales are compared."""
+    return F.concat(F.lit("Matched expressions: "), F.array_join(expressions, ", "), F.lit(' — in: "'), F.element_at(sentences, 1), F.lit('"'))
+
+
 def codings(matches: DataFrame) -> DataFrame:
     """doc_id, position, code_id, score, matched_expressions, sentences, rationale: a row for each code of a unit."""
     out = matches.groupBy("doc_id", "position", "code_id").agg(
@@ -79,4 +147,4 @@ def codings(matches: DataFrame) -> DataFrame:
         first_seen(F.collect_list(F.struct("sent", "expr_id", F.col("expression").alias("v")))).alias("matched_expressions"),
         first_seen(F.collect_list(F.struct("sent", F.lit(0).alias("z"), F.col("sentence").alias("v")))).alias("sentences"),
     )
-    return out.withColumn("rationale", F.concat(F.lit("Matched: "), F.array_join("matched_expressions", ", "), F.lit(" | "), F.element_at("sentences", 1)))
+    return out.withColumn("rationale", rationale(F.col("matched_expressions"), F.col("sentences")))

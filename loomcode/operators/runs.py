@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import threading
 from collections.abc import Callable, Iterator
-from concurrent.futures import Future
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomcode.operators import dictionary
+from loomcode.operators.facts import RateLimited, SingleFlight, context_lines, execute, executed, format_codebook, read_facts, study_context, system_block  # noqa: F401
 
 #: US dollars for a million tokens in and out, where a model has no price of its own.
 DEFAULT_PRICE = (3.0, 15.0)
@@ -43,19 +42,7 @@ def parsed_answer(answer: Column) -> Column:
     return F.when(F.substring(body, 1, 1) == "[", F.from_json(body, ENTRIES))
 
 
-def format_context(context: Column) -> Column:
-    """`SPEAKER: text` lines."""
-    return F.array_join(F.transform(context, lambda u: F.when(F.coalesce(u["speaker"], F.lit("")) != "", F.concat(u["speaker"], F.lit(": "), u["text"])).otherwise(u["text"])), "\n")
-
-
-def format_codebook(codes: DataFrame) -> str:
-    """The codebook's bullets; a codebook is small."""
-    rows = codes.where("not coalesce(is_deleted, false)").orderBy("label").select("label", "description").collect()
-    return "\n".join(f"- {r['label']}: {r['description']}" if r["description"] else f"- {r['label']}" for r in rows)
-
-
-class RateLimited(Exception):
-    """What a coder raises when it is asked too often."""
+format_context = context_lines
 
 
 def model_answers(units: DataFrame, coder: Callable[[str, str], str], retries: int = 5, pause: float = 1.0, wait_for: tuple = (RateLimited, TimeoutError, ConnectionError)) -> DataFrame:
@@ -89,7 +76,7 @@ def model_answers(units: DataFrame, coder: Callable[[str, str], str], retries: i
                 out.append((d, p, answer, read, wrote))
             yield pd.DataFrame(out, columns=["doc_id", "position", "answer", "tokens_in", "tokens_out"])
 
-    rows = units.select("doc_id", "position", "text", F.coalesce(format_context(F.col("context")), F.lit("")).alias("lines"))
+    rows = units.select("doc_id", "position", "text", F.coalesce(context_lines(F.col("context")), F.lit("")).alias("lines"))
     return rows.mapInPandas(run, "doc_id long, position int, answer string, tokens_in long, tokens_out long")
 
 
@@ -98,8 +85,11 @@ def model_entries(answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = answers.withColumn("entries", parsed_answer(F.col("answer")))
     failed = rows.where("entries is null").select("doc_id", "position")
     each = rows.where("entries is not null").select("doc_id", "position", F.posexplode("entries").alias("entry", "e"))
-    named = each.where("e.action <> 'no_code' and coalesce(e.code, '') <> ''").select("doc_id", "position", "entry", F.col("e.code").alias("label"), "e.description", "e.example", "e.rationale")
-    why = F.array_join(F.filter(F.transform(F.filter("entries", lambda e: e["action"] == "no_code"), lambda e: e["rationale"]), lambda r: F.coalesce(r, F.lit("")) != ""), " | ")
+    spoken = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    # An entry without an action names a code if it has one.
+    is_none = lambda e: F.coalesce(e["action"] == "no_code", F.lit(False))
+    named = each.where(~is_none(F.col("e")) & (spoken(F.col("e.code")) != "")).select("doc_id", "position", "entry", spoken(F.col("e.code")).alias("label"), "e.description", "e.example", "e.rationale")
+    why = F.array_join(F.filter(F.transform(F.filter("entries", is_none), lambda e: spoken(e["rationale"])), lambda r: r != ""), " | ")
     none = rows.where("entries is not null").select("doc_id", "position", F.nullif(why, F.lit("")).alias("no_code_rationale"))
     return named, failed, none
 
@@ -119,16 +109,6 @@ def with_codings(segments_: DataFrame, codings: DataFrame, value) -> DataFrame:
     return out.select("s.*", F.coalesce("c.codings", F.array().cast(per.schema["codings"].dataType)).alias("codings"))
 
 
-def study_context(*chain: Column) -> Column:
-    """The first of a run's, a workspace's and the general study context that is not blank."""
-    return F.coalesce(*(F.nullif(F.trim(x), F.lit("")) for x in chain), F.lit(""))
-
-
-def system_block(codebook: str, context: str) -> str:
-    """What is the same for all units of a run, and is cached by a model service: the study's context and the codebook."""
-    return f"Study: {context}\n\nCodebook:\n{codebook}"
-
-
 def costs(tokens: DataFrame, prices: DataFrame) -> DataFrame:
     """tokens: run_id, model, tokens_in, tokens_out; prices: model, price_in, price_out a million. Adds cost, with the default price for others."""
     rows = tokens.join(F.broadcast(prices), "model", "left")  # a price list
@@ -140,12 +120,29 @@ def estimate_seconds(engine: str, n_units: int, workers: int) -> int:
     return round(8 + 0.012 * n_units) if engine == "dictionary" else -(-n_units // max(workers, 1)) * 4
 
 
-def estimate_tokens(units: DataFrame, n_docs: int, sample: int = 8, prompt: int = 50, output: int = 150) -> DataFrame:
-    """units of up to `sample` documents (the first by doc_id), scaled to n_docs: n_units, tokens_in, tokens_out."""
-    first = units.select("doc_id").distinct().orderBy("doc_id").limit(sample)
-    s = units.join(F.broadcast(first), "doc_id").agg(F.count("*").alias("u"), F.sum(F.expr("length(text) div 4")).alias("t"), F.countDistinct("doc_id").alias("d"))
-    scale = F.lit(float(n_docs)) / F.greatest(F.col("d"), F.lit(1))
-    return s.select((F.col("u") * scale).alias("n_units"), ((F.coalesce("t", F.lit(0)) + F.col("u") * prompt) * scale).alias("tokens_in"), (F.col("u") * output * scale).alias("tokens_out"))
+def estimate_run(docs: DataFrame, units: DataFrame, system: str, price: tuple[float, float] = DEFAULT_PRICE, sample: int = 8, prompt: int = 50, output: int = 150) -> DataFrame:
+    """segments, input_tokens, output_tokens, cost_usd of a model run, from the units of the first `sample` documents, scaled to all.
+
+    docs: doc_id; units: doc_id, text, and excluded and context where there are any. The system block counts once in full, and by a tenth for each further call, as
+    it is cached then; documents without units do not count; excluded units are not sent. Zeros where nothing is to be sent.
+    """
+    first = docs.select("doc_id").orderBy("doc_id").limit(sample)
+    own = units.join(F.broadcast(first), "doc_id", "left_semi")  # `sample` rows
+    sent = ~F.coalesce(F.col("excluded"), F.lit(False)) if "excluded" in units.columns else F.lit(True)
+    context = F.floor(F.aggregate("context", F.lit(0), lambda acc, u: acc + F.length(u["text"])) / 4) if "context" in units.columns else F.lit(0)
+    s = own.agg(
+        F.countDistinct("doc_id").alias("counted"), F.count_if(sent).alias("u"),
+        F.sum(F.when(sent, F.expr("length(text) div 4"))).alias("t"), F.sum(F.when(sent, F.coalesce(context, F.lit(0)))).alias("c"),
+    )
+    s = s.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))  # one row
+    whole = lambda x: F.bround(F.coalesce(F.col(x), F.lit(0)) * (F.col("n") / F.col("counted"))).cast("long")
+    s = s.select((F.col("u") > 0).alias("some"), whole("u").alias("u"), whole("t").alias("t"), whole("c").alias("c"))
+    block = len(system) // 4
+    read = F.lit(block) + F.lit(int(block * 0.1)) * (F.col("u") - 1) + F.col("t") + F.col("c") + F.lit(prompt) * F.col("u")
+    or_none = lambda x, none: F.when(F.col("some"), x).otherwise(none)
+    s = s.select("some", F.col("u"), read.alias("r"), (F.col("u") * output).alias("w"))
+    cost = F.bround((F.col("r") * price[0] + F.col("w") * price[1]) / 1e6, 4)
+    return s.select(or_none(F.col("u"), 0).alias("segments"), or_none(F.col("r"), 0).alias("input_tokens"), or_none(F.col("w"), 0).alias("output_tokens"), or_none(cost, 0.0).alias("cost_usd"))
 
 
 def validated(engine: str, context: int, workers: int, unit: str, allowed: list[str], roles: list[str] = [], model: str | None = None, models: list[str] = []) -> None:  # noqa: B006
@@ -163,39 +160,6 @@ def validated(engine: str, context: int, workers: int, unit: str, allowed: list[
         raise ValueError("unit")
 
 
-def write_facts(run_id: int, segments_: DataFrame, codings: DataFrame, root: str) -> None:
-    """Both facts, partitioned by run_id; writing a run again replaces it."""
-    for name, df in (("segments", segments_), ("codings", codings)):
-        df.withColumn("run_id", F.lit(run_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{root}/{name}")
-
-
-def read_facts(spark, root: str, run_id: int, doc_ids: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(segments, codings) of a run, of some documents if they are given; only the run's partition is read."""
-    out = []
-    for name in ("segments", "codings"):
-        df = spark.read.parquet(f"{root}/{name}").where(F.col("run_id") == run_id)
-        out.append(df.where(F.col("doc_id").isin(doc_ids)) if doc_ids is not None else df)
-    return tuple(out)
-
-
-def executed(run_id: int, units: DataFrame, failed: DataFrame, run_documents: DataFrame, code: Callable[[DataFrame], DataFrame], root: str) -> DataFrame:
-    """Codes a run's pending documents and returns the run's documents with status and error.
-
-    Each document stands or falls alone: one that is in `failed` (doc_id, reason) writes no facts and keeps its reason; the others' facts
-    replace those they had, and they are completed. Running it again, with the result as run_documents, codes what is not completed.
-    """
-    todo = pending(run_documents.where(F.col("run_id") == run_id)).select("doc_id")
-    bad = failed.join(todo, "doc_id", "left_semi").select("doc_id", "reason").dropDuplicates(["doc_id"])
-    rows = units.join(todo, "doc_id", "left_semi").join(bad, "doc_id", "left_anti")
-    codings = code(rows)
-    for name, df in (("segments", segments(rows, codings)), ("codings", codings)):
-        # A document is a partition, so that writing it again replaces what a broken attempt has left.
-        df.withColumn("run_id", F.lit(run_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "doc_id").parquet(f"{root}/{name}")
-    out = run_documents.join(bad.withColumn("run_id", F.lit(run_id)), ["run_id", "doc_id"], "left").join(todo.withColumn("todo", F.lit(True)).withColumn("run_id", F.lit(run_id)), ["run_id", "doc_id"], "left")
-    status = F.when(F.col("todo").isNull(), F.col("status")).when(F.col("reason").isNotNull(), "failed").otherwise("completed")
-    return out.select("run_id", "doc_id", status.alias("status"), F.when(F.col("todo").isNotNull(), F.col("reason")).alias("error"))
-
-
 def pending(run_documents: DataFrame) -> DataFrame:
     """What a retry does: the documents of a run that are not completed."""
     return run_documents.where("status <> 'completed'")
@@ -210,31 +174,3 @@ def progress(run_documents: DataFrame, elapsed: float) -> DataFrame:
     """run_id, n_docs, n_done, eta in seconds."""
     s = run_documents.groupBy("run_id").agg(F.count("*").alias("n_docs"), F.count_if(F.col("status") == "completed").alias("n_done"))
     return s.withColumn("eta", F.when(F.col("n_done") > 0, F.lit(float(elapsed)) / F.col("n_done") * (F.col("n_docs") - F.col("n_done"))))
-
-
-class SingleFlight:
-    """Jobs by key, one at a time for each: a second call waits for the first one's result."""
-
-    def __init__(self):
-        self._lock, self._jobs = threading.Lock(), {}
-
-    def run(self, key, job: Callable):
-        with self._lock:
-            running = self._jobs.get(key)
-            mine = running is None
-            if mine:
-                running = self._jobs[key] = Future()
-        if mine:
-            try:
-                running.set_result(job())
-            except BaseException as e:
-                running.set_exception(e)
-            finally:
-                with self._lock:
-                    del self._jobs[key]
-        return running.result()
-
-    def active(self) -> list:
-        """The keys whose jobs are running."""
-        with self._lock:
-            return list(self._jobs)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcode.functions import text as T
@@ -105,71 +104,92 @@ def with_context(units: DataFrame, n: int) -> DataFrame:
     return units.withColumn("context", F.collect_list(F.struct(speaker.alias("speaker"), F.col("text").alias("text"))).over(w))
 
 
-class _Cursor:
-    """Spans of texts in a document, in order. A text is looked up from where the last one ended, or else from the start."""
+#: Units that are looked up in one stretch of a document's text.
+STRETCH = 64
 
-    def __init__(self, full: str):
-        self.full, self.at = full, 0
 
-    def span(self, text: str) -> tuple[int, int] | None:
-        start = self.full.find(text, self.at)
-        if start < 0:
-            start = self.full.find(text)
-        if start < 0:
-            return None
-        self.at = start + len(text)
-        return start, self.at
+def _once(value: Column, use) -> Column:
+    """use(value), where value is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _spans(docs: DataFrame, listed: DataFrame, find) -> DataFrame:
-    """find(full text, a document's units): a span for each. doc_id, ord, start_offset, end_offset; a document's units are one row meanwhile."""
+def _spans(full: Column, units: Column, absent, repeats: bool) -> Column:
+    """An array of struct(s, e): the spans of the units' texts in full, in their order.
 
-    def run(batches):
-        for b in batches:
-            ids, order, starts, ends = [], [], [], []
-            for k in range(b.num_rows):
-                units = b.column("u")[k].as_py()
-                for u, (s, e) in zip(units, find(b.column("full")[k].as_py(), units), strict=True):
-                    ids.append(b.column("doc_id")[k].as_py())
-                    order.append(u["ord"])
-                    starts.append(s)
-                    ends.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(order, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "ord", "start_offset", "end_offset"])
+    A text is looked up from where the last one ended, or else from the start; absent(unit) gives the span of one that is nowhere, which leaves the
+    place to look from. With repeats, a text that follows itself has the same span again. The fold goes over stretches of units: a stretch looks in what
+    is left of the text from where it began, so that no look-up walks over all that is behind it, and spans are appended to short arrays.
+    """
+    none = F.lit(None).cast("int")
+    no_span = F.struct(none.alias("s"), none.alias("e"))
+    no_spans = F.array().cast("array<struct<s:int,e:int>>")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("full")).join(listed, "doc_id")
-    return rows.mapInArrow(run, "doc_id long, ord long, start_offset int, end_offset int")
+    def stretch(done: Column, i: Column) -> Column:
+        base = done["at"]
 
+        # What is left of the text is named outside of the fold: a state that holds it would be copied with it.
+        def within(rest: Column) -> Column:
+            def found(a: Column, text: Column) -> Column:
+                # A text may be found before the stretch's beginning, and the place to look from is there then.
+                near = _once(F.position(text, rest, a["at"] - base + 1), lambda x: F.when(x > 0, x + base).otherwise(0))
+                ahead = F.when(a["at"] >= base, near).otherwise(F.position(text, full, a["at"] + 1))
+                return F.when(F.length(text) == 0, a["at"]).otherwise(_once(ahead, lambda x: F.when(x > 0, x).otherwise(F.position(text, full))) - 1)
 
-def _in_turn(full: str, units: list[dict]):
-    cursor = _Cursor(full)
-    for u in units:
-        yield cursor.span(u["text"]) or (0, len(full))
+            def step(a: Column, u: Column) -> Column:
+                again = F.coalesce(a["last"] == u["text"], F.lit(False)) if repeats else F.lit(False)
 
+                def put(place: Column) -> Column:
+                    end, missing = place + F.length(u["text"]), absent(u)
+                    span = F.when(again, a["span"]).when(place >= 0, F.struct(place.alias("s"), end.alias("e"))).otherwise(F.struct(missing[0].alias("s"), missing[1].alias("e")))
+                    at = F.when(again | (place < 0), a["at"]).otherwise(end)
+                    return _once(span, lambda x: F.struct(at.alias("at"), u["text"].alias("last"), x.alias("span"), F.concat(a["spans"], F.array(x)).alias("spans")))
+
+                return _once(F.when(again, F.lit(-1)).otherwise(found(a, u["text"])), put)
+
+            start = F.struct(done["at"].alias("at"), done["last"].alias("last"), done["span"].alias("span"), no_spans.alias("spans"))
+            return F.aggregate(F.slice(units, i * STRETCH + 1, STRETCH), start, step)
+
+        ended = F.transform(F.array(F.substring(full, base + 1, F.length(full))), within)
+        return F.aggregate(ended, done, lambda d, x: F.struct(x["at"].alias("at"), x["last"].alias("last"), x["span"].alias("span"), F.concat(d["spans"], x["spans"]).alias("spans")))
+
+    empty = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("last"), no_span.alias("span"), no_spans.alias("spans"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(units) - 1) / STRETCH).cast("int")), empty, stretch, lambda a: a["spans"])
 
-def anchored(docs: DataFrame, units: DataFrame) -> DataFrame:
-    """Adds start_offset and end_offset to the units (doc_id, position, text) of docs (doc_id, text); a text that is nowhere gets the
-    whole document."""
-    own = F.struct(F.col("position").cast("long").alias("ord"), "text")
-    listed = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(own)).alias("u"))
-    spans = _spans(docs, listed, _in_turn).withColumnRenamed("ord", "position")
-    return units.join(spans.withColumn("position", F.col("position").cast(units.schema["position"].dataType)), ["doc_id", "position"])
 
+def _listed(docs: DataFrame, rows: DataFrame, order: str) -> DataFrame:
+    """doc_id, full, u: a row for each document that has rows, with all their other columns in order; a document's rows are one row meanwhile."""
+    others = [c for c in rows.columns if c not in ("doc_id", order)]
+    # Rows of the same number stand as they came.
+    counted = rows.withColumn("__n", F.monotonically_increasing_id())
+    listed = counted.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(order, "__n", *others))).alias("u"))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("full")).join(listed, "doc_id")
 
-def _again(full: str, units: list[dict]):
-    cursor, last = _Cursor(full), (None, None)
-    for u in units:
-        if last[1] is None or last[0] != u["text"]:
-            stored = (u["start_offset"], u["end_offset"]) if u["start_offset"] is not None else (0, len(full))
-            last = (u["text"], cursor.span(u["text"]) or stored)
-        yield last[1]
+
+def _placed(listed: DataFrame, spans: Column, columns: list[str]) -> DataFrame:
+    both = listed.select("doc_id", "u", spans.alias("spans")).select("doc_id", F.explode(F.arrays_zip("u", "spans")).alias("x"))
+    own = [F.col(f"x.u.{c}").alias(c) for c in columns if c not in ("doc_id", "start_offset", "end_offset")]
+    return both.select("doc_id", *own, F.col("x.spans.s").alias("start_offset"), F.col("x.spans.e").alias("end_offset"))
+
+
+def anchored(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """Adds start_offset and end_offset to the units (doc_id, position, text) of docs (doc_id, text): places in code points. A text that is
+    nowhere gets the document's beginning, as long as it is itself."""
+    listed = _listed(docs, units, "position")
+    spans = _spans(F.col("full"), F.col("u"), lambda u: (F.lit(0), F.length(u["text"])), repeats=False)
+    return _placed(listed, spans, units.columns)
 
 
 def reanchored(docs: DataFrame, codings: DataFrame) -> DataFrame:
     """codings: doc_id, ord, text, start_offset, end_offset. Spans found anew, where a text that follows itself keeps its span, and a text
     that is nowhere keeps its stored offsets, or gets the whole document."""
-    listed = codings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("ord").cast("long").alias("ord"), "text", "start_offset", "end_offset"))).alias("u"))
-    spans = _spans(docs, listed, _again).withColumn("ord", F.col("ord").cast(codings.schema["ord"].dataType))
-    return codings.select("doc_id", "ord", "text").join(spans, ["doc_id", "ord"])
+    listed = _listed(docs, codings.select("doc_id", "ord", "text", "start_offset", "end_offset"), "ord")
+    full = F.col("full")
+
+    def stored(u: Column) -> tuple[Column, Column]:
+        has = u["start_offset"].isNotNull()
+        return F.when(has, u["start_offset"]).otherwise(0).cast("int"), F.when(has, u["end_offset"]).otherwise(F.length(full)).cast("int")
+
+    return _placed(listed, _spans(full, F.col("u"), stored, repeats=True), ["doc_id", "ord", "text", "start_offset", "end_offset"])
 
 
 def full_text_of_cells(cells: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomcode.functions import text as T
 from loomcode.operators import conventions
+from loomcode.operators.numbering import numbered
 
 ROLES = ["interviewer", "participant", "other"]
 COSTS_SHOWN = 20
@@ -123,9 +124,9 @@ def copied(tables: dict[str, DataFrame], workspace_id: int, new_id: int, user_id
     runs. New ids follow the largest ones, in the old order."""
     mine = lambda name: tables[name].where(F.col("workspace_id") == workspace_id)
 
-    def numbered(rows: DataFrame, key: str) -> DataFrame:
-        top = tables_max(tables, key)
-        return rows.withColumn("old", F.col(key)).withColumn(key, (F.row_number().over(Window.partitionBy("workspace_id").orderBy(key)) + top).cast("long"))
+    def renumbered(rows: DataFrame, key: str) -> DataFrame:
+        first = tables_max(tables, key) + 1
+        return numbered(rows.withColumn("old", F.col(key)), "__new", [F.col(key)]).withColumn(key, (F.col("__new") + first).cast("long")).drop("__new")
 
     moved = lambda rows: rows.withColumn("workspace_id", F.lit(new_id).cast("long"))
     new = dict(tables)
@@ -133,13 +134,13 @@ def copied(tables: dict[str, DataFrame], workspace_id: int, new_id: int, user_id
     add("workspaces", moved(mine("workspaces")))
     user = tables["members"].sparkSession.range(1).select(F.lit(new_id).cast("long").alias("workspace_id"), F.lit(user_id).cast("long").alias("user_id"))
     add("members", moved(mine("members")).select("workspace_id", "user_id").union(user).distinct())
-    add("documents", moved(numbered(mine("documents"), "doc_id")))
+    add("documents", moved(renumbered(mine("documents"), "doc_id")))
     if codebook:
-        codes = numbered(mine("codes").where(~F.coalesce("is_deleted", F.lit(False))), "code_id").withColumn("proposed_in_run_id", F.lit(None).cast("long"))
+        codes = renumbered(mine("codes").where(~F.coalesce("is_deleted", F.lit(False))), "code_id").withColumn("proposed_in_run_id", F.lit(None).cast("long"))
         add("codes", moved(codes))
         ids = codes.select(F.col("old").alias("code_id"), F.col("code_id").alias("new_code"))
         exprs = tables["expressions"].join(ids, "code_id").withColumn("workspace_id", F.lit(new_id))
-        exprs = numbered(exprs, "expr_id").withColumn("code_id", F.col("new_code"))
+        exprs = renumbered(exprs, "expr_id").withColumn("code_id", F.col("new_code"))
         add("expressions", exprs)
     return new
 

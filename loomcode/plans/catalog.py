@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from loomcode.functions import text as T
 from loomcode.operators import codebook, conventions, dictionary, runs, segment
+from loomcode.operators import facts as F_
 from loomcode.operators.analysis import Analysis
 from loomcode.store import shared_dir
 
@@ -61,22 +62,38 @@ def units(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RUN = 1
-_FACTS: dict[tuple[str, str], str] = {}
+_FACTS: dict[tuple[str, str], tuple[tuple, str]] = {}
+_FLIGHTS = F_.SingleFlight()
+
+
+def _stamp(docs: DataFrame) -> tuple:
+    """What tells a table from what it was: its rows, and when its files were last written. No column is read."""
+    return tuple(docs.agg(F.count("*"), F.max("_metadata.file_modification_time"), F.count_distinct("_metadata.file_path")).first())
+
+
+def dictionary_run(spark: SparkSession, sf: str, root: str) -> DataFrame:
+    """A run of the dictionary over all documents, with its facts under root: the run's documents."""
+    return F_.execute(RUN, units(spark, sf), None, None, F_.DictionaryCoder(codes(spark), expressions(spark)), root)[0]
 
 
 def facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(segments, codings) of the dictionary run over documents. A run is executed once in a session, and its facts are written; what is
+    """(segments, codings) of the dictionary run over documents. A run is executed once for a state of its table, and its facts are written; what is
     computed from a run reads them, and no text of a document again."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _FACTS:
+
+    def held() -> tuple[DataFrame, DataFrame]:
+        stamp = _stamp(table(spark, sf, "documents"))
+        if _FACTS.get(key, (None,))[0] == stamp:
+            try:
+                return F_.read_facts(spark, _FACTS[key][1], RUN)
+            except ValueError:  # the shared folder has been cleaned
+                pass
         root = f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}"
-        u = units(spark, sf)
-        found = runs.dictionary_codings(u, codes(spark), expressions(spark)).withColumn("run_id", F.lit(RUN).cast("long"))
-        found.write.partitionBy("run_id").parquet(f"{root}/codings")
-        held = spark.read.parquet(f"{root}/codings")
-        runs.segments(u, held).withColumn("run_id", F.lit(RUN).cast("long")).write.partitionBy("run_id").parquet(f"{root}/segments")
-        _FACTS[key] = root
-    segments, found = runs.read_facts(spark, _FACTS[key], RUN)
+        dictionary_run(spark, sf, root)
+        _FACTS[key] = (stamp, root)
+        return F_.read_facts(spark, root, RUN)
+
+    segments, found = _FLIGHTS.run(key, held)
     return segments.drop("run_id"), found.drop("run_id")
 
 
@@ -176,8 +193,10 @@ select lang, token, n, total, n / total::double as share, rank from (
     select *, sum(n) over (partition by lang)::bigint as total, (row_number() over (partition by lang order by n desc, token))::int as rank from f) where rank <= 30""")
 def token_freq_topk(spark, sf):
     f = token_freq_by_lang(spark, sf)
-    f = f.withColumn("total", F.sum("n").over(Window.partitionBy("lang"))).withColumn("share", F.col("n") / F.col("total"))
-    return f.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "token"))).where("rank <= 30")
+    # The rank alone is in a window, which takes 30 rows of a language from each task.
+    best = f.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "token"))).where("rank <= 30")
+    totals = f.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("total"))
+    return best.join(totals, F.col("lang").eqNullSafe(F.col("of"))).select("lang", "token", "n", "total", (F.col("n") / F.col("total")).alias("share"), "rank")
 
 
 @query(_ALL + " select doc_id, position, sent::int as sent, code_id::bigint as code_id, expr_id::bigint as expr_id from matches where not starts_with(expression, '\"')")
@@ -342,7 +361,7 @@ def unit_status_counts(spark, sf):
 @query(_CONV + """ select doc_id, position, coalesce(lag(speaker, 3) over w || ': ' || lag(text, 3) over w || chr(10), '') || coalesce(lag(speaker, 2) over w || ': ' || lag(text, 2) over w || chr(10), '')
     || coalesce(lag(speaker, 1) over w || ': ' || lag(text, 1) over w, '') as context from r window w as (partition by doc_id order by position)""")
 def context_window_3(spark, sf):
-    return segment.with_context(_turns(spark, sf), 3).select("doc_id", "position", runs.format_context(F.col("context")).alias("context"))
+    return segment.with_context(_turns(spark, sf), 3).select("doc_id", "position", runs.context_lines(F.col("context")).alias("context"))
 
 
 @query("""with x as (select user_id, event_id, case when event_type = 'click' then event_type || (event_id % 7) end as speaker, ts from events)
@@ -405,10 +424,16 @@ def active_union_referenced(spark, sf):
     return codebook.active_or_referenced(codes(spark), codings(spark, sf)).select("code_id", "label")
 
 
-@query(_BASE + """, s as (select * from units where doc_id in (select distinct doc_id from units order by doc_id limit 8)), a as (select count(*) as u, sum(length(text) // 4) as t, count(distinct doc_id) as d from s)
-select u * (x / d) as n_units, (t + u * 50) * (x / d) as tokens_in, u * 150 * (x / d) as tokens_out from a, (select count(*)::double as x from documents)""")
+@query(_BASE + """, d as (select distinct doc_id from documents order by doc_id limit 8), s as (select u.*, position % 3 = 2 as excluded,
+    coalesce(length(lag(text, 1) over w), 0) + coalesce(length(lag(text, 2) over w), 0) as ctx from units u join d using (doc_id) window w as (partition by doc_id order by position)),
+a as (select count(distinct doc_id) as counted, count(*) filter (where not excluded) as u, sum(length(text) // 4) filter (where not excluded) as t, sum(ctx // 4) filter (where not excluded) as c from s),
+b as (select round_even(u * (n / counted::double), 0)::bigint as u, round_even(t * (n / counted::double), 0)::bigint as t, round_even(c * (n / counted::double), 0)::bigint as c from a, (select count(*) as n from documents)),
+r as (select u, (1000 // 4) + 25 * (u - 1) + t + c + 50 * u as i, 150 * u as o from b)
+select u as segments, i as input_tokens, o as output_tokens, round_even((i * 3.0::double + o * 15.0::double) / 1e6::double, 4) as cost_usd from r""")
 def estimate_tokens(spark, sf):
-    return runs.estimate_tokens(units(spark, sf), table(spark, sf, "documents").count())
+    """A model run over paragraphs with two paragraphs of context, every third one excluded, and a system block of 1,000 characters."""
+    own = units(spark, sf).withColumn("excluded", F.col("position") % 3 == 2)
+    return runs.estimate_run(table(spark, sf, "documents"), segment.with_context(own, 2), "x" * 1000)
 
 
 @query("""with t as (select user_id % 20 as run_id, case when event_type = 'click' then 'a' when event_type = 'view' then 'b' else 'c' end as model, count(*) as tokens_in, sum(event_id % 11)::bigint as tokens_out from events group by 1, 2)

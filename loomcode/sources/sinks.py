@@ -12,6 +12,8 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomcode.operators.numbering import numbered
+
 _QDA = "urn:QDA-XML:codebook:1.0"
 _PROJECT = "urn:QDA-XML:project:1.0"
 BUNDLE = "loomcode-corpus/1"
@@ -163,10 +165,12 @@ def read_bundles(spark, path: str, input_type: str) -> DataFrame:
 
 
 def chart_data(block: DataFrame, label: str, value: str, most: int | None = None) -> DataFrame:
-    """label, value, ord: bars in falling order, the first `most` of them."""
-    rows = block.select(F.col(label).alias("label"), F.col(value).cast("double").alias("value")).orderBy(F.desc("value"), "label")
-    rows = rows.limit(most) if most else rows
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("value"), "label")))
+    """label, value, ord: bars in falling order, the first `most` of them, or all, of any number."""
+    rows = block.select(F.col(label).alias("label"), F.col(value).cast("double").alias("value"))
+    order = [F.desc("value"), F.col("label")]
+    if most is None:
+        return numbered(rows, "ord", order).withColumn("ord", (F.col("ord") + 1).cast("int"))
+    return rows.orderBy(*order).limit(most).withColumn("ord", F.row_number().over(Window.orderBy(*order)))  # `most` rows
 
 
 def available_charts(blocks: dict[str, DataFrame]) -> list[str]:

@@ -149,7 +149,7 @@ def plain_offsets(full, texts):
     for t in texts:
         at = full.find(t, cursor)
         at = full.find(t) if at < 0 else at
-        out.append((0, len(full)) if at < 0 else (at, at + len(t)))
+        out.append((0, len(t)) if at < 0 else (at, at + len(t)))
         cursor = cursor if at < 0 else at + len(t)
     return out
 
