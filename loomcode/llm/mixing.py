@@ -5,10 +5,13 @@ document draws its number of copies from the Poisson distribution with that mean
 it at a number that a hash of the seed and the document gives; copies are then put in a global random
 order by a range partitioning on a hash.
 
+Documents are told apart by id and text; rows that are equal in both are numbered, so that each row draws a number of its own. Only such rows are numbered,
+over ranges, so that a group of any size is spread; which of them has which number makes no difference.
+
 A mean over CHUNK_MEAN is drawn as a sum of independent parts, so that no probability underflows.
 
 Edges: a null source is a source of its own; a source without a weight takes `default_weight`; null and
-empty texts count OVERHEAD bytes; rows that repeat a doc_id draw the same number. An empty table
+empty texts are the same and count OVERHEAD bytes; rows without a doc_id, or that repeat one, draw numbers of their own each. An empty table
 gives an empty result. The columns of the input are kept; an input column named as one that is added
 is replaced.
 """
@@ -18,13 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomcode.llm.common import joined_small, parts
+from loomcode.llm.common import joined_small, parts, written
+from loomcode.operators.numbering import numbered
 
 OVERHEAD = 16
 CHUNK_MEAN = 16.0
 #: Terms of the distribution function, enough for means up to CHUNK_MEAN in double precision.
 TERMS = 80
 MAX_SOURCES = 10_000
+#: Documents that stand more than once: so many are looked up by a broadcast, more by a shuffle.
+MAX_REPEATED = 100_000
 
 
 def unit_hash(*what: Column) -> Column:
@@ -59,6 +65,21 @@ def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: flo
     return rates.select("mix_source", "rate", "n_chunks", step["cdf"].alias("cdf"))
 
 
+def with_own_name(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Adds mix_name, a string that no other row has: id, MD5 of the text, and a number among rows that are equal in both."""
+    text = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    named = docs.withColumn("mix_name", F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text))
+    twice = named.groupBy("mix_name").agg(F.count("*").alias("mix_rows")).where("mix_rows > 1")
+    twice = written(twice.select("mix_name", F.lit(True).alias("mix_again")), "mix_repeated")
+    number = lambda n: F.concat_ws(":", "mix_name", n.cast("string"))
+    if twice.isEmpty():
+        return named.withColumn("mix_name", number(F.lit(0)))
+    told = joined_small(named, twice, "mix_name", MAX_REPEATED)
+    one = told.where("mix_again is null").withColumn("mix_nth", F.lit(0).cast("long"))
+    many = numbered(told.where("mix_again").withColumn("mix_at", F.monotonically_increasing_id()), "mix_nth", [F.col("mix_at")], ("mix_name",)).drop("mix_at")
+    return one.unionByName(many).withColumn("mix_name", number(F.col("mix_nth"))).drop("mix_again", "mix_nth")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -70,13 +91,13 @@ def mix_sources(
     text_col: str = "text",
 ) -> DataFrame:
     """The columns of docs, with copy (from 0), rate, shuffle_key: a row for each copy, in a global order by shuffle_key."""
-    added = ["copy", "rate", "shuffle_key", "mix_source", "n_chunks", "cdf", "n_copies"]
+    added = ["copy", "rate", "shuffle_key", "mix_source", "n_chunks", "cdf", "n_copies", "mix_name", "mix_again", "mix_nth", "mix_at"]
     kept = [c for c in docs.columns if c not in added]
     rates = source_rates(docs, weights or {}, default_weight, epochs, source_col, text_col)
     name = F.coalesce(F.concat(F.lit("s:"), F.col(source_col)), F.lit("null"))
-    named = docs.select(*(F.col(f"`{c}`") for c in kept), name.alias("mix_source"))
-    drawn = joined_small(named, rates, "mix_source", MAX_SOURCES)
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    own = with_own_name(docs.select(*(F.col(f"`{c}`") for c in kept)), id_col, text_col)
+    drawn = joined_small(own.withColumn("mix_source", name), rates, "mix_source", MAX_SOURCES)
+    ident = F.col("mix_name")
     # The hash is bound once a part, outside the search in the distribution function.
     draw = lambda i: F.element_at(
         F.transform(F.array(unit_hash(F.lit(str(seed)), ident, i.cast("string"))), lambda u: F.size(F.filter(F.col("cdf"), lambda c: c <= u))), 1

@@ -20,14 +20,16 @@ cdf as (
     select source, rate, n_chunks, 0 as k, exp(-(rate / n_chunks)) as p, exp(-(rate / n_chunks)) as c from chunks
     union all
     select source, rate, n_chunks, k + 1, p * (rate / n_chunks) / (k + 1), c + p * (rate / n_chunks) / (k + 1) from cdf where k < 80),
+named as (
+    select *, coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, '')) || ':' || (row_number() over (partition by doc_id, coalesce(text, '')) - 1) as name from documents),
 drawn as (
-    select doc_id, d.source, text, rate, i,
-        (('0x' || substr(md5('17:' || doc_id || ':' || i), 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double as u
-    from documents d join chunks using (source), unnest(range(1, n_chunks + 1)) as t(i)),
+    select name, doc_id, d.source, text, rate, i,
+        (('0x' || substr(md5('17:' || name || ':' || i), 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double as u
+    from named d join chunks using (source), unnest(range(1, n_chunks + 1)) as t(i)),
 counts as (
-    select d.doc_id, d.source, d.rate, any_value(d.text) as text, count(c.k) as n
-    from drawn d left join cdf c on c.source = d.source and c.c <= d.u group by d.doc_id, d.source, d.rate)
-select doc_id, source, copy::int as copy, rate, ('0x' || substr(md5('order17:' || doc_id || ':' || copy), 1, 15))::bigint as shuffle_key,
+    select any_value(d.doc_id) as doc_id, name, d.source, d.rate, any_value(d.text) as text, count(c.k) as n
+    from drawn d left join cdf c on c.source = d.source and c.c <= d.u group by name, d.source, d.rate)
+select doc_id, source, copy::int as copy, rate, ('0x' || substr(md5('order17:' || name || ':' || copy), 1, 15))::bigint as shuffle_key,
     octet_length(encode(coalesce(text, '')))::bigint as text_bytes
 from counts, unnest(range(0, n)) as t(copy) where n > 0
 """

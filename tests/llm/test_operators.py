@@ -74,6 +74,13 @@ def test_mixing(spark, docs, nothing):
         n = {r["source"]: r["count"] for r in mixing.mix_sources(many, {"a": 3.0}, epochs=epochs, seed=2).groupBy("source").count().collect()}
         assert abs(n["a"] / (3000 * epochs) - 1) < 0.06 and abs(n["b"] / (1000 * epochs) - 1) < 0.1
     counts = mixing.mix_sources(many, epochs=1.0, seed=2).groupBy("doc_id", "rate").count()
+    # Rows without an id, and rows that are equal, are drawn one by one.
+    for ident, text in ((F.lit(None).cast("long"), F.col("id").cast("string")), (F.lit(None).cast("long"), F.lit(None).cast("string")), (F.lit(5).cast("long"), F.lit("same"))):
+        equal = spark.range(3000).select(ident.alias("doc_id"), text.alias("text"), F.lit("a").alias("source")).repartition(3)
+        for seed in range(2):
+            got = mixing.mix_sources(equal, epochs=1.0, seed=seed)
+            assert abs(got.count() / 3000 - 1) < 0.1 and got.select("shuffle_key").distinct().count() == got.count()
+            assert abs(got.groupBy("copy").count().where("copy = 0").first()["count"] / 3000 - (1 - np.exp(-1))) < 0.05
     share = counts.where("count >= 2 and rate < 1").count() / 3000  # mean 2/3
     assert abs(share - (1 - np.exp(-2 / 3) * (1 + 2 / 3))) < 0.02
 
