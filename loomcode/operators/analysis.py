@@ -79,11 +79,15 @@ class Analysis:
 
     def cooccurrence(self) -> DataFrame:
         """label_a, label_b, units: both orders; the diagonal has a code's units. Only pairs that occur."""
-        a = self.unit_codes.select("doc_id", "position", F.col("label").alias("label_a"))
-        listed = self.unit_codes.groupBy("doc_id", "position").agg(F.collect_set("label").alias("labels"))
-        # A unit has at most the codebook's codes, so that a unit's pairs are bounded.
-        pairs = a.join(listed, ["doc_id", "position"]).select("label_a", F.explode("labels").alias("label_b"))
-        return pairs.groupBy("label_a", "label_b").agg(F.count("*").alias("units"))
+        if "code_ids" in self.segments.columns:
+            units = self.coded.select("code_ids")
+        else:
+            units = self.codings.groupBy("doc_id", "position").agg(F.sort_array(F.collect_set("code_id")).alias("code_ids"))
+        # Units are counted by their sets of codes, of which there are far fewer; pairs are made of the sets.
+        sets = self.labelled(units.groupBy("code_ids").agg(F.count("*").alias("n")).select("n", "code_ids", F.explode("code_ids").alias("code_id")))
+        sets = sets.groupBy("code_ids").agg(F.first("n").alias("n"), F.collect_set("label").alias("labels"))
+        pairs = sets.select("n", "labels", F.explode("labels").alias("label_a")).select("n", "label_a", F.explode("labels").alias("label_b"))
+        return pairs.groupBy("label_a", "label_b").agg(F.sum("n").alias("units"))
 
     def cooccurrence_matrix(self) -> DataFrame:
         """label_a, label_b, units: every code that occurs with every other, and 0 where they never meet."""

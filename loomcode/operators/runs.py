@@ -116,8 +116,16 @@ def costs(tokens: DataFrame, prices: DataFrame) -> DataFrame:
     return rows.withColumn("cost", cost)
 
 
+def estimated_seconds(engine, n_units, workers) -> Column:
+    """The seconds that a run of so many units takes, about: by the dictionary 8 and 0.012 for each; by a model 4 for each call, `workers` at a time. 0 without units."""
+    each = F.floor(F.lit(8.0) + n_units * F.lit(0.012))
+    return F.when(n_units <= 0, 0).when(engine == "dictionary", each).otherwise(F.ceil(n_units / F.greatest(workers, F.lit(1))) * 4).cast("long")
+
+
 def estimate_seconds(engine: str, n_units: int, workers: int) -> int:
-    return round(8 + 0.012 * n_units) if engine == "dictionary" else -(-n_units // max(workers, 1)) * 4
+    if n_units <= 0:
+        return 0
+    return int(8 + 0.012 * n_units) if engine == "dictionary" else -(-n_units // max(workers, 1)) * 4
 
 
 def estimate_run(docs: DataFrame, units: DataFrame, system: str, price: tuple[float, float] = DEFAULT_PRICE, sample: int = 8, prompt: int = 50, output: int = 150) -> DataFrame:

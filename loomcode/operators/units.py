@@ -127,12 +127,13 @@ def _cells(docs: DataFrame, cells: DataFrame) -> DataFrame:
     return _shaped(rows.withColumn("position", position), excluded=F.lit(False))
 
 
-def preview(text: str, unit: str, spark, lang: str | None = None, most: int = 12) -> DataFrame:
-    """The first units of a pasted text: position, text. A cell is shown by paragraphs, and sentences are English unless told otherwise."""
+def previews(texts: DataFrame, unit: str, most: int = 12) -> DataFrame:
+    """The first units of each text (doc_id, text, lang): doc_id, position, text. A cell is shown by paragraphs."""
     mode = "paragraph" if unit == "cell" else unit
-    pasted = spark.createDataFrame([(0, text, lang or "en")], "doc_id long, text string, lang string")
-    if mode == "utterance_regex":
-        rows = segment.utterances(pasted, conventions.Pattern(conventions.POSITIONAL))
-    else:
-        rows = segment.plain_units(pasted, mode)
-    return rows.orderBy("position").limit(most)
+    rows = segment.utterances(texts, conventions.Pattern(conventions.POSITIONAL)) if mode == "utterance_regex" else segment.plain_units(texts, mode)
+    return rows.where(F.col("position") < most)
+
+
+def preview(text: str, unit: str, spark, lang: str | None = None, most: int = 12) -> DataFrame:
+    """previews() of one pasted text, in order; sentences are English unless told otherwise."""
+    return previews(spark.createDataFrame([(0, text, lang or "en")], "doc_id long, text string, lang string"), unit, most).orderBy("position")

@@ -260,6 +260,12 @@ def sorted_by(rows: DataFrame, column: str, falling: bool = False) -> DataFrame:
     return rows.orderBy(key.desc() if falling else key.asc(), "doc_id")
 
 
+def in_order(rows: DataFrame, column: str, falling: bool = False) -> DataFrame:
+    """rows with ord: their place (from 0) in the order of sorted_by()."""
+    key = F.lower(F.coalesce(F.col(column).cast("string"), F.lit("")))
+    return numbered(rows.withColumn("__key", key), "ord", [F.desc("__key") if falling else F.asc("__key"), F.col("doc_id")]).drop("__key")
+
+
 def group_values(cells: DataFrame, column: str, most: int = GROUP_VALUES) -> list[str]:
     """The distinct values of a grouping column; one with more than `most` is refused."""
     found = [r[0] for r in cells.where(F.col("column") == column).select("text").distinct().orderBy("text").limit(most + 1).collect()]

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from loomcode.functions import text as T
-from loomcode.operators import codebook, conventions, dictionary, runs, segment
+from loomcode.operators import codebook, conventions, dictionary, runs, segment, workspace
 from loomcode.operators import facts as F_
 from loomcode.operators.analysis import Analysis
 from loomcode.store import shared_dir
@@ -46,6 +46,29 @@ def expressions(spark: SparkSession) -> DataFrame:
     return local(spark, EXPRESSIONS, codebook.EXPRESSIONS)
 
 
+_BOOK_LANGS = ["de", "en", "fr", "it", "es"]
+
+
+def book(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(codes, expressions) that the parts give: a code for each name, and an expression of types and brands for each name and language."""
+    lang = F.element_at(F.lit(_BOOK_LANGS), F.col("p_size") % 5 + 1)
+    kind = F.col("p_partkey") % 3
+    said = F.when(F.col("p_size") % 10 == 0, "the and").when(kind == 0, F.concat_ws(" ", "p_type", "p_brand")).when(kind == 1, F.concat(F.lit('"'), F.col("p_brand"), F.lit('"'))).otherwise(F.col("p_type"))
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", lang.alias("lang"), said.alias("expression"))
+    codes = parts.groupBy(F.col("p_name").alias("label")).agg(F.min("p_partkey").alias("code_id"), F.min("p_brand").alias("b"))
+    own = parts.groupBy("p_name", "lang", "expression").agg(F.min("p_partkey").alias("expr_id")).join(codes, F.col("p_name") == F.col("label"))
+    described = F.when(F.col("code_id") % 3 > 0, F.col("b"))
+    none = F.lit(None)
+    codes = codes.select("code_id", "label", described.alias("description"), none.cast("string").alias("example"), (F.col("code_id") % 7 == 3).alias("is_deleted"), none.cast("long").alias("proposed_in_run_id"))
+    return codes, own.select("expr_id", "code_id", "lang", "expression")
+
+
+_BOOK = f"""with parts as (select p_partkey, p_name, p_brand, {"['" + "', '".join(_BOOK_LANGS) + "']"}[p_size % 5 + 1] as lang,
+    case when p_size % 10 = 0 then 'the and' when p_partkey % 3 = 0 then p_type || ' ' || p_brand when p_partkey % 3 = 1 then '"' || p_brand || '"' else p_type end as expression from part),
+codes as (select code_id, label, case when code_id % 3 > 0 then b end as description, code_id % 7 = 3 as is_deleted from (select p_name as label, min(p_partkey) as code_id, min(p_brand) as b from parts group by p_name)),
+exprs as (select expr_id, code_id, lang, expression from (select p_name, lang, expression, min(p_partkey) as expr_id from parts group by all) e join codes c on c.label = p_name)"""
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Rows of a small table dealt to all cores: one row group is one task, however small. A large table has a task for each of its
     row groups and moves nothing."""
@@ -173,6 +196,15 @@ def query(sql: str | None = None):
     return add
 
 
+@query(_BASE + " select distinct 1::bigint as run_id, doc_id, 'completed' as status, (count(*) over (partition by doc_id))::bigint as units from units")
+def run_executed(spark, sf):
+    """A run of its own: its documents, and the units that their committed facts have."""
+    root = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    done = dictionary_run(spark, sf, root)
+    units_ = F_.read_facts(spark, root, RUN)[0].groupBy("doc_id").agg(F.count("*").alias("units"))
+    return done.join(units_, "doc_id").select("run_id", "doc_id", "status", "units")
+
+
 @query(_BASE + " select doc_id, count(*) as n, max(position)::int as last from units group by doc_id")
 def paragraphs_per_doc(spark, sf):
     return units(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("position").alias("last"))
@@ -263,9 +295,12 @@ def cooccurrence_long(spark, sf):
 @query("""with c as (select distinct l_orderkey as o, l_returnflag || l_linestatus as code from lineitem)
 select a.code as code_a, b.code as code_b, count(*) as units from c a join c b on a.o = b.o and a.code <= b.code group by 1, 2""")
 def cooccurrence_orders(spark, sf):
-    per = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat("l_returnflag", "l_linestatus")).alias("cs"))
-    pairs = per.select(F.explode("cs").alias("code_a"), "cs").select("code_a", F.explode("cs").alias("code_b")).where("code_a <= code_b")
-    return pairs.groupBy("code_a", "code_b").agg(F.count("*").alias("units"))
+    """Orders as units, flag and status of their lines as codes."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("position"), (F.ascii("l_returnflag") * 256 + F.ascii("l_linestatus")).cast("long").alias("code_id"), F.concat("l_returnflag", "l_linestatus").alias("label"))
+    codes = lines.select("code_id", "label").distinct()
+    none = lines.select("doc_id", "position", F.lit("coded").alias("status"))
+    a = Analysis(none, lines.drop("label"), lines.select("doc_id", F.lit("").alias("grp")), codes)
+    return a.cooccurrence().where("label_a <= label_b").select(F.col("label_a").alias("code_a"), F.col("label_b").alias("code_b"), "units")
 
 
 @query(_ALL + ", c2 as (select distinct doc_id, position, label from codings) select doc_id, " + ", ".join(f"count(*) filter (where label = '{x}') as {x}" for _, x, _ in CODES[:5]) + " from c2 group by doc_id")
@@ -400,17 +435,23 @@ def label_normalise_dedup(spark, sf):
 
 @query("select doc_id from documents where doc_id in (select doc_id from labels)")
 def covered_docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    """The documents that a run has completed; a label stands for that."""
+    return _analyzed(spark, sf).where("analyzed").select("doc_id")
+
+
+def _analyzed(spark, sf):
+    done = table(spark, sf, "labels").select("doc_id", F.lit("completed").alias("status"))
+    return workspace.analyzed(table(spark, sf, "documents").select("doc_id"), done)
 
 
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
 def uncovered_docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+    return _analyzed(spark, sf).where("not analyzed").select("doc_id")
 
 
-@query(_BASE + " select code_id::bigint as code_id, lang, count(*) as n from exprs join codes using (code_id) where not is_deleted group by 1, 2")
+@query(_BOOK + " select code_id, lang, count(*) as n from exprs join codes using (code_id) where not is_deleted group by 1, 2")
 def expressions_per_code_lang(spark, sf):
-    return codebook.expression_counts(codes(spark), expressions(spark))
+    return codebook.expression_counts(*book(spark, sf))
 
 
 @query(_BASE + """ select lang, count(*) filter (where not exists (select 1 from exprs e where e.code_id = c.code_id and e.lang = l.lang)) as n_codes
@@ -445,9 +486,9 @@ def run_cost(spark, sf):
     return runs.costs(t, prices).select("run_id", "model", "tokens_in", "tokens_out", "cost")
 
 
-@query(_BASE + " select c.code_id::bigint as code_id, any_value(label) as label, " + ", ".join(f"coalesce(string_agg(expression, '; ' order by expr_id) filter (where lang = '{x}'), '') as Expressions_{x}" for x in T.LANGUAGES) + " from codes c left join exprs using (code_id) where not is_deleted group by 1")
+@query(_BOOK + " select c.code_id, any_value(label) as label, coalesce(any_value(description), '') as description, '' as example, " + ", ".join(f"coalesce(string_agg(expression, '; ' order by expr_id) filter (where lang = '{x}'), '') as Expressions_{x}" for x in T.LANGUAGES) + " from codes c left join exprs using (code_id) where not is_deleted group by 1")
 def codebook_pivot(spark, sf):
-    return codebook.wide(codes(spark), expressions(spark)).drop("description", "example")
+    return codebook.wide(*book(spark, sf))
 
 
 _VOTES = ", ".join(f"('{k}', {_sql_list(v)})" for k, v in sorted(T.STOP_WORDS.items()))

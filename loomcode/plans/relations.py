@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomcode.functions import text as T
 from loomcode.operators import codebook, conventions, runs, segment, workspace
 from loomcode.operators import units as U
+from loomcode.operators.numbering import numbered
 from loomcode.plans import catalog as C
 from loomcode.plans.catalog import query
 from loomcode.sources import files, reports, sinks
@@ -212,14 +213,14 @@ def coding_export(spark, sf):
     return reports.coding_rows(rows, named, codes)
 
 
-@query(C._BASE + """ select label as "Code", '' as "Description", '' as "Example", """ + ", ".join(f"""coalesce((select string_agg(expression, '; ' order by expr_id) from exprs e where e.code_id = c.code_id and lang = '{x}'), '') as "Expressions_{x}" """ for x in T.LANGUAGES) + " from codes c where not is_deleted")
+@query(C._BOOK + """ select label as "Code", coalesce(description, '') as "Description", '' as "Example", """ + ", ".join(f"""coalesce((select string_agg(expression, '; ' order by expr_id) from exprs e where e.code_id = c.code_id and lang = '{x}'), '') as "Expressions_{x}" """ for x in T.LANGUAGES) + " from codes c where not is_deleted")
 def codebook_round_trip(spark, sf):
     """Written as a codebook's table, read again, and written once more."""
-    sheet = reports.codebook_rows(C.codes(spark), C.expressions(spark))
-    read, exprs = codebook.parsed_rows(sheet.withColumn("ord", F.row_number().over(Window.orderBy("Code"))))  # a codebook
+    sheet = reports.codebook_rows(*C.book(spark, sf))
+    read, exprs = codebook.parsed_rows(numbered(sheet, "ord", [F.col("Code")]))
     again = read.select(F.col("ord").cast("long").alias("code_id"), "label", "description", "example", F.lit(False).alias("is_deleted"))
-    numbered = exprs.withColumn("expr_id", F.monotonically_increasing_id()).withColumn("code_id", F.col("ord").cast("long"))
-    return reports.codebook_rows(again, numbered)
+    expressions = exprs.withColumn("expr_id", F.monotonically_increasing_id()).withColumn("code_id", F.col("ord").cast("long"))
+    return reports.codebook_rows(again, expressions)
 
 
 @query(_REL + """, m as (select doc_id, workspace_id, case when workspace_id = 2 and doc_id in (2, 7, 8, 12) then 'north' else grp end as grp from docs) select doc_id, grp from m""")
@@ -301,10 +302,10 @@ def lists_and_names(spark, sf):
     )
 
 
-@query(C._BASE + f""", p as (select expr_id, expression, lang, starts_with(expression, '"') as phrase, {C._TOK.format("expression")} as toks from exprs)
-select expr_id::bigint as expr_id, phrase, n, case n when 0 then 'inert' when 1 then 'weak' end as warning from (select expr_id, phrase, len(case when phrase then toks else list_filter(toks, lambda x: not list_contains({C._STOP}, x)) end)::int as n from p)""")
+@query(C._BOOK + f""", p as (select expr_id, expression, lang, starts_with(expression, '"') as phrase, {C._TOK.format("expression")} as toks from exprs)
+select expr_id, phrase, n, case n when 0 then 'inert' when 1 then 'weak' end as warning from (select expr_id, phrase, len(case when phrase then toks else list_filter(toks, lambda x: not list_contains({C._STOP}, x)) end)::int as n from p)""")
 def expression_warnings(spark, sf):
-    rows = C.expressions(spark).withColumn("phrase", T.is_phrase("expression")).withColumn("n", F.size(T.expression_lemmas(F.col("expression"), F.col("lang"))))
+    rows = C.book(spark, sf)[1].withColumn("phrase", T.is_phrase("expression")).withColumn("n", F.size(T.expression_lemmas(F.col("expression"), F.col("lang"))))
     return rows.select("expr_id", "phrase", "n", codebook.lemma_warning(F.col("n")).alias("warning"))
 
 
@@ -453,24 +454,50 @@ def sample_lines(spark, sf):
     return conventions.samples(transcripts(spark, sf), 25).select("doc_id", F.array_join("lines", "\n").alias("lines"))
 
 
-@query("select 0::bigint as doc_id, 'en' as lang, 0::int as position, 'One line.' as text union all select 0, 'en', 1, 'Another. And more.'")
+@query(C._BASE + " select doc_id, position, text from units where position < 12")
 def pasted_preview(spark, sf):
-    return U.preview(" One line. \n\nAnother. And more.", "cell", spark)
+    """The first 12 units of each text that is pasted."""
+    return U.previews(C.docs(spark, sf), "cell").select("doc_id", "position", "text")
+
+
+#: Units in the order of lines, where some are asked for late, some twice, and some are nowhere.
+_DRIFTED = _LINES.replace("with said", "with recursive said", 1) + """, n as (select doc_id, count(*) as n from lines group by 1),
+coded as (select doc_id, ord, case when ord % 7 = 6 then line || '!' || ord when ord % 5 = 4 then prev else line end as t from (
+    select l.doc_id, (case when l.line_no % 4 = 1 then (l.line_no + 2) else l.line_no end * 10 + l.line_no % 4)::int as ord, line, coalesce(lag(line) over (partition by l.doc_id order by case when l.line_no % 4 = 1 then l.line_no + 2 else l.line_no end * 10 + l.line_no % 4), line) as prev from lines l)),
+placed as (select *, row_number() over (partition by doc_id order by ord) as k from coded)"""
+_FOLD = """, walk as (
+    select doc_id, 0::bigint as k, 0::bigint as cur, null::varchar as last, null::bigint as s, null::bigint as e, null::int as ord, null::varchar as t from n
+    union all
+    select doc_id, k, case when again or found < 0 then cur else found + length(t) end, t, case when again then s when found >= 0 then found else {start} end, case when again then e when found >= 0 then found + length(t) else {end} end, ord, t
+    from (select w.doc_id, p.k, w.cur, w.last, w.s, w.e, p.ord, p.t, length(text) as full_length, {again} as again,
+            case when strpos(substr(text, w.cur + 1), p.t) > 0 then w.cur + strpos(substr(text, w.cur + 1), p.t) - 1 else strpos(text, p.t) - 1 end as found
+        from walk w join placed p on p.doc_id = w.doc_id and p.k = w.k + 1 join text on text.doc_id = w.doc_id))"""
+
+
+def drifted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(transcripts, units: doc_id, ord, text), of which the SQL is _DRIFTED."""
+    t = transcripts(spark, sf)
+    late = F.when(F.col("line_no") % 4 == 1, F.col("line_no") + 2).otherwise(F.col("line_no"))
+    rows = segment.lines(t).select("doc_id", (late * 10 + F.col("line_no") % 4).cast("int").alias("ord"), "line")
+    before = F.coalesce(F.lag("line").over(Window.partitionBy("doc_id").orderBy("ord")), "line")
+    text = F.when(F.col("ord") % 7 == 6, F.concat("line", F.lit("!"), F.col("ord").cast("string"))).when(F.col("ord") % 5 == 4, before).otherwise(F.col("line"))
+    return t, rows.select("doc_id", "ord", text.alias("text"))
+
 
+@query(_DRIFTED + _FOLD.format(again="false", start="0", end="length(t)") + " select doc_id, ord as position, t as text, s::int as start_offset, e::int as end_offset from walk where k > 0")
+def offsets_of_drifted_units(spark, sf):
+    """Forward, backward and absent texts."""
+    t, rows = drifted(spark, sf)
+    return segment.anchored(t, rows.withColumnRenamed("ord", "position"))
 
-@query(_LINES + """, spans as (select l.doc_id, l.line_no, l.line, strpos(t.text, l.line) - 1 as first from lines l join text t using (doc_id)),
-uniq as (select doc_id, line_no, line, first from spans where doc_id not in (select doc_id from lines group by doc_id, line having count(*) > 1))
-select doc_id, line_no::int as ord, case when line_no % 7 = 6 then 3 else coalesce((select sum(length(line) + 1) from lines x where x.doc_id = uniq.doc_id and x.line_no < uniq.line_no), 0) end::int as start_offset_or_stored
-from uniq where line_no % 7 = 6 or line_no = 0""")
+
+@query(_DRIFTED + _FOLD.format(again="coalesce(w.last = p.t, false)", start="case when ord % 2 = 0 then 3 else 0 end", end="case when ord % 2 = 0 then 9 else full_length end")
+    + " select doc_id, ord, t as text, s::int as start_offset, e::int as end_offset from walk where k > 0")
 def reanchored_codings(spark, sf):
-    """Codings whose stored offsets are wrong; every seventh has a text that is nowhere and keeps them."""
-    t = transcripts(spark, sf)
-    rows = segment.lines(t)
-    twice = rows.groupBy("doc_id", "line").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").distinct()
-    once = rows.join(twice, "doc_id", "left_anti")
-    text = F.when(F.col("line_no") % 7 == 6, F.concat(F.col("line"), F.lit("\u0001"))).otherwise(F.col("line"))
-    coded = once.select("doc_id", F.col("line_no").cast("int").alias("ord"), text.alias("text"), F.lit(3).alias("start_offset"), F.lit(9).alias("end_offset"))
-    return segment.reanchored(t, coded).where("ord % 7 = 6 or ord = 0").select("doc_id", "ord", F.col("start_offset").alias("start_offset_or_stored"))
+    """Codings whose stored offsets are wrong, of which every second one has none; texts that follow themselves keep their span."""
+    t, rows = drifted(spark, sf)
+    even = F.col("ord") % 2 == 0
+    return segment.reanchored(t, rows.withColumns({"start_offset": F.when(even, 3), "end_offset": F.when(even, 9)}))
 
 
 @query(_DETECT + ", b as (select doc_id, name from best where r = 1 and score >= 0.45) select t.doc_id, b.name as convention from text t left join b using (doc_id)")
@@ -479,18 +506,46 @@ def documents_redetected(spark, sf):
     return workspace.redetected(t).select("doc_id", "convention")
 
 
-@query("""select conv_id as doc_id, case when conv_id = 3 then 'default' else 'old' end as convention, case when conv_id = 3 then '' else 'kept' end as roles from (select distinct conv_id from conversations)""")
+@query(_DETECT + """, b as (select doc_id, speakers from best_of where name = 'plain')
+select t.doc_id, case when t.doc_id = 2 then 'plain' else 'old' end as convention, case when t.doc_id = 2 then 'fr' else 'en' end as lang, case when t.doc_id = 2 then 'north' end as grp,
+    case when t.doc_id = 2 then coalesce((select array_to_string(list_transform(speakers, lambda x: x || '=' || case when regexp_matches(x, '^(I[0-9]*|IV|INT|MOD|MODERATOR|INTERVIEWER)$') then 'interviewer' else 'participant' end), '|') from b where b.doc_id = 2), '')
+    else (select string_agg(who || '=other', '|' order by who) from (select distinct who from said where said.doc_id = t.doc_id)) end as roles from text t""".replace("best_of", "sc"))
 def convention_changed(spark, sf):
-    t = transcript_documents(spark, sf).withColumn("convention", F.lit("old")).withColumn("roles", F.create_map(F.lit("kept"), F.lit("other"))).withColumn("grp", F.lit(None).cast("string"))
-    # Document 3 is in another layout than the one it is given, so that no speaker recurs.
-    return workspace.described(t, 3, convention="default").select("doc_id", "convention", F.array_join(F.map_keys("roles"), "|").alias("roles"))
+    """Document 2 gets a convention, and with it the roles of the speakers who recur in it; a language and a group. All others stay."""
+    t = _with_speakers(spark, sf).withColumn("convention", F.lit("old")).withColumn("grp", F.lit(None).cast("string"))
+    new = workspace.described(t, 2, convention="plain", lang="fr", grp=" north ")
+    return new.select("doc_id", "convention", "lang", "grp", _shown_roles())
+
+
+def _with_speakers(spark, sf):
+    """Transcripts with a role for each speaker who is in them."""
+    c = C.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_set(F.upper("role"))).alias("who"))
+    rows = transcript_documents(spark, sf).drop("roles").join(c, "doc_id")
+    return rows.withColumn("roles", F.map_from_arrays("who", F.transform("who", lambda x: F.lit("other")))).drop("who")
+
+
+def _shown_roles():
+    pairs = F.transform(F.array_sort(F.map_entries("roles")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return F.array_join(pairs, "|").alias("roles")
 
 
-@query("select distinct conv_id as doc_id, case when conv_id = 2 then 'A=other|B1=interviewer' else '' end as roles from conversations")
+@query(_LINES + """ select doc_id, case when doc_id = 2 then 'ASSISTANT=interviewer|USER=participant' else string_agg(who || '=other', '|' order by who) end as roles from (select distinct doc_id, who from said) group by doc_id""")
 def roles_replaced(spark, sf):
-    t = C.table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id")).distinct().withColumn("roles", F.create_map().cast("map<string,string>"))
-    new = workspace.with_roles(t, 2, {" a:": "other", "b 1": "interviewer", " : ": "other"})
-    return new.select("doc_id", F.array_join(F.transform(F.array_sort(F.map_entries("roles")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), "|").alias("roles"))
+    """Document 2's roles, by speakers as they are typed; all others keep theirs."""
+    new = workspace.with_roles(_with_speakers(spark, sf), 2, {" user:": "other", "assist ant": "interviewer", " : ": "other", "User": "participant"})
+    return new.select("doc_id", _shown_roles())
+
+
+@query(_DETECT + f""", b as (select doc_id, name, speakers from best where r = 1 and score >= 0.45), votes(v, words) as (values {C._VOTES}),
+seq as (select doc_id, {C._TOK.format("substr(text, 1, 5000)")} as seq from text),
+counted as (select doc_id, v, len(list_filter(seq, lambda x: list_contains(words, x))) as n from seq cross join votes),
+lang as (select doc_id, case when n > 0 then v end as lang from (select *, row_number() over (partition by doc_id order by n desc, v) as r from counted) where r = 1)
+select t.doc_id, lang, b.name as convention, coalesce(array_to_string(list_transform(speakers, lambda x: x || '=' || case when regexp_matches(x, '^(I[0-9]*|IV|INT|MOD|MODERATOR|INTERVIEWER)$') then 'interviewer' else 'participant' end), '|'), '') as roles
+from text t left join b using (doc_id) left join lang using (doc_id)""")
+def documents_redetected_whole(spark, sf):
+    """Language (of the first 5,000 characters, as is the feature), convention and roles of every transcript."""
+    t = _with_speakers(spark, sf).withColumn("convention", F.lit("old"))
+    return workspace.redetected(t).select("doc_id", "lang", "convention", F.coalesce(_shown_roles(), F.lit("")).alias("roles"))
 
 
 @query(C._ALL + """, f as (select label, count(*) as v from codings group by 1) select label, v::double as value, (row_number() over (order by v desc, label))::int as ord, (select max(v) from f)::double as most from f""")
@@ -511,24 +566,105 @@ def pages_as_lines(spark, sf):
     return C.table(spark, sf, "pages").select("page_id", files.html_lines(F.col("html")).alias("text"))
 
 
-@query(C._BASE + """, c as (select label, code_id, list({'lang': lang, 'expression': expression} order by expr_id) filter (where expr_id is not null) as e from codes left join exprs using (code_id) where not is_deleted group by 1, 2)
-select '[' || string_agg('{"label":"' || label || '","code_id":' || code_id || ',"description":"","expressions":[' || coalesce(array_to_string(list_transform(e, lambda x: '{"lang":"' || x.lang || '","expression":"' || replace(x.expression, '"', '\\"') || '"}'), ','), '') || ']}', ',' order by label) || ']' as codebook from c""")
+@query(C._BOOK + """, c as (select label, code_id, any_value(description) as d, list({'lang': lang, 'expression': expression} order by expr_id) filter (where expr_id is not null) as e from codes left join exprs using (code_id) where not is_deleted group by 1, 2)
+select '[' || string_agg('{"label":"' || label || '","code_id":' || code_id || ',"description":"' || coalesce(d, '') || '","expressions":[' || coalesce(array_to_string(list_transform(e, lambda x: '{"lang":"' || x.lang || '","expression":"' || replace(x.expression, '"', '\\"') || '"}'), ','), '') || ']}', ',' order by label) || ']' as codebook from c""")
 def codebook_snapshot(spark, sf):
-    return workspace.snapshot(C.codes(spark), C.expressions(spark))
-
-
-_ANSWERS = ['[{"action":"use_existing","code":"alpha","rationale":"r"}]', '```json\n[{"action":"create_new","code":"New one"},{"action":"no_code","rationale":"x"}]\n```', '[{"action":"no_code","rationale":"a"},{"action":"no_code","rationale":""},{"action":"no_code","rationale":"b"}]', "no json", '{"a":1}']
+    return workspace.snapshot(*C.book(spark, sf))
 
 
-@query("""select c_custkey as doc_id, (c_custkey % 5)::int as kind, case c_custkey % 5 when 0 then 'alpha' when 1 then 'New one' else '' end as labels, case c_custkey % 5 when 1 then 'x' when 2 then 'a | b' end as no_code_rationale, c_custkey % 5 >= 3 as failed from customer""")
+@query("""with a as (select doc_id, case doc_id % 5 when 3 then text else case doc_id % 5 when 1 then 'so:' || chr(10) || '```json' || chr(10) else '' end
+    || case when doc_id % 5 = 4 then '{"action":"no_code"}' else '[{"action":"create_new","code":" ' || source || ' ","rationale":"r"},{"code":"' || lang || '"},{"action":"use_existing","code":"  "},{"action":"no_code","rationale":" ' || n_chars || ' "},{"action":"no_code"}'
+    || case when doc_id % 5 = 2 then ',{"action":"no_code","rationale":"' || lang || '","code":"' || source || '"}' else '' end || ']' end || case doc_id % 5 when 1 then chr(10) || '```' else '' end end as answer from documents),
+b as (select doc_id, case when contains(answer, '```') then trim(regexp_extract(answer, '(?s)```(?:json)?\\s*(.*?)```', 1), chr(10) || ' ') else trim(answer) end as body from a),
+e as (select doc_id, case when body[1] = '[' and json_valid(body) then json_transform(body, '[{"action":"VARCHAR","code":"VARCHAR","rationale":"VARCHAR"}]') end as es from b)
+select doc_id, coalesce(array_to_string(list_sort(list_transform(list_filter(es, lambda x: coalesce(x.action, '') <> 'no_code' and trim(coalesce(x.code, '')) <> ''), lambda x: trim(x.code))), '|'), '') as labels,
+    nullif(array_to_string(list_filter(list_transform(list_filter(es, lambda x: x.action = 'no_code'), lambda x: trim(coalesce(x.rationale, ''))), lambda x: x <> ''), ' | '), '') as no_code_rationale, es is null as failed from e""")
 def model_answers_parsed(spark, sf):
-    answer = F.element_at(F.array(*(F.lit(x) for x in _ANSWERS)), (F.col("c_custkey") % 5).cast("int") + 1)
-    rows = C.table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("position"), answer.alias("answer"))
+    """Answers that name a document's source, language and length as codes and reasons; in a fenced block, of another form, or its text alone."""
+    d = C.table(spark, sf, "documents")
+    kind, q = F.col("doc_id") % 5, F.lit
+    entries = F.concat(
+        q('[{"action":"create_new","code":" '), "source", q(' ","rationale":"r"},{"code":"'), "lang", q('"},{"action":"use_existing","code":"  "},{"action":"no_code","rationale":" '), F.col("n_chars").cast("string"), q(' "},{"action":"no_code"}'),
+        F.when(kind == 2, F.concat(q(',{"action":"no_code","rationale":"'), "lang", q('","code":"'), "source", q('"}'))).otherwise(""), q("]"),
+    )
+    answer = F.when(kind == 3, F.col("text")).when(kind == 4, '{"action":"no_code"}').when(kind == 1, F.concat(q("so:\n```json\n"), entries, q("\n```"))).otherwise(entries)
+    rows = d.select("doc_id", F.lit(0).alias("position"), answer.alias("answer"))
     named, failed, why = runs.model_entries(rows)
     labels = named.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("label")), "|").alias("labels"))
-    out = rows.select("doc_id", (F.col("doc_id") % 5).cast("int").alias("kind")).join(labels, "doc_id", "left").join(why.select("doc_id", "no_code_rationale"), "doc_id", "left")
+    out = rows.select("doc_id").join(labels, "doc_id", "left").join(why.select("doc_id", "no_code_rationale"), "doc_id", "left")
     out = out.join(failed.select("doc_id", F.lit(True).alias("bad")), "doc_id", "left")
-    return out.select("doc_id", "kind", F.coalesce("labels", F.lit("")).alias("labels"), "no_code_rationale", F.coalesce("bad", F.lit(False)).alias("failed"))
+    return out.select("doc_id", F.coalesce("labels", F.lit("")).alias("labels"), "no_code_rationale", F.coalesce("bad", F.lit(False)).alias("failed"))
+
+
+@query(C._ALL + """, f as (select m.doc_id, m.position, m.code_id, expression, min(sent) as s, min_by(expr_id, sent * 1000 + expr_id) as e from matches m group by 1, 2, 3, 4),
+one as (select doc_id, position, code_id, min_by(sentence, sent) as sentence from matches group by 1, 2, 3)
+select doc_id, position, f.code_id::bigint as code_id, 'Matched expressions: ' || string_agg(expression, ', ' order by s, e) || ' — in: "' || any_value(sentence) || '"' as rationale from f join one using (doc_id, position, code_id) group by 1, 2, f.code_id""")
+def dictionary_rationales(spark, sf):
+    return C.codings(spark, sf).select("doc_id", "position", "code_id", "rationale")
+
+
+@query(C._ALL + """ select 'document ' || s.doc_id as document, null::int as excel_row, '' as speaker, s.position, s.text as segment_text, s.status, coalesce(x.codes, '') as codes, '' as no_code_rationale from segs s
+    left join (select doc_id, position, string_agg(label, '; ' order by code_id) as codes from codings group by 1, 2) x using (doc_id, position)""")
+def run_segments_sheet(spark, sf):
+    """The segments sheet of a run's workbook, as run_sheets gives it."""
+    a = C.analysis(spark, sf)
+    own = a.segments_export().withColumns({"row_no": F.lit(None).cast("int"), "speaker": F.lit(None).cast("string")})
+    placed = a.segments.select("doc_id", "position", "text")
+    coded = a.codings.join(placed, ["doc_id", "position"]).select(
+        (F.col("doc_id") * 100_000 + F.col("position")).alias("coding_id"), "doc_id", "code_id", F.lit(None).cast("int").alias("row_no"), F.lit(None).cast("string").alias("speaker"), F.col("text").alias("segment_text"),
+        "rationale", "matched_expressions", "score", F.lit(None).cast("int").alias("start_offset"), F.lit(None).cast("int").alias("end_offset"),
+    )
+    codes = C.codes(spark).withColumn("is_model_proposed", F.lit(False))
+    return reports.run_sheets(C.RUN, coded, own, a.documents, codes, C.expressions(spark))["segments"]
+
+
+@query(_REL + """ select run_id, n, case when n <= 0 then 0 when run_id % 2 = 0 then floor(8.0::double + n * 0.012::double)::bigint else -(-n // (run_id % 5 + 1)) * 4 end as seconds from (select run_id, (run_id % 40 - 5)::bigint as n from runs)""".replace("-(-n // (run_id % 5 + 1))", "ceil(n / (run_id % 5 + 1)::double)::bigint"))
+def run_seconds(spark, sf):
+    rows = run_table(spark, sf).select("run_id", (F.col("run_id") % 40 - 5).alias("n"))
+    return rows.withColumn("seconds", runs.estimated_seconds(F.when(F.col("run_id") % 2 == 0, "dictionary").otherwise("llm"), F.col("n"), F.col("run_id") % 5 + 1))
+
+
+@query(_REL + """ select doc_id, (row_number() over (order by lower(coalesce(grp, '')) desc, doc_id))::bigint - 1 as ord from docs""")
+def documents_sorted(spark, sf):
+    """The order in which a table of documents stands after a click on its group."""
+    return workspace.in_order(document_table(spark, sf), "grp", falling=True).select("doc_id", "ord")
+
+
+@query("""select distinct c_nationkey::bigint as workspace_id, c_custkey % 7 as user_id from customer union select 3, 99""")
+def members_and_user(spark, sf):
+    members = C.table(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("workspace_id"), (F.col("c_custkey") % 7).alias("user_id"))
+    return workspace.with_member(members, 3, 99)
+
+
+@query(C._BOOK + """, lows as (select min(code_id) as a, max(code_id) as z from codes where not is_deleted), t as (select max(code_id) as top from codes)
+select code_id, case when code_id = (select a from lows) then 'A new name' else label end as label, is_deleted or code_id = (select z from lows) as is_deleted from codes union all select top + 1, 'Added', false from t""")
+def codebook_changed(spark, sf):
+    """A code is renamed, one deleted, one added."""
+    codes, _ = C.book(spark, sf)
+    a, z, top = codes.agg(F.min(F.when(~F.col("is_deleted"), F.col("code_id"))), F.max(F.when(~F.col("is_deleted"), F.col("code_id"))), F.max("code_id")).first()
+    new = codebook.with_code(codebook.soft_deleted(codebook.renamed(codes, a, "A new name"), z), " Added ", top + 1)
+    return new.select("code_id", "label", "is_deleted")
+
+
+@query(C._BOOK + """, one as (select min(code_id) as a from codes), t as (select max(expr_id) as top from exprs), w as (select p_name as x, min(p_partkey) as o from part group by 1 union all select upper(p_name), max(p_partkey) from part group by 1),
+k as (select lower(x) as l, min(o) as o from w group by 1)
+select expr_id, code_id, lang, expression from exprs where code_id <> (select a from one)
+union all select top + row_number() over (order by k.o), a, 'en', w.x from k join w on lower(w.x) = k.l and w.o = k.o, t, one""")
+def expressions_replaced(spark, sf):
+    """A code's expressions replaced by all names of parts, in two spellings: case does not tell them apart."""
+    codes, exprs = C.book(spark, sf)
+    parts = C.table(spark, sf, "part")
+    names = parts.groupBy(F.col("p_name").alias("x")).agg(F.min("p_partkey").alias("ord"), F.max("p_partkey").alias("last"))
+    wanted = names.select("ord", F.lit("en").alias("lang"), F.col("x").alias("expression")).unionByName(names.select(F.col("last").alias("ord"), F.lit("en").alias("lang"), F.upper("x").alias("expression")))
+    return codebook.with_expressions(exprs, codes.agg(F.min("code_id")).first()[0], wanted, exprs.agg(F.max("expr_id")).first()[0] + 1)
+
+
+@query(_LINES + f""", parsed as (select doc_id, line_no, line, regexp_extract(line, '^(?:\\[[^\\]]*\\] )?([A-Z]+)[: ]', 1) as speaker from lines) select doc_id, line_no::int as line_no, speaker <> '' as turn, nullif(speaker, '') as speaker from parsed""")
+def lines_by_own_pattern(spark, sf):
+    """A workspace's own pattern, as it is added to its library and then read with."""
+    mine = conventions.with_convention({}, "mine", r"^(?:\[[^\]]*\] )?(?P<speaker>[A-Z]+)[: ](?P<text>.*)$")
+    pattern = dict(conventions.candidates(mine))["mine"]
+    return segment.parsed_lines(segment.lines(transcripts(spark, sf)), pattern).select("doc_id", F.col("line_no").cast("int").alias("line_no"), "turn", "speaker")
 
 
 #: Names of this module's queries, in order.
