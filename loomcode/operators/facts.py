@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -80,6 +80,29 @@ class SingleFlight:
 RUNS = SingleFlight()
 
 
+class Progress:
+    """What a run has coded so far, by batches of documents: read by other threads while it goes on."""
+
+    def __init__(self):
+        self._lock, self._batches, self.ended = threading.Lock(), [], False
+
+    def add(self, counts: dict[str, int]) -> None:
+        with self._lock:
+            self._batches.append(counts)
+
+    def counts(self) -> dict[str, int]:
+        """n_batches, n_units, n_excluded, n_coded, n_error."""
+        with self._lock:
+            return {"n_batches": len(self._batches)} | {k: sum(b[k] for b in self._batches) for k in ("n_units", "n_excluded", "n_coded", "n_error")}
+
+
+def observed(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """Facts whose units are counted as they are written."""
+    seen = Observation()
+    status = F.col("status")
+    return rows.observe(seen, F.count("*").alias("n_units"), F.count_if(status == "excluded").alias("n_excluded"), F.count_if(status == "coded").alias("n_coded"), F.count_if(status == "error").alias("n_error")), seen
+
+
 def excluded_of(units: DataFrame) -> Column:
     return F.coalesce(F.col("excluded"), F.lit(False)) if "excluded" in units.columns else F.lit(False)
 
@@ -291,7 +314,7 @@ def _write_units(rows: DataFrame, path: str, buckets: int) -> None:
     dealt.withColumn("bucket", bucket_of(F.col("doc_id"), buckets)).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def _facts_of(outcomes: DataFrame) -> DataFrame:
+def facts_of(outcomes: DataFrame) -> DataFrame:
     n = F.coalesce(F.size("codings"), F.lit(0))
     status = F.when(excluded_of(outcomes), "excluded").when(F.coalesce("unit_error", F.lit(False)), "error").when(n > 0, "coded").otherwise("no_code")
     return outcomes.withColumn("n_codings", n.cast("long")).withColumn("status", status).drop("unit_error", "error")
@@ -334,23 +357,29 @@ def _batches(todo: DataFrame, size: int | None) -> Iterator[DataFrame]:
         last = end
 
 
-def execute(run_id: int, units: DataFrame, failed: DataFrame | None, run_documents: DataFrame | None, coder, root: str, codes: DataFrame | None = None, batch: int | None = None, anew: bool = False, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame | None]:
+def execute(run_id: int, units: DataFrame, failed: DataFrame | None, run_documents: DataFrame | None, coder, root: str, codes: DataFrame | None = None, batch: int | None = None, anew: bool = False, buckets: int = BUCKETS, progress: Progress | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Codes a run's pending documents (all, if anew): (the run's documents with status and error, the codebook with the codes that were proposed).
 
     units: doc_id, position, text and what is to be kept; failed (doc_id, reason): documents that cannot be coded; run_documents: run_id, doc_id,
     status. batch: so many documents are coded with one state of the codebook; codes that they propose stand in the next one's prompts.
     Running it again, with the result as run_documents, codes what is not completed. Without run_documents, all documents of units are coded, and
-    the documents are those that have units. Two calls for a run are one: the second waits.
+    the documents are those that have units. progress has a batch's counts as soon as its facts are written. Two calls for a run are one: the second waits.
     """
-    return RUNS.run((root, run_id), lambda: _execute(run_id, units, failed, run_documents, coder, root, codes, batch, anew, buckets))
+    progress = progress or Progress()
+    try:
+        return RUNS.run((root, run_id), lambda: _execute(run_id, units, failed, run_documents, coder, root, codes, batch, anew, buckets, progress))
+    finally:
+        progress.ended = True
 
 
-def _execute(run_id, units, failed, run_documents, coder, root, codes, batch, anew, buckets):
+def _execute(run_id, units, failed, run_documents, coder, root, codes, batch, anew, buckets, progress):
     spark = units.sparkSession
     if run_documents is None:
         attempt = _attempts(spark, root, run_id) + 1
         home = f"{root}/{{}}/run_id={run_id}/attempt={attempt}/batch=0"
-        _write_units(_facts_of(coder.outcomes(units, codes)), home.format("units"), buckets)
+        rows, seen = observed(facts_of(coder.outcomes(units, codes)))
+        _write_units(rows, home.format("units"), buckets)
+        progress.add(seen.get)
         done = spark.read.parquet(home.format("units")).groupBy("doc_id").agg(F.lit("completed").alias("status"))
         done.select("doc_id", "status", F.lit(None).cast("string").alias("error"), *(F.lit(0).cast("long").alias(c) for c in ("tokens_in", "tokens_out"))).write.mode("overwrite").parquet(home.format("documents"))
         _commit(spark, root, run_id, attempt, True)
@@ -374,7 +403,9 @@ def _execute(run_id, units, failed, run_documents, coder, root, codes, batch, an
                 outcomes, codes = resolved(outcomes, codes)
         else:
             ended = ended.withColumns({"tokens_in": F.lit(0).cast("long"), "tokens_out": F.lit(0).cast("long")})
-        _write_units(_facts_of(outcomes), home("units", k), buckets)
+        rows, seen = observed(facts_of(outcomes))
+        _write_units(rows, home("units", k), buckets)
+        progress.add(seen.get)
         status = F.when(F.col("error").isNull(), "completed").otherwise("failed")
         ended.select("doc_id", status.alias("status"), "error", F.coalesce("tokens_in", F.lit(0)).alias("tokens_in"), F.coalesce("tokens_out", F.lit(0)).alias("tokens_out")).write.mode("overwrite").parquet(home("documents", k))
     if todo.isEmpty():

@@ -15,7 +15,7 @@ from loomcode.operators import units as U
 from loomcode.operators.numbering import numbered
 from loomcode.plans import catalog as C
 from loomcode.plans.catalog import query
-from loomcode.sources import files, reports, sinks
+from loomcode.sources import files, reports, sinks, stored
 
 _BEFORE = set(C.QUERIES)
 
@@ -667,5 +667,26 @@ def lines_by_own_pattern(spark, sf):
     return segment.parsed_lines(segment.lines(transcripts(spark, sf)), pattern).select("doc_id", F.col("line_no").cast("int").alias("line_no"), "turn", "speaker")
 
 
+_PROPS = """with p as (select event_id, user_id, case event_id % 11 when 3 then props[1 : -2] when 5 then '{"k": "' || event_type || '"}' when 7 then ' ' else props end as props from events)"""
+
+
+def _props(spark, sf):
+    kind, props = F.col("event_id") % 11, F.col("props")
+    broken = F.when(kind == 3, F.substring(props, F.lit(1), F.length(props) - 1)).when(kind == 5, F.concat(F.lit('{"k": "'), "event_type", F.lit('"}'))).when(kind == 7, " ").otherwise(props)
+    rows = C.table(spark, sf, "events").select("event_id", broken.alias("props"))
+    return stored.read_json(rows, "props", "struct<k:bigint>", ("event_id",))
+
+
+@query(_PROPS + " select event_id, case when event_id % 11 not in (3, 5, 7) then (props::json->>'k')::bigint end as k from p")
+def json_column_read(spark, sf):
+    """A JSON column by its schema; a text that is cut off, or of another type, reads as null."""
+    return _props(spark, sf)[0].select("event_id", F.col("props.k").alias("k"))
+
+
+@query(_PROPS + " select event_id, props as text from p where event_id % 11 in (3, 5)")
+def json_column_malformed(spark, sf):
+    return _props(spark, sf)[1]
+
+
 #: Names of this module's queries, in order.
 NAMES = [k for k in C.QUERIES if k not in _BEFORE]

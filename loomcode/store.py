@@ -9,18 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, or else one of our own in the warehouse, which goes with the session."""
+    """The folder that spark.checkpoint.dir names, or else one of our own in the warehouse, which goes with the session.
+
+    On a cluster, a warehouse on the driver's own disk is refused: executors would write tables there that nobody else sees.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = "loomcode.shared.dir"
         found = spark.conf.get(own, None)
         if not found:
-            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/loomcode-{uuid.uuid4().hex}"
+            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            if not _on_one_machine(spark) and (warehouse.startswith(("file:", "/")) or ":" not in warehouse):
+                raise ValueError(f"{warehouse} is a folder of one machine: set spark.checkpoint.dir to one that all machines see")
+            found = f"{warehouse}/loomcode-{uuid.uuid4().hex}"
             spark.conf.set(own, found)
             atexit.register(_gone, spark, found)
     return found.rstrip("/")
 
 
+def _on_one_machine(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -476,13 +476,27 @@ def test_codebook_changes(spark):
 
 
 def test_stream(spark, tmp_path):
-    from loomcode.streaming.ingest import coded_stream
+    from loomcode.streaming.ingest import coded_stream, ingested
 
     cells, codes, exprs = survey(spark)
-    cells.select("doc_id", "text", "lang").write.parquet(str(tmp_path / "in"))
-    q = coded_stream(spark, str(tmp_path / "in"), codes, exprs, str(tmp_path / "out"), str(tmp_path / "ck"))
-    q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(rows):
+        rows.select("doc_id", "text", "lang").coalesce(1).write.mode("append").parquet(folder)
+        coded_stream(spark, folder, codes, exprs, out, str(tmp_path / "ck")).awaitTermination()
+        segments, found = ingested(spark, out)
+        return {r["doc_id"]: r["text"] for r in segments.collect()}, sorted((r["doc_id"], r["code_id"]) for r in found.collect())
+
+    texts, found = arrive(cells.unionByName(cells.where("doc_id = 2")))  # one of them twice in a batch
+    assert len(texts) == 5 and found == [(2, 1), (3, 2), (5, 4)]
+    # One comes again as it was, one with another text, one is new, and one has nothing to say any more.
+    more = cells.where("doc_id = 2").unionByName(cells.where("doc_id = 3").withColumn("text", F.lit("great staff"))).unionByName(cells.where("doc_id = 5").withColumn("text", F.lit(" ")))
+    texts, found = arrive(more.unionByName(cells.where("doc_id = 2").withColumn("doc_id", F.lit(9).cast("long"))))
+    assert set(texts) == {2, 3, 4, 6, 9} and texts[3] == "great staff" and found == [(2, 1), (3, 1), (9, 1)]
+    assert spark.read.parquet(f"{out}/documents").where("doc_id = 2").count() == 1
+    texts, found = arrive(cells.where("doc_id = 3"))
+    assert found == [(2, 1), (3, 2), (9, 1)]
+    assert ingested(spark, out, 7)[0].count() == 0
 
 
 def test_language_votes_on_the_whole_text(spark):
