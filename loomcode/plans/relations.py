@@ -6,16 +6,23 @@ conversations transcripts in five layouts.
 
 from __future__ import annotations
 
+import html
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomcode.functions import tables
 from loomcode.functions import text as T
 from loomcode.operators import codebook, conventions, runs, segment, workspace
 from loomcode.operators import units as U
 from loomcode.operators.numbering import numbered
 from loomcode.plans import catalog as C
 from loomcode.plans.catalog import query
-from loomcode.sources import files, reports, sinks, stored
+from loomcode.sources import datasource, files, reports, sinks, stored
+from loomcode.sources.sinks import docx, packed
+from loomcode.store import shared_dir
 
 _BEFORE = set(C.QUERIES)
 
@@ -688,5 +695,70 @@ def json_column_malformed(spark, sf):
     return _props(spark, sf)[1]
 
 
+# Files, written by the executors and read as a data source.
+
+
+def _stored_files(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The data source over files (filename, content) that are written first."""
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    sinks.write_files(rows, folder).write.format("noop").mode("overwrite").save()
+    datasource.register(spark)
+    return spark.read.format(datasource.NAME).option("group_bytes", 1 << 16).load(folder)
+
+
+def _transcript_files(spark, sf):
+    """A file for each transcript: text of two encodings, a page, a Word file; every tenth one cannot be read, and some are not admitted."""
+
+    @F.pandas_udf("binary")
+    def content(doc_id: pd.Series, text: pd.Series) -> pd.Series:
+        def one(i, t):
+            if i % 10 == 9:
+                return b"no archive"
+            if i % 4 == 1:
+                return t.encode("latin-1", "ignore") if t == t.encode("latin-1", "ignore").decode("latin-1") else t.encode()
+            if i % 4 == 2:
+                return ("<html><body>" + "".join(f"<p> {html.escape(x)}</p>" for x in t.split("\n"))).encode()
+            return docx(t) if i % 4 == 3 else t.replace("\n", "\r\n\n ").encode()
+
+        return pd.Series([one(i, t) for i, t in zip(doc_id, text, strict=True)])
+
+    kind = F.col("doc_id") % 4
+    suffix = F.when(F.col("doc_id") % 10 == 9, ".docx").when(F.col("doc_id") % 12 == 4, ".doc").when(kind == 2, ".HTML").when(kind == 3, ".docx").otherwise(".txt")
+    return transcripts(spark, sf).select(F.concat(F.lit("t"), F.col("doc_id").cast("string"), suffix).alias("filename"), content("doc_id", "text").alias("content"))
+
+
+@query(_LINES + """ select 't' || doc_id || case when doc_id % 10 = 9 then '.docx' when doc_id % 12 = 4 then '.doc' when doc_id % 4 = 2 then '.HTML' when doc_id % 4 = 3 then '.docx' else '.txt' end as filename,
+    case when doc_id % 10 <> 9 and doc_id % 12 <> 4 then (select string_agg(trim(line), chr(10) order by line_no) from lines l where l.doc_id = text.doc_id) end as text, case when doc_id % 10 = 9 then 'BadZipFile' when doc_id % 12 = 4 then 'old Word format' end as error from text""")
+def transcript_files(spark, sf):
+    rows = _stored_files(spark, _transcript_files(spark, sf))
+    return rows.select("filename", "text", F.regexp_extract("error", "^[^:]+", 0).alias("error"))
+
+
+_SHEETS = """with s as (select s_nationkey as n, (row_number() over (partition by s_nationkey order by s_suppkey) + 1)::int as row_no, s_name, case when s_suppkey % 3 > 0 then 'note ' || s_suppkey else ' ' end as note, s_suppkey from supplier)"""
+
+
+@query(_SHEETS + """ select 'n' || n || '.xlsx' as filename, 'suppliers' as sheet, row_no, x.c as "column", trim(x.t) as text from s, unnest([{'c': 'Name', 't': s_name}, {'c': 'Note', 't': note}, {'c': 'Key', 't': 'k' || s_suppkey}]) as u(x) where trim(x.t) <> ''""")
+def workbook_files(spark, sf):
+    """A workbook for each nation, its suppliers as rows."""
+
+    def book(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows.sort_values("s_suppkey")
+        cells = [(r.s_name, f"note {r.s_suppkey}" if r.s_suppkey % 3 else " ", f"k{r.s_suppkey}") for r in own.itertuples()]
+        return pd.DataFrame([(f"n{key[0]}.xlsx", packed({"suppliers": (["Name", " Note ", "Key"], cells)}))], columns=["filename", "content"])
+
+    s = C.table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    made = s.groupBy("s_nationkey").applyInPandas(book, "filename string, content binary")
+    return _stored_files(spark, made).select("filename", "sheet", "row_no", "column", "text")
+
+
+@query(_OWN.replace("ord = doc_id % 6", "ord = 2 and doc_id % 6 = 2").replace("where doc_id % 6 = 5)", "where false)") + " select doc_id, pos::int as position, speaker, ts, body as text, front from spoken")
+def transcript_turns_sql(spark, sf):
+    """The turns of the transcripts in one layout, by a table function in SQL."""
+    tables.register(spark)
+    transcripts(spark, sf).where("doc_id % 6 = 2").createOrReplaceTempView("loomcode_transcripts")
+    regex = conventions.PRESETS["plain"].replace("\\", "\\\\").replace("'", "\\'")
+    return spark.sql(f"select t.* from transcript_turns(table(loomcode_transcripts) partition by doc_id, regex => '{regex}') t")
+
+
 #: Names of this module's queries, in order.
 NAMES = [k for k in C.QUERIES if k not in _BEFORE]

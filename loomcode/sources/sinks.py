@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcode.operators.numbering import numbered
+from loomcode.sources.datasource import file_system
 
 _QDA = "urn:QDA-XML:codebook:1.0"
 _PROJECT = "urn:QDA-XML:project:1.0"
@@ -36,7 +37,11 @@ def workbook(sheets: dict[str, DataFrame]) -> bytes:
     for k, (_, rows) in kept.items():
         if len(rows) > MOST_ROWS:
             raise ValueError(f"{k} has more rows than a sheet can hold")
-    kept = {k: v for k, v in kept.items() if v[1]} or dict(list(kept.items())[:1])
+    return packed({k: v for k, v in kept.items() if v[1]} or dict(list(kept.items())[:1]))
+
+
+def packed(kept: dict[str, tuple[list[str], list]]) -> bytes:
+    """An .xlsx of (header, rows) for each sheet."""
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
         types = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(kept) + 1))
@@ -62,6 +67,34 @@ def workbook(sheets: dict[str, DataFrame]) -> bytes:
     return buffer.getvalue()
 
 
+def docx(text: str) -> bytes:
+    """A .docx with a paragraph for each line."""
+    main = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in text.split("\n"))
+    kind = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="{kind}"/></Types>')
+        z.writestr("_rels/.rels", '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>')
+        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{main}"><w:body>{body}</w:body></w:document>')
+    return buffer.getvalue()
+
+
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """rows: filename, content. Writes a file for each on the executors, under a folder that all machines see: filename, size."""
+
+    def run(batches):
+        system, root = file_system(folder)
+        system.create_dir(root, recursive=True)
+        for b in batches:
+            for name, data in zip(b["filename"], b["content"], strict=True):
+                with system.open_output_stream(f"{root}/{name}") as f:
+                    f.write(data)
+            yield b.assign(size=b["content"].str.len())[["filename", "size"]]
+
+    return rows.mapInPandas(run, "filename string, size long")
+
+
 def _guid(kind: str, key) -> str:
     return str(uuid.uuid5(uuid.NAMESPACE_URL, f"loomcode:{kind}:{key}"))
 
