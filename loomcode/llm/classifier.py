@@ -1,7 +1,9 @@
 """A quality classifier with hierarchical empirical Bayes over sites.
 
-Each document has evidence of its own: a logistic regression on measures of its text, fitted on at most `sample` labelled
-documents (those with the least hash of doc_id). A host (source) and a path in it (source and language) have posteriors from what is known of their
+Each document has evidence of its own: a logistic regression on measures of its text and on its words, fitted on at most `sample` labelled
+documents (those with the least hash of doc_id). Words and pairs of words are hashed to BUCKETS; a bucket's weight is the log-ratio of the shares of good and
+bad documents that have it, from about `sample` labelled documents (a random share of all, drawn where they stand), and a document's measure is the mean over its
+buckets. The regression is fitted on measures by weights of the other half of the documents, so that it does not trust words that it has seen. A host (source) and a path in it (source and language) have posteriors from what is known of their
 documents: the label where there is one, and the probability from the text elsewhere. The mean over a host's documents is shrunk to the global
 mean, and that over a path's to its host's posterior, by strengths that the spread between sites gives (method of moments), so
 that a site with few documents tells little. A document is left out of its own site's sums, its label too, so that it is judged by others. Its
@@ -26,15 +28,68 @@ from loomcode.llm.common import buffers, chunks, joined_small, mixed, word_symbo
 SAMPLE = 20_000
 THRESHOLD = 0.5
 MAX_SITES = 100_000
-MEASURES = ["log_words", "symbols", "upper", "bangs", "digits", "pipes", "word_length", "distinct_words", "repeated", "dup_lines", "long_words", "other"]
+#: Buckets of hashed words and pairs of words.
+BUCKETS = 1 << 14
+#: Tasks that count the sample's words; each sends 4 * BUCKETS numbers to the driver.
+COUNTING = 16
+MAX_LABELS = 200_000
+MEASURES = ["log_words", "symbols", "upper", "bangs", "digits", "pipes", "word_length", "distinct_words", "repeated", "dup_lines", "long_words", "other", "words"]
 
 _CLASS = np.zeros((256, 5), np.int64)
 for _i, _set in enumerate((b"#*$%&<>@^~=+_{}[]\\", bytes(range(65, 91)), b"!?", b"0123456789", b"|")):
     _CLASS[list(_set), _i] = 1
 
 
+def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, bucket) of each bucket that a document's words and pairs of words have, once for each document."""
+    _, _, before, symbols = word_symbols(data, offsets, lower=True)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
+    two = mixed(symbols[:-1] * np.uint64(0x2545F4914F6CDD1D) + symbols[1:])
+    inside = doc[:-1] == doc[1:]
+    every = np.concatenate([symbols, two[inside]])
+    keys = np.unique(np.concatenate([doc, doc[:-1][inside]]) * BUCKETS + (every % np.uint64(BUCKETS)).astype(np.int64))
+    return keys // BUCKETS, keys % BUCKETS
+
+
+def word_measure(doc: np.ndarray, bucket: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """The mean weight of each document's buckets, 0 without any."""
+    return np.bincount(doc, weights[bucket], minlength=n) / np.maximum(np.bincount(doc, minlength=n), 1)
+
+
+def bucket_weights(counts: np.ndarray) -> np.ndarray:
+    """Log-ratios from counts (bad and good documents by buckets); all 0 if one kind has none."""
+    total = counts.sum(axis=1)
+    if not total.all():
+        return np.zeros(BUCKETS)
+    share = (counts + 1.0) / (total[:, None] + BUCKETS)
+    return np.log(share[1] / share[0])
+
+
+def learned(rows: DataFrame, quality: DataFrame, sample: int) -> np.ndarray:
+    """Weights of buckets by what they are learned from: documents of fold 0, of fold 1, of both. rows: doc_id, fold, text."""
+    labelled = quality.withColumnRenamed("labelled", "doc_id")
+    if labelled.limit(MAX_LABELS + 1).count() <= MAX_LABELS:
+        labelled = F.broadcast(labelled)
+    n = rows.select("doc_id").join(labelled, "doc_id").count()
+    few = rows.where(F.rand(11) < min(1.0, sample / max(n, 1))).join(labelled, "doc_id").select("fold", "quality", "text").repartition(COUNTING)
+
+    def run(batches):
+        counts = np.zeros((2, 2, BUCKETS), np.float32)
+        for b in batches:
+            data, offsets = buffers(b.column("text"))
+            fold, good = b.column("fold").to_numpy(), (b.column("quality").to_numpy() >= 0.5).astype(np.int64)
+            for i, j in chunks(offsets):
+                doc, bucket = word_buckets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                np.add.at(counts, (fold[i:j][doc], good[i:j][doc], bucket), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([counts.ravel()], pa.list_(pa.float32()))], names=["counts"])
+
+    found = few.mapInArrow(run, "counts array<float>").toArrow()["counts"]
+    counts = np.sum([np.zeros((2, 2, BUCKETS)), *(np.array(x.values).reshape(2, 2, BUCKETS) for x in found)], axis=0)
+    return np.stack([bucket_weights(counts[0]), bucket_weights(counts[1]), bucket_weights(counts.sum(axis=0))])
+
+
 def measures_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of MEASURES for each document."""
+    """A row of MEASURES for each document, but for that of its words."""
     n = len(offsets) - 1
     size = np.maximum(np.diff(offsets), 1)
     per = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
@@ -95,19 +150,24 @@ def measures_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     )
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text, host, path, text_hash. Adds measures, array<float>, in place of text."""
+def measured(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """docs: doc_id, text, host, path, text_hash, fold. Adds measures, array<float>, in place of text: MEASURES, and that of words as the other fold has them."""
+    weights = weights.astype(np.float32)
 
     def run(batches):
         for b in batches:
             data, offsets = buffers(b.column("text"))
             for i, j in chunks(offsets):
-                m = measures_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(m.astype(np.float32).ravel()), len(MEASURES)).cast(pa.list_(pa.float32()))
+                own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                doc, bucket = word_buckets(own, at)
+                by = [word_measure(doc, bucket, w, j - i) for w in weights]
+                other = np.where(b.column("fold").to_numpy()[i:j] == 0, by[1], by[0])
+                m = np.column_stack([measures_of(own, at), by[2], other])
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(m.astype(np.float32).ravel()), m.shape[1]).cast(pa.list_(pa.float32()))
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("doc_id", "host", "path", "text_hash")), lists], names=["doc_id", "host", "path", "text_hash", "measures"])
 
-    return docs.select("doc_id", "host", "path", "text_hash", "text").mapInArrow(run, "doc_id long, host string, path string, text_hash long, measures array<float>")
+    return docs.select("doc_id", "host", "path", "text_hash", "fold", "text").mapInArrow(run, "doc_id long, host string, path string, text_hash long, measures array<float>")
 
 
 def expanded(x: np.ndarray) -> np.ndarray:
@@ -134,15 +194,16 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def sampled(known: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """(measures, labels) of the `sample` labelled documents with the least hash of doc_id. Those above twice the share that is wanted are left
+    """(measures as they are fitted, labels) of the `sample` labelled documents with the least hash of doc_id. Those above twice the share that is wanted are left
     out where they stand."""
     labelled = known.where("quality is not null")
     n = labelled.count()
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     few = labelled.where(order < int(min(1.0, 2 * sample / max(n, 1)) * 1_000_000) + 1)
     rows = few.orderBy(order, "doc_id", "path").limit(sample).select("measures", "quality").toArrow()
-    x = np.array(rows["measures"].combine_chunks().flatten() if rows.num_rows else [], float).reshape(rows.num_rows, len(MEASURES))
-    return x, rows["quality"].to_numpy()
+    x = np.array(rows["measures"].combine_chunks().flatten() if rows.num_rows else [], float).reshape(rows.num_rows, len(MEASURES) + 1)
+    # What words say by the other fold stands in the place of what they say by all.
+    return np.delete(x, len(MEASURES) - 1, axis=1), rows["quality"].to_numpy()
 
 
 def logit(p: Column) -> Column:
@@ -179,8 +240,9 @@ def classify(
     that share a doc_id apart."""
     host, path = site_of(host_col, path_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), host.alias("host"), path.alias("path"), hash_of(text_col).alias("text_hash"))
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
     quality = labels.where("quality is not null").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").cast("double").alias("quality"))
-    known = written(measured(rows).join(quality, F.col("doc_id") == F.col("labelled"), "left").drop("labelled"), "measures")
+    known = written(measured(rows, learned(rows, quality, sample)).join(quality, F.col("doc_id") == F.col("labelled"), "left").drop("labelled"), "measures")
     x, given = sampled(known, sample)
     w = fitted(x, given)
     both = len(given) > 0 and given.min() != given.max()

@@ -552,6 +552,41 @@ def test_classifier(spark, docs, nothing):
     assert right > 0.95 and lost <= 2
 
 
+def test_classifier_learns_words(spark):
+    """Good and bad texts of one form, which only their words and pairs of words tell apart; held-out documents."""
+    rng = random.Random(12)
+    common = [words(rng, 1) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(900):
+        good = i % 3 > 0
+        w = [rng.choice(common) for _ in range(rng.randint(30, 80))]
+        for _ in range(4):
+            # Half of them by words of their own, half by the order of two words that both have.
+            at = rng.randrange(len(w))
+            w[at:at] = [f"{'fine' if good else 'vile'}{rng.randint(0, 3)}"] if i % 2 else (["first", "second"] if good else ["second", "first"])
+        rows.append((i, " ".join(w).capitalize() + ".", "en", "s"))
+        if i < 600:
+            labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r["doc_id"]: r["p_document"] for r in classifier.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    right = [(got[i] >= 0.5) == (i % 3 > 0) for i in range(600, 900)]
+    assert sum(right) / len(right) > 0.9
+
+
+def test_word_buckets():
+    data, offsets = np.frombuffer("A b a b\nc".encode() + b"" + b"a", np.uint8), np.array([0, 9, 9, 10])
+    doc, bucket = classifier.word_buckets(data, offsets)
+    assert Counter(doc.tolist()) == {0: 6, 2: 1}  # a, b, c; a b, b a, b c
+    assert bucket[doc == 2][0] in bucket[doc == 0]
+    m = classifier.word_measure(doc, bucket, np.arange(classifier.BUCKETS, dtype=float), 3)
+    assert m[1] == 0 and m[2] == bucket[doc == 2][0] and abs(m[0] - bucket[doc == 0].mean()) < 1e-9
+    counts = np.zeros((2, classifier.BUCKETS))
+    assert not classifier.bucket_weights(counts).any()
+    counts[0, 3], counts[1, 5] = 9, 9
+    w = classifier.bucket_weights(counts)
+    assert w[3] < 0 < w[5] and abs(w[3] + w[5]) < 1e-12
+
+
 def plain_posteriors(rows, labels, p):
     """rows: (doc_id, host, path); p: the documents' own probabilities, by row."""
     y = [labels.get(d, q) for (d, _, _), q in zip(rows, p, strict=True)]
