@@ -126,7 +126,3 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray, lower: bool = False) ->
     symbols = byte_symbols(_LOWER[data] if lower else data)
     hashes = Hashes(symbols).of(starts, ends) + (ends - starts).astype(np.uint64)
     return starts, ends, before, mixed(hashes)
-
-
-def sort_key(name: str = "doc_id"):
-    return F.col(name).asc_nulls_first()

@@ -261,32 +261,6 @@ def nearest(docs: DataFrame, prints: DataFrame, least: float = 0.9, every: int =
     ).dropDuplicates(["doc_id"])
 
 
-def near_texts(docs: DataFrame, least: float = 0.7, every: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """query_id, doc_id, likeness, edit_likeness: for every document whose id is divisible by `every`, all others whose fingerprints agree
-    in the share `least` of the slots (likeness), and whose edit distance is at most the share 1 - `least` of the longer text
-    (edit_likeness is 1 less its share).
-
-    The slots are dealt to one band more than slots may differ, so that an accepted pair agrees in a whole band: no pair is missed. Candidates
-    are verified on their fingerprints, then on their texts. Equal texts are one row until the end, and a band that is common is split by the join.
-    """
-    prints = written(fingerprints(docs, id_col, text_col).withColumn("class_id", F.unhex(F.sha2("text", 256))), "prints")
-    own = prints.groupBy("class_id").agg(F.first("text").alias("text"), F.first("fingerprint").alias("fingerprint"))
-    keys = band_keys(least)
-    banded = own.select("class_id", F.explode(keys).alias("band"))
-    members = prints.select("doc_id", "class_id")
-    asking = members.where(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), F.col("class_id").alias("q"))
-    asked = own.join(asking.select(F.col("q").alias("class_id")).distinct(), "class_id").select(F.col("class_id").alias("q"), F.explode(keys).alias("band"))
-    pairs = asked.join(banded, "band").select("q", "class_id").distinct()
-    same = equal_slots("fq", "fingerprint")
-    left, right = own.select(F.col("class_id").alias("q"), F.col("fingerprint").alias("fq")), own.select("class_id", "fingerprint")
-    like = pairs.join(left, "q").join(right, "class_id").withColumn("likeness", same / SLOTS).where(F.col("likeness") >= least).select("q", "class_id", "likeness")
-    texts = like.join(own.select(F.col("class_id").alias("q"), F.col("text").alias("tq")), "q").join(own.select("class_id", "text"), "class_id")
-    longer = F.greatest(F.length("tq"), F.length("text"))
-    edits = F.when(F.col("q") == F.col("class_id"), 0).otherwise(F.levenshtein("tq", "text"))
-    found = texts.withColumn("edit_likeness", F.when(longer > 0, 1 - edits / longer).otherwise(1.0)).where(F.col("edit_likeness") >= least).select("q", "class_id", "likeness", "edit_likeness")
-    return asking.join(found, "q").join(members, "class_id").where("query_id <> doc_id").select("query_id", "doc_id", "likeness", "edit_likeness")
-
-
 def count_below(x, cuts: list[int]):
     """How many of the rising cuts are below x, looked up in two steps of about the root of their number."""
     if not cuts:

@@ -9,6 +9,20 @@ _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'
 
 _WEIGHT = "case source " + " ".join(f"when '{k}' then {v!r}::double" for k, v in WEIGHTS.items()) + " else 1.0::double end"
 
+#: The table of CRC-32 by bytes, and the bytes of a text.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda v, z: xor(v >> 1, (v & 1) * 3988292384)))"
+
+OP1 = f"""
+with t as (select {_CRC_TABLE} as crcs),
+b as (select doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint) as bytes from documents),
+d as (
+    select doc_id, (len(bytes) + 16)::bigint as size,
+        xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1])), 4294967295) as text_crc32 from b, t),
+line as (select *, sum(size) over (order by doc_id nulls first, text_crc32, size rows unbounded preceding)::bigint as upto, (sum(size) over ())::bigint as total from d),
+placed as (select *, (((2 * upto - size) * 40) // (2 * total))::int as shard from line)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by upto) - 1 as slot, null::int as grown_shard from placed
+"""
+
 OP2 = f"""
 with recursive sizes as (
     select source, sum(octet_length(encode(coalesce(text, ''))) + 16)::bigint as bytes, any_value({_WEIGHT}) as weight
@@ -145,4 +159,4 @@ select doc_id, n_words, len(p)::bigint as n_base, list_min(p) as first_word, lis
 from base left join docs using (id)
 """
 
-ORACLES: dict[str, str] = {"op2_mixing": OP2, "op3_minhash": OP3, "op8_substring_dedup": OP8, "op11_filter_audit": OP11, "op12_prefix_trie": OP12, "op13_licenses": OP13}
+ORACLES: dict[str, str] = {"op1_sharding": OP1, "op2_mixing": OP2, "op3_minhash": OP3, "op8_substring_dedup": OP8, "op11_filter_audit": OP11, "op12_prefix_trie": OP12, "op13_licenses": OP13}

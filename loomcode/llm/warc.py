@@ -12,7 +12,9 @@ the total that the last segment states, the chunked framing is decoded, and the
 
 Edges: a null html is an empty payload; a null url is an empty target; rows that agree in page_id and payload write equal
 records, of which each is read back; a null page_id loses to all others; an empty table gives an empty result. A record
-with segments missing, a wrong length, framing or digest has verified = false.
+with segments missing, a wrong length, framing or digest has verified = false, and so has a revisit whose page was not read with that payload. What
+is no record (a broken head, a length that is no number or not the block's, fields that are missing or no numbers) is a row of record_type damaged, with
+the bytes that it takes up; reading goes on at the next record of the file.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcode.llm.common import joined_small, shared_dir
+from loomcode.llm.common import joined_small, shared_dir, written
 
 REVISIT_BYTES = 1000
 SEGMENT = 16_384
@@ -125,19 +127,36 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, id_col:
 
 
 def parsed(data: bytes):
-    """(fields, block) of each record of an archive; stops where a record is broken off."""
+    """(fields, block) of each record of an archive; (None, bytes) for a stretch that is none, up to where the next record begins."""
     at = 0
     while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or data[at : at + 5] != b"WARC/":
-            return
-        fields = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
-            k, _, v = line.partition(b":")
-            fields[k.strip().lower().decode()] = v.strip().decode()
-        n = int(fields.get("content-length", 0))
-        yield fields, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+        found = _record_at(data, at)
+        if found is None:
+            behind = data.find(b"\r\n\r\nWARC/", at)
+            until = len(data) if behind < 0 else behind + 4
+            yield None, data[at:until]
+            at = until
+        else:
+            fields, start, stop = found
+            yield fields, data[start:stop]
+            at = stop + 4
+
+
+def _record_at(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
+    """(fields, start and end of the block) of a record that is whole."""
+    end = data.find(b"\r\n\r\n", at)
+    if end < 0 or data[at : at + 5] != b"WARC/":
+        return None
+    fields = {}
+    for line in data[at:end].split(b"\r\n")[1:]:
+        k, _, v = line.partition(b":")
+        fields[k.strip().lower().decode("utf-8", "replace")] = v.strip().decode("utf-8", "replace")
+    length = fields.get("content-length", "")
+    stop = end + 4 + int(length) if length.isascii() and length.isdigit() else -1
+    # A record is closed by two line ends, but the last one of a file may not be.
+    if stop < 0 or stop > len(data) or data[stop : stop + 4] not in (b"\r\n\r\n", b""):
+        return None
+    return fields, end + 4, stop
 
 
 PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean"
@@ -156,26 +175,41 @@ def finished(page: str | None, digest: str, block: bytes, whole: bool) -> dict:
     return {"page_id": None if page is None else int(page), "payload_bytes": len(payload or b""), "payload_digest": sha.hex(), "record_type": "response", "verified": ok}
 
 
+def row_of(fields: dict[str, str] | None, block: bytes) -> dict | None:
+    """What a record tells: a page, or a segment of one; None for other kinds of record."""
+    try:
+        if fields is None:
+            raise ValueError
+        kind, page, digest = fields.get("warc-type"), fields.get("x-page-id"), fields.get("warc-payload-digest", "")
+        if kind == "revisit":
+            length = next((int(x[15:]) for x in block.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+            to = fields.get("x-refers-to-page-id")
+            sha = base64.b32decode(digest.removeprefix("sha1:")).hex()
+            return {"page_id": None if page in (None, "None") else int(page), "payload_bytes": length, "payload_digest": sha, "record_type": "revisit", "refers_to": None if to is None else int(to), "verified": length is not None}
+        if kind == "response" and "warc-segment-number" not in fields:
+            return finished(page, digest, block, True)
+        if kind in ("response", "continuation"):
+            first, total = kind == "response", fields.get("warc-segment-total-length")
+            own = {"origin": fields["warc-record-id"] if first else fields["warc-segment-origin-id"], "segment": int(fields["warc-segment-number"]), "total": None if total is None else int(total)}
+            return own | {"page": None if page is None else str(int(page)), "digest": digest, "block": block}
+        return None
+    except (ValueError, KeyError):  # of numbers, of base 32, and of fields that are missing
+        return {"page_id": None, "payload_bytes": len(block), "payload_digest": hashlib.sha1(block).hexdigest(), "record_type": "damaged", "verified": False}
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, verified: a row for each response or revisit."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, verified: a row for each response, revisit or damaged stretch."""
 
     def parse(batches):
         for b in batches:
             for file in b.column("content"):
                 rows, size = [], 0
                 for f, block in parsed(file.as_py()):
-                    kind, page, digest = f.get("warc-type"), f.get("x-page-id"), f.get("warc-payload-digest", "")
-                    if kind == "revisit":
-                        length = next((int(x[15:]) for x in block.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
-                        to = f.get("x-refers-to-page-id")
-                        rows.append({"page_id": None if page in (None, "None") else int(page), "payload_bytes": length, "payload_digest": base64.b32decode(digest.removeprefix("sha1:")).hex(), "record_type": "revisit", "refers_to": None if to is None else int(to), "verified": length is not None})
-                    elif kind == "response" and "warc-segment-number" not in f:
-                        rows.append(finished(page, digest, block, True))
-                    elif kind in ("response", "continuation"):
-                        first = kind == "response"
-                        total = f.get("warc-segment-total-length")
-                        rows.append({"origin": f["warc-record-id"] if first else f["warc-segment-origin-id"], "segment": int(f["warc-segment-number"]), "total": None if total is None else int(total), "page": page, "digest": digest, "block": block})
-                        size += len(block)
+                    row = row_of(f, block)
+                    if row is None:
+                        continue
+                    rows.append(row)
+                    size += len(row.get("block") or b"") + 100
                     if size > 1 << 23:
                         yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
                         rows, size = [], 0
@@ -210,7 +244,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     done = rows.where("origin is null").select(columns)
     joined = rows.where("origin is not null").select("origin", "segment", "total", "page", "digest", "block")
     joined = joined.repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(reassemble, PAGES)
-    return done.unionByName(joined)
+    pages = written(done.unionByName(joined), "archived")
+    # A revisit stands on the page that it names: one that was read, with this payload.
+    read = pages.where("record_type = 'response' and verified").select(F.col("page_id").alias("to"), F.col("payload_digest").alias("of")).distinct().withColumn("there", F.lit(True))
+    told = pages.where("record_type = 'revisit'").join(read, (F.col("refers_to") == F.col("to")) & (F.col("payload_digest") == F.col("of")), "left")
+    told = told.withColumn("verified", F.col("verified") & F.coalesce("there", F.lit(False))).select(columns)
+    return pages.where("record_type <> 'revisit'").unionByName(told)
 
 
 _RESULT = pa.schema([_SCHEMA.field(i) for i in range(6)])

@@ -63,6 +63,15 @@ def test_shards(docs, nothing):
     for s in total:
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
     assert sharding.assign_shards(nothing, 5).count() == 0
+    # Every document's place, by brute force.
+    line = sorted(((d is not None, d or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 16) for d, t in pairs()))
+    whole, before, want, slots = sum(x[3] for x in line), 0, Counter(), Counter()
+    for known, d, crc, size in line:
+        shard = (2 * before + size) * 5 // (2 * whole)
+        want[d if known else None, crc, shard, slots[shard]] += 1
+        slots[shard] += 1
+        before += size
+    assert Counter((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == want
 
 
 def test_mixing(spark, docs, nothing):
@@ -359,6 +368,52 @@ def test_archives(spark, tmp_path):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_damaged_archives(spark, tmp_path):
+    """What is broken is a row of its own, and what stands behind it is read."""
+    def page(i, payload, refers_to=None):
+        return [r + b"\r\n\r\n" for r in warc.records_of(i, "u", payload, refers_to, refers_to is not None, 600)]
+
+    good = page(1, b"a" * 50)
+    cut = page(2, b"b" * 80)[0]
+    number = page(3, b"c" * 30)[0].replace(b"Content-Length: ", b"Content-Length: x", 1)
+    lost = page(4, b"d" * 2000)
+    orphan = lost[1].replace(b"WARC-Segment-Origin-ID", b"X-Origin")
+    name = page(5, b"e" * 10)[0].replace(b"X-Page-Id: 5", b"X-Page-Id: five")
+    digest = page(6, b"f" * 10, 1)[0].replace(b"sha1:", b"sha1:!")
+    text = page(7, b"\r\n\r\nWARC/1.1 is no record")
+    archive = b"".join([b"noise before\r\n\r\n", *good, cut[: len(cut) // 2], b"\r\n\r\n", number, orphan, name, digest, *lost[:1], *lost[2:], *text, *page(8, b"a" * 50, 1), *page(9, b"a" * 50, 77), *page(10, b"g" * 40)])
+    (tmp_path / "a").write_bytes(archive)
+    (tmp_path / "b").write_bytes(page(11, b"h")[0][:-4])  # the last record is not closed
+    (tmp_path / "c").write_bytes(b"")
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    pages = {r["page_id"]: (r["record_type"], r["payload_bytes"], r["verified"]) for r in got if r["record_type"] != "damaged"}
+    assert pages == {1: ("response", 50, True), 4: ("response", 0, False), 7: ("response", 25, True), 8: ("revisit", 50, True), 9: ("revisit", 50, False), 10: ("response", 40, True), 11: ("response", 1, True)}
+    bad = [r for r in got if r["record_type"] == "damaged"]
+    assert len(bad) == 6 and not any(r["verified"] for r in bad) and all(r["page_id"] is None for r in bad)
+
+
+def test_very_long_texts(spark, tmp_path):
+    """Texts of megabytes beside short ones, in the operators that are not tested on them elsewhere."""
+    rng = random.Random(21)
+    base = [words(rng, 1) for _ in range(5000)]
+    long = " ".join(rng.choice(base) for _ in range(250_000))
+    near = long.replace(" " + base[0] + " ", " qqqq ", 20)
+    data = [(0, long, "en", "s1", 0), (1, near, "en", "s1", 0), (2, "short text of few words", "en", "s2", 0), (3, None, "de", None, 0), (4, long, "en", "s1", 0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    labels = spark.createDataFrame([(0, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    size = {d: len((t or "").encode()) for d, t, *_ in data}
+    got = sharding.assign_shards(docs, 3).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {d: (size[d] + 16, zlib.crc32((t or "").encode())) for d, t, *_ in data}
+    assert mixing.mix_sources(docs, epochs=5.0, seed=3).where("doc_id = 0").select("text").distinct().count() == 1
+    kept = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, width=5, percent=80).collect()}
+    assert kept == {0: 0, 1: 0, 2: 2, 3: 3, 4: 0}
+    prints = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(docs).collect()}
+    assert prints[0]["n_chars"] == len(long) and prints[0]["fingerprint"] == prints[4]["fingerprint"]
+    judged = {r["doc_id"]: r for r in rules.apply_rules(docs, labels).collect()}
+    assert judged[0]["n_words"] == 250_000 and judged[0]["word_chars"] == sum(map(len, long.split()))
+    assert {r["doc_id"]: r["kept"] for r in classifier.classify(docs, labels).collect()}[0]
+
+
 def test_fingerprints(spark, docs, nothing):
     own = sorted(rows(False)[:-1], key=lambda r: -r[0])
     got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(spark.createDataFrame(own, SCHEMA)).collect()}
@@ -371,8 +426,6 @@ def test_fingerprints(spark, docs, nothing):
         assert g["near_next"] == np.mean([x == y for x, y in zip(g["fingerprint"], other, strict=True)])
     assert got[4]["fingerprint"] == got[5]["fingerprint"] != got[6]["fingerprint"]
     assert fingerprints.edited_fingerprints(docs).count() == len(rows()) and fingerprints.edited_fingerprints(nothing).count() == 0
-    near = {(r["query_id"], r["doc_id"]) for r in fingerprints.near_texts(docs.where("doc_id is not null"), every=1, least=0.8).collect()}
-    assert {(4, 5), (5, 4)} <= near and (4, 10) not in near
 
 
 def edit_distance(a, b):
@@ -384,30 +437,6 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def test_near_texts_misses_no_pair(spark):
-    """All pairs by brute force, many of them just above the least likeness."""
-    rng = random.Random(4)
-    texts = []
-    for _ in range(4):
-        base = words(rng, 60)
-        for k in range(22):
-            at = len(base) * (60 + k) // 90
-            texts.append(base[:at] + words(rng, 60)[: len(base) - at])
-    texts += [texts[0], ""]
-    prints = fingerprints.walk(texts)
-    want, close = {}, 0
-    for i, j in ((i, j) for i in range(len(texts)) for j in range(i)):
-        like = float((prints[i] == prints[j]).mean())
-        if like >= 0.7:
-            edit = 1 - edit_distance(texts[i], texts[j]) / max(len(texts[i]), len(texts[j]))
-            close += like < 0.75
-            if edit >= 0.7:
-                want[i, j] = want[j, i] = (round(like, 9), round(edit, 9))
-    assert close > 100
-    got = fingerprints.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), every=1).collect()
-    assert len(got) == len(want) and {(r["query_id"], r["doc_id"]): (round(r["likeness"], 9), round(r["edit_likeness"], 9)) for r in got} == want
-
-
 def test_nearest_of_every_query(spark):
     """All pairs by brute force: how many, which one, and its edit distance."""
     rng = random.Random(14)
