@@ -92,7 +92,7 @@ class Analysis:
     def cooccurrence_matrix(self) -> DataFrame:
         """label_a, label_b, units: every code that occurs with every other, and 0 where they never meet."""
         labels = self.unit_codes.select("label").distinct()
-        grid = labels.select(F.col("label").alias("label_a")).crossJoin(F.broadcast(labels.select(F.col("label").alias("label_b"))))  # codes by codes
+        grid = labels.select(F.col("label").alias("label_a")).crossJoin(labels.select(F.col("label").alias("label_b")))  # codes by codes
         return grid.join(self.cooccurrence(), ["label_a", "label_b"], "left").fillna(0, ["units"])
 
     def square(self, labels: list[str]) -> DataFrame:
@@ -103,7 +103,7 @@ class Analysis:
         """doc_id, label, units: every document with a codable unit by every code that occurs, and 0 where there is none."""
         labels = self.unit_codes.select("label").distinct()
         hits = self.unit_codes.groupBy("doc_id", "label").agg(F.count("*").alias("units"))
-        grid = self.codable.select("doc_id").distinct().crossJoin(F.broadcast(labels))  # documents by codes
+        grid = self.codable.select("doc_id").distinct().crossJoin(labels)  # documents by codes: as many rows as the result has
         return grid.join(hits, ["doc_id", "label"], "left").fillna(0, ["units"])
 
     def coverage(self) -> DataFrame:

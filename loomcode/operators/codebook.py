@@ -85,8 +85,9 @@ def expression_counts(codes: DataFrame, expressions: DataFrame) -> DataFrame:
 
 
 def uncovered(codes: DataFrame, expressions: DataFrame, languages: DataFrame) -> DataFrame:
-    """lang, n_codes: for each corpus language, how many active codes have no expression in it."""
-    grid = active(codes).select("code_id").crossJoin(F.broadcast(languages.select("lang")))  # a codebook by at most a few languages
+    """lang, n_codes: for each corpus language, how many active codes have no expression in it. Deleted codes count neither as codes nor as
+    covered ones, though their expressions are still there."""
+    grid = active(codes).select("code_id").crossJoin(languages.select("lang"))  # a codebook by at most a few languages
     have = expressions.select("code_id", "lang").distinct()
     missing = grid.join(have, ["code_id", "lang"], "left_anti").groupBy("lang").agg(F.count("*").alias("n_codes"))
     return languages.select("lang").join(missing, "lang", "left").fillna(0, ["n_codes"])

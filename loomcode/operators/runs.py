@@ -111,7 +111,7 @@ def with_codings(segments_: DataFrame, codings: DataFrame, value) -> DataFrame:
 
 def costs(tokens: DataFrame, prices: DataFrame) -> DataFrame:
     """tokens: run_id, model, tokens_in, tokens_out; prices: model, price_in, price_out a million. Adds cost, with the default price for others."""
-    rows = tokens.join(F.broadcast(prices), "model", "left")  # a price list
+    rows = tokens.join(prices, "model", "left")
     cost = (F.col("tokens_in") * F.coalesce("price_in", F.lit(DEFAULT_PRICE[0])) + F.col("tokens_out") * F.coalesce("price_out", F.lit(DEFAULT_PRICE[1]))) / 1e6
     return rows.withColumn("cost", cost)
 

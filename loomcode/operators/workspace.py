@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcode.functions import text as T
-from loomcode.operators import conventions
+from loomcode.operators import conventions, language
 from loomcode.operators.numbering import numbered
 
 ROLES = ["interviewer", "participant", "other"]
@@ -75,10 +75,10 @@ def described(documents: DataFrame, doc_id: int, library: dict[str, str] | None
     return new.withColumn("convention", F.when(this, F.lit(wanted)).otherwise(F.col("convention"))).drop("found").select(documents.columns)
 
 
-def redetected(documents: DataFrame, library: dict[str, str] | None = None, first: int | None = 5000) -> DataFrame:
-    """Language, convention and roles of all documents found anew; null where nothing is found."""
+def redetected(documents: DataFrame, library: dict[str, str] | None = None, first: int | None = 5000, model: language.Model | None = None) -> DataFrame:
+    """Language, convention and roles of all documents found anew; null where nothing is found. Languages are by stop words, or by a model of trigrams."""
     best = conventions.detect(documents.select("doc_id", "text"), conventions.candidates(library)).select("doc_id", F.col("name").alias("convention"), "roles")
-    rows = documents.drop("convention", "roles").withColumn("lang", T.detect_language(F.col("text"), first))
+    rows = documents.drop("convention", "roles").withColumn("lang", T.detect_language(F.col("text"), first) if model is None else language.detected(F.col("text"), model, first=first))
     return rows.join(best, "doc_id", "left").select(documents.columns)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from loomcode.functions import text as T
-from loomcode.operators import codebook, conventions, dictionary, runs, segment, workspace
+from loomcode.operators import codebook, conventions, dictionary, language, runs, segment, workspace
 from loomcode.operators import facts as F_
 from loomcode.operators.analysis import Analysis
 from loomcode.store import shared_dir
@@ -502,5 +502,18 @@ def language_votes(spark, sf):
     return docs(spark, sf).select("doc_id", "lang", T.detect_language(F.col("text")).alias("detected"))
 
 
+@query("""with c as (select doc_id, lang, list_transform(string_split(lower(text), ''), lambda x: unicode(x)::bigint) as cs from documents),
+g as (select doc_id, lang, i, (cs[i] * 961 + cs[i + 1] * 31 + cs[i + 2]) % 4096 as b from c, unnest(range(1, len(cs) - 1)) as t(i)),
+n as (select lang, b, count(*) as n from g group by 1, 2), t as (select lang, sum(n) as total from n group by 1),
+w as (select t.lang as v, x.b, ln((coalesce(n.n, 0) + 1) / (total + 4096)::double) as w from t cross join range(4096) as x(b) left join n on n.lang = t.lang and n.b = x.b),
+s as (select doc_id, v, sum(w * m) as s from (select doc_id, b, count(*) as m from g where i <= 4998 group by 1, 2) join w using (b) group by 1, 2),
+best as (select doc_id, v, row_number() over (partition by doc_id order by s desc, v) as r from s)
+select doc_id, lang, case when v in (""" + _LANGS + """) then v end as detected from documents left join (select doc_id, v from best where r = 1) using (doc_id)""")
+def languages_detected(spark, sf):
+    """The language of each document's first 5,000 characters, as is the feature, by trigrams that all documents teach; a language without a model is none."""
+    d = docs(spark, sf)
+    return d.select("doc_id", "lang", language.detected(F.col("text"), language.fitted(d)).alias("detected"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return codes_block(spark, sf)

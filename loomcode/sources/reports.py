@@ -26,7 +26,7 @@ def coding_rows(codings: DataFrame, documents: DataFrame, codes: DataFrame) -> D
     codings: coding_id, doc_id, code_id, row_no, speaker, segment_text, rationale, matched_expressions, score, start_offset, end_offset;
     documents: doc_id, name, grp; codes: code_id, label, is_model_proposed.
     """
-    rows = codings.join(documents.select("doc_id", "name", "grp"), "doc_id").join(F.broadcast(codes.select("code_id", "label", "is_model_proposed")), "code_id")  # a codebook
+    rows = codings.join(documents.select("doc_id", "name", "grp"), "doc_id").join(codes.select("code_id", "label", "is_model_proposed"), "code_id")
     return rows.orderBy("doc_id", F.asc_nulls_first("start_offset"), "coding_id").select(
         F.col("name").alias("document"),
         _shown("grp").alias("group"),
@@ -93,12 +93,18 @@ def analysis_sheets(a: Analysis) -> dict[str, DataFrame]:
         "expressions": (a.expressions().orderBy(F.desc("firings"), "label", "expression"), firing),
         "expr_by_code_group": (a.expressions_by_code_group().orderBy("label", "grp", F.desc("firings"), "expression"), [firing[0], _group().alias("group"), *firing[1:]]),
     }
+    # One look at each of the two tables tells which languages have a sheet.
+    lemmas = {tuple(r) for r in a.lemma_cells.select("level", "lang").distinct().collect()}
+    fired = {r["lang"] for r in a.firings.select("lang").distinct().collect()}
+    there = {"lemmas": {x for k, x in lemmas if k == 0}, "lemmas_by_code": {x for k, x in lemmas if k == 1}, "lemmas_by_code_group": {x for k, x in lemmas if k == 2}, "expressions": fired, "expr_by_code_group": fired}
+    known = {}
     for lang in T.LANGUAGES:
         for name, (block, columns) in by_lang.items():
-            sheets[f"{name}_{lang}"] = block.where(F.col("lang") == lang).select(*columns)
+            if lang in there[name]:
+                known[f"{name}_{lang}"] = block.where(F.col("lang") == lang).select(*columns)
     top = a.top_extracts(True).join(names, "doc_id").orderBy("label", "grp", "rank")
-    sheets["top_extracts"] = top.select(F.col("label").alias("code"), _group().alias("group"), "score", F.col("name").alias("document"), "text")
-    return {k: df for k, df in sheets.items() if not df.isEmpty()}
+    last = {"top_extracts": top.select(F.col("label").alias("code"), _group().alias("group"), "score", F.col("name").alias("document"), "text")}
+    return {k: df for k, df in sheets.items() if not df.isEmpty()} | known | {k: df for k, df in last.items() if not df.isEmpty()}
 
 
 def chart_rows(a: Analysis, name: str, code: str | None = None, group: str | None = None) -> DataFrame:

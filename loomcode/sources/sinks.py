@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomcode.operators.numbering import numbered
 from loomcode.sources.datasource import file_system
+from loomcode.store import written
 
 _QDA = "urn:QDA-XML:codebook:1.0"
 _PROJECT = "urn:QDA-XML:project:1.0"
@@ -182,19 +183,33 @@ def unbundled(data: bytes, input_type: str, conventions: dict[str, str]) -> tupl
     return docs, m.get("conventions", {}) | conventions
 
 
-def read_bundles(spark, path: str, input_type: str) -> DataFrame:
-    """filename, file_path, language, grp, content: the documents of the bundles under path, read on the executors; one of another kind fails."""
+def read_bundles(spark, path: str, input_type: str, library: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: filename, file_path, language, grp, content; conventions: name, regex; errors: path, error) of the bundles under path.
+
+    Bundles are read on the executors. One of another kind, or that is none, is an error of its own and gives nothing else. Conventions are the library's and those of the
+    bundles that it has not; of bundles that differ in one, that with the first path counts.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
             for name, data in zip(b["path"], b["content"], strict=True):
-                docs, _ = unbundled(data, input_type, {})
-                yield pd.DataFrame([(d["filename"], f"{name}!{d['key']}", d["language"], d["group"], d["content"]) for d in docs], columns=["filename", "file_path", "language", "grp", "content"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "filename string, file_path string, language string, grp string, content binary")
+                try:
+                    docs, found = unbundled(data, input_type, {})
+                    rows = [("document", name, d["filename"], f"{name}!{d['key']}", d["language"], d["group"], d["content"]) for d in docs]
+                    rows += [("convention", name, k, v, None, None, None) for k, v in found.items()]
+                except Exception as e:  # a broken bundle fails alone
+                    rows = [("error", name, f"{type(e).__name__}: {e}", None, None, None, None)]
+                yield pd.DataFrame(rows, columns=["kind", "path", "a", "b", "language", "grp", "content"])
+
+    rows = written(files.mapInPandas(run, "kind string, path string, a string, b string, language string, grp string, content binary"), "bundles")
+    documents = rows.where("kind = 'document'").select(F.col("a").alias("filename"), F.col("b").alias("file_path"), "language", "grp", "content")
+    own = spark.createDataFrame(list((library or {}).items()), "name string, regex string")
+    new = rows.where("kind = 'convention'").groupBy(F.col("a").alias("name")).agg(F.min_by("b", "path").alias("regex"))
+    conventions = own.unionByName(new.join(own.select("name"), "name", "left_anti"))
+    return documents, conventions, rows.where("kind = 'error'").select("path", F.col("a").alias("error"))
 
 
 def chart_data(block: DataFrame, label: str, value: str, most: int | None = None) -> DataFrame:

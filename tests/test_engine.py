@@ -408,8 +408,13 @@ def test_exchange(spark, tmp_path):
     rows = spark.createDataFrame([("a.txt", "/p/a", bytearray(b"x"), "en", None), ("b.txt", "/p/a", bytearray(b"x"), "en", "g")], "filename string, file_path string, content binary, language string, grp string")
     data = sinks.bundle(rows, "docx", {"m": "1"})
     (tmp_path / "b.zip").write_bytes(data)
-    read = sinks.read_bundles(spark, str(tmp_path / "b.zip"), "docx").collect()
-    assert {r["filename"] for r in read} == {"a.txt", "b.txt"} and len({r["file_path"] for r in read}) == 1
+    (tmp_path / "a.zip").write_bytes(sinks.bundle(rows.limit(1), "docx", {"m": "2", "n": "3", "own": "4"}))
+    (tmp_path / "c.zip").write_bytes(sinks.bundle(rows, "excel", {"x": "1"}))
+    (tmp_path / "d.zip").write_bytes(b"none")
+    read, found, errors = sinks.read_bundles(spark, str(tmp_path / "*.zip"), "docx", {"own": "0"})
+    assert sorted(r["filename"] for r in read.collect()) == ["a.txt", "a.txt", "b.txt"] and read.select("file_path").distinct().count() == 2
+    assert {r["name"]: r["regex"] for r in found.collect()} == {"own": "0", "m": "2", "n": "3"}
+    assert sorted(r["error"].split(":")[0] for r in errors.collect()) == ["BadZipFile", "ValueError"]
     back, merged = sinks.unbundled(data, "docx", {"m": "0"})
     assert len(back) == 2 and merged == {"m": "0"} and back[0]["key"] == back[1]["key"]
     with pytest.raises(ValueError):
@@ -499,6 +504,21 @@ def test_stream(spark, tmp_path):
     assert ingested(spark, out, 7)[0].count() == 0
 
 
+def test_languages_by_trigrams(spark):
+    """Held-out documents: their language, or none where the engine has no model for it."""
+    from loomcode.operators import language
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fitted(d.where("doc_id % 2 = 0").unionByName(d.limit(5).withColumn("lang", F.lit(None).cast("string"))))
+    assert model.languages == ("de", "en", "es", "fr")
+    rows = d.where("doc_id % 2 = 1 and length(text) >= 100").withColumn("found", language.detected(F.col("text"), model)).collect()
+    right = sum(r["found"] == (r["lang"] if r["lang"] != "es" else None) for r in rows)
+    assert len(rows) > 400 and right / len(rows) > 0.97
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "ab"), (4, "the " * 4000)], "i int, text string")
+    assert [r["x"] for r in odd.select(language.detected(F.col("text"), model).alias("x")).collect()] == [None, None, None, "en"]
+    assert language.fitted(d.where("false")).of("text") is None
+
+
 def test_language_votes_on_the_whole_text(spark):
     late = "xx " * 2000 + "der die das und"
     turned = "the " * 1250 + "und " * 1300
