@@ -5,7 +5,8 @@ assigned to its minimizer: the K-symbol gram in it with the least hash. Consecut
 minimizer form a path (a super-window); two equal windows lie in paths with equal minimizer grams, at
 equal offsets. So
 
-1. each document yields one narrow row per path: a hash of the gram, a hash of the whole path;
+1. each document yields one narrow row per path: a hash of the gram, a hash of the whole path; equal paths of documents that are read together (CHUNK bytes)
+   are one row with their places, so that a passage that very many documents have is far fewer rows than documents;
 2. paths whose gram occurs once in the corpus hold no repeated window, and go;
 3. equal paths are counted as one, with their number and their least document;
 4. only grams that stand in different paths have their windows looked at one by one. Classes of up to
@@ -21,13 +22,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcode.llm.common import CHUNK, Hashes, buffers, byte_symbols, chunks, dropped, mixed, word_symbols, written
 
-PATHS = "doc_id long, th long, lo int, n_win int, off int, gram long, path long, prev long, next long"
+PLACES = "array<struct<doc_id:bigint,th:bigint,lo:int>>"
+PATHS = f"gram long, path long, n_win int, off int, n long, m long, p0 long, p1 long, n0 long, n1 long, places {PLACES}"
 #: Distinct paths of one gram that a single task looks at.
 HOT = 4096
 _POS = np.uint64((1 << 24) - 1)
@@ -89,8 +92,28 @@ def super_windows(symbols: np.ndarray, offsets: np.ndarray, W: int, K: int, raw:
     return doc, lo, n_win, off, grams[place], path
 
 
+def grouped_paths(gram: np.ndarray, path: np.ndarray, n_win: np.ndarray, off: np.ndarray, lo: np.ndarray, before: np.ndarray, after: np.ndarray, ids: pa.Array, th: pa.Array) -> pa.RecordBatch:
+    """A row of PATHS for each distinct path; ids, th, lo tell where each path stands."""
+    order = np.lexsort((path, gram))
+    g, p = gram[order], path[order]
+    first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1])])) if len(order) else np.zeros(0, np.int64)
+    take = pa.array(order)
+    places = pa.StructArray.from_arrays([ids.take(take), th.take(take), pa.array(lo[order].astype(np.int32))], names=["doc_id", "th", "lo"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), places)
+    ident = pc.fill_null(ids, 2**63 - 1).to_numpy(zero_copy_only=False)[order]  # a null doc_id stands after all others
+    least = lambda x: np.minimum.reduceat(x, first) if len(first) else x[:0]
+    most = lambda x: np.maximum.reduceat(x, first) if len(first) else x[:0]
+    prev, next_ = before[order].view(np.int64), after[order].view(np.int64)
+    columns = [
+        g[first].view(np.int64), p[first].view(np.int64), n_win[order][first].astype(np.int32), off[order][first].astype(np.int32), np.diff(np.append(first, len(order))),
+        least(ident), least(prev), most(prev), least(next_), most(next_),
+    ]
+    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), lists], names=[x.split()[0] for x in PATHS.split(", ")])
+
+
 def find_paths(docs: DataFrame, symbols_of: Callable, W: int, K: int, linked: bool) -> DataFrame:
-    """docs: doc_id, th, text. prev and next are 0 unless linked."""
+    """docs: doc_id, th, text. Distinct paths of each chunk: n of them, m their least document, p0 and p1 the least and the largest name of the paths before them in their
+    documents, n0 and n1 of those after them (0 where there is none, or not linked)."""
 
     def run(batches):
         for b in batches:
@@ -106,10 +129,7 @@ def find_paths(docs: DataFrame, symbols_of: Callable, W: int, K: int, linked: bo
                 if linked:
                     after[follows] = path[np.flatnonzero(follows) + 1]
                     before[np.flatnonzero(follows) + 1] = path[follows]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), th.take(take), pa.array((lo - starts[doc]).astype(np.int32)), pa.array(n_win.astype(np.int32)), pa.array(off.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (gram, path, before, after))],
-                    names=[x.split()[0] for x in PATHS.split(", ")],
-                )
+                yield grouped_paths(gram, path, n_win, off, lo - starts[doc], before, after, ids.take(take), th.take(take))
 
     return docs.mapInArrow(run, PATHS)
 
@@ -167,15 +187,13 @@ def repeated_windows(docs: DataFrame, symbols_of: Callable, W: int, K: int, by_l
     """
     paths = written(find_paths(docs, symbols_of, W, K, linked), "paths")
     # As a table, so that both sides of the join are plain exchanges and Spark can split a hot gram's partition.
-    several = written(paths.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
+    several = written(paths.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"), "grams")
     shared = written(paths.join(several, "gram", "left_semi"), "paths")
     dropped(paths)
 
-    # A null doc_id stands after all others.
-    ident = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
     one = shared.groupBy("gram", "path").agg(
-        F.count("*").alias("n"), F.min(ident).alias("m"), F.min(F.struct("doc_id", "th", "lo")).alias("at"), F.first("n_win").alias("n_win"), F.first("off").alias("off"),
-        F.min("next").alias("n0"), F.max("next").alias("n1"), F.min("prev").alias("p0"), F.max("prev").alias("p1"),
+        F.sum("n").alias("n"), F.min("m").alias("m"), F.min(F.col("places")[0]).alias("at"), F.first("n_win").alias("n_win"), F.first("off").alias("off"),
+        F.min("n0").alias("n0"), F.max("n1").alias("n1"), F.min("p0").alias("p0"), F.max("p1").alias("p1"),
     )
     n_paths = one.groupBy("gram").agg(F.count("*").alias("n_paths"))
     one = written(one.join(n_paths, "gram"), "classes")
@@ -274,8 +292,9 @@ def repeated_windows(docs: DataFrame, symbols_of: Callable, W: int, K: int, by_l
     found = single.unionByName(few.where("size(runs) > 0")).unionByName(marked.select("gram", "path", F.col("runs").cast(RUNS).alias("runs")))
     if linked:
         found = compacted(written(found, "found"), one)
-    hits = shared.drop("prev", "next").join(found, ["gram", "path"])
+    hits = shared.select("gram", "path", "places").join(found, ["gram", "path"]).select(F.explode("places").alias("p"), "runs").select("p.doc_id", "p.th", "p.lo", "runs")
     if by_least:
+        # A null doc_id stands after all others.
         hits = hits.withColumn("runs", F.filter("runs", lambda r: r["m"] < F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)))).where("size(runs) > 0")
     spans = F.transform("runs", lambda r: F.struct((F.col("lo") + r["s"]).alias("s"), (F.col("lo") + r["e"]).alias("e")))
     return hits.select("doc_id", "th", F.explode(spans).alias("span")).groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"))
