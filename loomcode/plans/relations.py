@@ -695,6 +695,22 @@ def json_column_malformed(spark, sf):
     return _props(spark, sf)[1]
 
 
+@query(C._ALL + C._LEM + """, c2 as (select distinct doc_id, position, code_id, label from codings), g as (select distinct grp from segs), l as (select distinct label from c2),
+x as (select lang, lemma from lem group by 1, 2), y as (select lang, label, lemma from lem join codings using (doc_id, position) group by 1, 2, 3), z as (select lang, label, grp, lemma from lem join codings using (doc_id, position) group by 1, 2, 3, 4),
+e as (select distinct m.doc_id, m.code_id, expression from matches m), f as (select d.lang, code_id, expression from e join documents d using (doc_id) where d.lang in (""" + C._LANGS + """) group by 1, 2, 3),
+h as (select d.lang, d.source, code_id, expression from e join documents d using (doc_id) where d.lang in (""" + C._LANGS + """) group by 1, 2, 3, 4), t as (select label, grp, least(count(*), 5) as n from codings join units using (doc_id, position) group by 1, 2)
+select 'codes' as sheet, count(*)::bigint as n from l union all select 'groups', (select count(*) from l) * (select count(*) from g) union all select 'cooccurrence', count(*) from l union all select 'documents', count(distinct doc_id) from segs
+union all select 'lemmas_' || lang, count(*) from x group by lang union all select 'lemmas_by_code_' || lang, count(*) from y group by lang union all select 'lemmas_by_code_group_' || lang, count(*) from z group by lang
+union all select 'expressions_' || lang, count(*) from f group by lang union all select 'expr_by_code_group_' || lang, count(*) from h group by lang union all select 'top_extracts', sum(n)::bigint from t""")
+def analysis_workbook(spark, sf):
+    """The sheets of an analysis's workbook, and how many rows each has."""
+    out = None
+    for name, df in reports.analysis_sheets(C.analysis(spark, sf)).items():
+        one = df.agg(F.lit(name).alias("sheet"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # Files, written by the executors and read as a data source.
 
 
