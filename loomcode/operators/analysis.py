@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomcode.functions import text as T
 from loomcode.operators.numbering import numbered
-from loomcode.store import written
+from loomcode.store import exists, written
 
 LOW_VOLUME = 50
 TOP_LEMMAS = 30
@@ -198,18 +198,15 @@ class Analysis:
 
 
 SCHEMA_VERSION = 2
+BLOCKS = ["meta", "codes", "groups", "cooccurrence", "documents", "lemmas", "lemmas_by_code", "lemmas_by_code_group", "expressions", "expressions_by_code_group", "top_extracts", "top_extracts_by_group"]
 
 
 def read_cube(spark, run_id: int, root: str) -> dict[str, DataFrame] | None:
     """The blocks that write_cube has written under the present version of the schema; null if there are none, and the cube is to be made anew."""
-    jvm = spark._jvm.org.apache.hadoop.fs
     home = f"{root}/run_id={run_id}/schema={SCHEMA_VERSION}"
-    path = jvm.Path(home)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(jvm.Path(f"{home}/_complete")):
+    if not exists(spark, f"{home}/_complete"):
         return None
-    names = [x.getPath().getName() for x in files.listStatus(path) if x.isDirectory()]
-    return {k: spark.read.parquet(f"{home}/{k}") for k in names if k != "_complete"}
+    return {k: spark.read.parquet(f"{home}/{k}") for k in BLOCKS}
 
 
 def write_cube(analysis: Analysis, run_id: int, root: str) -> None:

@@ -25,7 +25,7 @@ from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -33,6 +33,7 @@ from pyspark.sql.types import StructType
 
 from loomcode.functions import text as T
 from loomcode.operators import codebook, dictionary
+from loomcode.store import exists
 
 BUCKETS = 32
 #: A codebook is held on the driver to write prompts, and in each task to resolve labels.
@@ -103,6 +104,14 @@ def observed(rows: DataFrame) -> tuple[DataFrame, Observation]:
     return rows.observe(seen, F.count("*").alias("n_units"), F.count_if(status == "excluded").alias("n_excluded"), F.count_if(status == "coded").alias("n_coded"), F.count_if(status == "error").alias("n_error")), seen
 
 
+def counted(seen: Observation) -> dict[str, int]:
+    """What has been observed; zeros where there was nothing to write, as Spark then drops the plan that counts."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return dict.fromkeys(("n_units", "n_excluded", "n_coded", "n_error"), 0)
+
+
 def excluded_of(units: DataFrame) -> Column:
     return F.coalesce(F.col("excluded"), F.lit(False)) if "excluded" in units.columns else F.lit(False)
 
@@ -271,36 +280,35 @@ class ModelCoder:
         return None, 0, 0
 
 
-def _read(spark: SparkSession, root: str, table: str, run_id: int, attempts: list[int]) -> DataFrame:
+def _read(spark: SparkSession, root: str, table: str, run_id: int, attempts: list[int], schema: StructType | None = None) -> DataFrame:
     paths = [f"{root}/{table}/run_id={run_id}/attempt={a}" for a in attempts]
-    return spark.read.option("basePath", f"{root}/{table}").parquet(*paths)
+    reader = spark.read.option("basePath", f"{root}/{table}")
+    return (reader if schema is None else reader.schema(schema)).parquet(*paths)
 
 
-def committed(spark: SparkSession, root: str, run_id: int) -> list[int]:
-    """The attempts that count: those from the last one on that was a run anew. There are as many as a run was retried."""
-    try:
-        rows = spark.read.schema("anew boolean, run_id long, attempt long").parquet(f"{root}/commits").where(F.col("run_id") == run_id).collect()
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+def _commits(spark: SparkSession, root: str, run_id: int) -> list:
+    """A row for each committed attempt of a run; there are as many as it was started and retried."""
+    if not exists(spark, f"{root}/commits"):
         return []
+    return spark.read.schema("anew boolean, schema string, run_id long, attempt long").parquet(f"{root}/commits").where(F.col("run_id") == run_id).collect()
+
+
+def committed(spark: SparkSession, root: str, run_id: int) -> list:
+    """The commits that count, in order: those from the last one on that was a run anew."""
+    rows = _commits(spark, root, run_id)
     first = max((r["attempt"] for r in rows if r["anew"]), default=0)
-    return sorted(r["attempt"] for r in rows if r["attempt"] >= first)
+    return sorted((r for r in rows if r["attempt"] >= first), key=lambda r: r["attempt"])
 
 
-def _commit(spark: SparkSession, root: str, run_id: int, attempt: int, anew: bool) -> None:
-    one = spark.range(1).coalesce(1).select(F.lit(anew).alias("anew"))
+def _commit(spark: SparkSession, root: str, run_id: int, attempt: int, anew: bool, facts: StructType) -> None:
+    """The mark of a complete attempt; it keeps the schema of its facts, of which there may be no file."""
+    one = spark.range(1).coalesce(1).select(F.lit(anew).alias("anew"), F.lit(facts.json()).alias("schema"))
     one.write.mode("overwrite").parquet(f"{root}/commits/run_id={run_id}/attempt={attempt}")
 
 
 def _attempts(spark: SparkSession, root: str, run_id: int) -> int:
     """The last attempt that is committed; what another has left under the next number is overwritten."""
-    try:
-        return spark.read.schema("run_id long, attempt long").parquet(f"{root}/commits").where(F.col("run_id") == run_id).agg(F.max("attempt")).first()[0] or 0
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return 0
+    return max((r["attempt"] for r in _commits(spark, root, run_id)), default=0)
 
 
 def bucket_of(doc_id: Column, buckets: int) -> Column:
@@ -379,14 +387,16 @@ def _execute(run_id, units, failed, run_documents, coder, root, codes, batch, an
         home = f"{root}/{{}}/run_id={run_id}/attempt={attempt}/batch=0"
         rows, seen = observed(facts_of(coder.outcomes(units, codes)))
         _write_units(rows, home.format("units"), buckets)
-        progress.add(seen.get)
+        progress.add(counted(seen))
         done = spark.read.parquet(home.format("units")).groupBy("doc_id").agg(F.lit("completed").alias("status"))
         done.select("doc_id", "status", F.lit(None).cast("string").alias("error"), *(F.lit(0).cast("long").alias(c) for c in ("tokens_in", "tokens_out"))).write.mode("overwrite").parquet(home.format("documents"))
-        _commit(spark, root, run_id, attempt, True)
+        _commit(spark, root, run_id, attempt, True, rows.schema)
         return _read(spark, root, "documents", run_id, [attempt]).select(F.lit(run_id).cast("long").alias("run_id"), "doc_id", "status", "error"), codes
     own = run_documents.where(F.col("run_id") == run_id)
     todo = (own if anew else own.where("status <> 'completed'")).select("doc_id").distinct()
     bad = failed.join(todo, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("reason").alias("error"))
+    if todo.isEmpty():
+        return own.select("run_id", "doc_id", "status", F.lit(None).cast("string").alias("error")).unionByName(others(run_documents, run_id)), codes
     attempt = _attempts(spark, root, run_id) + 1
     home = lambda table, k: f"{root}/{table}/run_id={run_id}/attempt={attempt}/batch={k}"
     for k, docs in enumerate(_batches(todo, batch)):
@@ -405,12 +415,10 @@ def _execute(run_id, units, failed, run_documents, coder, root, codes, batch, an
             ended = ended.withColumns({"tokens_in": F.lit(0).cast("long"), "tokens_out": F.lit(0).cast("long")})
         rows, seen = observed(facts_of(outcomes))
         _write_units(rows, home("units", k), buckets)
-        progress.add(seen.get)
+        progress.add(counted(seen))
         status = F.when(F.col("error").isNull(), "completed").otherwise("failed")
         ended.select("doc_id", status.alias("status"), "error", F.coalesce("tokens_in", F.lit(0)).alias("tokens_in"), F.coalesce("tokens_out", F.lit(0)).alias("tokens_out")).write.mode("overwrite").parquet(home("documents", k))
-    if todo.isEmpty():
-        return own.select("run_id", "doc_id", "status", F.lit(None).cast("string").alias("error")).unionByName(others(run_documents, run_id)), codes
-    _commit(spark, root, run_id, attempt, anew)
+    _commit(spark, root, run_id, attempt, anew, rows.schema)
     done = _read(spark, root, "documents", run_id, [attempt]).select("doc_id", F.col("status").alias("now"), "error")
     after = own.select("run_id", "doc_id", "status").join(done, "doc_id", "left")
     after = after.select("run_id", "doc_id", F.coalesce("now", "status").alias("status"), "error")
@@ -428,14 +436,17 @@ def executed(run_id: int, units: DataFrame, failed: DataFrame, run_documents: Da
 
 def read_units(spark: SparkSession, root: str, run_id: int, doc_ids: list[int] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The facts of a run's committed attempts, of some documents if they are given: only their buckets are read then."""
-    attempts = committed(spark, root, run_id)
-    if not attempts:
+    commits = committed(spark, root, run_id)
+    if not commits:
         raise ValueError(f"run {run_id} has no facts")
-    rows = _read(spark, root, "units", run_id, attempts)
+    schema = StructType.fromJson(json.loads(commits[-1]["schema"])).add("run_id", "long")
+    for name in ("attempt", "batch", "bucket"):
+        schema = schema.add(name, "integer")
+    rows = _read(spark, root, "units", run_id, [r["attempt"] for r in commits], schema)
     if doc_ids is not None:
         wanted = spark.range(1).select(F.array_distinct(F.transform(F.array(*(F.lit(d).cast(rows.schema["doc_id"].dataType) for d in doc_ids)), lambda d: bucket_of(d, buckets)))).first()[0] if doc_ids else []
         rows = rows.where(F.col("bucket").isin(wanted) & F.col("doc_id").isin(doc_ids))
-    return rows.withColumn("run_id", F.col("run_id").cast("long")).drop("attempt", "batch", "bucket")
+    return rows.drop("attempt", "batch", "bucket")
 
 
 def segments_view(units: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import uuid
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from loomcode.functions import tables
 from loomcode.functions import text as T
-from loomcode.operators import codebook, conventions, runs, segment, workspace
+from loomcode.operators import codebook, conventions, facts, runs, segment, workspace
 from loomcode.operators import units as U
+from loomcode.operators.analysis import read_cube, write_cube
 from loomcode.operators.numbering import numbered
 from loomcode.plans import catalog as C
 from loomcode.plans.catalog import query
@@ -711,6 +713,97 @@ def analysis_workbook(spark, sf):
     return out
 
 
+# A run of a model coder, which is a plain function here: it names a unit's length, fails on some, and answers in a wrong form on a few.
+
+
+def _ask(system: str, message: str) -> str:
+    n = len(message.split("To be coded:\n")[1])
+    if n % 11 == 0:
+        raise KeyError("no answer")
+    if n % 53 == 0:
+        return '{"x": 1}'
+    if n % 4 == 0:
+        return f'[{{"action": "no_code", "rationale": " len {n} "}}, {{"action": "no_code"}}]'
+    return f'so:\n```json\n[{{"action": "create_new", "code": " Kind-{n % 7} "}}, {{"code": "parity {n % 2}"}}, {{"code": " "}}]\n```'
+
+
+_MODEL = """with u as (select conv_id as doc_id, (row_number() over (partition by conv_id order by turn) - 1)::int as position, coalesce(role = 'system', false) as excluded, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) as n from conversations),
+bad as (select distinct doc_id from u where not excluded and n % 11 <> 0 and n % 53 = 0),
+said as (select *, case when excluded then 'excluded' when n % 11 = 0 then 'error' when n % 4 = 0 then 'no_code' else 'coded' end as status from u where doc_id not in (select doc_id from bad)),
+named as (select doc_id, position, i, case i when 0 then 'Kind-' || n % 7 else 'parity ' || n % 2 end as label from said, unnest([0, 1]) as t(i) where status = 'coded'),
+book as (select label, case label when 'parity 0' then 1 else 1 + row_number() over (partition by label <> 'parity 0' order by a) end as code_id from (select label, min(doc_id * 1000000 + position * 10 + i) as a from named group by 1 union select 'parity 0', -1 where 'parity 0' not in (select label from named)))"""
+
+
+def _model_run(spark, sf):
+    """(segments, codings, the run's documents, the codebook) of a model run over conversations."""
+    t = C._turns(spark, sf)
+    units = t.select("doc_id", "position", "speaker", "text", F.coalesce(F.col("speaker") == "system", F.lit(False)).alias("excluded"))
+    codes = C.local(spark, [(1, "Parity_0", None, None, False, None)], codebook.CODES)
+    todo = units.select(F.lit(5).cast("long").alias("run_id"), "doc_id", F.lit("pending").alias("status")).distinct()
+    none = C.local(spark, [(0, "")], "doc_id long, reason string").where("false")
+    root = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    done, grown = facts.execute(5, units, none, todo, facts.ModelCoder(_ask), root, codes)
+    segments, codings = facts.read_facts(spark, root, 5)
+    return segments, codings, done, grown
+
+
+@query(_MODEL + """ select s.doc_id, s.position, status, case when status = 'no_code' then 'len ' || n end as no_code_rationale, coalesce((select string_agg(b.code_id, ',' order by i) from named m join book b using (label) where m.doc_id = s.doc_id and m.position = s.position), '') as code_ids from said s""")
+def model_run_units(spark, sf):
+    segments, _, _, _ = _model_run(spark, sf)
+    return segments.select("doc_id", "position", "status", "no_code_rationale", F.array_join(F.col("code_ids").cast("array<string>"), ",").alias("code_ids"))
+
+
+@query(_MODEL + " select distinct doc_id, case when doc_id in (select doc_id from bad) then 'failed' else 'completed' end as status from u")
+def model_run_documents(spark, sf):
+    return _model_run(spark, sf)[2].select("doc_id", "status")
+
+
+@query(_MODEL + " select code_id, case label when 'parity 0' then 'Parity_0' else label end as label from book")
+def model_run_codebook(spark, sf):
+    return _model_run(spark, sf)[3].select("code_id", "label")
+
+
+@query(C._ALL + f""" select code_id, label, codings, units, n_codable, {C._rounded("100::double * units / n_codable", 1)} as pct_units from (
+    select code_id::bigint as code_id, label, count(*) as codings, count(*) as units, (select count(*) from segs) as n_codable from codings group by 1, 2)""")
+def cube_of_codes(spark, sf):
+    """A block of the cube, as it is written and read again."""
+    root = f"{shared_dir(spark)}/cube-{uuid.uuid4().hex}"
+    write_cube(C.analysis(spark, sf), C.RUN, root)
+    return read_cube(spark, C.RUN, root)["codes"]
+
+
+@query(C._BOOK + " select label, coalesce(description, '') as description from codes where not is_deleted")
+def codebook_exchange(spark, sf):
+    """The codes of an exchange file, read from its XML."""
+    root = ElementTree.fromstring(sinks.codebook_xml(C.book(spark, sf)[0]))
+    space = root.tag.split("}")[0] + "}"
+    found = [(c.get("name"), c.findtext(f"{space}Description") or "") for c in root.iter(f"{space}Code")]
+    return spark.createDataFrame(found, "label string, description string")
+
+
+@query("""select n_name || '.txt' as filename, n_regionkey as region, case when n_nationkey % 3 > 0 then 'en' end as language, case when n_nationkey % 2 = 0 then 'g' || n_regionkey end as grp, 'text of ' || min(n_name) over (partition by n_regionkey) as content from nation""")
+def bundle_files(spark, sf):
+    """Nations as documents of which a region's share a file: packed to a bundle, and read from it."""
+    n = C.table(spark, sf, "nation")
+    first = n.groupBy("n_regionkey").agg(F.min("n_name").alias("first"))
+    docs = n.join(first, "n_regionkey").select(
+        F.concat("n_name", F.lit(".txt")).alias("filename"), F.concat(F.lit("/p/"), F.col("n_regionkey").cast("string")).alias("file_path"), F.when(F.col("n_nationkey") % 3 > 0, "en").alias("language"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("g"), F.col("n_regionkey").cast("string"))).alias("grp"), F.concat(F.lit("text of "), "first").cast("binary").alias("content"),
+    )
+    folder = f"{shared_dir(spark)}/bundles-{uuid.uuid4().hex}"
+    one = spark.createDataFrame([("b.zip", bytearray(sinks.bundle(docs, "docx", {"own": "(a)(b)"})))], "filename string, content binary")
+    sinks.write_files(one, folder).write.format("noop").mode("overwrite").save()
+    back = sinks.read_bundles(spark, folder, "docx")[0]
+    keys = n.select(F.concat("n_name", F.lit(".txt")).alias("filename"), F.col("n_regionkey").alias("region"))
+    return back.join(keys, "filename").select("filename", "region", "language", "grp", F.col("content").cast("string").alias("content"))
+
+
+@query(_CELLS + """ select distinct text as value from cells where "column" = 'size'""")
+def grouping_values(spark, sf):
+    """The values of a column that documents may be grouped by; there may be 30."""
+    return spark.createDataFrame([(v,) for v in workspace.group_values(cell_table(spark, sf), "size")], "value string")
+
+
 # Files, written by the executors and read as a data source.
 
 

@@ -98,6 +98,11 @@ def test_what_is_not_committed_is_not_there(spark, tmp_path, monkeypatch):
     assert facts.read_facts(spark, root, 1)[1].count() == 0
     done, _ = facts.execute(1, units, no_reason(spark), run_of(spark, [1], "completed"), coder, root, book(spark, "a"))
     assert done.first()["status"] == "completed" and facts.read_facts(spark, root, 1)[0].count() == 1
+    # Documents that all fail write no facts, and their states.
+    seen, other = facts.Progress(), str(tmp_path / "other")
+    bad = spark.createDataFrame([(1, "no units")], "doc_id long, reason string")
+    done, _ = facts.execute(1, units, bad, run_of(spark, [1]), coder, other, book(spark, "a"), progress=seen)
+    assert done.first()["error"] == "no units" and seen.counts()["n_units"] == 0 and facts.read_facts(spark, other, 1)[0].count() == 0
 
 
 def test_codes_proposed_in_a_batch_stand_in_the_next_prompts(spark, tmp_path):
