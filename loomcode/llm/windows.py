@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomcode.llm.common import CHUNK, Hashes, buffers, byte_symbols, chunks, dropped, mixed, word_symbols, written
+from loomcode.llm.common import CHUNK, Hashes, buffers, byte_symbols, chunks, dropped, mixed, parts, word_symbols, written
 
 PLACES = "array<struct<doc_id:bigint,th:bigint,lo:int>>"
 PATHS = f"gram long, path long, n_win int, off int, n long, m long, p0 long, p1 long, n0 long, n1 long, places {PLACES}"
@@ -292,7 +292,9 @@ def repeated_windows(docs: DataFrame, symbols_of: Callable, W: int, K: int, by_l
     found = single.unionByName(few.where("size(runs) > 0")).unionByName(marked.select("gram", "path", F.col("runs").cast(RUNS).alias("runs")))
     if linked:
         found = compacted(written(found, "found"), one)
-    hits = shared.select("gram", "path", "places").join(found, ["gram", "path"]).select(F.explode("places").alias("p"), "runs").select("p.doc_id", "p.th", "p.lo", "runs")
+    hits = shared.select("gram", "path", "places").join(found, ["gram", "path"]).select("places", "runs")
+    # The rows of a common path are dealt to all tasks before their places are looked at; a row has those of one chunk.
+    hits = hits.repartition(parts(docs.sparkSession)).select(F.explode("places").alias("p"), "runs").select("p.doc_id", "p.th", "p.lo", "runs")
     if by_least:
         # A null doc_id stands after all others.
         hits = hits.withColumn("runs", F.filter("runs", lambda r: r["m"] < F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)))).where("size(runs) > 0")
