@@ -99,6 +99,14 @@ def dictionary_run(spark: SparkSession, sf: str, root: str) -> DataFrame:
     return F_.execute(RUN, units(spark, sf), None, None, F_.DictionaryCoder(codes(spark), expressions(spark)), root)[0]
 
 
+def _run_anew(spark: SparkSession, sf: str, stamp: tuple) -> DataFrame:
+    """Executes the run, whose facts count from now on: the run's documents."""
+    root = f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}"
+    done = dictionary_run(spark, sf, root)
+    _FACTS[(spark.sparkContext.applicationId, sf)] = (stamp, root)
+    return done
+
+
 def facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(segments, codings) of the dictionary run over documents. A run is executed once for a state of its table, and its facts are written; what is
     computed from a run reads them, and no text of a document again."""
@@ -111,10 +119,8 @@ def facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
                 return F_.read_facts(spark, _FACTS[key][1], RUN)
             except ValueError:  # the shared folder has been cleaned
                 pass
-        root = f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}"
-        dictionary_run(spark, sf, root)
-        _FACTS[key] = (stamp, root)
-        return F_.read_facts(spark, root, RUN)
+        _run_anew(spark, sf, stamp)
+        return F_.read_facts(spark, _FACTS[key][1], RUN)
 
     segments, found = _FLIGHTS.run(key, held)
     return segments.drop("run_id"), found.drop("run_id")
@@ -198,11 +204,9 @@ def query(sql: str | None = None):
 
 @query(_BASE + " select distinct 1::bigint as run_id, doc_id, 'completed' as status, (count(*) over (partition by doc_id))::bigint as units from units")
 def run_executed(spark, sf):
-    """A run of its own: its documents, and the units that their committed facts have."""
-    root = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
-    done = dictionary_run(spark, sf, root)
-    units_ = F_.read_facts(spark, root, RUN)[0].groupBy("doc_id").agg(F.count("*").alias("units"))
-    return done.join(units_, "doc_id").select("run_id", "doc_id", "status", "units")
+    """The run anew: its documents, and the units that their committed facts have. The analysis queries read these facts from then on."""
+    done = _run_anew(spark, sf, _stamp(table(spark, sf, "documents")))
+    return done.join(facts(spark, sf)[0].groupBy("doc_id").agg(F.count("*").alias("units")), "doc_id").select("run_id", "doc_id", "status", "units")
 
 
 @query(_BASE + " select doc_id, count(*) as n, max(position)::int as last from units group by doc_id")
