@@ -23,11 +23,13 @@ INTERVIEWER = r"(?i)^(I\d*|IV|INT|MOD|MODERATOR|INTERVIEWER)$"
 TOKEN = r"[\p{L}\p{N}_'-]+"
 SENTENCE_BREAK = r"(?<=[.!?])\s+"
 SPACE = r"[\s\x1c-\x1f]"
+#: The same characters, where \s is Unicode's white space.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(x) -> Column:
     """x without white space of any kind at its ends."""
-    return F.regexp_replace(x, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.trim(x, F.lit(SPACES))
 
 
 def normalize_label(x) -> Column:

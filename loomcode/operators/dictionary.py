@@ -7,6 +7,10 @@ rarest lemma of each expression, of the lemmas that sentences have: only sentenc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +43,16 @@ def unit_sentences(units: DataFrame) -> DataFrame:
     return rows.withColumn("bag", T.content(F.col("seq"), F.col("lang")))
 
 
-def _by_language(index: DataFrame) -> DataFrame | None:
-    """lang, entries: an index of at most SMALL_INDEX expressions as an array for each language; None for a larger one."""
+def _token(lemma: str) -> str:
+    """A pattern of a lemma as a token of its own. What stands before it is looked at after it is found, which is seldom."""
+    literal = "".join("\\" + c if c == "-" else c for c in lemma)  # a lemma has letters, digits, and _'-
+    inside = T.TOKEN.removesuffix("+")
+    return f"{literal}(?<!{inside}{literal})(?!{inside})"
+
+
+def _by_language(index: DataFrame) -> tuple[DataFrame, dict[str, list[str]]] | None:
+    """(lang, entries: an index of at most SMALL_INDEX expressions as an array for each language; the longest
+    lemmas of each language's); None for a larger one."""
     held = index.limit(SMALL_INDEX + 1).collect()
     if len(held) > SMALL_INDEX:
         return None
@@ -48,7 +60,8 @@ def _by_language(index: DataFrame) -> DataFrame | None:
     for r in sorted(held, key=lambda r: r["expr_id"]):
         by_lang.setdefault(r["lang"], []).append({k.name: r[k.name] for k in _ENTRY})
     local = pa.table({"lang": pa.array(list(by_lang), pa.string()), "entries": pa.array(list(by_lang.values()), pa.list_(_ENTRY))})
-    return index.sparkSession.createDataFrame(local)
+    longest = {k: sorted({max(e["lemmas"], key=len) for e in entries}) for k, entries in by_lang.items()}
+    return index.sparkSession.createDataFrame(local), longest
 
 
 def _line(seq: Column) -> Column:
@@ -61,12 +74,27 @@ def _holds(e: Column, line: Column, bag: Column) -> Column:
     return F.when(e["phrase"], F.contains(line, _line(e["lemmas"]))).otherwise(F.forall(e["lemmas"], lambda x: F.array_contains(bag, x)))
 
 
+def _may_hold(text: Column, longest: dict[str, list[str]]) -> Column:
+    """Whether a text has, as a token, the longest lemma of one of its language's entries; it has all of them where one hits."""
+
+    def any_of(lemmas: list[str]) -> Callable[[Column], Column]:
+        # Most texts do not have a lemma as a substring either, which is looked at first.
+        return lambda low: reduce(or_, (F.contains(low, F.lit(x)) & F.rlike(low, F.lit(_token(x))) for x in lemmas))
+
+    out = F.lit(False)
+    for lang, lemmas in longest.items():
+        # In an array, so that a text is lowered once and not for each lemma.
+        out = F.when(F.col("lang") == lang, F.exists(F.array(F.lower(text)), any_of(lemmas))).otherwise(out)
+    return out
+
+
 def match_sentences(units: DataFrame, index: DataFrame) -> DataFrame:
     """doc_id, position, sent, sentence, code_id, expr_id, expression: a row for each hit of an expression in a sentence."""
-    rows = unit_sentences(units)
-    entries = _by_language(index)
-    if entries is None:
-        return _match_inverted(rows, index)
+    small = _by_language(index)
+    if small is None:
+        return _match_inverted(unit_sentences(units), index)
+    entries, longest = small
+    rows = unit_sentences(units.where(_may_hold(F.col("text"), longest)))
     rows = rows.withColumn("line", _line(F.col("seq"))).join(F.broadcast(entries), "lang")  # at most SMALL_INDEX expressions
     rows = rows.select("doc_id", "position", "sent", "sentence", F.explode(F.filter("entries", lambda e: _holds(e, F.col("line"), F.col("bag")))).alias("e"))
     return rows.select("doc_id", "position", "sent", "sentence", "e.code_id", "e.expr_id", "e.expression")
@@ -101,15 +129,19 @@ def _match_inverted(rows: DataFrame, index: DataFrame, broadcast: int = BROADCAS
 def coded_units(units: DataFrame, index: DataFrame) -> DataFrame | None:
     """units with codings: an array of struct(code_id, score, matched_expressions, sentences, rationale), by code_id; empty without a hit, and in
     excluded units. Nothing is shuffled. None for an index of more than SMALL_INDEX expressions."""
-    entries = _by_language(index)
-    if entries is None:
+    small = _by_language(index)
+    if small is None:
         return None
+    entries, longest = small
     open_ = ~F.coalesce(F.col("excluded"), F.lit(False)) if "excluded" in units.columns else F.lit(True)
     rows = units.join(F.broadcast(entries), "lang", "left")
-    cut = F.transform(T.sentences(F.col("text")), lambda s, i: F.struct(i.alias("sent"), s.alias("sentence"), T.tokens(s).alias("seq")))
-    rows = rows.withColumn("__s", F.when(open_ & F.col("entries").isNotNull(), cut))
-    look = lambda x: F.struct(x["sent"].alias("sent"), x["sentence"].alias("sentence"), _line(x["seq"]).alias("line"), T.content(x["seq"], F.col("lang")).alias("bag"))
-    rows = rows.withColumn("__s", F.transform(F.filter("__s", lambda x: F.size(x["seq"]) > 0), look))
+    # Tokens are cut of sentences that may hit alone, and sentences of units that may.
+    cut = F.transform(T.sentences(F.col("text")), lambda s, i: F.struct(i.alias("sent"), s.alias("sentence")))
+    rows = rows.withColumn("__s", F.when(open_ & F.col("entries").isNotNull() & _may_hold(F.col("text"), longest), F.filter(cut, lambda x: _may_hold(x["sentence"], longest))))
+    look = lambda x: F.struct(x["sent"].alias("sent"), x["sentence"].alias("sentence"), T.tokens(x["sentence"]).alias("seq"))
+    # An expression's bag has no stop words of its language, so that it is in a sentence's tokens if it is in its content.
+    lined = lambda x: F.struct(x["sent"].alias("sent"), x["sentence"].alias("sentence"), _line(x["seq"]).alias("line"), x["seq"].alias("bag"))
+    rows = rows.withColumn("__s", F.transform(F.transform("__s", look), lined))
     hit = lambda x: F.transform(
         F.filter("entries", lambda e: _holds(e, x["line"], x["bag"])),
         lambda e: F.struct(x["sent"].alias("sent"), e["expr_id"].alias("expr_id"), e["code_id"].alias("code_id"), e["expression"].alias("expression"), x["sentence"].alias("sentence")),

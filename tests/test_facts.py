@@ -265,3 +265,44 @@ def test_spans_forward_backward_and_absent(spark):
         for d, full in docs:
             want = plain_spans(full, [r[2:] for r in rows if r[0] == d], repeats)
             assert [got[d, i] for i in range(len(want))] == want
+
+
+def test_strip_is_as_the_pattern_on_every_character(spark):
+    """Trimmed characters are those of the pattern that defines white space."""
+    from pyspark.sql import functions as F
+
+    from loomcode.functions import text as T
+
+    rows = spark.range(0x10000).where("id < 55296 or id > 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    x = F.concat(F.lit("\n"), "c", F.lit(" a"), "c", F.lit("b."), "c", F.lit("\t"))
+    differ = rows.where(~T.strip(x).eqNullSafe(F.regexp_replace(x, rf"(?U)^{T.SPACE}+|{T.SPACE}+$", "")))
+    assert [r["id"] for r in differ.collect()] == []
+    assert "regexp_replace" not in str(T.strip(F.col("c")))
+
+
+def test_sentences_without_a_lemma_are_not_cut_to_tokens(spark):
+    """Texts that have an expression's lemma as a part of a word alone, or at the edges of words of all kinds, hit as a plain look at the tokens says."""
+    import re
+
+    from loomcode.operators import dictionary
+
+    words = ["thst", "athst", "thst-", "x thst", "THST.", "thst'", "of the", "of, the", "ofthe", "co-op", "Co-Op!", "co", "é thst", "éthst", "thst b", "", "thst. eron", "thst eron"]
+    docs = spark.createDataFrame([(i, 0, w, "en") for i, w in enumerate(words)], "doc_id long, position int, text string, lang string")
+    index = spark.createDataFrame(
+        [(1, 1, "en", "thst", False, ["thst"]), (2, 1, "en", '"of the"', True, ["of", "the"]), (3, 2, "en", "co-op", False, ["co-op"]), (4, 2, "en", "thst eron", False, ["thst", "eron"])],
+        "expr_id long, code_id long, lang string, expression string, phrase boolean, lemmas array<string>",
+    )
+    want = set()
+    for i, w in enumerate(words):
+        for s in re.split(r"(?<=[.!?])\s+", w):
+            seq = re.findall(r"[\w'-]+", s.lower())
+            want |= {(i, 1)} if "thst" in seq else set()
+            want |= {(i, 2)} if any(seq[k : k + 2] == ["of", "the"] for k in range(len(seq))) else set()
+            want |= {(i, 3)} if "co-op" in seq else set()
+            want |= {(i, 4)} if {"thst", "eron"} <= set(seq) else set()
+    assert {(r["doc_id"], r["expr_id"]) for r in dictionary.match_sentences(docs, index).collect()} == want
+    coded = dictionary.coded_units(docs, index).selectExpr("doc_id", "explode(codings) c").selectExpr("doc_id", "c.code_id", "c.score").collect()
+    code = {1: 1, 2: 1, 3: 2, 4: 2}
+    assert {(r["doc_id"], r["code_id"]): r["score"] for r in coded} == {(i, c): sum(1 for d, e in want if d == i and code[e] == c) for i, c in {(d, code[e]) for d, e in want}}
+    plan = dictionary.match_sentences(docs, index)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" in plan and "thst" in plan  # texts are looked at before they are cut
