@@ -125,6 +125,19 @@ class Analysis:
                 rows = rows.where(~((F.col("lang") == lang) & F.col("lemma").isin(own)))
         return rows
 
+    def lemma_counts(self, level: int) -> DataFrame:
+        """lang, lemma, freq of languages (level 0); with label of codes (1), and with grp of codes in groups (2): counts alone, nothing ranked or written.
+
+        Texts are cut once. Lemmas are counted by sets of codes first, so that what a unit's codes repeat are counts and not tokens.
+        """
+        keys = [["lang"], ["lang", "label"], ["lang", "label", "grp"]][level]
+        if level == 0:
+            return self.lemma_tokens().groupBy("lang", "lemma").agg(F.count("*").alias("freq"))
+        own = ["lang", "grp"] if level == 2 else ["lang"]
+        per = self.lemma_tokens().groupBy(*own, "code_ids", "lemma").agg(F.count("*").alias("n"))
+        rows = self.labelled(per.select(*own, "lemma", "n", F.explode("code_ids").alias("code_id")))
+        return rows.groupBy(*keys, "lemma").agg(F.sum("n").alias("freq"))
+
     @cached_property
     def lemma_cells(self) -> DataFrame:
         """level, lang, label, grp, lemma, freq, total, rank: of a language (level 0), a code (1), a code in a group (2).

@@ -322,17 +322,17 @@ def lemmas(spark, sf):
 
 @query(_ALL + _LEM + """ select lang, label, lemma, count(*) as freq from lem join codings using (doc_id, position) group by 1, 2, 3""")
 def lemma_by_code(spark, sf):
-    return analysis(spark, sf).lemmas_by_code().select("lang", "label", "lemma", "freq")
+    return analysis(spark, sf).lemma_counts(1)
 
 
 @query(_ALL + _LEM + """ select lang, label, grp, lemma, count(*) as freq from lem join codings using (doc_id, position) group by 1, 2, 3, 4""")
 def lemma_by_code_group(spark, sf):
-    return analysis(spark, sf).lemmas_by_code_group().select("lang", "label", "grp", "lemma", "freq")
+    return analysis(spark, sf).lemma_counts(2)
 
 
 @query(_ALL + _LEM + " select lang, lemma, count(*) as freq from lem where not (lang = 'en' and lemma in ('thst', 'er')) group by 1, 2")
 def stoplist_filtered_lemmas(spark, sf):
-    return analysis(spark, sf, {"en": [" THST ", "er", ""]}).lemmas().select("lang", "lemma", "freq")
+    return analysis(spark, sf, {"en": [" THST ", "er", ""]}).lemma_counts(0)
 
 
 @query(_ALL + """, f as (select distinct m.doc_id, position, code_id, expression from matches m)

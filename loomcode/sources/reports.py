@@ -120,8 +120,9 @@ def chart_rows(a: Analysis, name: str, code: str | None = None, group: str | Non
         return chart_data(cells, "label", "units")
     if name not in ("lemmas", "expressions"):
         raise ValueError(f"unknown chart: {name}")
-    blocks = {("lemmas", 0): a.lemmas, ("lemmas", 1): a.lemmas_by_code, ("lemmas", 2): a.lemmas_by_code_group, ("expressions", 0): a.expressions, ("expressions", 1): a.expressions, ("expressions", 2): a.expressions_by_code_group}
-    block = blocks[name, 0 if code is None else 1 if group is None else 2]()
+    level = 0 if code is None else 1 if group is None else 2
+    # A chart sums over languages and ranks what is left: no cell's rank is needed.
+    block = a.lemma_counts(level) if name == "lemmas" else a.expressions_by_code_group() if level == 2 else a.expressions()
     if code is not None:
         block = block.where(F.col("label") == code)
         block = block.where(F.col("grp") == group) if group is not None else block

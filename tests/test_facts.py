@@ -306,3 +306,14 @@ def test_sentences_without_a_lemma_are_not_cut_to_tokens(spark):
     assert {(r["doc_id"], r["code_id"]): r["score"] for r in coded} == {(i, c): sum(1 for d, e in want if d == i and code[e] == c) for i, c in {(d, code[e]) for d, e in want}}
     plan = dictionary.match_sentences(docs, index)._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains" in plan and "thst" in plan  # texts are looked at before they are cut
+
+
+def test_counts_of_lemmas_rank_nothing(spark):
+    """lemma_counts gives the counts of the ranked cells, without their range exchange."""
+    from loomcode.plans import catalog
+
+    a = catalog.analysis(spark, "/root/testdata/sf0.001")
+    for level, block in enumerate((a.lemmas(), a.lemmas_by_code(), a.lemmas_by_code_group())):
+        counts = a.lemma_counts(level)
+        assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, block.select(counts.columns).collect()))
+        assert "rangepartitioning" not in counts._jdf.queryExecution().executedPlan().toString().lower()
