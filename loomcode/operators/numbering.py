@@ -13,7 +13,8 @@ def numbered(rows: DataFrame, name: str, order: list[Column], keys: tuple[str, .
 
     Rows are dealt by ranges of keys and order and sorted there, so that a group of any size lies in as many partitions as it fills. A row's number is its
     place behind the first row of its group in its partition, and the group's rows in the partitions before. Only counts meet in a window: one
-    for each partition that a group is in. The dealt rows are a table, as ranges are drawn from a sample.
+    for each partition that a group is in. The dealt rows are a table, as ranges are drawn from a sample; the counts are one too, so that readers of a part of
+    the result do not count all of it again.
     """
     sums = sums or {}
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -23,6 +24,7 @@ def numbered(rows: DataFrame, name: str, order: list[Column], keys: tuple[str, .
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = F.coalesce(F.sum("__n").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = starts.select(F.col("__p").alias("__q"), *(F.col(k).alias(f"__k_{k}") for k in keys), (before - F.col("__first")).alias("__shift"), *(F.sum(to).over(group).alias(to) for to in sums))
+    starts = written(starts, "starts")
     same = F.col("__p") == F.col("__q")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))

@@ -317,3 +317,15 @@ def test_counts_of_lemmas_rank_nothing(spark):
         counts = a.lemma_counts(level)
         assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, block.select(counts.columns).collect()))
         assert "rangepartitioning" not in counts._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_readers_of_numbers_count_nothing_again(spark):
+    """The counts that numbers are made of are a table."""
+    from pyspark.sql import functions as F
+
+    from loomcode.operators.numbering import numbered
+
+    out = numbered(spark.range(100).withColumn("k", F.col("id") % 3), "n", [F.col("id")], ("k",), {"total": "id"})
+    assert sorted(tuple(r) for r in out.select("id", "k", "total", "n").collect()) == [(i, i % 3, sum(range(i % 3, 100, 3)), i // 3) for i in range(100)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
