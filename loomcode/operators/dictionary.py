@@ -106,7 +106,9 @@ def key_lemmas(rows: DataFrame, index: DataFrame) -> DataFrame:
     rows: sentences as unit_sentences() gives. Stop words count too, as a phrase may have no others.
     """
     wanted = index.select("expr_id", "lang", F.explode(F.array_distinct("lemmas")).alias("lemma"))
-    seen = rows.select("lang", F.explode(F.array_distinct("seq")).alias("lemma")).groupBy("lang", "lemma").agg(F.count("*").alias("n"))
+    # Lemmas that no expression has go before they are counted: they are nearly all of a corpus's.
+    asked = wanted.select("lang", "lemma").distinct()
+    seen = rows.select("lang", F.explode(F.array_distinct("seq")).alias("lemma")).join(asked, ["lang", "lemma"], "left_semi").groupBy("lang", "lemma").agg(F.count("*").alias("n"))
     found = wanted.join(seen, ["lang", "lemma"], "left").groupBy("expr_id").agg(F.min(F.struct("n", "lemma")).alias("k"), F.count_if(F.col("n").isNull()).alias("missing"))
     return index.join(found.where("missing = 0").select("expr_id", F.col("k.lemma").alias("key")), "expr_id")
 
@@ -116,14 +118,15 @@ def _match_inverted(rows: DataFrame, index: DataFrame, broadcast: int = BROADCAS
     keyed = written(key_lemmas(rows, index).select("lang", F.col("key").alias("lemma"), "expr_id", "code_id", "expression", "phrase", "lemmas"), "keyed")
     small = keyed.limit(broadcast + 1).count() <= broadcast
     keys = keyed.groupBy("lang", "lemma").agg(F.count("*").alias("n")).drop("n")
-    posted = rows.select("doc_id", "position", "sent", "sentence", "lang", "bag", _line(F.col("seq")).alias("line"), F.explode(F.array_distinct("seq")).alias("lemma"))
+    posted = rows.select("doc_id", "position", "sent", "sentence", "lang", "seq", F.explode(F.array_distinct("seq")).alias("lemma"))
     if small:
         met = posted.join(F.broadcast(keyed), ["lang", "lemma"])
     else:
         # A key has at most its expressions; a key that many sentences have is split by Spark's skew join.
         met = posted.join(keys, ["lang", "lemma"], "left_semi").join(keyed, ["lang", "lemma"])
+    # A line is made of what has met alone; a bag's lemmas have no stop words, so that they are in a sentence's tokens if they are in its content.
     entry = F.struct("phrase", "lemmas")
-    return met.where(_holds(entry, F.col("line"), F.col("bag"))).select("doc_id", "position", "sent", "sentence", "code_id", "expr_id", "expression")
+    return met.where(_holds(entry, _line(F.col("seq")), F.col("seq"))).select("doc_id", "position", "sent", "sentence", "code_id", "expr_id", "expression")
 
 
 def coded_units(units: DataFrame, index: DataFrame) -> DataFrame | None:

@@ -329,3 +329,16 @@ def test_readers_of_numbers_count_nothing_again(spark):
     assert sorted(tuple(r) for r in out.select("id", "k", "total", "n").collect()) == [(i, i % 3, sum(range(i % 3, 100, 3)), i // 3) for i in range(100)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Aggregate" not in plan
+
+
+def test_lemmas_that_no_expression_has_are_not_counted(spark):
+    """Lemmas meet the index's before they are counted."""
+    from loomcode.operators import dictionary
+
+    units = spark.createDataFrame([(1, 0, "one two three. two four", "en")], "doc_id long, position int, text string, lang string")
+    index = spark.createDataFrame([(1, 1, "en", "two four", False, ["two", "four"])], "expr_id long, code_id long, lang string, expression string, phrase boolean, lemmas array<string>")
+    rows = dictionary.unit_sentences(units)
+    keyed = dictionary.key_lemmas(rows, index)
+    assert [r["key"] for r in keyed.collect()] == ["four"]
+    assert "LeftSemi" in keyed._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r)[:3] for r in dictionary._match_inverted(rows, index).collect()] == [(1, 0, 1)]
