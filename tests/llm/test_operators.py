@@ -138,6 +138,42 @@ def test_near_chains_and_hot_lists(spark, monkeypatch):
     assert got == brute.near(data, 4)
 
 
+def rows_made(spark, action, kinds):
+    """The rows that operators of these kinds make in the queries of an action, by their descriptions."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    ran = lambda: [store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())]
+    before = set(ran())
+    action()
+    out = Counter()
+    for e in set(ran()) - before:
+        nodes, values = store.planGraph(e).allNodes(), store.executionMetrics(e)
+        for n in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (n.metrics().apply(i) for i in range(n.metrics().size())):
+                if m.name() == "number of output rows" and any(k in n.name() for k in kinds) and values.get(m.accumulatorId()).isDefined():
+                    out[n.desc()] += int(str(values.get(m.accumulatorId()).get()).replace(",", ""))
+    return out
+
+
+@pytest.mark.parametrize("batch", [3, 10000])
+def test_common_passages_are_a_row_for_each_document(spark, batch):
+    """Long passages that all documents have, with copies of rows, null ids and batches that end between them."""
+    rng = random.Random(43)
+    passage, second = words(rng, 400), words(rng, 90)
+    texts = [f"{words(rng, rng.randint(0, 9))} {passage} {words(rng, rng.randint(0, 40))} {second if i % 3 else ''}" for i in range(40)]
+    data = [(i if i % 7 else None, t) for i, t in enumerate(texts)] + [(5, texts[5]), (5, texts[5]), (5, texts[6])]
+    df = spark.createDataFrame(data, "doc_id long, text string").coalesce(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = []
+        made = rows_made(spark, lambda: got.extend(map(tuple, remove_passages(df, 12).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())), ["Generate"])
+        assert Counter(got) == Counter(brute.word_repeats(data, 12))
+        assert max(made.values(), default=0) <= len(data)
+        got = suffix_dedup.remove_repeats(df, 40).collect()
+        assert Counter(tuple(r)[:4] + (r["kept_sha256"],) for r in got) == Counter(brute.byte_repeats(data, 40))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_byte_repeats(docs, nothing):
     got = suffix_dedup.remove_repeats(docs, 40)
     assert Counter(tuple(r)[:4] + (r["kept_sha256"],) for r in got.collect()) == Counter(brute.byte_repeats(pairs(), 40))
