@@ -8,7 +8,10 @@ one set has are skipped, and only that prefix is joined.
 
 A posting list is not paired with itself. First each set is compared with the least set of
 each of its lists (a star), links are confirmed on the full shingle sets, and linked sets join. Lists whose sets are all
-in one component are done. The others are cut into blocks of BLOCK sets, ordered by component, and pairs of
+in one component are done. If others are longer than BLOCK sets, the sets of all others are posted anew, under the shingles of a prefix of the full set, rare ones first:
+linked sets have the first shingle that they share in both prefixes, and where it stands bounds what they can share. Each is compared
+with the set of these lists that can share most, which joins clouds of near copies; then a set stays in a list only if some set of another
+component in it can be linked with it by that bound (narrowed; the old lists are kept if they are fewer rows). What stays is cut into blocks of BLOCK sets, ordered by component, and pairs of
 blocks are compared in a task each, on collision counts first and full sets then; a task returns a
 spanning forest of the links found, at most a row for each set. So every link between different components is found,
 while rows grow with the sets and not with the pairs.
@@ -31,6 +34,8 @@ from loomcode.llm.common import buffers, chunks, dropped, mixed, word_symbols, w
 COORDINATES = 32
 MATCHES = 14
 BLOCK = 1024
+#: Ranges of shingles whose frequencies order them; any order would do, a good one makes short lists.
+RANGES = 1 << 16
 _U = np.uint64
 _A = np.random.default_rng(7).integers(0, 2**63, COORDINATES, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -190,6 +195,73 @@ def block_links(t: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(nid[[p for p, _ in found]] if found else [], pa.int64()), "b": pa.array(nid[[q for _, q in found]] if found else [], pa.int64())})
 
 
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """sets: nid, comp, members. nid, comp, n (the set's size), gram, reach: the shingles, rare ones first, among which the first one shared with any linked set is.
+
+    With i shingles of n before it, sets that have this one as their first in common share n - i at most; linked sets share percent / (100 + percent) of
+    both sizes together, so that reach = 100 n - (100 + percent) i is at least percent times the size of the other.
+    """
+
+    def tally(batches):
+        n = np.zeros(RANGES, np.int64)
+        for b in batches:
+            data, _ = buffers(b.column("members"))
+            n += np.bincount((data.view(np.uint64) >> _U(48)).astype(np.int64), minlength=RANGES)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["range", "n"])
+
+    counts = np.zeros(RANGES, np.int64)
+    for r in sets.mapInArrow(tally, "range long, n long").groupBy("range").agg(F.sum("n").alias("n")).collect():
+        counts[r["range"]] = r["n"]
+    rank = np.empty(RANGES, np.uint64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(RANGES, dtype=np.uint64)
+
+    def run(batches):
+        for b in batches:
+            data, offsets = buffers(b.column("members"))
+            for i, j in chunks(offsets):
+                h = data[offsets[i] : offsets[j]].view(np.uint64)
+                n = np.diff(offsets[i : j + 1]) // 8
+                doc = np.repeat(np.arange(j - i), n)
+                gram = (rank[(h >> _U(48)).astype(np.int64)] << _U(48)) | (h & _U((1 << 48) - 1))
+                gram = gram[np.lexsort((gram, doc))]
+                place = np.arange(len(gram)) - np.repeat(np.cumsum(n) - n, n)
+                keep = np.flatnonzero(place <= (n - -(-n * percent // 100))[doc])
+                of, size = pa.array(doc[keep] + i), n[doc[keep]]
+                reach = 100 * size - (100 + percent) * place[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("nid").take(of), b.column("comp").take(of), pa.array(size), pa.array(gram[keep].view(np.int64)), pa.array(reach)], names=["nid", "comp", "n", "gram", "reach"]
+                )
+
+    return sets.mapInArrow(run, "nid long, comp long, n long, gram long, reach long")
+
+
+def narrowed(firsts: DataFrame, percent: int) -> DataFrame:
+    """key, nid, comp: the lists of prefixes, without the sets that no set of another component in their list can be linked with.
+
+    Of two linked sets the shorter one (either of equal ones) reaches its own size. So the longer one is held against the largest reach and the least size of such
+    sets of other components, and these against the longer ones that stay.
+    """
+    shorter = firsts.where(F.col("reach") >= percent * F.col("n"))
+    per = shorter.groupBy("gram", "comp").agg(F.max("reach").alias("reach"), F.min("n").alias("n"))
+    best = per.groupBy("gram").agg(F.max(F.struct("reach", "comp")).alias("top"), F.min("n").alias("least"))
+    other = per.join(best.select("gram", "top"), "gram").where("comp <> top.comp").groupBy("gram").agg(F.max("reach").alias("next"))
+    bounds = best.join(other, "gram", "left")
+    most = F.when(F.col("comp") != F.col("top.comp"), F.col("top.reach")).otherwise(F.col("next"))
+    longer = written(firsts.join(bounds, "gram").where((most >= percent * F.col("n")) & (F.col("reach") >= percent * F.col("least"))).select("gram", "nid", "comp", "n", "reach"), "longer")
+    met = longer.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("reach").alias("most"))
+    shorter = shorter.join(met, "gram").where("lo <> comp or hi <> comp").where((F.col("reach") >= percent * F.col("least")) & (F.col("most") >= percent * F.col("n")))
+    return longer.select(F.col("gram").alias("key"), "nid", "comp").union(shorter.select("gram", "nid", "comp")).distinct()
+
+
+def mixed_lists(lists: DataFrame) -> DataFrame:
+    """lists: key, nid, comp. The lists of several components, once where they have the same sets, with m, their sets."""
+    several = lists.groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("nid").cast("decimal(38,0)")).alias("who")
+    ).where("lo <> hi").dropDuplicates(["m", "who"]).select("key", "m")
+    return written(lists.join(several, "key"), "postings")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs. Linked: 100 * common >= percent * union."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -232,11 +304,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     # Lists with several components left.
     comp = F.coalesce(F.col("component"), F.col("nid")).alias("comp")
-    labelled = written(lists.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", comp), "postings")
-    mixed_lists = labelled.groupBy("key").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("nid").cast("decimal(38,0)")).alias("who")
-    ).where("lo <> hi").dropDuplicates(["m", "who"]).select("key", "m")
-    open_lists = written(labelled.join(mixed_lists, "key"), "postings")
+    labelled = lambda df: df.drop("comp").join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", comp).drop("component")
+    open_lists = mixed_lists(written(labelled(lists.select("key", "nid")), "postings"))
+    # Rows of the comparison below: each set of a list for each block.
+    size_of = lambda df: df.agg(F.sum(F.ceil(F.col("m") / BLOCK)), F.max("m")).first()
+    n_rows, longest = size_of(open_lists)
+    if (longest or 0) > BLOCK:
+        # Lists of many blocks: their sets, in lists by prefixes of the full sets.
+        sets = written(open_lists.select("nid", "comp").distinct().join(sets, "nid"), "sets")
+        firsts = written(prefixes(sets, percent), "prefixes")
+        several = firsts.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
+        firsts = written(firsts.join(several, "gram", "left_semi"), "prefixes")
+        head = firsts.groupBy("gram").agg(F.max(F.struct("reach", "nid", "n", "comp")).alias("head"))
+        near = (F.col("head.reach") >= percent * F.col("n")) & (F.col("reach") >= percent * F.col("head.n"))
+        # A set is compared with one of its lists' heads, the one that can share most with others.
+        best = firsts.join(head, "gram").where(near & (F.col("head.comp") != F.col("comp"))).groupBy("nid").agg(F.max(F.struct("head.reach", "head.nid")).alias("best"))
+        stars = written(best.select(F.col("best.nid").alias("a"), F.col("nid").alias("b")), "stars")
+        links = written(links.union(confirmed(stars.join(side("b"), "b").join(side("a"), "a"), percent)), "links")
+        labels = components(links)
+        fewer = mixed_lists(written(narrowed(written(labelled(firsts), "prefixes"), percent), "postings"))
+        if (size_of(fewer)[0] or 0) < n_rows:
+            open_lists = fewer
+        else:
+            open_lists = mixed_lists(written(labelled(open_lists.select("key", "nid")), "postings"))
     if open_lists.limit(1).count():
         # Components stand together in blocks; a component larger than a block has blocks of its own, as far as a hash deals it out evenly.
         per = open_lists.groupBy("key", "comp").agg(F.count("*").alias("size"))
@@ -252,7 +342,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         tasks = blocks.join(other, "key").where("block <= block2 and not coalesce(only = only2, false)").select("key", "block", "block2")
         tasks = tasks.withColumn("task", F.xxhash64("key", "block", "block2"))
         sides = tasks.select("key", "task", F.explode(F.array(F.struct(F.col("block"), F.lit(0).alias("side")), F.struct(F.col("block2").alias("block"), F.when(F.col("block") == F.col("block2"), -1).otherwise(1).alias("side")))).alias("x")).select("key", "task", "x.block", "x.side").where("side >= 0")
-        work = blocked.select("key", "block", "nid", "comp").join(sides, ["key", "block"]).join(sigs, "nid").join(sets, "nid")
+        work = blocked.select("key", "block", "nid", "comp").join(sides, ["key", "block"]).join(sigs, "nid").join(sets.select("nid", "members"), "nid")
         more = work.select("task", "side", "nid", "comp", "sig", "members").groupBy("task").applyInArrow(lambda t: block_links(t, percent), "a long, b long")
         labels = components(written(links.union(more), "links"))
 

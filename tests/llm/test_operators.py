@@ -154,6 +154,27 @@ def rows_made(spark, action, kinds):
     return out
 
 
+def test_near_clouds(spark, monkeypatch):
+    """Near copies of one text, some linked with few others, and a passage that just does not make texts alike: links are found, and no join makes many rows of a set."""
+    monkeypatch.setattr(minhash, "BLOCK", 100)
+    rng = random.Random(41)
+    base, passage = words(rng, 150).split(), words(rng, 120)
+    texts = []
+    for i in range(160):
+        t = list(base)
+        for at in rng.sample(range(150), i % 9):
+            t[at] = words(rng, 1) + str(i)
+        texts.append(" ".join(t))
+    texts += [passage + " " + words(rng, 26 + i % 8) for i in range(160)]
+    texts += [t + " " + words(rng, 2) for t in texts[150:180]]
+    data = list(enumerate(texts))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {}
+    made = rows_made(spark, lambda: got.update({r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, 4).collect()}), ["Join"])
+    assert got == brute.near(data, 4)
+    assert max(n for d, n in made.items() if "[nid" in d and "Inner" in d) <= 2 * len(data)
+
+
 @pytest.mark.parametrize("batch", [3, 10000])
 def test_common_passages_are_a_row_for_each_document(spark, batch):
     """Long passages that all documents have, with copies of rows, null ids and batches that end between them."""
