@@ -201,6 +201,22 @@ def test_byte_repeats(docs, nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_byte_repeats_of_production_length(spark):
+    """Passages of over 50 words that two documents have: those of 400 bytes go in both, shorter ones stay; n_bytes is the input's size either way."""
+    rng = random.Random(47)
+    data, want = [], {}
+    for i, size in enumerate((330, 399, 400, 401, 900)):
+        passage = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(160))[:size]
+        assert len(passage.split()) > 50
+        for k, (a, z) in enumerate((("<", ">"), ("(", ")"))):
+            text = f"{words(rng, 80)}{a}{passage}{z}{words(rng, 80)}"
+            data.append((2 * i + k, text))
+            want[2 * i + k] = (len(text.encode()), size if size >= 400 else 0)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in got} == want
+    assert Counter(tuple(r)[:4] + (r["kept_sha256"],) for r in got) == Counter(brute.byte_repeats(data, 400))
+
+
 def test_word_repeats(docs, nothing):
     got = remove_passages(docs, 12).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert Counter(map(tuple, got)) == Counter(brute.word_repeats(pairs(), 12))
